@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, quality_mcd
+from . import bpe, common, ngram_join, quality_mcd, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, _table(spark, sf_dir, "labels"), learn=lambda c: common.id_remainder(c, 5) != 0)
+    out = toxicity.score(docs, chain, spans=True)
+    return out.select("doc_id", (common.id_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.col("spans"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -22,6 +34,11 @@ def op8_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mcd.quality(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_byte_bpe": op7_byte_bpe, "op8_quality_mcd": op8_quality_mcd}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_toxicity_crf": op2_toxicity_crf,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_quality_mcd": op8_quality_mcd,
+}
 
 ORACLE: dict[str, str] = {}
