@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, ngram_join, quality_mcd, toxicity
+from . import balance, bpe, common, ngram_join, quality_mcd, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,11 +34,17 @@ def op8_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mcd.quality(_table(spark, sf_dir, "documents"))
 
 
+def op9_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = balance.mix(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity_crf": op2_toxicity_crf,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_mcd": op8_quality_mcd,
+    "op9_entropy_balance": op9_entropy_balance,
 }
 
 ORACLE: dict[str, str] = {}
