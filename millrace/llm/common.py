@@ -59,10 +59,10 @@ def id_remainder(column: str, modulus: int) -> Column:
 BROADCAST_ROWS = 20_000
 
 
-def small_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salts: int = 16) -> DataFrame:
+def small_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salts: int = 16, n: int | None = None) -> DataFrame:
     """Null-safe join with a table of one row a key. It is broadcast if its counted rows allow; else the big side's hot
-    keys are spread over `salts` tasks and the small side is repeated that often."""
-    n = small.count()
+    keys are spread over `salts` tasks and the small side is repeated that often. n: its size, where rows alone do not tell it."""
+    n = small.count() if n is None else n
     left, right = big, small.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in small.columns if c not in keys])
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     drop = [f"__{k}" for k in keys]
