@@ -1,11 +1,11 @@
 """Operator 7: byte-level BPE by a lazily determinised transducer, and streaming decoding.
 
 Encoding. The BPE encoding of a byte string is the only tokenisation in which every adjacent pair of tokens is itself
-stable under the merges (Berglund & van der Merwe 2023). After each byte there is therefore one token that ends the
-encoding of the prefix read so far. The transducer's state holds, for each start that a token of the vocabulary can still
-have (the longest suffix that begins some token bounds this look-ahead), the tokens of that prefix which have not been
-emitted yet. Tokens common to all those prefixes are final and are emitted. States are built only when a byte first leads
-to them, and forgotten together when there are too many.
+stable under the merges (Berglund & van der Merwe 2023). After each byte there is therefore at most one token that ends the
+encoding of the prefix read so far. A token that ends later can only start inside the longest suffix that begins some token;
+this bounds the look-ahead. So the transducer's state is that suffix, with the last token of each prefix that ends inside it.
+Tokens are emitted, in runs, up to a place that all these prefixes have come through. States and arcs are built only when a
+byte first leads to them, and forgotten together when there are too many.
 
 Decoding. Ids are turned into bytes as they come; a machine over tokens, with as states the UTF-8 bytes still owed, tells
 where text is complete. Each (state, token) step is computed once.
@@ -19,14 +19,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
-from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MAX_STATES = 200_000
-MAX_CACHE = 300_000
+MAX_CACHE = 400_000
+#: bytes read after which final tokens are emitted
+WINDOW = 64
+#: in place of a last token: there is none yet; no token can start here
+START, DEAD = -1, -2
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -40,22 +45,24 @@ def load_ranks(path: str) -> list[bytes]:
 
 
 class Transducer:
-    """Encodes one piece at a time: self[piece] is its ids as little-endian 32-bit bytes."""
+    """Encodes one piece at a time: encode() gives its ids."""
 
     def __init__(self, tokens: list[bytes]):
         self.tokens = tokens
         self.rank = {t: i for i, t in enumerate(tokens)}
         self.prefixes = {t[:k] for t in tokens for k in range(1, len(t) + 1)}
+        self.sizes = [len(t) for t in tokens]
+        self.bytes = [bytes((b,)) for b in range(256)]
         self.split: dict[int, tuple[int, int] | None] = {}
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        #: state: (suffix that begins a token, pending tokens of each prefix that ends at an offset of that suffix)
-        start = (b"", ((),))
-        self.states = [start]
-        self.number = {start: 0}
-        self.arcs: dict[int, tuple[tuple[int, ...], int]] = {}
+        #: state: (suffix that begins a token, last tokens of the prefixes that end 0, 1, ... bytes before its end)
+        self.states: list[tuple[bytes, tuple[int, ...]]] = [(b"", (START,))]
+        self.number: dict[tuple, int] = {(b"", START): 0}
+        self.shapes: dict[bytes, tuple] = {}
+        self.arcs: dict[int, tuple[int, int]] = {}
 
     def parts(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge made this one: the pair left when merges of lower rank are done."""
@@ -76,7 +83,7 @@ class Transducer:
     def pair_is_stable(self, a: int, b: int) -> bool:
         """Whether no merge crosses the border of a and b before both are complete. The merges are undone from the last
         one: of the two sides, the one whose last merge is of higher rank was made later."""
-        if (known := self.stable.get((a, b))) is not None:
+        if (known := self.stable.get(a << 32 | b)) is not None:
             return known
         x, y, limit, out = a, b, len(self.tokens), True
         while True:
@@ -93,58 +100,99 @@ class Transducer:
                 limit, x = x, s[1]
             else:
                 break
-        self.stable[a, b] = out
+        self.stable[a << 32 | b] = out
         return out
 
-    def step(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
-        suffix, pending = self.states[state]
-        suffix += bytes((byte,))
-        last: tuple[int, ...] | None = None
-        # pending[k]: of the prefix that ends k bytes before the new byte's place
-        for k in range(min(len(suffix), len(pending))):
-            t = self.rank.get(suffix[len(suffix) - k - 1 :])
-            before = pending[k]
-            if t is None or before is None or not self.reachable(t):
-                continue
-            if before and before[-1] >= 0 and not self.pair_is_stable(before[-1], t):
-                continue
-            last = (*before, t)
-            break
-        kept = (last, *pending)
-        while suffix and suffix not in self.prefixes:
-            suffix = suffix[1:]
-        kept = kept[: len(suffix) + 1]
-        live = [p for p in kept if p is not None]
-        # final are the tokens that all live prefixes begin with; the last of them stays, as left neighbour of the next
-        n = 0
-        while all(len(p) > n + 1 for p in live) and len({p[n] for p in live}) == 1:
-            n += 1
-        emitted = live[0][:n]
-        new = (suffix, tuple(None if p is None else p[n:] for p in kept))
-        number = self.number.get(new)
+    def shape(self, read: bytes) -> tuple[tuple[tuple[int, int], ...], bytes, tuple[bool, ...]]:
+        """What does not depend on the tokens before: the tokens that can end here with their starts (bytes before the last
+        one), the longest suffix that begins a token, and at which places in it a token that runs on can start."""
+        ends = tuple((k, t) for k in range(len(read)) if (t := self.rank.get(read[len(read) - k - 1 :])) is not None and self.reachable(t))
+        starts = [read[len(read) - k :] in self.prefixes for k in range(1, len(read) + 1)]
+        while starts and not starts[-1]:
+            starts.pop()
+        return ends, read[len(read) - len(starts) :], tuple(starts)
+
+    def step(self, state: int, byte: int) -> tuple[int, int]:
+        """The next state, and the token that ends the prefix here (DEAD: none)."""
+        suffix, before = self.states[state]
+        read = suffix + self.bytes[byte]
+        shape = self.shapes.get(read)
+        if shape is None:
+            shape = self.shapes[read] = self.shape(read)
+        ends, suffix, starts = shape
+        last, stable = DEAD, self.stable
+        for k, t in ends:
+            left = before[k]
+            if left < 0:
+                if left == DEAD:
+                    continue
+                last = t
+                break
+            known = stable.get(left << 32 | t)
+            if known or (known is None and self.pair_is_stable(left, t)):
+                last = t
+                break
+        key = (suffix, last, *[b if live else DEAD for live, b in zip(starts, before)])  # noqa: B905
+        number = self.number.get(key)
         if number is None:
-            number = self.number[new] = len(self.states)
-            self.states.append(new)
-        return emitted, number
+            number = self.number[key] = len(self.states)
+            self.states.append((suffix, key[1:]))
+        return number, last
+
+    def settled(self, state: int) -> int:
+        """How far back the place lies that all live prefixes have come through; -1: not known."""
+        live = self.states[state][1]
+        oldest = max(k for k, t in enumerate(live) if t != DEAD)
+        for k, t in enumerate(live):
+            if t == DEAD:
+                continue
+            while k < oldest:  # along the chain of this prefix; beyond places that are not live it is not known
+                t = live[k]
+                if t < 0:
+                    return -1
+                k += len(self.tokens[t])
+            if k != oldest:
+                return -1
+        return oldest
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self.states) > MAX_STATES:
             self.reset()
         if (whole := self.rank.get(piece)) is not None:  # as the merges are defined, a piece that is a token is that token
             return [whole]
+        lasts: list[int] = []  # of the bytes after those that `out` covers
+        state, find, note = 0, self.arcs.get, lasts.append
+        if len(piece) <= WINDOW:
+            for byte in piece:
+                state, last = find(state << 8 | byte) or self.arc(state, byte)
+                note(last)
+            return self.chain(lasts, len(lasts))
         out: list[int] = []
-        state, arcs = 0, self.arcs
+        due = WINDOW
         for byte in piece:
-            arc = arcs.get(state << 8 | byte)
-            if arc is None:
-                arc = arcs[state << 8 | byte] = self.step(state, byte)
-            if arc[0]:
-                out += arc[0]
-            state = arc[1]
-        rest = self.states[state][1][0]
-        if rest is None:
-            raise ValueError("the vocabulary lacks single bytes")
-        out += rest
+            state, last = find(state << 8 | byte) or self.arc(state, byte)
+            note(last)
+            if len(lasts) > due:  # what lies before the settled place is final
+                if (back := self.settled(state)) >= 0:
+                    out += self.chain(lasts, len(lasts) - back)
+                    del lasts[: len(lasts) - back]
+                due = len(lasts) + WINDOW
+        return out + self.chain(lasts, len(lasts))
+
+    def arc(self, state: int, byte: int) -> tuple[int, int]:
+        out = self.arcs[state << 8 | byte] = self.step(state, byte)
+        return out
+
+    def chain(self, lasts: list[int], end: int) -> list[int]:
+        """The tokens of the prefix that ends at byte `end`."""
+        out, sizes = [], self.sizes
+        while end > 0:
+            t = lasts[end - 1]
+            if t < 0:
+                raise ValueError("the vocabulary lacks single bytes")
+            out.append(t)
+            end -= sizes[t]
+        out.reverse()
         return out
 
 
@@ -159,7 +207,7 @@ class Encoder(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.machine.encode(piece.encode("utf-8", "surrogatepass"))
-        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        packed = array("I", ids).tobytes()
         if len(piece) < 64:
             if len(self) >= MAX_CACHE:
                 self.clear()
@@ -240,14 +288,22 @@ class Decoder:
         return rest
 
 
-#: ids that the decoder is given at once
-CHUNK = 65536
+#: ids that the decoder is given at once; those of a chunk with a broken character are decoded one by one
+CHUNK = 64
+
+
+def coder(shared: dict) -> tuple[Encoder, Decoder, list[str]]:
+    """Encoder, decoder and decimal names of ids. A worker keeps them with its copy of the broadcast value, so that what one
+    task has determinised serves the next."""
+    if "coder" not in shared:
+        tokens = shared["tokens"]
+        shared["coder"] = Encoder(tokens, shared["pattern"]), Decoder(tokens), [str(i) for i in range(len(tokens))]
+    return shared["coder"]
 
 
-def digests(batches: Iterator[pa.RecordBatch], tokens: list[bytes], pattern: str, keep: bool) -> Iterator[pa.RecordBatch]:
+def digests(batches: Iterator[pa.RecordBatch], shared: dict, keep: bool) -> Iterator[pa.RecordBatch]:
     """For each row of (…, text): the other columns, n_tokens, both digests, and the ids themselves if they are kept."""
-    enc, dec = Encoder(tokens, pattern), Decoder(tokens)
-    digits = [str(i) for i in range(len(tokens))]
+    enc, dec, digits = coder(shared)
     for batch in batches:
         at = batch.schema.get_field_index("text")
         n, a, b, all_ids = [], [], [], []
@@ -262,7 +318,7 @@ def digests(batches: Iterator[pa.RecordBatch], tokens: list[bytes], pattern: str
             a.append(sha.hexdigest())
             b.append(shb.hexdigest())
             if keep:
-                all_ids.append(ids)
+                all_ids.append(np.frombuffer(view, np.uint32).astype(np.int32))
         rest = [(f.name, batch.column(i)) for i, f in enumerate(batch.schema) if i != at]
         new = [("n_tokens", pa.array(n, pa.int64())), ("ids_sha256", pa.array(a, pa.string())), ("decoded_sha256", pa.array(b, pa.string()))]
         if keep:
@@ -272,7 +328,7 @@ def digests(batches: Iterator[pa.RecordBatch], tokens: list[bytes], pattern: str
 
 def encode(docs: DataFrame, ranks: str, pattern: str, *, ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text; with ids=True the ids as well."""
-    tokens = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks))  # fixed size: the vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast({"tokens": load_ranks(ranks), "pattern": pattern})  # fixed size: the vocabulary
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return docs.select("doc_id", "text").mapInArrow(lambda it: digests(it, tokens.value, pattern, ids), schema)
+    return docs.select("doc_id", "text").mapInArrow(lambda it: digests(it, shared.value, ids), schema)
