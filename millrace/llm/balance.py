@@ -36,7 +36,7 @@ class Params:
     steps: int = 40
     tolerance: float = 1e-6
     #: rows of a source that are rounded in one task, about
-    part: int = 20_000
+    part: int = 4000
     phases: int = 32
 
 
