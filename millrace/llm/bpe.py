@@ -26,8 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MAX_STATES = 200_000
-MAX_CACHE = 400_000
+MAX_STATES = 250_000
+MAX_CACHE = 700_000
 #: bytes read after which final tokens are emitted
 WINDOW = 64
 #: in place of a last token: there is none yet; no token can start here
@@ -266,8 +266,9 @@ class Decoder:
             self.arcs[key] = (state, done)
         return self.arcs[key]
 
-    def feed(self, ids) -> bytes:
-        if self.state[0] == 0 and self.whole.issuperset(ids):
+    def feed(self, ids, whole: bool = False) -> bytes:
+        """whole: the ids are known to be whole characters, and so is all before."""
+        if whole or (self.state[0] == 0 and self.whole.issuperset(ids)):
             return b"".join(map(self.tokens.__getitem__, ids))
         out = []
         for i in ids:
@@ -311,9 +312,10 @@ def digests(batches: Iterator[pa.RecordBatch], shared: dict, keep: bool) -> Iter
             view = enc.encode(text.as_py() or "")
             ids, sha, shb = view.tolist(), hashlib.sha256(), hashlib.sha256()
             sha.update(" ".join(map(digits.__getitem__, ids)).encode())
-            for k in range(0, len(ids), CHUNK):
-                shb.update(dec.feed(ids[k : k + CHUNK]))
-            shb.update(dec.close())
+            if dec.whole.issuperset(ids):
+                shb.update(dec.feed(ids, True))
+            else:
+                shb.update(b"".join([*(dec.feed(ids[k : k + CHUNK]) for k in range(0, len(ids), CHUNK)), dec.close()]))
             n.append(len(ids))
             a.append(sha.hexdigest())
             b.append(shb.hexdigest())
