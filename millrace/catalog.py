@@ -203,11 +203,11 @@ def qa_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.status_counts(_reports(spark, sf_dir))
 
 
-@query(f"""with {_CODES_SQL}, u as (select k, generate_subscripts(x, 1) as at, unnest(x) as code from (select k, string_split(rtrim(codes, ','), ',') as x from c where codes <> '') as y),
-v as (select k, code, row_number() over (partition by k order by case when regexp_matches(code, '^({_CRITICAL})$') then 0 when regexp_matches(code, '^({_WARNING})$') then 1 else 2 end, at) as r from u)
-select k, string_agg(code, ' | ' order by r) as top from v where r <= 3 group by k""")
+@query(f"""with {_CODES_SQL}, u as (select k, generate_subscripts(x, 1) as spot, unnest(x) as code from (select k, string_split(rtrim(codes, ','), ',') as x from c where codes <> '') as y),
+v as (select k, code, row_number() over (partition by k order by case when regexp_matches(code, '^({_CRITICAL})$') then 0 when regexp_matches(code, '^({_WARNING})$') then 1 else 2 end, spot) as r from u)
+select c.k, coalesce(string_agg(code, ' | ' order by r), '') as top from c left join v on v.k = c.k and r <= 3 group by c.k""")
 def qa_top_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reports(spark, sf_dir).select("k", F.array_join(qa.top_codes("flags", 3), " | ").alias("top")).where("top <> ''")
+    return _reports(spark, sf_dir).select("k", F.array_join(qa.top_codes("flags", 3), " | ").alias("top"))
 
 
 @query("""
@@ -544,4 +544,4 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming.ingest import windowed_counts
 
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return windowed_counts(e).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("h"), "n", "total")
+    return windowed_counts(e.dropDuplicates(["event_id"]), streaming=False).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("h"), "n", "total")

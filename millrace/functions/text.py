@@ -3,6 +3,8 @@ do not depend on the script of a text; lines end at \\n, \\r, \\r\\n, \\v, \\f,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once: inside a lambda an expression is evaluated again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), rf"(?U)\A{WS}+|{WS}+\z", "")
 
@@ -73,9 +80,13 @@ def tokens_estimate(c: Column | str) -> Column:
 
 def grams(tokens: Column, n: int) -> Column:
     """Runs of n tokens joined by a blank, in order."""
-    count = F.size(tokens) - (n - 1)
-    at = F.when(count > 0, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+
+    def runs(t: Column) -> Column:
+        count = F.size(t) - (n - 1)
+        at = F.when(count > 0, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.concat_ws(" ", *[F.get(t, i + (j - 1)) for j in range(n)]))
+
+    return let(tokens, runs)
 
 
 def first_sentences(c: Column | str, n: int) -> Column:

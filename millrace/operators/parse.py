@@ -86,11 +86,12 @@ def source_chunks(prompt: Column | str, max_chars: int = 14_000) -> Column:
         ),
     )
     ranked = F.array_sort(F.transform(F.filter(made, lambda c: c["tier"] < 4), lambda c: F.struct(c["tier"].alias("t"), c["index"].alias("i"), c.alias("c"))))
-    lengths = F.transform(ranked, lambda r: F.length(r["c"]["text"]))
-    before = lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, b: a + b)
-    cut = F.transform(ranked, lambda r, i: F.struct(r["c"].alias("c"), (F.lit(max_chars) - before(i)).alias("room")))
+    before = lambda lengths, i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, b: a + b)
+    rooms = lambda r: T.let(
+        F.transform(r, lambda x: F.length(x["c"]["text"])), lambda lengths: F.transform(r, lambda x, i: F.struct(x["c"].alias("c"), (F.lit(max_chars) - before(lengths, i)).alias("room")))
+    )
     kept = F.transform(
-        F.filter(cut, lambda x: x["room"] > 300),
+        F.filter(T.let(ranked, rooms), lambda x: x["room"] > 300),
         lambda x: F.struct(*[x["c"][k].alias(k) for k in ("index", "title", "type", "date", "tier")], F.left(x["c"]["text"], x["room"]).alias("text")),
     )
     whole = F.array(F.struct(F.lit(1).alias("index"), F.lit("Source").alias("title"), F.lit("Document").alias("type"), F.lit("").alias("date"), F.lit(2).alias("tier"), F.left(p, F.lit(4000)).alias("text")))
@@ -124,13 +125,15 @@ def extract(body: Column | str) -> Column:
     them and the last the two with most holding words (ties in order), and the last, up to 6000 characters."""
     body = T.strip(body)
     capped = lambda c, n: F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit(MARK))).otherwise(c)
-    paras = T.paragraphs(body)
     score = lambda x: sum((F.lower(x).contains(w).cast("int") for w in HOLDINGS[1:]), F.lower(x).contains(HOLDINGS[0]).cast("int"))
-    middle = F.transform(F.slice(paras, 3, F.greatest(F.size(paras) - 3, F.lit(0))), lambda x, i: F.struct((-score(x)).alias("s"), i.alias("i"), x.alias("x")))
-    picks = F.transform(F.slice(F.array_sort(F.filter(middle, lambda m: m["s"] < 0)), 1, 2), lambda m: m["x"])
-    marked = F.when(F.size(picks) > 0, F.concat(F.array(F.lit("[...key holdings...]")), picks)).otherwise(picks)
-    long = F.array_join(F.concat(F.slice(paras, 1, 2), marked, F.array(F.lit("[...]")), F.slice(paras, -1, 1)), "\n\n")
-    return F.when(F.size(paras) <= 4, capped(body, 12000)).otherwise(capped(long, 6000))
+
+    def condensed(paras: Column) -> Column:
+        middle = F.transform(F.slice(paras, 3, F.greatest(F.size(paras) - 3, F.lit(0))), lambda x, i: F.struct((-score(x)).alias("s"), i.alias("i"), x.alias("x")))
+        picks = F.transform(F.slice(F.array_sort(F.filter(middle, lambda m: m["s"] < 0)), 1, 2), lambda m: m["x"])
+        marked = F.when(F.size(picks) > 0, F.concat(F.array(F.lit("[...key holdings...]")), picks)).otherwise(picks)
+        return F.array_join(F.concat(F.slice(paras, 1, 2), marked, F.array(F.lit("[...]")), F.slice(paras, -1, 1)), "\n\n")
+
+    return T.let(T.paragraphs(body), lambda paras: F.when(F.size(paras) <= 4, capped(body, 12000)).otherwise(capped(condensed(paras), 6000)))
 
 
 def display_name(known: Column | str, own: Column | str, prediction: Column | str, index: Column | str) -> Column:

@@ -51,9 +51,10 @@ def first_fit(docs: Column, budget: Column, cut_only_below: bool) -> Column:
 
 def proportional(docs: Column, budget: Column) -> Column:
     """first_fit's result for documents that share the budget."""
-    total = F.aggregate(docs, F.lit(0), lambda a, d: a + d["tokens"])
-    cut = lambda d: F.when(F.length(d["body"]) > shares(d["tokens"], total, budget) * 4, shares(d["tokens"], total, budget) * 4).otherwise(-1)
-    return F.transform(docs, lambda d: F.struct(d["pos"].cast("int").alias("pos"), cut(d).cast("int").alias("chars")))
+    cut = lambda d, total: F.when(F.length(d["body"]) > shares(d["tokens"], total, budget) * 4, shares(d["tokens"], total, budget) * 4).otherwise(-1)
+    return T.let(
+        F.aggregate(docs, F.lit(0), lambda a, d: a + d["tokens"]), lambda total: F.transform(docs, lambda d: F.struct(d["pos"].cast("int").alias("pos"), cut(d, total).cast("int").alias("chars")))
+    )
 
 
 def _select(docs: Column, ordered: Column, budget: Column, cut_only_below: bool) -> tuple[Column, Column]:
@@ -155,9 +156,10 @@ def extract_first(df: DataFrame, max_tokens: int = 24_000, extractor: Callable[[
     made = F.transform(_by(F.col("__some"), lambda d: d["tier"]), lambda d: F.struct(d["title"].alias("title"), d["date"].alias("date"), d["tier"].alias("tier"), F.coalesce(found(d), extractor(d)).alias("x")))
     df = df.withColumn("__made", made)
     budget = F.lit(max_tokens - 300)
-    sizes = F.transform("__made", lambda e: T.tokens_estimate(e["x"]))
-    before = lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, b: a + b)
-    summed = F.transform("__made", lambda e, i: F.struct(e.alias("e"), before(i).alias("b"), F.get(sizes, i).alias("n")))
+    before = lambda sizes, i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, b: a + b)
+    summed = T.let(
+        F.transform("__made", lambda e: T.tokens_estimate(e["x"])), lambda sizes: F.transform("__made", lambda e, i: F.struct(e.alias("e"), before(sizes, i).alias("b"), F.get(sizes, i).alias("n")))
+    )
     shown = F.filter(summed, lambda s: (s["b"] + s["n"] <= budget) | ((s["b"] <= budget) & (budget - s["b"] > 200)))
 
     def part(s: Column) -> Column:

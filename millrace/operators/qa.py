@@ -138,8 +138,6 @@ def date_flags(text: Column, k: Knobs) -> Column:
 
 def without_header(text: Column) -> Column:
     """Without up to eight leading lines of a displayed header, and blank lines among them."""
-    rows = T.lines(text)
-
     def step(a: Column, line: Column) -> Column:
         x = T.strip(line)
         go = ~a["done"] & (a["headers"] < 8)
@@ -150,8 +148,8 @@ def without_header(text: Column) -> Column:
             (~go | ((x != "") & ~header)).alias("done"),
         )
 
-    skipped = F.aggregate(rows, F.struct(F.lit(0).alias("lines"), F.lit(0).alias("headers"), F.lit(False).alias("done")), step)["lines"]
-    return T.lstrip(F.array_join(F.slice(rows, skipped + 1, F.greatest(F.size(rows), F.lit(1))), "\n"))
+    skipped = lambda rows: F.aggregate(rows, F.struct(F.lit(0).alias("lines"), F.lit(0).alias("headers"), F.lit(False).alias("done")), step)["lines"]
+    return T.let(T.lines(text), lambda rows: T.lstrip(F.array_join(F.slice(rows, skipped(rows) + 1, F.greatest(F.size(rows), F.lit(1))), "\n")))
 
 
 def artifact_flags(text: Column) -> Column:
@@ -170,27 +168,26 @@ def artifact_flags(text: Column) -> Column:
 def _most_common(items: Column, keys: Column, least: int) -> Column:
     """(n, -place, item) of the most frequent key that occurs at least `least` times, the first of equals; null without one.
     Sorting finds the repeated keys; only those are counted."""
-    ordered = F.array_sort(keys)
-    often = F.array_distinct(F.filter(ordered, lambda x, i: F.coalesce(x == F.get(ordered, i + (least - 1)), F.lit(False))))
-    counted = F.transform(
-        often, lambda x: F.struct(F.size(F.filter(keys, lambda y: y == x)).alias("n"), (-F.array_position(keys, x)).alias("at"), F.get(items, (F.array_position(keys, x) - 1).cast("int")).alias("item"))
-    )
-    return F.array_max(counted)
+
+    def counted(keys: Column, ordered: Column) -> Column:
+        often = F.array_distinct(F.filter(ordered, lambda x, i: F.coalesce(x == F.get(ordered, i + (least - 1)), F.lit(False))))
+        return F.transform(
+            often, lambda x: F.struct(F.size(F.filter(keys, lambda y: y == x)).alias("n"), (-F.array_position(keys, x)).alias("at"), F.get(items, (F.array_position(keys, x) - 1).cast("int")).alias("item"))
+        )
+
+    return F.array_max(T.let(keys, lambda k: T.let(F.sort_array(k), lambda o: counted(k, o))))
 
 
 def repetition_flags(text: Column, tokens: Column) -> Column:
-    long = F.filter(T.sentences(text), lambda s: F.length(s) > 40)
-    worst = _most_common(long, long, 2)
     n = F.size(tokens)
     at = F.when(n >= 24, F.sequence(F.lit(0), F.greatest(n - 8, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    word = lambda i, j: F.get(tokens, i + j)
-    hashes = F.transform(at, lambda i: F.xxhash64(*[word(i, j) for j in range(8)]))
-    loop = _most_common(at, hashes, 3)
-    gram = F.array_join(F.slice(tokens, loop["item"] + 1, 8), " ")
-    return F.concat(
-        _if(worst.isNotNull(), _flag("warning", "format", "DUPLICATE_SENTENCE", F.concat(F.lit("Sentence appears "), _number(worst["n"]), F.lit(" times.")), F.left(worst["item"], F.lit(100)))),
-        _if(loop.isNotNull(), _flag("critical", "format", "REPETITION_LOOP", F.concat(F.lit("8-word phrase repeats "), _number(loop["n"]), F.lit(" times — model is stuck in a loop.")), F.left(gram, F.lit(80)))),
-    )
+    hashes = F.transform(at, lambda i: F.xxhash64(*[F.get(tokens, i + j) for j in range(8)]))
+    twice = lambda w: F.array(_flag("warning", "format", "DUPLICATE_SENTENCE", F.concat(F.lit("Sentence appears "), _number(w["n"]), F.lit(" times.")), F.left(w["item"], F.lit(100))))
+    gram = lambda w: F.left(F.array_join(F.slice(tokens, (1 - w["at"]).cast("int") - 1, 8), " "), F.lit(80))
+    loop = lambda w: F.array(_flag("critical", "format", "REPETITION_LOOP", F.concat(F.lit("8-word phrase repeats "), _number(w["n"]), F.lit(" times — model is stuck in a loop.")), gram(w)))
+    some = lambda worst, make: T.let(worst, lambda w: F.when(w.isNotNull(), make(w)).otherwise(_none()))
+    sentences = T.let(F.filter(T.sentences(text), lambda s: F.length(s) > 40), lambda long: some(_most_common(long, long, 2), twice))
+    return F.concat(sentences, some(T.let(hashes, lambda h: _most_common(h, h, 3)), loop))
 
 
 def meta_flags(text: Column) -> Column:

@@ -21,8 +21,9 @@ def ingest_new_files(spark: SparkSession, folder: str, warehouse: str, checkpoin
     stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Events by type and window of event time, each id once; events later than the watermark are left out."""
-    return (
-        events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    )
+def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours", streaming: bool = True) -> DataFrame:
+    """Events by type and window of event time. In a stream each id counts once, and events later than the watermark are left
+    out."""
+    if streaming:
+        events = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return events.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
