@@ -33,9 +33,10 @@ ROUTES = {
 }
 
 
-def tier(title: Column | str, kind: Column | str = F.lit("")) -> Column:
+def tier(title: Column | str, kind: Column | str | None = None) -> Column:
     """1 to 4. Tier 1 is tried first, then 4, then 2; whatever remains is 3, an empty title and type 4."""
-    text = F.lower(strip(F.concat(F.coalesce(_col(title), F.lit("")), F.lit(" "), F.coalesce(_col(kind), F.lit("")))))
+    kind = F.lit("") if kind is None else F.coalesce(_col(kind), F.lit(""))
+    text = F.lower(strip(F.concat(F.coalesce(_col(title), F.lit("")), F.lit(" "), kind)))
     found = lambda patterns: text.rlike("(?U)" + "|".join(patterns))
     return F.when(text == "", 4).when(found(TIER_1), 1).when(found(TIER_4), 4).when(found(TIER_2), 2).otherwise(3)
 

@@ -10,6 +10,7 @@ from itertools import pairwise
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
 
@@ -153,7 +154,7 @@ def rouge(reference: str, prediction: str) -> tuple[float, float, float, float]:
     return tuple(out)
 
 
-@F.pandas_udf("rouge1 double, rouge2 double, rougeL double, rougeLsum double")
+@F.pandas_udf(StructType([StructField(c, DoubleType()) for c in ("rouge1", "rouge2", "rougeL", "rougeLsum")]))
 def rouge_scores(reference: pd.Series, prediction: pd.Series) -> pd.DataFrame:
     rows = [rouge(r or "", p or "") for r, p in zip(reference, prediction, strict=True)]
     return pd.DataFrame(rows, columns=["rouge1", "rouge2", "rougeL", "rougeLsum"])
