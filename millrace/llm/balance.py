@@ -101,7 +101,7 @@ def multipliers(hist: DataFrame, goals: DataFrame, p: Params) -> DataFrame:
 
 def mix(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies and taken of every row."""
-    return _mix(sized(docs.select("doc_id", "source", "text")).drop("text"), p, "doc_id")
+    return common.settled(lambda: _mix(sized(docs.select("doc_id", "source", "text")).drop("text"), p, "doc_id"), "balance-result")
 
 
 def _mix(rows: DataFrame, p: Params, *extra: str) -> DataFrame:
@@ -140,9 +140,12 @@ def mixed(docs: DataFrame, p: Params = Params()) -> DataFrame:
     their copies evenly."""
     key = F.xxhash64("text", "source")
     rows = docs.select("doc_id", "source", key.alias("__key"), F.size(common.words(F.col("text"))).cast("bigint").alias("size"))
-    got = _mix(rows, p, "doc_id", "__key").groupBy("doc_id", "__key").agg(F.floor(F.avg("copies") + 0.5).cast("int").alias("__copies"))
-    other = got.where("__copies <> 1").select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), "__copies")
-    other = common.written(other, "balance-copies")
+
+    def copies() -> DataFrame:
+        got = _mix(rows, p, "doc_id", "__key").groupBy("doc_id", "__key").agg(F.floor(F.avg("copies") + 0.5).cast("int").alias("__copies"))
+        return got.where("__copies <> 1").select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), "__copies")
+
+    other = common.settled(copies, "balance-copies")
     out = docs.join(other, F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__k")), "left")
     times = F.coalesce("__copies", F.lit(1))
     return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dir: list[str] = []
+#: tables written within scopes that are open
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,9 +35,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+def settled(work: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The written result of some work; tables that the work wrote on its way are deleted."""
+    _scopes.append([])
+    try:
+        result = work()
+        _scopes.append([])
+        try:
+            return written(result, name)
+        finally:
+            final = _scopes.pop()
+            if len(_scopes) > 1:
+                _scopes[-2].extend(final)
+    finally:
+        forget(*_scopes.pop())
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete tables made by written() that nothing reads any more."""
     for df in frames:
