@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -129,7 +129,7 @@ def _held(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(best, kind)], ["rep", "best"])
 
 
-def search(vectors: DataFrame, asks, p: Params = Params()) -> DataFrame:
+def search(vectors: DataFrame, asks: Column, p: Params = Params()) -> DataFrame:
     """query_id, rank, vec_id and score of the p.k nearest found of each row that satisfies the condition `asks`."""
     sound = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
