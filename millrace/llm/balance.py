@@ -146,6 +146,7 @@ def mixed(docs: DataFrame, p: Params = Params()) -> DataFrame:
         return got.where("__copies <> 1").select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), "__copies")
 
     other = common.settled(copies, "balance-copies")
-    out = docs.join(other, F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__k")), "left")
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), key.alias("row_key"))
+    out = packed.join(other, F.col("row_id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__k")), "left")
     times = F.coalesce("__copies", F.lit(1))
-    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    return out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")

@@ -18,6 +18,7 @@ toxic or no clean training row every score is 0; other columns are ignored by `s
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
 from collections import Counter
@@ -154,9 +155,12 @@ def cover(toxic: list[list[str]], clean: list[list[str]], p: Params) -> list[str
         for f in {f for w in set(words) for f in features(w)} & pure:
             where[f].append(i)
     open_docs, out = set(range(len(toxic))), []
+    # seen in that many toxic and no clean document, a feature among so many is no accident (one in twenty such samples)
+    sure = max(p.min_df, math.log(20 * max(len(count), 1)) / math.log(1 + len(clean) / len(toxic)))
+    pure = {f for f in pure if len(where[f]) >= sure}
     # what a feature is worth: documents newly covered, less ten for each clean one that it touches
     worth = lambda f: sum(i in open_docs for i in where[f]) - 10 * scale * other[f]
-    queue = [(-worth(f), -len(f), f) for f in where]
+    queue = [(-worth(f), -len(f), f) for f in pure]
     heapq.heapify(queue)
     while queue and open_docs and len(out) < p.max_features:
         old, size, f = heapq.heappop(queue)
@@ -171,7 +175,7 @@ def cover(toxic: list[list[str]], clean: list[list[str]], p: Params) -> list[str
     # pure features about as frequent as the chosen ones that only occur beside them
     if out:
         usual = sorted(len(where[f]) for f in out)[len(out) // 2]
-        for f in sorted(where, key=lambda f: (-len(where[f]), -len(f), f)):
+        for f in sorted(pure, key=lambda f: (-len(where[f]), -len(f), f)):
             if len(where[f]) < max(4, usual / 8) or len(out) >= p.max_features:
                 break
             if not other[f] and not any(f[1:] in g[1:] or g[1:] in f[1:] for g in out):
