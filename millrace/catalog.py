@@ -545,3 +545,39 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return windowed_counts(e.dropDuplicates(["event_id"]), streaming=False).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("h"), "n", "total")
+
+
+@query("select doc_id, text from documents where source = 'src1' and doc_id = (select min(doc_id) from documents where source = 'src1')")
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("case_id"), F.col("doc_id").cast("string").alias("id"), "doc_id", "text")
+    first = d.where("case_id = 'src1'").agg(F.min("doc_id").cast("string")).first()[0]
+    return ingest.get_document(d, "src1", first or "").select("doc_id", "text")
+
+
+@query("""
+select count(*) as n, sum(case when event_type <> 'error' then 1 else 0 end) as done, sum(case when event_id % 7 = 0 then 1 else 0 end) as truncated, sum(value) as cost,
+  cast(2 * sum(case when event_type <> 'error' then 1 else 0 end) as double) / sum(case when event_type <> 'error' then 1 else 0 end) as mean_words from events""")
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    words = F.when(F.col("event_type") != "error", F.concat(F.lit("type "), "event_type"))
+    return scores.spending(e.select(words.alias("prediction"), (F.col("event_id") % 7 == 0).alias("truncated"), F.col("value").alias("cost")))
+
+
+@query("""
+select cast(floor(sum(least(length(text), 3000)) / 4) as bigint) as tokens_in, 50000 as tokens_out, floor(sum(least(length(text), 3000)) / 4) * 3.0 / 1e6 + 50000 * 15.0 / 1e6 as cost from documents""")
+def cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.cost_estimate(table(spark, sf_dir, "documents"), "text", 3.0, 15.0, limit=3000)
+
+
+@query("""
+select a.conv_id, a.turn as s, a.turn + 1 as index, b.role as type from conversations a left join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1""")
+def cited_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    cites = c.select("conv_id", F.col("turn").alias("s"), F.col("text").alias("sentence"), F.array(F.col("turn") + 1).alias("chunks"), F.lit(True).alias("grounded"))
+    chunks = c.select("conv_id", F.col("turn").alias("index"), F.col("role").alias("type"), F.col("text").alias("chunk"))
+    return scores.cited(cites, chunks, "conv_id").select("conv_id", "s", "index", "type")
+
+
+@query(f"with {_CODES_SQL} select k from c where codes like '%META_PROMPT_LEAK%'")
+def qa_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qa.search(_reports(spark, sf_dir), "meta_prompt").select("k")

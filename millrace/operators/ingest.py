@@ -243,3 +243,8 @@ def hydrated(documents: DataFrame, fetch: Callable[[Column], Column]) -> DataFra
 
 def table_counts(wh: Warehouse) -> dict[str, int]:
     return {name: wh.read(name).count() for name in TABLES}
+
+
+def get_document(documents: DataFrame, case_id: str, document_id: str) -> DataFrame:
+    """The one document of a case with an id, or no row."""
+    return documents.where((F.col("case_id") == case_id) & (F.col("id") == document_id)).limit(1)

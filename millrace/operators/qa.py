@@ -324,3 +324,9 @@ def status_counts(reports: DataFrame, *by: str) -> DataFrame:
     from pyspark.sql import Window
 
     return counts.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
+
+
+def search(reports: DataFrame, needle: str) -> DataFrame:
+    """Reports whose identifier, status or codes contain the text, in any case."""
+    codes = F.array_join(F.transform("flags", lambda f: f["code"]), " ")
+    return reports.where(F.lower(F.concat_ws(" ", "identifier", "status", codes)).contains(needle.lower()))

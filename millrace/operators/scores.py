@@ -272,3 +272,31 @@ def pending(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def resumed(done: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Old results, and new ones for keys without any, in order."""
     return done.unionByName(pending(new, done, key), allowMissingColumns=True).orderBy(key)
+
+
+def cited(citations: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    """Citations (key, s, sentence, chunks, grounded), one row for each chunk cited, with the chunk's (key, index) type and text;
+    chunks that do not exist stay with nulls."""
+    each = citations.select(key, "s", "sentence", "grounded", F.explode_outer("chunks").alias("index"))
+    return each.join(chunks, [key, "index"], "left")
+
+
+def judged(df: DataFrame, overall: str = "overall", grounded: str = "grounded") -> DataFrame:
+    """One row: mean judge score over scores above 0, and sentences that no source grounds (an array of booleans a record)."""
+    open_sentences = F.size(F.filter(F.coalesce(F.col(grounded), F.array().cast("array<boolean>")), lambda g: ~g))
+    return df.agg(F.avg(F.when(F.col(overall) > 0, F.col(overall))).alias("mean_score"), F.sum(open_sentences).alias("ungrounded"))
+
+
+def spending(df: DataFrame) -> DataFrame:
+    """One row of a run's totals: records, those done, cut prompts, cost, mean words of predictions and references."""
+    done = F.col("prediction").isNotNull()
+    return df.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(done).alias("done"), F.count_if(F.col("truncated")).alias("truncated"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"),
+        (F.coalesce(F.sum(F.when(done, T.n_words("prediction"))), F.lit(0)) / F.greatest(F.count_if(done), F.lit(1))).alias("mean_words"),
+    )
+
+
+def cost_estimate(df: DataFrame, prompt: str, price_in: float, price_out: float, limit: int = 700_000, reply: int = 1000, samples: int = 50) -> DataFrame:
+    """One row: what a run would cost before it is made. Prompts count up to their limit, replies for a fixed number of samples."""
+    tokens = F.floor(F.sum(F.least(F.length(prompt), F.lit(limit))) / 4)
+    return df.agg(tokens.alias("tokens_in"), F.lit(reply * samples).alias("tokens_out"), (tokens * price_in / 1e6 + reply * samples * price_out / 1e6).alias("cost"))
