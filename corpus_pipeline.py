@@ -25,7 +25,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=True)
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=True, limits=(60_000, 40_000))
 
 
 STAGES = [("quality", quality), ("toxicity", clean), ("near_duplicates", near_duplicates), ("mix", mix), ("token_ids", token_ids)]

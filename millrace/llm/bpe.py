@@ -47,8 +47,8 @@ def load_ranks(path: str) -> list[bytes]:
 class Transducer:
     """Encodes one piece at a time: encode() gives its ids."""
 
-    def __init__(self, tokens: list[bytes]):
-        self.tokens = tokens
+    def __init__(self, tokens: list[bytes], max_states: int = MAX_STATES):
+        self.tokens, self.max_states = tokens, max_states
         self.rank = {t: i for i, t in enumerate(tokens)}
         self.prefixes = {t[:k] for t in tokens for k in range(1, len(t) + 1)}
         self.sizes = [len(t) for t in tokens]
@@ -156,7 +156,7 @@ class Transducer:
         return oldest
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > self.max_states:
             self.reset()
         if (whole := self.rank.get(piece)) is not None:  # as the merges are defined, a piece that is a token is that token
             return [whole]
@@ -199,17 +199,17 @@ class Transducer:
 class Encoder(dict):
     """Piece to packed ids; holds the pieces met lately."""
 
-    def __init__(self, tokens: list[bytes], pattern: str):
+    def __init__(self, tokens: list[bytes], pattern: str, max_cache: int = MAX_CACHE, max_states: int = MAX_STATES):
         import regex
 
-        self.machine = Transducer(tokens)
+        self.machine, self.max_cache = Transducer(tokens, max_states), max_cache
         self.pieces = regex.compile(pattern).findall
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.machine.encode(piece.encode("utf-8", "surrogatepass"))
         packed = array("I", ids).tobytes()
         if len(piece) < 64:
-            if len(self) >= MAX_CACHE:
+            if len(self) >= self.max_cache:
                 self.clear()
             self[piece] = packed
         return packed
@@ -298,7 +298,7 @@ def coder(shared: dict) -> tuple[Encoder, Decoder, list[str]]:
     task has determinised serves the next."""
     if "coder" not in shared:
         tokens = shared["tokens"]
-        shared["coder"] = Encoder(tokens, shared["pattern"]), Decoder(tokens), [str(i) for i in range(len(tokens))]
+        shared["coder"] = Encoder(tokens, shared["pattern"], *shared.get("limits", ())), Decoder(tokens), [str(i) for i in range(len(tokens))]
     return shared["coder"]
 
 
@@ -328,9 +328,10 @@ def digests(batches: Iterator[pa.RecordBatch], shared: dict, keep: bool) -> Iter
         yield pa.RecordBatch.from_arrays([x for _, x in rest + new], [k for k, _ in rest + new])
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, *, ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text; with ids=True the ids as well."""
-    shared = docs.sparkSession.sparkContext.broadcast({"tokens": load_ranks(ranks), "pattern": pattern})  # fixed size: the vocabulary
+def encode(docs: DataFrame, ranks: str, pattern: str, *, ids: bool = False, limits: tuple[int, int] = (MAX_CACHE, MAX_STATES)) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text; with ids=True the ids as well. limits: the pieces and the
+    states that a worker keeps, which trade its memory for time."""
+    shared = docs.sparkSession.sparkContext.broadcast({"tokens": load_ranks(ranks), "pattern": pattern, "limits": limits})  # fixed size: the vocabulary
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
     return docs.select("doc_id", "text").mapInArrow(lambda it: digests(it, shared.value, ids), schema)
