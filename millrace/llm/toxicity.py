@@ -80,7 +80,7 @@ class Chain:
         """A word's score towards toxic beyond the bias; None if it has no known feature."""
         got = self.known.get(word, self)
         if got is self:
-            if len(self.known) > 300_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             found = [self.weights[f] for f in features(word) if f in self.weights]
             got = self.known[word] = sum(found) if found else None
