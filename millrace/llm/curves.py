@@ -131,6 +131,10 @@ def _held(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.
 
 def search(vectors: DataFrame, asks: Column, p: Params = Params()) -> DataFrame:
     """query_id, rank, vec_id and score of the p.k nearest found of each row that satisfies the condition `asks`."""
+    return common.settled(lambda: _search(vectors, asks, p), "curves-result")
+
+
+def _search(vectors: DataFrame, asks: Column, p: Params) -> DataFrame:
     sound = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = sound.where("vec_id is not null and size(embedding) > 0").where(finite & F.exists("embedding", lambda x: x != 0))

@@ -94,5 +94,9 @@ def count(blocks: DataFrame, separator: int) -> DataFrame:
 
 def document_counts(docs: DataFrame, ranks: str, pattern: str, separator: int) -> DataFrame:
     """doc_id, file, ordinal, start and n_tokens of every document, by writing token files and scanning them."""
-    blocks, places = token_files(docs, ranks, pattern, separator)
-    return places.join(count(blocks, separator), ["file", "ordinal"], "left").select("doc_id", "file", "ordinal", "start", "n_tokens")
+
+    def work() -> DataFrame:
+        blocks, places = token_files(docs, ranks, pattern, separator)
+        return places.join(count(blocks, separator), ["file", "ordinal"], "left").select("doc_id", "file", "ordinal", "start", "n_tokens")
+
+    return common.settled(work, "token-counts")

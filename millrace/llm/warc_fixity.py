@@ -61,6 +61,10 @@ def tree(leaf: DataFrame) -> list[DataFrame]:
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     """page_id, file, kind (changed, missing from right, extra in right), and offset ranges in both replicas, of every
     record that differs. Trees are compared from the roots down; a level is only read below nodes that differ."""
+    return common.settled(lambda: _audit(left, right), "fixity-result")
+
+
+def _audit(left: DataFrame, right: DataFrame) -> DataFrame:
     a, b = (common.written(leaves(x), "fixity-leaves") for x in (left, right))
     ta, tb = tree(a), tree(b)
     open_nodes = None
