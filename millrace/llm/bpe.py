@@ -289,6 +289,8 @@ class Decoder:
         return rest
 
 
+#: rows whose ids are held at once before they are handed on
+ROWS = 256
 #: ids that the decoder is given at once; those of a chunk with a broken character are decoded one by one
 CHUNK = 64
 
@@ -305,7 +307,7 @@ def coder(shared: dict) -> tuple[Encoder, Decoder, list[str]]:
 def digests(batches: Iterator[pa.RecordBatch], shared: dict, keep: bool) -> Iterator[pa.RecordBatch]:
     """For each row of (…, text): the other columns, n_tokens, both digests, and the ids themselves if they are kept."""
     enc, dec, digits = coder(shared)
-    for batch in batches:
+    for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, max(whole.num_rows, 1), ROWS)):
         at = batch.schema.get_field_index("text")
         n, a, b, all_ids = [], [], [], []
         for text in batch.column(at):
