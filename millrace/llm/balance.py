@@ -147,6 +147,6 @@ def mixed(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     other = common.settled(copies, "balance-copies")
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), key.alias("row_key"))
-    out = packed.join(other, F.col("row_id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__k")), "left")
+    out = packed.join(other.hint("merge"), F.col("row_id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__k")), "left")
     times = F.coalesce("__copies", F.lit(1))
     return out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
