@@ -6,6 +6,11 @@ ranks cut them into cells of CELL vectors. A query is held against its own and b
 against CELL to 2 * CELL vectors on either side, and the best of all cells are merged. Scores are inner products in double
 precision of the original vectors.
 
+How wide the windows must be depends on the number of vectors and their spread. So the true neighbours of SAMPLE queries are
+found among all vectors (one pass), and windows are doubled until those lie within them by RECALL. Windows of more than HELD
+numbers are several cells to either side. Where the windows would hold more than twice the table, all cells of one ordering
+are searched, which is exact.
+
 Equal vectors are indexed once, with the ids that can matter (the k + 1 smallest), so that a common vector fills no cell.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite components take no
@@ -35,6 +40,11 @@ class Params:
     #: vectors in a cell
     cell: int = 2048
     seed: int = 11
+    #: queries whose true neighbours are looked up, and the share of those that windows must reach
+    sample: int = 200
+    recall: float = 0.95
+    #: numbers (vectors by their length) that a task holds of a wider window
+    held: int = 1 << 22
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -116,12 +126,15 @@ def _held(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.
                 continue
             if held is None:
                 held, names = np.concatenate(parts), np.concatenate(ids)
-            near = v[lo:hi] @ held.T
             take = min(k, len(names))
+            few = max(1, (1 << 22) // len(names))
             for i in range(hi - lo):
+                if i % few == 0:
+                    near = v[lo + i : min(lo + i + few, hi)] @ held.T
+                row = near[i % few]
                 # rounding of the block product must not decide a tie: take those within it of the last
-                last = np.partition(near[i], len(names) - take)[len(names) - take]
-                at = np.flatnonzero(near[i] >= last - 1e-9 * max(1.0, abs(last)))
+                last = np.partition(row, len(names) - take)[len(names) - take]
+                at = np.flatnonzero(row >= last - 1e-9 * max(1.0, abs(last)))
                 exact = (held[at] * v[lo + i]).sum(1)
                 order = np.lexsort((names[at], -exact))[:take]
                 who.append(rep[lo + i])
@@ -129,6 +142,52 @@ def _held(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(best, kind)], ["rep", "best"])
 
 
+def _nearest(batches: Iterator[pa.RecordBatch], asked: np.ndarray, ids: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of a task's vectors (rep, embedding) for each of a few queries, itself left out."""
+    score, near = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        v = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, asked.shape[1])
+        rep = batch.column("rep").to_numpy()
+        own = np.where(ids[:, None] == rep[None, :], -np.inf, asked @ v.T)
+        score, near = np.hstack((score, own)), np.hstack((near, np.broadcast_to(rep, own.shape)))
+        if score.shape[1] > k:
+            at = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            score, near = np.take_along_axis(score, at, 1), np.take_along_axis(near, at, 1)
+    cols = [pa.array(np.repeat(ids, score.shape[1])), pa.array(near.ravel()), pa.array(score.ravel())]
+    yield pa.RecordBatch.from_arrays(cols, ["rep", "near", "score"])
+
+
+def _window(placed: DataFrame, ranked: DataFrame, n: int, width: int, p: Params) -> tuple[int, int, bool]:
+    """Vectors in a cell, cells to either side of a query's, and whether all cells of one ordering are searched instead."""
+    if n <= p.cell:
+        return p.cell, 1, False
+    vectors = placed.where("curve = 0").select("rep", "asks", "embedding")
+    some = vectors.where("asks").orderBy(F.xxhash64(F.lit(p.seed), "rep"), "rep").limit(p.sample).collect()
+    if not some:
+        return p.cell, 1, False
+    ids, asked = np.array([r["rep"] for r in some], np.int64), np.array([r["embedding"] for r in some], np.float64)
+    shared = placed.sparkSession.sparkContext.broadcast((asked, ids))  # p.sample vectors at most
+    best = vectors.select("rep", "embedding").mapInArrow(lambda it: _nearest(it, *shared.value, p.k), "rep bigint, near bigint, score double")
+    best = best.where(F.col("score") > float("-inf")).withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("score"), "near"))).where(F.col("r") <= p.k)
+    pairs = np.array([(r["rep"], r["near"]) for r in best.select("rep", "near").collect()], np.int64)
+    met = placed.sparkSession.createDataFrame([(int(i),) for i in np.unique(pairs)], "rep bigint")  # (p.k + 1) * p.sample at most
+    places = ranked.join(F.broadcast(met), "rep").select("curve", "rep", "rank").toPandas()
+    order = places.pivot(index="rep", columns="curve", values="rank")
+    a, b = order.loc[pairs[:, 0]].to_numpy(np.int64), order.loc[pairs[:, 1]].to_numpy(np.int64)
+    most, window = max(p.cell, p.held // width), p.cell
+    while True:
+        cell = min(window, most)
+        reach = -(-window // cell)
+        if window > p.cell and p.curves * (2 * reach + 1) * cell > 2 * n:
+            cell = min(most, n)
+            return cell, -(-n // cell), True
+        if (np.abs(a // cell - b // cell) <= reach).any(axis=1).mean() >= p.recall:
+            return cell, reach, False
+        window *= 2
+
+
 def search(vectors: DataFrame, asks: Column, p: Params = Params()) -> DataFrame:
     """query_id, rank, vec_id and score of the p.k nearest found of each row that satisfies the condition `asks`."""
     return common.settled(lambda: _search(vectors, asks, p), "curves-result")
@@ -161,15 +220,18 @@ def _search(vectors: DataFrame, asks: Column, p: Params) -> DataFrame:
     runs = placed.groupBy("curve", part.alias("part")).agg(F.min("at").alias("start"), F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = common.written(runs.withColumn("offset", before).drop("n"), "curves-runs")
-    ranked = common.small_join(placed.withColumn("part", part), runs, ["curve", "part"])
-    cells = ranked.withColumn("cell", F.floor((F.col("offset") + F.col("at") - F.col("start")) / p.cell))
+    ranked = common.small_join(placed.withColumn("part", part), runs, ["curve", "part"]).withColumn("rank", F.col("offset") + F.col("at") - F.col("start"))
+    n = placed.where("curve = 0").count()
+    size, reach, whole = _window(placed, ranked, n, width, p)
+    cells = (ranked.where("curve = 0") if whole else ranked).withColumn("cell", F.floor(F.col("rank") / size))
 
     held = cells.select("curve", "cell", F.lit(0).alias("side"), "rep", "embedding")
-    ask = cells.where("asks").select("curve", F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1)).alias("cell"), F.lit(1).alias("side"), "rep", "embedding")
+    around = F.sequence(F.greatest(F.col("cell") - reach, F.lit(0)), F.least(F.col("cell") + reach, F.lit(max(n - 1, 0) // size)))
+    ask = cells.where("asks").select("curve", F.explode(around).alias("cell"), F.lit(1).alias("side"), "rep", "embedding")
     work = held.unionByName(ask).repartition("curve", "cell").sortWithinPartitions("curve", "cell", "side", "rep")
     hits = work.mapInArrow(lambda it: _held(it, width, p.k + 1), "rep bigint, best array<struct<score:double,rep:bigint>>")
 
-    # a query has 3 lists of k + 1 from each curve at most
+    # a query has a list of k + 1 from each of the cells it is held against
     merged = hits.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("best"))).alias("best"))
     ordered = F.sort_array(F.transform("best", lambda x: F.struct((-x["score"]).alias("s"), x["rep"].alias("near"))))
     merged = merged.select("rep", F.explode(F.slice(ordered, 1, p.k + 1)).alias("b")).select("rep", F.col("b.near").alias("near"), (-F.col("b.s")).alias("score"))

@@ -47,6 +47,14 @@ def test_recall_over_many_cells(spark):
     assert sum((q, v) in got for q, vs in want.items() for v, _ in vs) / (20 * len(want)) >= 0.9
 
 
+@pytest.mark.parametrize("more", [{}, {"held": 16 * 48}, {"curves": 64, "dims": 4}])
+def test_windows_follow_the_number_of_vectors(spark, more):
+    rows, df = vectors(spark, 6000)
+    want = nearest(rows, 20)
+    got = {(r.query_id, r.vec_id) for r in curves.search(df, F.col("vec_id") % 20 == 0, curves.Params(**{"cell": 16, "curves": 8, **more})).collect()}
+    assert sum((q, v) in got for q, vs in want.items() for v, _ in vs) / (20 * len(want)) >= 0.9
+
+
 @pytest.mark.parametrize(("dims", "bits"), [(2, 3), (3, 2), (4, 2)])
 def test_hilbert_curve_visits_neighbours(dims, bits):
     grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
