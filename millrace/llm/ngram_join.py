@@ -149,14 +149,14 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
         (hot, rank), cache, seen = bc.value, _Hashes(), set()
         for batch in batches:
             n, hi, lo, node, pre = [], [], [], [], []
-            for text in batch.column("text"):
+            for text, named in zip(batch.column("text"), batch.column("doc_id").is_valid().to_pylist(), strict=True):
                 s = shingles(text.as_py(), p.words, cache)
                 n.append(len(s))
                 d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 hi.append(int.from_bytes(d[:8], "little", signed=True))
                 lo.append(int.from_bytes(d[8:], "little", signed=True))
                 node.append((lo[-1] >> 24 << 24) | min(len(s), (1 << 24) - 1))
-                if len(s) and d not in seen:  # copies within a task give their columns once
+                if len(s) and named and d not in seen:  # copies within a task give their columns once; rows without an id none
                     seen.add(d)
                     pre.append(_ordered(s, hot, rank)[: p.prefix(len(s))])
                 else:

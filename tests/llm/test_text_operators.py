@@ -80,6 +80,14 @@ def test_join_of_repeated_and_missing_ids(spark):
     assert ngram_join.join(df.limit(0)).count() == 0
 
 
+def test_join_of_a_copy_after_a_row_without_id(spark):
+    w = words(random.Random(8), 60)
+    t, near = " ".join(w), " ".join([*w[:-1], "other"])
+    df = spark.createDataFrame([(None, t), (2, t), (1, near)], "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: (r.component_id, r.links) for r in ngram_join.join(df).collect()}
+    assert got == {None: (None, 1), 2: (1, 1), 1: (1, 1)}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(1, 300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.createDataFrame([(900, 800), (5, 5)], "a bigint, b bigint"))
     got = {r.node: r.component for r in components(edges).collect()}
