@@ -10,7 +10,9 @@ et al. 2006, Xiao et al. 2008). So only these columns are multiplied:
 4. in wider columns all sets are first held against one pivot, then against some of the largest component. Where sets still
    lie in several components, their prefixes are multiplied in blocks: one side holds a block, the other streams by, and rows of
    the product with pairs that reach their bound remain;
-5. every remaining candidate is verified on its whole texts, and links become components.
+5. every remaining candidate is verified on its whole texts, and links become components;
+6. steps 4 and 5 leave out pairs whose component is known. To count links, sets of wide columns are multiplied with all others
+   of their component in blocks, on whole texts; only the sums for each set come out.
 
 No pair is dropped for the size of its column, and no task holds a whole column.
 
@@ -42,6 +44,8 @@ MAX_FREQUENT = 200_000
 PIVOTS = 8
 #: sets in the block that a task of the exact product holds, and sets that stream by in one task
 HELD, STREAMED = 256, 1024
+#: the same for the product that counts links, and numbers of the dense part of a block
+COUNT_HELD, COUNT_STREAMED, DENSE = 1024, 8192, 1 << 24
 #: shingles that a task counts before it reports those met REPORT times or more
 CHUNK, REPORT = 1_500_000, 3
 
@@ -264,6 +268,120 @@ def _crossed(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Record
         yield found()
 
 
+def _tally(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+    """Rows (block, side, own, id, text) in order of block, side and id to (id, links): how many of the other side each set is
+    linked with. Where a set meets its own part (own), pairs are met from both sides, so only the held one counts. Texts of one
+    id count once. Shingles that many held sets have are multiplied as a dense matrix."""
+    cache, now, held, names, index, chunk, size = _Hashes(), None, [], [], None, [], 0
+    total: dict[int, int] = {}
+
+    def build() -> tuple:
+        sizes, owner = np.array([len(x) for x in held]), np.repeat(np.arange(len(held)), [len(x) for x in held])
+        flat = np.concatenate(held)
+        u, inv, c = np.unique(flat, return_inverse=True, return_counts=True)
+        often = np.flatnonzero(c >= max(2, len(held) // 16))
+        often = np.sort(often[np.argsort(-c[often], kind="stable")][: DENSE // len(held)])
+        col = np.full(len(u), -1)
+        col[often] = np.arange(len(often))
+        at = col[inv]
+        dense = np.zeros((len(held), len(often)), np.float32)
+        dense[owner[at >= 0], at[at >= 0]] = 1
+        rest, whose = flat[at < 0], owner[at < 0]
+        order = np.argsort(rest, kind="stable")
+        ids = np.array(names)
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        return sizes, u[often], dense, rest[order], whose[order], ids, first
+
+    def multiply() -> None:
+        nonlocal chunk, size, index
+        if not chunk:
+            return
+        if index is None:
+            index = build()
+        sizes, cols, dense, rest, whose, ids, first = index
+        n = np.array([len(s) for s, _, _ in chunk])
+        flat, row = np.concatenate([s for s, _, _ in chunk]), np.repeat(np.arange(len(chunk)), n)
+        m = np.zeros((len(chunk), len(cols)), np.float32)
+        if len(cols):
+            at = np.minimum(np.searchsorted(cols, flat), len(cols) - 1)
+            hit = cols[at] == flat
+            m[row[hit], at[hit]] = 1
+        overlap = (m @ dense.T).astype(np.int64)
+        left, right = np.searchsorted(rest, flat, "left"), np.searchsorted(rest, flat, "right")
+        some = np.flatnonzero(right > left)
+        count = (right - left)[some]
+        ends = np.cumsum(count)
+        lo = 0
+        while lo < len(some):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 21), "right")))
+            k = count[lo:hi]
+            start = np.repeat(left[some[lo:hi]] - np.concatenate(([0], np.cumsum(k)[:-1])), k)
+            cell = np.repeat(row[some[lo:hi]], k) * len(ids) + whose[start + np.arange(int(k.sum()))]
+            overlap += np.bincount(cell, minlength=overlap.size).reshape(overlap.shape)
+            lo = hi
+        near = (p.den * overlap >= p.num * (sizes[None, :] + n[:, None] - overlap)) & (overlap > 0)
+        asks = np.array([i for _, i, _ in chunk])
+        near &= asks[:, None] != ids[None, :]
+        if len(first) < len(ids):
+            near = np.logical_or.reduceat(near, first, axis=1)
+        start = np.flatnonzero(np.concatenate(([True], asks[1:] != asks[:-1])))
+        if len(start) < len(asks):
+            near = np.logical_or.reduceat(near, start, axis=0)
+        for i, x in zip(ids[first].tolist(), near.sum(0).tolist(), strict=True):
+            if x:
+                total[i] = total.get(i, 0) + x
+        for j, x in zip(start.tolist(), near.sum(1).tolist(), strict=True):
+            if x and not chunk[j][2]:
+                total[chunk[j][1]] = total.get(chunk[j][1], 0) + x
+        chunk, size = [], 0
+
+    def found() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["id", "links"])
+        total.clear()
+        return out
+
+    for batch in batches:
+        for block, side, own, i, text in zip(*(batch.column(c).to_pylist() for c in ("block", "side", "own", "id", "text")), strict=True):
+            if block != now:
+                multiply()
+                if total:
+                    yield found()
+                now, held, names, index = block, [], [], None
+            s = shingles(text, p.words, cache)
+            if side == 0:
+                held.append(s)
+                names.append(i)
+            elif held:
+                if chunk and chunk[-1][1] != i and (len(chunk) >= 256 or size >= 1 << 18):
+                    multiply()
+                chunk.append((s, i, own))
+                size += len(s)
+    multiply()
+    if total:
+        yield found()
+
+
+def _counted(edges: DataFrame, wide: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+    """rep and links: how many other sets each set is linked with. wide has the sets (rep) of wide columns: pairs of these may be
+    missing in edges, but only where edges join them to one component."""
+    label = components(edges)
+    member = label.join(wide, F.col("node") == F.col("rep")).select(F.col("node").alias("id"), "component")
+    member = member.join(member.groupBy("component").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "component")
+    member = member.withColumns({"blocks": F.ceil(F.col("m") / COUNT_HELD), "salts": F.ceil(F.col("m") / COUNT_STREAMED)}).withColumn("home", F.pmod(F.xxhash64("id"), "blocks"))
+    member = common.written(member, "join-counted")
+    cols = lambda side, own: (F.concat_ws(":", "component", "part", "salt").alias("block"), F.lit(side).alias("side"), own.alias("own"), "id")
+    held = member.withColumn("part", F.col("home")).withColumn("salt", F.explode(F.expr("sequence(0L, salts - 1)")))
+    stream = member.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), "salts")).withColumn("part", F.explode(F.expr("sequence(home, blocks - 1)")))
+    work = held.select(*cols(0, F.lit(True))).unionByName(stream.select(*cols(1, F.col("part") == F.col("home"))))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
+    work = work.join(texts, "id").repartition("block").sortWithinPartitions("block", "side", "id")
+    inner = work.select("block", "side", "own", "id", "text").mapInArrow(lambda it: _tally(it, p), "id bigint, links bigint").select(F.col("id").alias("rep"), "links")
+    ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    flag = lambda c: wide.select(F.col("rep").alias(c), F.lit(True).alias(f"wide_{c}"))
+    outer = ends.join(flag("a"), "a", "left").join(flag("b"), "b", "left").where("wide_a is null or wide_b is null").select(F.col("a").alias("rep"), F.lit(1).cast("bigint").alias("links"))
+    return inner.unionByName(outer).groupBy("rep").agg(F.sum("links").alias("links"))
+
+
 def _linked(work: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     """Edges (a, b) found by the exact product of work (block, side, id)."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
@@ -281,11 +399,11 @@ def _spread(pairs: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """doc_id, n_shingles, component_id and links (how many links of other sets were found for the row's set)."""
+    """doc_id, n_shingles, component_id and links (how many other sets the row's set is linked with)."""
     return common.settled(lambda: _join(docs, p), "join-result")
 
 
-def _join(docs: DataFrame, p: Params) -> DataFrame:
+def _join(docs: DataFrame, p: Params, count: bool = True) -> DataFrame:
     sig = common.written(signatures(docs, p), "join-signatures")
     named = sig.where("n > 0 and doc_id is not null")
     classes = common.written(
@@ -344,9 +462,11 @@ def _join(docs: DataFrame, p: Params) -> DataFrame:
         edges = common.written(edges.unionByName(_linked(crossed, docs, p)).distinct(), "join-edges")
 
     label = components(edges)
-    ends = edges.select(F.col("a").alias("rep"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("rep"), F.col("a").alias("to"))).distinct()
-    links = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    reps = classes.select("hi", "lo", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
+    reps = classes.select("hi", "lo", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    if count:
+        reps = reps.join(_counted(edges, common.written(wide.select("node").distinct().join(rep, "node").select("rep").distinct(), "join-wide"), docs, p), "rep", "left")
+    else:
+        reps = reps.withColumn("links", F.lit(None).cast("bigint"))
     reps = reps.select("hi", "lo", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     out = sig.select("doc_id", "n", "hi", "lo").join(reps, ["hi", "lo"], "left")
     empty = F.col("n") == 0
@@ -361,7 +481,7 @@ def _join(docs: DataFrame, p: Params) -> DataFrame:
 def deduplicate(docs: DataFrame, p: Params = Params(words=5, num=80, den=100)) -> DataFrame:
     """The rows of docs whose id names their component, unchanged. Of rows with the same id one stays, of rows without an id
     all do."""
-    verdict = join(docs, p).select("doc_id", "component_id").where("doc_id is not null")
+    verdict = common.settled(lambda: _join(docs, p, count=False).select("doc_id", "component_id"), "join-result").where("doc_id is not null")
     repeated = common.written(verdict.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"), F.min("component_id").alias("c")).where("__rows > 1 or c <> doc_id"), "join-repeated")
     gone = repeated.where("c <> doc_id").select(F.col("doc_id").alias("__id"))
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"))

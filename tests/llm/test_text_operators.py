@@ -70,6 +70,25 @@ def test_join_of_wide_columns(spark, monkeypatch):
     assert got == brute(rows, 3, 90, 100)
 
 
+def test_links_of_wide_columns_are_all_counted(spark, monkeypatch):
+    """Near copies of two texts that share most columns with each other, and rows that repeat an id."""
+    rng = random.Random(7)
+    base = words(rng, 80)
+    rows = []
+    for i in range(150):
+        w = [*base[:50], *base[i % 2 * 15 + 50 : i % 2 * 15 + 65]]
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = f"z{i}"
+        rows.append((i, " ".join(w)))
+    for name, value in (("BLOCK", 4), ("COUNT_HELD", 16), ("COUNT_STREAMED", 64), ("DENSE", 16 * 20)):
+        monkeypatch.setattr(ngram_join, name, value)
+    p = ngram_join.Params(3, 80, 100)
+    sets = {shingles(t, 3) for _, t in rows}
+    want = {i: sum(s != shingles(t, 3) and 100 * len(s & shingles(t, 3)) >= 80 * len(s | shingles(t, 3)) for s in sets) for i, t in rows}
+    got = {r.doc_id: r.links for r in ngram_join.join(spark.createDataFrame([*rows, *rows[:5]], "doc_id bigint, text string"), p).collect()}
+    assert got == want and max(want.values()) > 20
+
+
 def test_join_of_repeated_and_missing_ids(spark):
     t = " ".join(words(random.Random(5), 40))
     df = spark.createDataFrame([(1, t), (1, t), (2, t), (None, t), (3, None), (3, None)], "doc_id bigint, text string")
