@@ -6,7 +6,8 @@ sequences it has on the host's pages, its content importance is one less the mea
 page repeats comes to 0, what is new on each page to 1. A node's importance combines its own and its children's. Branches of
 low importance are removed; so are elements whose name or class says menu, header, footer, sidebar, notice, advert, form or
 comments, which also serve hosts with too few pages to compare. Where a page marks its article or main part, only that part is
-kept, and repetition alone removes nothing from it unless nearly all pages of a larger host have it.
+kept, and repetition alone removes nothing from it unless nearly all pages of a larger host have it; elements around it do not
+count against it. Equal pages of a host have the weight of one.
 
 Blocks are cut at block-level tags; character references are decoded, white space becomes one space, blocks are joined by an
 empty line.
@@ -184,23 +185,25 @@ class Parser:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, up, path, kind, value, n): how many pages have the value (a text, or a sequence of children) at the path."""
+    """Rows (host, up, path, kind, value, n): how many pages have the value (a text, or a sequence of children) at the path. Of
+    pages with c copies each counts 1 / c."""
     from xxhash import xxh64_intdigest
 
     parser = Parser()
     for batch in batches:
         count: Counter = Counter()
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+        for host, page, copies in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("copies").to_pylist(), strict=True):
             if not page:
                 continue
             blocks, nodes = parser.parse(page)
             seen = {(up, n.path, 0, xxh64_intdigest(" ".join(n.children)) >> 1) for up, n in nodes}
             for chain, text in blocks:
                 seen.add((chain[-2].path if len(chain) > 1 else 0, chain[-1].path, 1, xxh64_intdigest(text) >> 1))
-            count.update((host, *x) for x in seen)
+            for x in seen:
+                count[host, *x] += 1 / (copies or 1)
         cols = list(zip(*count, strict=True)) if count else [()] * 5
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(list(count.values()), pa.int64())], ["host", "up", "path", "kind", "value", "n"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(list(count.values()), pa.float64())], ["host", "up", "path", "kind", "value", "n"])
 
 
 def _importance(nodes: pd.DataFrame) -> pd.DataFrame:
@@ -238,9 +241,14 @@ def style_tree(pages: DataFrame) -> DataFrame:
     """host, path, importance and pages (of the host) of all nodes that more than a few of the host's pages have. pages has
     host and html."""
     known = pages.where("host is not null and html is not null")
-    counts = known.select("host", "html").mapInArrow(_counts, "host string, up bigint, path bigint, kind int, value bigint, n bigint")
-    counts = common.written(counts.groupBy("host", "up", "path", "kind", "value").agg(F.sum("n").alias("n")), "style-counts")
-    size = common.written(known.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= PAGES), "style-hosts")
+    known = known.withColumns({"h1": F.xxhash64("html"), "h2": F.xxhash64(F.lit(1), "html")})
+    same = ["host", "h1", "h2"]
+    each = common.written(known.groupBy(*same).agg(F.count(F.lit(1)).alias("copies")), "style-pages")
+    known = common.small_join(known.select(*same, "html"), common.written(each.where("copies > 1"), "style-copies"), same)
+    counts = known.select("host", "html", "copies").mapInArrow(_counts, "host string, up bigint, path bigint, kind int, value bigint, n double")
+    # rounded, as copies of a page add up to 1 but for the last digits
+    counts = common.written(counts.groupBy("host", "up", "path", "kind", "value").agg(F.round(F.sum("n"), 6).alias("n")), "style-counts")
+    size = common.written(each.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= PAGES), "style-hosts")
     total = F.sum("n")
     spread = F.sum(F.col("n") * F.log("n"))
     nodes = counts.groupBy("host", "path", "kind").agg(F.min("up").alias("up"), total.alias("t"), spread.alias("s"), F.count(F.lit(1)).alias("values"))
@@ -272,7 +280,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last = chain[-1]
                 if last.boiler or (marked and not last.article):
                     continue
-                if gone and any(n.path in gone and (not n.article or gone[n.path]) for n in chain):
+                if gone and any(gone.get(n.path, False) if n.article else n.path in gone and not last.article for n in chain):
                     continue
                 kept.append(text)
             out.append("\n\n".join(kept))

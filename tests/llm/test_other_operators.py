@@ -94,6 +94,20 @@ def test_style_tree_removes_what_pages_repeat(spark):
     assert {r.text for r in copies.values()} == {"Same text"}
 
 
+def test_copies_of_a_page_do_not_remove_articles(spark):
+    rng = random.Random(2)
+    body = lambda i: f"<html><body><div class=top><p>Our site</p></div><article><p>{i} {rng.random()}</p></article></body></html>"
+    one = body("same")
+    # pages without a mark would be judged as the tree says: copies weigh once, so those that differ keep their text
+    plain = lambda i: f"<html><body><div><p>words {i} {rng.random()}</p></div></body></html>"
+    first, others = plain("same"), [plain(i) for i in range(10)]
+    pages = [(i, "http://d.example/", one) for i in range(20)]
+    pages += [(100 + i, "http://e.example/", one if i < 30 else body(i)) for i in range(40)]
+    pages += [(200 + i, "http://f.example/", first if i < 30 else others[i - 30]) for i in range(40)]
+    got = texts(spark, pages)
+    assert all(r.text for r in got.values()) and not any("Our site" in r.text for r in got.values())
+
+
 def test_fixity(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").withColumns({"hash": F.lit(1), "node": F.lit(2), "file": F.lit(3)})
     more = pages.unionByName(spark.createDataFrame([(None, "u", "x", 1, 2, 3), (9000, None, None, 1, 2, 3)], pages.schema))
