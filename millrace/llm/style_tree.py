@@ -37,7 +37,7 @@ LOW, LOW_INSIDE = 0.4, 0.1
 PAGES, PAGES_INSIDE = 8, 40
 #: weight of a node's children against its own presentation, by number of its presentations
 GAMMA = 0.9
-#: paths on less than this share of a host's pages count as important; so a host has few nodes to judge
+#: paths on fewer than PAGES pages and on less than this share of a host's pages count as important
 RARE = 0.02
 
 # Fixed values of HTML.
@@ -185,8 +185,8 @@ class Parser:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, up, path, kind, value, n): how many pages have the value (a text, or a sequence of children) at the path. Of
-    pages with c copies each counts 1 / c."""
+    """Rows (host, up, path, kind, value, n): how many pages have the value (a sequence of children, kind 0, or a text, 1) at
+    the path, or the path itself (2). Of pages with c copies each counts 1 / c."""
     from xxhash import xxh64_intdigest
 
     parser = Parser()
@@ -197,6 +197,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             blocks, nodes = parser.parse(page)
             seen = {(up, n.path, 0, xxh64_intdigest(" ".join(n.children)) >> 1) for up, n in nodes}
+            seen.update((up, n.path, 2, 0) for up, n in nodes)
             for chain, text in blocks:
                 seen.add((chain[-2].path if len(chain) > 1 else 0, chain[-1].path, 1, xxh64_intdigest(text) >> 1))
             for x in seen:
@@ -238,7 +239,7 @@ def _importance(nodes: pd.DataFrame) -> pd.DataFrame:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, importance and pages (of the host) of all nodes that more than a few of the host's pages have. pages has
+    """host, path, importance and pages (that it was judged over) of all nodes that some of the host's pages have (PAGES, or a share RARE). pages has
     host and html."""
     known = pages.where("host is not null and html is not null")
     known = known.withColumns({"h1": F.xxhash64("html"), "h2": F.xxhash64(F.lit(1), "html")})
@@ -253,14 +254,21 @@ def style_tree(pages: DataFrame) -> DataFrame:
     spread = F.sum(F.col("n") * F.log("n"))
     nodes = counts.groupBy("host", "path", "kind").agg(F.min("up").alias("up"), total.alias("t"), spread.alias("s"), F.count(F.lit(1)).alias("values"))
     nodes = common.small_join(nodes, size, ["host"], "inner")
-    # presentation: entropy of the shares; content: one less the texts' mean entropy over the pages that have them
-    style = F.max(F.when(F.col("kind") == 0, (F.log("t") - F.col("s") / F.col("t")) / F.log("pages")))
-    content = F.max(F.when(F.col("kind") == 1, 1 - F.col("s") / F.col("t") / F.log("pages")))
+    # presentation: entropy of the shares; content: one less the texts' mean entropy; both over the pages that have the element
+    # around, where the node has pages enough to be judged for itself, and else over all pages of the host
+    of = lambda kind, value: F.max(F.when(F.col("kind") == kind, value))
     nodes = nodes.groupBy("host", "path", "pages").agg(
-        F.min("up").alias("up"), F.coalesce(style, F.lit(0.0)).alias("style"), F.coalesce(F.max(F.when(F.col("kind") == 0, F.col("values"))), F.lit(1)).alias("styles"),
-        F.coalesce(content, F.lit(float("nan"))).alias("content"), F.max("t").alias("t"),
+        F.min("up").alias("up"), of(0, F.log("t") - F.col("s") / F.col("t")).alias("style"), F.coalesce(of(0, F.col("values")), F.lit(1)).alias("styles"),
+        of(1, F.col("s") / F.col("t")).alias("content"), F.max("t").alias("t"), F.coalesce(of(2, F.col("t")), F.col("pages")).alias("have"),
+    )
+    nodes = common.written(nodes.where((F.col("have") >= PAGES) | (F.col("t") >= RARE * F.col("pages"))), "style-nodes")
+    around = nodes.where(F.col("have") >= PAGES).select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), F.col("have").alias("around"))
+    nodes = nodes.join(around, (F.col("host") == F.col("of_host")) & (F.col("up") == F.col("of_path")), "left")
+    nodes = nodes.withColumn("pages", F.when(F.col("have") >= PAGES, F.coalesce("around", "pages")).otherwise(F.col("pages")).cast("bigint"))
+    within = F.log("pages")
+    nodes = nodes.select(
+        "host", "path", "pages", "up", F.coalesce(F.least(F.col("style") / within, F.lit(1.0)), F.lit(0.0)).alias("style"), "styles", F.coalesce(1 - F.col("content") / within, F.lit(float("nan"))).alias("content")
     )
-    nodes = nodes.where(F.col("t") >= RARE * F.col("pages"))
     return nodes.groupBy("host").applyInPandas(_importance, "host string, path bigint, importance double, pages bigint")
 
 

@@ -108,6 +108,15 @@ def test_copies_of_a_page_do_not_remove_articles(spark):
     assert all(r.text for r in got.values()) and not any("Our site" in r.text for r in got.values())
 
 
+def test_a_section_of_a_large_host_is_judged(spark):
+    rng = random.Random(3)
+    prose = lambda: " ".join(rng.choice("abcdefghij") * 3 for _ in range(30))
+    page = lambda i: f"<body><div class=c1><p>{prose()}</p></div></body>"
+    part = lambda i: f"<body><div class=s1><div class=bar><p>Our section</p></div><div class=c2><p>{prose()}</p></div></div></body>"
+    got = texts(spark, [(i, f"https://g.example/{i}", page(i) if i >= 20 else part(i)) for i in range(1200)])
+    assert all(r.text and "section" not in r.text for r in got.values())
+
+
 def test_fixity(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").withColumns({"hash": F.lit(1), "node": F.lit(2), "file": F.lit(3)})
     more = pages.unionByName(spark.createDataFrame([(None, "u", "x", 1, 2, 3), (9000, None, None, 1, 2, 3)], pages.schema))
