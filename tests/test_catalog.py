@@ -50,3 +50,13 @@ def test_entry_without_the_training_operators():
     import __spark_entry__
 
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_full_reports_of_all_documents(spark, tmp_path):
+    """Long texts too, against every item."""
+    items = [(3 * i, f"item{i} " * 50) for i in range(50)]
+    docs = [(i, f"item{i % 50} " * (50 if i % 2 else 600)) for i in range(1, 101)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {int(r.identifier): r for r in catalog.QUERIES["qa_full_reports"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {i for i, _ in docs} and all(float(r.rougeLsum) > 0.99 for i, r in got.items() if i % 2)
