@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -20,9 +22,11 @@ _scopes: list[list[DataFrame]] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one of our own only where the cluster names none (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="millrace-"))
     return "file://" + _own_dir[0]
@@ -37,9 +41,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     out._written_path = path
     if _scopes:
         _scopes[-1].append(out)
+    del df
+    swept(spark)
     return out
 
 
+def swept(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver's heap fills.
+    The first collection frees what Python held, the second what that held in turn."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.1)
+    spark.sparkContext._jvm.System.gc()
+
+
 def settled(work: Callable[[], DataFrame], name: str) -> DataFrame:
     """The written result of some work; tables that the work wrote on its way are deleted."""
     _scopes.append([])
@@ -90,7 +105,7 @@ def small_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "le
     if n <= BROADCAST_ROWS:
         right = F.broadcast(right)
     else:
-        left = left.withColumn("__salt", (F.rand(7) * salts).cast("int"))
+        left = left.withColumn("__salt", F.pmod(F.xxhash64(*[c for c, k in big.dtypes if "map<" not in k]), F.lit(salts)).cast("int"))  # of the row: a task run again deals alike
         right = right.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         on.append(F.col("__salt") == F.col("__s"))
         drop += ["__salt", "__s"]
