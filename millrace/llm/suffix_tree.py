@@ -1,24 +1,27 @@
 """Operator 3: language-model scores from a probabilistic suffix tree (after Ron, Singer & Tishby 1996).
 
-A text is its words, A-Z lower-cased, and one end. A word is spelled: its UTF-8 bytes and a closing blank. The next byte depends
-on the bytes of the word read so far; the blank before the word counts as one. The tree holds two kinds of contexts. Whole words:
-a word met in training is a path of its own down to its end, whatever its length. And inner contexts, the last DEPTH bytes or
-fewer: of these those are kept that are frequent (`least` of all symbols) and whose next-byte distribution diverges from that of
-their longest proper suffix. Inner contexts are there to spell words that were not met, so they learn from each distinct word
-once. All distributions are smoothed by their suffix's (Witten-Bell), whole words by the spelling: with c the word's count, N
-tokens and V distinct ones in training, P(word) = (c + V * spelling) / (N + V), where every byte of the spelling is scored by the
-longest kept suffix of what was read. The end is a word that is never spelled. As contexts end at the word's start, a word's
-score is the same wherever it stands, and is computed once for the whole corpus.
-
-Plan: each task numbers the words of its rows and hands on the numbers of each row and the distinct words with their counts in
-training rows. Words are counted over the corpus, byte n-grams are counted over the counted words, and the kept contexts (at
-most (DEPTH + 1) / least of them) go to all executors. Word scores then travel back to the numbers of each chunk of rows, where
-rows are summed. Chunks are spread over the
-tasks of that last step, which hold a few of them as arrays.
+A text is a sequence of symbols: its words, A-Z lower-cased, and one end. The alphabet is the V symbols met in training and one
+more, "a word not met", so that the base (add-one over V + 1 symbols) and the tree are distributions over the same alphabet. A
+context is the last 1 to `depth` symbols, across everything between words; the start of the text counts as a symbol before it.
+
+The tree is grown level by level. A context of k symbols is looked at if training has it at least twice, which the level before
+has counted. Of its next symbols those met twice or more have a share of their own; the rest of its occurrences (s of n) is left
+to the suffix, as is `prior`: P(x | context) = (c(x) + (s + prior) * P(x | suffix)) / (n + prior), with c(x) = 0 below 2. The
+divergence test keeps the context if its distribution codes what followed it in training in `gain` digits less than that of its
+longest kept proper suffix. P(x) without a context is c / (N + T) and, for a word not met, T / (N + T), T being one more than the
+number of words met once. Every symbol is scored by the longest kept suffix of what stands before it.
+
+Plan. Tasks number the words of their rows and write chunks of about `chunk` symbols, packed. Words are counted over all chunks
+and get a number each that all chunks use. Then for each level, a chunk asks after its distinct (context, next) pairs, packed and grouped by the context's hash into parts; a part adds up the counts of all
+chunks, runs the test and replies to every chunk in the order of its questions. A pair is not asked after if its context was met
+once, or its next symbol once after the context's suffix: its own count is then known to be below 2. Contexts with HOT or more
+occurrences are split over parts by their next symbol, and tested in a step of their own. No table of contexts is ever held in
+one place but that of hot ones, whose number has a bound (N / hot, hot growing with N beyond 2^37 symbols).
 
 Defined results: a null or empty text has the end as its only token; rows are scored alone, so that repeated rows and repeated
-or null ids need no care (a null id is learned from); without training rows all bytes are equally likely; an empty table gives
-an empty result; other columns are ignored.
+or null ids need no care (a row whose held_out is null is learned from); without training rows the only symbol is "a word not
+met" and every score is 0; an empty table gives an empty result; other columns are ignored. Words and contexts are compared by
+64-bit hashes. Probabilities in the divergence test have 1/100 digit.
 """
 
 from __future__ import annotations
@@ -34,230 +37,398 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DEPTH = 7
-#: what closes a word, and stands before it. It is in no word.
-BLANK = 0x20
+#: bytes of a batch of rows between JVM and worker, and of a chunk in one row
+BATCH, PIECE = 4 << 20, 1 << 18
+#: fractions of a digit that a probability has in the divergence test
+SCALE = 100
 
 
 @dataclass(frozen=True)
 class Params:
-    #: share of all symbols that a context has at least, and its least count
-    least: float = 3e-5
-    least_count: int = 8
-    #: divergence (bits a symbol) from the suffix that a context must show to be kept
-    divergence: float = 0.002
-    #: tokens that a chunk of rows has, about
-    chunk: int = 2_000_000
+    depth: int = 3
+    #: occurrences that a context leaves to its suffix besides those of next symbols met once
+    prior: float = 1.0
+    #: digits that a context must save over its suffix on what followed it
+    gain: float = 0.5
+    #: symbols in a chunk, and in a part, about
+    chunk: int = 1_000_000
+    part: int = 2_000_000
+    #: occurrences from which a context is split over parts
+    hot: int = 1 << 20
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers, byte by byte (first all lowest bytes and so on), compressed."""
+    body = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays)
+    head = np.array([len(body), *(len(a) for a in arrays)], "<i8").tobytes()
+    return head + (pa.compress(body, codec="zstd", asbytes=True) if body else b"")
+
+
+def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    size, *sizes = np.frombuffer(data, "<i8", len(kinds) + 1).tolist()
+    body = pa.decompress(data[8 * len(kinds) + 8 :], size, codec="zstd", asbytes=True) if size else b""
+    out, at = [], 0
+    for n, kind in zip(sizes, kinds, strict=True):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(body, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    return out
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _order(key: np.ndarray) -> np.ndarray:
+    """Places of sorted keys. Places are sorted along with the upper bits of the keys, which is several times faster; where these
+    do not tell two keys apart, the keys are."""
+    bits = np.uint64(max(1, (len(key) - 1).bit_length()))
+    packed = key >> bits << bits | np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    ordered = key[order]
+    return order if (ordered[1:] >= ordered[:-1]).all() else np.argsort(key, kind="stable")
+
+
+def _edges(ordered: np.ndarray) -> np.ndarray:
+    """Whether each of some sorted numbers is the first of its kind."""
+    return np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]))
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, in order of keys, and for each place which of them it is."""
+    order = _order(key)
+    new = _edges(key[order])
+    inverse = np.empty(len(key), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse
+
+
+#: odd numbers that set two hashes apart before they are mixed
+_A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+#: the start's number among all symbols
+_START = 1 << 62
+_ASKS = ("<u8", "<i8", "<u4", "<u8", "<u8", "<i8", "<u2")
+_ROWS = "kind string, chunk bigint, level int, part bigint, payload binary, a bigint, b bigint, c bigint"
+_NAMES = ["kind", "chunk", "level", "part", "payload", "a", "b", "c"]
+
+
+def _row(kind: str, chunk: int | None, level: int, part: int | None, payload: bytes | None, a: int = 0, b: int = 0, c: int = 0) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((kind, chunk, level, part, payload, a, b, c), kinds, strict=True)], _NAMES)
 
 
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
+        n = self[word] = len(self) + 2  # 0 is the start, 1 the end
         return n
 
 
-_CHUNKS = "bucket bigint, doc_id {id}, held_out boolean, ids array<int>, local int, word binary, n bigint"
+def _pieces(chunk: int, symbols: int, payload: bytes, ids: list, held: list[bool], id_type: pa.DataType) -> pa.RecordBatch:
+    """A chunk's rows: large values in one row would be held by the JVM as large objects, which it seldom collects."""
+    parts = [payload[i : i + PIECE] for i in range(0, len(payload), PIECE)]
+    n = len(parts)
+    cols = [pa.array([chunk] * n, pa.int64()), pa.array([symbols] + [0] * (n - 1), pa.int64()), pa.array(range(n), pa.int64()), pa.array(parts, pa.binary())]
+    cols += [pa.array([ids] + [None] * (n - 1), pa.list_(id_type)), pa.array([held] + [None] * (n - 1), pa.list_(pa.bool_()))]
+    return pa.RecordBatch.from_arrays(cols, ["chunk", "symbols", "part", "payload", "doc_id", "held_out"])
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, held_out, text) to rows with word numbers, and rows with the words themselves, by chunk."""
+def _chunks(batches: Iterator[pa.RecordBatch], size: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, held_out, text) to chunks: symbols of all texts, their lengths, and hashes of the words."""
     from pyspark import TaskContext
+    from xxhash import xxh64_intdigest
 
-    bucket = TaskContext.get().partitionId() << 10
-    names = ["bucket", "doc_id", "held_out", "ids", "local", "word", "n"]
-    numbers, counts, met, id_type = _Numbers(), np.zeros(0, np.int64), 0, pa.int64()
+    chunk = TaskContext.get().partitionId() << 24
+    numbers, rows, met, ids, held = _Numbers(), [], 0, [], []
+    edges = [xxh64_intdigest(b"", 1), xxh64_intdigest(b"", 2)]
 
-    def words() -> pa.RecordBatch:
-        k = len(numbers)
-        cols = [pa.array(np.full(k, bucket)), pa.nulls(k, id_type), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.list_(pa.int32()))]
-        cols += [pa.array(np.arange(k, dtype=np.int32)), pa.array(list(numbers), pa.binary()), pa.array(counts[:k])]
-        return pa.RecordBatch.from_arrays(cols, names)
+    def out() -> pa.RecordBatch:
+        vocab = np.fromiter([*edges, *map(xxh64_intdigest, numbers)], "<u8", len(numbers) + 2)
+        payload = _pack(np.concatenate(rows).astype("<u4"), np.array([len(r) for r in rows], "<u4"), vocab)
+        return _pieces(chunk, met, payload, ids, held, id_type)
 
     for batch in batches:
-        id_type = batch.schema.field("doc_id").type
-        start = 0
-        rows: list[np.ndarray] = []
-        held = batch.column("held_out").to_pylist()
-
-        def docs(stop: int) -> pa.RecordBatch:
-            k = stop - start  # noqa: B023
-            cols = [pa.array(np.full(k, bucket)), batch.column("doc_id").slice(start, k), batch.column("held_out").slice(start, k), pa.array(rows, pa.list_(pa.int32()))]  # noqa: B023
-            return pa.RecordBatch.from_arrays([*cols, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], names)
-
-        for i, text in enumerate(batch.column("text")):
+        for i, h, text in zip(batch.column("doc_id"), batch.column("held_out").to_pylist(), batch.column("text"), strict=True):
             t = text.as_py()
             w = t.encode("utf-8", "surrogatepass").lower().split() if t else ()
-            ids = np.fromiter(map(numbers.__getitem__, w), np.int32, len(w))
-            if len(numbers) > len(counts):
-                counts = np.concatenate((counts, np.zeros(max(len(numbers), 1000), np.int64)))
-            if not held[i]:
-                np.add.at(counts, ids, 1)
-            rows.append(ids)
-            met += len(ids)
-            if met >= chunk:
-                yield docs(i + 1)
-                yield words()
-                bucket, numbers, counts, met, start, rows = bucket + 1, _Numbers(), np.zeros(0, np.int64), 0, i + 1, []
-        if rows:
-            yield docs(batch.num_rows)
-    if numbers:
-        yield words()
-
-
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with their counts to (key, depth, n), each word counted once if its count is not 0: key has the last DEPTH bytes read and, lowest, the next one; depth says how many."""
+            seq = np.empty(len(w) + 2, np.uint32)
+            seq[0], seq[-1] = 0, 1
+            seq[1:-1] = np.fromiter(map(numbers.__getitem__, w), np.uint32, len(w))
+            rows.append(seq)
+            ids.append(i.as_py())
+            held.append(h)
+            met += len(seq)
+            if met >= size:
+                yield out()
+                chunk, numbers, rows, met, ids, held = chunk + 1, _Numbers(), [], 0, [], []
+    if rows:
+        yield out()
+
+
+@dataclass
+class _Asked:
+    """The pairs of one level that a chunk asks after."""
+
+    at: np.ndarray  # places in the chunk whose context was met twice
+    inverse: np.ndarray  # the pair of each place
+    first: np.ndarray  # a place of each pair
+    sent: np.ndarray  # the pairs that are asked after, in order
+    runs: np.ndarray  # where in `sent` a context begins
+    run_of: np.ndarray  # the context of each pair
+    route: np.ndarray  # of each context: the number that says its part
+    hot: np.ndarray  # contexts that are split
+
+    def bounds(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Parts that are asked, and the first context of each."""
+        part = ((self.route >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+        return part[edge].astype(np.int64), edge
+
+
+def _counted_in(payload: bytes, replies: list[bytes]) -> bytes:
+    """A chunk with numbers and counts of its words over the corpus in place of hashes."""
+    seq, lens, vocab = _unpack(payload, "<u4", "<u4", "<u8")
+    got = [_unpack(r, "<i8", "<u8") for r in replies]
+    counts, numbers, order = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), np.uint64), _order(vocab[1:]) + 1
+    counts[order], numbers[order] = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+    counts[0], numbers[0] = counts[1], _START  # as many starts as ends
+    return _pack(seq, lens, counts, numbers)
+
+
+class Chunk:
+    """A chunk's symbols, and what is known so far: star (count of each place's symbol after its context of the level done last,
+    0 below 2) and q (its probability)."""
+
+    def __init__(self, payload: bytes, held: list[bool], totals: tuple[int, int, int]):
+        seq, lens, counts, numbers = _unpack(payload, "<u4", "<u4", "<i8", "<u8")
+        lens = lens.astype(np.int64)
+        self.start = np.cumsum(lens) - lens
+        self.off = np.arange(len(seq)) - np.repeat(self.start, lens)
+        self.train = np.repeat(~np.array(held, bool), lens) & (self.off > 0)
+        (n, _, once), self.level, self.ctx = totals, 0, None
+        p = np.where(counts > 0, counts, once + 1) / (n + once + 1)
+        self.x, self.count, self.q, self.star = numbers[seq], counts[seq], p[seq], counts[seq]
+
+    def ask(self, hot: int) -> _Asked:
+        """The next level's pairs."""
+        self.level += 1
+        k = self.level
+        self.n = np.concatenate(([0], self.star[:-1]))
+        before = np.concatenate((np.zeros(k, np.uint64), self.x[:-k]))[: len(self.x)]
+        self.ctx = _mixed(before * _A if k == 1 else self.ctx * _A + before)
+        at = np.flatnonzero((self.off >= k) & (self.n >= 2))
+        first, inverse = _distinct(_mixed(self.ctx[at] + self.x[at] * _B))
+        first = at[first]
+        x, n = self.x[first], self.n[first]
+        salt = np.where(n >= hot, _mixed(x * _A) % np.maximum(n // (hot // 2), 1).astype(np.uint64), np.uint64(0))
+        route = _mixed(self.ctx[first] + salt * _B)
+        order = _order(route)
+        new = _edges(route[order])
+        edge, run = np.flatnonzero(new), np.cumsum(new) - 1
+        wanted = self.star[first][order] >= 2
+        if len(edge):  # a context has one question at least
+            wanted[edge[~np.logical_or.reduceat(wanted, edge)]] = True
+        run_of = np.empty(len(order), np.int64)
+        run_of[order] = run
+        kept = np.flatnonzero(wanted)
+        runs = np.searchsorted(run[kept], np.arange(len(edge)))
+        return _Asked(at, inverse, first, order[kept], runs, run_of, route[order][edge], n[order][edge] >= hot)
+
+    def questions(self, asked: _Asked, parts: int) -> Iterator[tuple[int, bytes]]:
+        if not len(asked.sent):
+            return
+        weight = np.bincount(asked.inverse, self.train[asked.at], len(asked.first)).astype(np.int64)[asked.sent]
+        place = asked.first[asked.sent]
+        x, p = self.x[place], np.clip(np.rint(-SCALE * np.log10(self.q[place])), 0, 65535).astype("<u2")
+        n, ctx = self.n[place[asked.runs]], self.ctx[place[asked.runs]]
+        length = np.diff(np.append(asked.runs, len(asked.sent))).astype("<u4")
+        part, edge = asked.bounds(parts)
+        for j, lo, hi in zip(part.tolist(), edge, [*edge[1:], len(asked.route)], strict=True):
+            a, b = asked.runs[lo], asked.runs[hi] if hi < len(asked.runs) else len(asked.sent)
+            route = asked.route[lo:hi]
+            step = np.concatenate((route[:1], route[1:] - route[:-1]))
+            yield j, _pack(step, n[lo:hi], length[lo:hi], ctx[lo:hi][asked.hot[lo:hi]], x[a:b], weight[a:b], p[a:b])
+
+    def learn(self, asked: _Asked, replies: list[bytes], hot: dict[int, int], prior: float) -> None:
+        """Takes the replies to all questions, in order of parts."""
+        self.star = np.zeros(len(self.x), np.int64)
+        if not len(asked.at):
+            return
+        got = [_unpack(r, "<i8", "<i8") for r in replies]
+        star = np.zeros(len(asked.first), np.int64)
+        star[asked.sent] = np.concatenate([g[0] for g in got])
+        rest = np.concatenate([g[1] for g in got])
+        if asked.hot.any():
+            which = np.flatnonzero(asked.hot)
+            rest[which] = [hot[c] for c in self.ctx[asked.first[asked.sent[asked.runs[which]]]].view(np.int64).tolist()]
+        c, s = star[asked.inverse], rest[asked.run_of[asked.inverse]]
+        self.star[asked.at] = c
+        keep = s >= 0
+        at = asked.at[keep]
+        self.q[at] = (c[keep] + (s[keep] + prior) * self.q[at]) / (self.n[at] + prior)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict[int, list[bytes]]]]:
+    """Rows of whole chunks, in order of chunk: the chunk, and the replies to it by level in order of part."""
+
+    def out() -> tuple[dict, dict[int, list[bytes]]]:
+        pieces = sorted(own, key=lambda row: row["part"])
+        return pieces[0] | {"payload": b"".join(row["payload"] for row in pieces)}, {k: [x for _, x in sorted(v)] for k, v in replies.items()}
+
+    now, own, replies = None, [], {}
+    for batch in batches:
+        for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+            if row["chunk"] != now:
+                if own:
+                    yield out()
+                now, own, replies = row["chunk"], [], {}
+            if row["kind"] == "chunk":
+                own.append(row)
+            else:
+                replies.setdefault(row["level"], []).append((row["part"], row["payload"]))
+    if own:
+        yield out()
+
+
+def _words(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Questions of chunks after their words."""
+    for own, _ in _met(batches):
+        seq, lens, vocab = _unpack(own["payload"], "<u4", "<u4", "<u8")
+        learned = np.repeat(~np.array(own["held_out"], bool), lens)
+        order = _order(vocab[1:]) + 1
+        h, weight = vocab[order], np.bincount(seq[learned], minlength=len(vocab))[order].astype("<i8")
+        part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        edge = np.flatnonzero(_edges(part))
+        for lo, hi in zip(edge, [*edge[1:], len(h)], strict=True):
+            yield _row("ask", own["chunk"], 0, int(part[lo]), _pack(np.concatenate((h[lo : lo + 1], h[lo + 1 : hi] - h[lo : hi - 1])), weight[lo:hi]))
+
+
+def _rooted(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    for own, replies in _met(batches):
+        yield _pieces(own["chunk"], 0, _counted_in(own["payload"], replies[0]), own["doc_id"], own["held_out"], id_type)
+
+
+def _ask(batches: Iterator[pa.RecordBatch], level: int, parts: int, totals: tuple, hot: list[dict[int, int]], p: Params) -> Iterator[pa.RecordBatch]:
+    """Questions of chunks at a level, from the replies to all levels before."""
+    for own, replies in _met(batches):
+        chunk = Chunk(own["payload"], own["held_out"], totals)
+        for k in range(1, level):
+            chunk.learn(chunk.ask(p.hot), replies.get(k, []), hot[k], p.prior)
+        for part, payload in chunk.questions(chunk.ask(p.hot), parts):
+            yield _row("ask", own["chunk"], level, part, payload)
+
+
+def _gain(c: np.ndarray, digits: np.ndarray, s: np.ndarray, n: np.ndarray, prior: float) -> np.ndarray:
+    """Digits that next symbols met c times save, given their probability after the suffix, and s of n occurrences that are left to it."""
+    low = 10.0 ** (-digits / SCALE)
+    return c * np.log10((c + (s + prior) * low) / ((n + prior) * low))
+
+
+def _count(batches: Iterator[pa.RecordBatch], level: int, parts: int, p: Params) -> Iterator[pa.RecordBatch]:
+    """Questions of whole parts, in order of part, to replies; and rows of split contexts, or of a part's words (level 0). Words get
+    numbers from frequent to rare."""
+
+    def words(part: int, asks: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        got = [_unpack(x, *("<u8", "<i8")) for _, x in asks]
+        h, weight = np.concatenate([np.cumsum(g[0]) for g in got]), np.concatenate([g[1] for g in got])
+        first, inverse = _distinct(h)
+        c = np.bincount(inverse, weight).astype(np.int64)
+        number = np.empty(len(c), np.uint64)
+        number[np.argsort(-c, kind="stable")] = np.arange(len(c), dtype=np.uint64) * np.uint64(parts) + np.uint64(part)
+        yield _row("words", None, 0, part, None, int(c.sum()), int((c > 0).sum()), int((c == 1).sum()))
+        at = 0
+        for (chunk, _), g in zip(asks, got, strict=True):
+            which = inverse[at : at + len(g[0])]
+            yield _row("reply", chunk, 0, part, _pack(c[which], number[which]))
+            at += len(g[0])
+
+    def contexts(part: int, asks: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        got = [_unpack(x, *_ASKS) for _, x in asks]
+        route = np.concatenate([np.cumsum(g[0]) for g in got])
+        n, length = np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])
+        x, weight, digits = (np.concatenate([g[j] for g in got]) for j in (4, 5, 6))
+        first_run, run = _distinct(route)
+        owner = np.repeat(run, length)
+        first, inverse = _distinct(_mixed(route[first_run][owner] + x * _B))
+        c = np.bincount(inverse, weight).astype(np.int64)
+        c[c < 2] = 0
+        of, all_n = owner[first], n[first_run]
+        s = all_n - np.bincount(of, c, len(all_n)).astype(np.int64)
+        some = c > 0
+        low = digits[first][some].astype(float)
+        split = all_n >= p.hot
+        saved = np.bincount(of[some], _gain(c[some], low, s[of[some]], all_n[of[some]], p.prior), len(all_n))
+        saved += s * np.log10((s + p.prior) / (all_n + p.prior))
+        rest = np.where(split, -2, np.where(saved >= p.gain, s, -1))
+        if split.any():
+            mine = np.concatenate([g[3] for g in got])
+            where = dict(zip(run[n >= p.hot].tolist(), mine.view(np.int64).tolist(), strict=True))
+            pairs = np.flatnonzero(some)
+            for j in np.flatnonzero(split):
+                own = pairs[of[pairs] == j]
+                yield _row("hot", None, level, part, _pack(c[own], digits[first][own]), where[int(j)], int(all_n[j]), int(c[own].sum()))
+        at = to = 0
+        for (chunk, _), g in zip(asks, got, strict=True):
+            yield _row("reply", chunk, level, part, _pack(c[inverse[at : at + len(g[4])]], rest[run[to : to + len(g[0])]]))
+            at, to = at + len(g[4]), to + len(g[0])
+
+    now, asks = None, []
+    work = contexts if level else words
     for batch in batches:
-        keep = batch.filter(pa.compute.greater(batch.column("n"), 0)) if batch.num_rows else batch
-        if not keep.num_rows:
-            continue
-        words = keep.column("word").to_pylist()
-        text = np.frombuffer(b" " + b"  ".join(words) + b" ", np.uint8)
-        size = np.array([len(w) + 2 for w in words])
-        start = np.repeat(np.cumsum(size) - size, size)
-        dist = np.arange(len(text)) - start
-        at = np.flatnonzero(dist > 0)
-        depth = np.minimum(dist[at], DEPTH)
-        key = text[at].astype(np.uint64)
-        for j in range(1, DEPTH + 1):
-            key |= np.where(j <= depth, text[np.maximum(at - j, 0)].astype(np.uint64), np.uint64(0)) << np.uint64(8 * j)
-        n = np.ones(len(at), np.int64)
-        order = np.argsort(key, kind="stable")
-        key, depth, n = key[order], depth[order], n[order]
-        # a key with as many blanks as bytes is one context: its depth follows from the key
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(depth[first].astype(np.int32)), pa.array(np.add.reduceat(n, first))], ["key", "depth", "n"])
-
-
-class Tree:
-    """Kept contexts, as the integer of their bytes with a leading 1, and for each its log10 probabilities of next bytes, the
-    log10 weight of its suffix for others, and that suffix."""
-
-    def __init__(self, nodes: dict[int, tuple[dict[int, float], float, int]]):
-        self.nodes = nodes
-
-    def next(self, context: int, byte: int) -> float:
-        total = 0.0
-        while context:
-            table, escape, up = self.nodes[context]
-            got = table.get(byte)
-            if got is not None:
-                return total + got
-            total, context = total + escape, up
-        return total - math.log10(256)
-
-    def word(self, word: bytes) -> float:
-        nodes, total, read, depth = self.nodes, 0.0, BLANK, 1
-        for byte in (*word, BLANK):
-            k = depth
-            while True:
-                context = 1 << 8 * k | read & ((1 << 8 * k) - 1)
-                if context in nodes or not k:
-                    break
-                k -= 1
-            got = nodes[context][0].get(byte)
-            total += self.next(context, byte) if got is None else got
-            read, depth = (read << 8 | byte) & ((1 << 8 * DEPTH) - 1), min(depth + 1, DEPTH)
-        return total
-
-
-def prune(table: dict[int, dict[int, int]], p: Params) -> Tree:
-    """The tree from counts of next bytes by context (as in Tree). Contexts are met from short to long."""
-    nodes: dict[int, tuple[dict[int, float], float, int]] = {}
-    kept: dict[int, dict[int, float]] = {}
-
-    def suffix(c: int) -> int:
-        k = (c.bit_length() - 1) // 8 - 1
-        while k >= 0:
-            s = 1 << 8 * k | c & ((1 << 8 * k) - 1)
-            if s in nodes:
-                return s
-            k -= 1
-        return 0
-
-    def probability(c: int, byte: int) -> float:
-        weight = 1.0
-        while c:
-            got = kept[c].get(byte)
-            if got is not None:
-                return weight * got
-            weight, c = weight * 10 ** nodes[c][1], nodes[c][2]
-        return weight / 256
-
-    for c in sorted(table, key=lambda c: (c.bit_length(), c)):
-        counts = table[c]
-        up = suffix(c)
-        n, kinds = sum(counts.values()), len(counts)
-        if up:
-            gap = sum(v / n * math.log2(v / n / probability(up, b)) for b, v in counts.items())
-            if gap < p.divergence:
-                continue
-        kept[c] = {b: (v + kinds * probability(up, b)) / (n + kinds) for b, v in counts.items()}
-        nodes[c] = ({b: math.log10(v) for b, v in kept[c].items()}, math.log10(kinds / (n + kinds)), up)
-    if 1 not in nodes:
-        nodes[1] = ({}, 0.0, 0)
-    return Tree(nodes)
-
-
-def learn(words: DataFrame, p: Params) -> Tree:
-    """The inner contexts from distinct words with their counts (word, n)."""
-    grams = words.select("word", "n").mapInArrow(_grams, "key bigint, depth int, n bigint").groupBy("key").agg(F.first("depth").alias("depth"), F.sum("n").alias("n"))
-    grams = common.written(grams, "tree-grams")
-    total = (grams.agg(F.sum("n").alias("n")).first()["n"] or 0)
-    levels = grams.select(F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("k"), "key", "n")
-    # the lowest k + 1 bytes: the last k bytes read and the next; arithmetic on longs is done in two's complement
-    mask = F.when(F.col("k") >= DEPTH, F.lit(-1).cast("bigint")).otherwise(F.expr("shiftleft(1L, 8 * (k + 1)) - 1"))
-    levels = levels.select("k", F.col("key").bitwiseAND(mask).alias("key"), "n").groupBy("k", "key").agg(F.sum("n").alias("n"))
-    context = levels.groupBy("k", F.shiftrightunsigned("key", 8).alias("context"))
-    often = context.agg(F.sum("n").alias("all")).where(F.col("all") >= max(p.least_count, p.least * total)).select("k", "context")
-    found = levels.withColumn("context", F.shiftrightunsigned("key", 8)).join(often, ["k", "context"]).toPandas()
-    table: dict[int, dict[int, int]] = {}
-    for k, c, key, n in zip(found["k"].tolist(), found["context"].tolist(), found["key"].tolist(), found["n"].tolist(), strict=True):
-        table.setdefault(1 << 8 * k | c, {})[key & 255] = n
-    return prune(table, p)
-
-
-def _summed(batches: Iterator[pa.RecordBatch], n: int, v: int, texts: int) -> Iterator[pa.RecordBatch]:
-    """Rows (place, c, lp, doc) of whole chunks in any order: scores of a chunk's words by number, and its rows. A chunk's number
-    is in the upper half of place, a word's in the lower. The chunks of a partition are held as arrays until all is there."""
-    end = math.log10(texts / (n + v)) if texts else -math.log10(256)
-    norm, found = math.log10(n + v + 1), {}
+        for row in batch.select(["part", "chunk", "payload"]).to_pylist():
+            if row["part"] != now:
+                if asks:
+                    yield from work(now, asks)
+                now, asks = row["part"], []
+            asks.append((row["chunk"], row["payload"]))
+    if asks:
+        yield from work(now, asks)
+
+
+def _saved(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, rest, payload) of split contexts to (a, saved)."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        place, is_doc = batch.column("place").to_numpy(), batch.column("doc").is_valid().to_numpy(zero_copy_only=False)
-        bucket = place >> 32
-        for b in np.unique(bucket):
-            chunk = found.setdefault(int(b), ([], [], [], []))
-            at = np.flatnonzero((bucket == b) & ~is_doc)
-            for to, x in zip(chunk, (place & 0xFFFFFFFF, batch.column("c").to_numpy(zero_copy_only=False), batch.column("lp").to_numpy(zero_copy_only=False)), strict=False):
-                to.append(x[at])
-            at = np.flatnonzero((bucket == b) & is_doc)
-            if len(at):
-                chunk[3].append(batch.column("doc").take(pa.array(at)))
-    for local, c, lp, docs in found.values():
-        local, c, lp = np.concatenate(local), np.concatenate(c).astype(np.int64), np.concatenate(lp).astype(float)
-        order = np.argsort(local)
-        known, base = (c > 0)[order], np.log10(c + 1.0)[order]
-        spelled = (np.log10(c + v * 10**lp) - math.log10(n + v) if n else lp)[order]
-        for part in docs:
-            out = []
-            for x in part.field("ids"):
-                ids = x.values.to_numpy()
-                k = len(ids) + 1
-                out.append((k, int(known[ids].sum()) + (texts > 0), float(base[ids].sum()) + math.log10(texts + 1) - k * norm, float(spelled[ids].sum()) + end))
-            a, b, base_sum, total = zip(*out, strict=True)
-            cols = [part.field("doc_id"), part.field("held_out"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([n] * len(out), pa.int64()), pa.array(base_sum), pa.array(total)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        out = []
+        for n, s, payload in zip(batch.column("b").to_pylist(), batch.column("rest").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            c, digits = _unpack(payload, "<i8", "<u2")
+            out.append(float(_gain(c, digits.astype(float), np.float64(s), np.float64(n), p.prior).sum()))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array(out, pa.float64())], ["a", "saved"])
+
+
+def _tested(counted: DataFrame, p: Params) -> dict[int, int]:
+    """Of split contexts: occurrences left to the suffix, -1 if not kept. There are N / p.hot at most."""
+    hot = counted.where("kind = 'hot'").select("a", "b", "c", "payload")
+    rest = hot.groupBy("a").agg((F.max("b") - F.sum("c")).alias("rest"))
+    saved = hot.join(rest, "a").select("a", "b", "rest", "payload").mapInArrow(lambda it: _saved(it, p), "a bigint, saved double")
+    # added up in whole millionths, so that the order does not matter
+    saved = saved.groupBy("a").agg(F.sum(F.round(F.col("saved") * 1e6).cast("decimal(38,0)")).cast("double").alias("saved"))
+    both = rest.join(saved, "a").join(hot.groupBy("a").agg(F.max("b").alias("n")), "a").collect()
+    return {r["a"]: r["rest"] if r["saved"] / 1e6 + r["rest"] * math.log10((r["rest"] + p.prior) / (r["n"] + p.prior)) >= p.gain else -1 for r in both}
+
+
+def _scored(batches: Iterator[pa.RecordBatch], totals: tuple[int, int, int], hot: list[dict[int, int]], p: Params, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    n, v, _ = totals
+    for own, replies in _met(batches):
+        chunk = Chunk(own["payload"], own["held_out"], totals)
+        for k in range(1, p.depth + 1):
+            chunk.learn(chunk.ask(p.hot), replies.get(k, []), hot[k], p.prior)
+        count, symbol = chunk.count, chunk.off > 0
+        of = lambda x: np.add.reduceat(np.where(symbol, x, 0), chunk.start)  # noqa: B023, E731
+        base = np.log10((count + 1) / (n + v + 1))
+        cols = [pa.array(own["doc_id"], id_type), pa.array(own["held_out"], pa.bool_()), *(pa.array(of(x), pa.int64()) for x in (1, (count > 0).astype(np.int64)))]
+        cols += [pa.array(np.full(len(chunk.start), n, np.int64)), pa.array(of(base)), pa.array(of(np.log10(chunk.q)))]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
 def score(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows are learned from where
     held_out is false."""
-    # Spark measures a batch of rows after every row, which for nested columns takes far longer than the row; the rows that
-    # travel here are small, so their number is bound enough
+    # rows are large here; the default of 64 MB a batch is held several times by JVM and worker
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     before = conf.get(name)
-    conf.set(name, str(2**31 - 1))
+    conf.set(name, str(BATCH))
     try:
         return common.settled(lambda: _score(docs, held_out, p), "tree-result")
     finally:
@@ -265,31 +436,43 @@ def score(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame:
 
 
 def _score(docs: DataFrame, held_out: Column, p: Params) -> DataFrame:
+    from dataclasses import replace
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    kind = dict(rows.dtypes)["doc_id"]
-    chunks = common.written(rows.mapInArrow(lambda it: _numbered(it, p.chunk), _CHUNKS.format(id=kind)), "tree-chunks")
-    local = chunks.where("word is not null").select("bucket", "local", "word", "n")
-    words = common.written(local.groupBy("word").agg(F.sum("n").alias("n")), "tree-words")
-    sums = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    texts = chunks.where("ids is not null and not held_out").count()
-    n, v = (sums["n"] or 0) + texts, sums["v"] + (texts > 0)
-    tree = learn(words, p)
-    shared = rows.sparkSession.sparkContext.broadcast(tree.nodes)  # (DEPTH + 1) / p.least contexts at most
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Tree(shared.value)
-        for batch in batches:
-            lp = [model.word(w) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(lp, pa.float64())], ["word", "c", "lp"])
-
-    spelled = words.mapInArrow(spell, "word binary, c bigint, lp double")
-    chunk = F.shiftleft(F.col("bucket"), 32)
-    doc = F.struct("doc_id", "held_out", "ids")
-    own = chunks.where("ids is not null").select(chunk.alias("place"), F.lit(None).cast("int").alias("c"), F.lit(None).cast("float").alias("lp"), doc.alias("doc"))
-    # counts above 2^31 and the eighth digit of a spelling's logarithm are given up to halve what travels
-    back = local.join(spelled, "word").select(
-        (chunk + F.col("local")).alias("place"), F.least("c", F.lit(2**31 - 1)).cast("int").alias("c"), F.col("lp").cast("float").alias("lp"), F.lit(None).cast(own.schema["doc"].dataType).alias("doc")
-    )
-    work = back.unionByName(own).repartition(F.shiftright("place", 32))
+    kind, id_type = dict(rows.dtypes)["doc_id"], to_arrow_type(rows.schema["doc_id"].dataType)
+    schema = f"chunk bigint, symbols bigint, part bigint, payload binary, doc_id array<{kind}>, held_out array<boolean>"
+    chunks = common.written(rows.mapInArrow(lambda it: _chunks(it, p.chunk, id_type), schema), "tree-chunks")
+    size = chunks.agg(F.sum("symbols").alias("n")).first()["n"] or 0
+    p = replace(p, hot=max(p.hot, size >> 17))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // p.part))
+    counted: list[DataFrame] = []
+
+    def whole(own: DataFrame) -> DataFrame:
+        """Chunks with all replies so far, each chunk in one task."""
+        out = own.select(F.lit("chunk").alias("kind"), "chunk", F.lit(0).alias("level"), "part", "payload", "doc_id", "held_out")
+        for df in counted:
+            out = out.unionByName(df.where("kind = 'reply'").select("kind", "chunk", "level", "part", "payload"), allowMissingColumns=True)
+        return out.repartition("chunk").sortWithinPartitions("chunk")
+
+    def replies(asks: DataFrame, level: int) -> DataFrame:
+        asks = asks.select("part", "chunk", "payload").repartition(parts, "part").sortWithinPartitions("part", "chunk")
+        return common.written(asks.mapInArrow(lambda it: _count(it, level, parts, p), _ROWS), "tree-replies")
+
+    counted.append(replies(whole(chunks).mapInArrow(lambda it: _words(it, parts), _ROWS), 0))
+    found = counted[0].where("kind = 'words'").agg(*[F.sum(c).alias(c) for c in "abc"]).first()
+    totals = tuple(found[c] or 0 for c in "abc")
+    rooted = common.written(whole(chunks).mapInArrow(lambda it: _rooted(it, id_type), schema), "tree-rooted")
+    common.forget(chunks, counted.pop())
+
+    hot: list[dict[int, int]] = [{} for _ in range(p.depth + 1)]
+    for level in range(1, p.depth + 1):
+        shared = spark.sparkContext.broadcast(hot)  # size / p.hot numbers a level, 2^17 at most
+        counted.append(replies(whole(rooted).mapInArrow(lambda it, k=level, s=shared: _ask(it, k, parts, totals, s.value, p), _ROWS), level))
+        if size >= p.hot:
+            hot[level] = _tested(counted[-1], p)
+    shared = spark.sparkContext.broadcast(hot)
     out = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return work.mapInArrow(lambda it: _summed(it, n, v, texts), out)
+    return whole(rooted).mapInArrow(lambda it: _scored(it, totals, shared.value, p, id_type), out)

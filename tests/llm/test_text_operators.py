@@ -212,25 +212,68 @@ def test_mix(spark):
     assert balance.mix(df.limit(0)).count() == 0
 
 
-def test_suffix_tree(spark):
-    df = documents(spark, 200, extra=True)
-    got = {r.doc_id: r for r in suffix_tree.score(df, common.id_remainder("doc_id", 7) == 2).collect()}
+def brute_tree(tokens, held, p):
+    """The suffix tree's scores from dictionaries of contexts."""
+    train = [t for i, t in tokens.items() if not held[i]]
+    c = collections.Counter(w for t in train for w in t)
+    n, v, spare = sum(c.values()), len(c), sum(x == 1 for x in c.values()) + 1
+    kept = {}
+
+    def probability(context, x, longest):
+        out = c[x] / (n + spare) if c[x] else spare / (n + spare)
+        for k in range(1, longest + 1):
+            s = context[len(context) - k :]
+            if len(s) == k and s in kept:
+                share, rest, total = kept[s]
+                out = (share.get(x, 0) + (rest + p.prior) * out) / (total + p.prior)
+        return out
+
+    for k in range(1, p.depth + 1):
+        after = collections.defaultdict(collections.Counter)
+        for t in train:
+            seq = ("start", *t)
+            for i in range(k, len(seq)):
+                after[seq[i - k : i]][seq[i]] += 1
+        new = {}
+        for s, found in after.items():
+            total, share = sum(found.values()), {x: y for x, y in found.items() if y > 1}
+            rest = total - sum(share.values())
+            saved = rest * math.log10((rest + p.prior) / (total + p.prior))
+            for x, y in share.items():
+                low = 10 ** (-round(-suffix_tree.SCALE * math.log10(probability(s[1:], x, k - 1))) / suffix_tree.SCALE)
+                saved += y * math.log10((y + (rest + p.prior) * low) / (total + p.prior) / low)
+            if total > 1 and saved >= p.gain:
+                new[s] = share, rest, total
+        kept.update(new)
+    score = {}
+    for i, t in tokens.items():
+        seq = ("start", *t)
+        score[i] = sum(math.log10(probability(seq[max(0, j - p.depth) : j], seq[j], p.depth)) for j in range(1, len(seq)))
+    return c, n, v, score, kept
+
+
+@pytest.mark.parametrize("small", [{}, {"chunk": 300, "part": 400, "hot": 8}])
+def test_suffix_tree(spark, small):
+    p = suffix_tree.Params(**small)
+    more = spark.createDataFrame([(20_000 + i, " ".join(f"the w{j % 40}" for j in range(i, i + 30))) for i in range(30)], "doc_id bigint, text string")
+    df = documents(spark, 200, extra=True).unionByName(more, allowMissingColumns=True)
+    got = {r.doc_id: r for r in suffix_tree.score(df, common.id_remainder("doc_id", 7) == 2, p).collect()}
     tokens = {r.doc_id: [*lowered(r.text), None] for r in df.collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    c = collections.Counter(w for i, t in tokens.items() if not held[i] for w in t)
-    n, v = sum(c.values()), len(c)
+    c, n, v, score, kept = brute_tree(tokens, held, p)
+    assert {len(s) for s in kept} == {1, 2, 3}
     for i, t in tokens.items():
         g = got[i]
         assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
-        assert g.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) and g.score < 0
-    assert got[9001].score == got[9002].score and suffix_tree.score(df.limit(0), F.lit(False)).count() == 0
+        assert g.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) and g.score == pytest.approx(score[i])
+    assert got[9001].score == got[9002].score and all(g.score > g.base_score for i, g in got.items() if i >= 20_000)
 
 
-def test_spelling_sums_to_one():
-    tree = suffix_tree.prune({1: {97: 3, 98: 2, 32: 5}, 1 << 8 | 32: {97: 3, 98: 2}, 1 << 8 | 97: {32: 3}, 1 << 16 | 32 << 8 | 97: {32: 3}}, suffix_tree.Params(divergence=0.0))
-    for context in tree.nodes:
-        assert sum(10 ** tree.next(context, b) for b in range(256)) == pytest.approx(1.0)
-    assert tree.word(b"a") > tree.word(b"zz")
+def test_suffix_tree_without_training_rows(spark):
+    df = documents(spark, 6)
+    got = suffix_tree.score(df.unionByName(df.select(F.lit(None).cast("bigint").alias("doc_id"), *df.columns[1:])), F.lit(True)).collect()
+    assert len(got) == 32 and all(r.score == r.base_score == 0 and r.train_tokens == 0 for r in got)
+    assert suffix_tree.score(df.limit(0), F.lit(False)).count() == 0
 
 
 def test_toxicity(spark):
