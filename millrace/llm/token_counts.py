@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import coder, load_ranks
+from .bpe import ROWS, coder, load_ranks
 
 BLOCK = 1 << 18
 
@@ -41,7 +41,7 @@ def _files(batches: Iterator[pa.RecordBatch], shared: dict, separator: int) -> I
         block += n
         return pa.RecordBatch.from_arrays([*cols, pa.array([*[None] * n, *range(first, first + m)], pa.int64()), names], ["file", "block", "payload", "ordinal", "doc_id"])
 
-    for batch in batches:
+    for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
         parts = [rest]
         for text in batch.column("text"):
             parts += (np.frombuffer(enc.encode(text.as_py() or ""), np.uint32).astype("<u2").tobytes(), close)
