@@ -264,27 +264,6 @@ def parsed_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("k", "case_name", F.size("d").alias("docs"), *[count(t) for t in (1, 2, 3, 4)], F.aggregate("d", F.lit(0), lambda a, x: a + x["tokens"]).alias("tokens"))
 
 
-@query()
-def prepared_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All three strategies over all orders' prompts; report columns."""
-    rec = made_prompts(spark, sf_dir).select(F.col("k").alias("id"), F.col("k").alias("case_id"), "prompt", F.lit("A summary.").alias("response"))
-    out = None
-    for name in prompts.STRATEGIES:
-        one = prompts.prepare(rec, name, 900).select("id", "strategy", "total_docs", "used_chunk_count", "excluded_docs", "prompt_tokens_est")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query()
-def source_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that reviewers see, from prompts with numbered chunks."""
-    doc = F.concat(F.lit("\nChunk "), F.col("n").cast("string"), F.lit(":\n[DOCUMENT]\nTitle: "), "title", F.lit("\nType: "), "kind", F.lit("\nDate: 2010-01-02 10:00\n\n"), F.repeat(F.lit("some text "), F.col("tokens") * 10))
-    docs = lines(spark, sf_dir).select("k", F.struct("n", doc.alias("d")).alias("d")).groupBy("k").agg(F.array_sort(F.collect_list("d")).alias("d"))
-    p = docs.select("k", F.concat(F.lit("Task.\nCase: Order\n"), F.array_join(F.transform("d", lambda d: d["d"]), "")).alias("prompt"))
-    c = p.select("k", F.inline(parse.source_chunks("prompt")))
-    return c.select("k", "index", "title", "type", "date", "tier", F.length("text").alias("n_chars"))
-
-
 @query("""
 select conv_id, turn, 'Summary for ' || role || ' (turn, ' || cast(turn as varchar) || ')' || chr(10) || case when len(s) = 0 then '- No text available for summarization yet.'
   else array_to_string(list_transform(s[1:2], lambda x: '- ' || x), chr(10)) end as summary
@@ -305,18 +284,19 @@ select k, cast(sum(case when before + tokens <= 60 then 1 else 0 end) as int) as
   cast(sum(case when before + tokens <= 60 then tokens else 0 end) as int) as used
 from (select k, tokens, {_PREFIX} as before from (select *, {_TIER_SQL} as tier from {LINES_SQL} as l) as x) as y group by k""")
 def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("k").orderBy("tier", "n").rowsBetween(Window.unboundedPreceding, -1)
-    rows = lines(spark, sf_dir).withColumn("tier", classify.tier("title", "kind")).withColumn("before", F.coalesce(F.sum("tokens").over(w), F.lit(0)))
-    fits = F.col("before") + F.col("tokens") <= 60
-    cut = (F.col("before") <= 60) & ~fits & (60 - F.col("before") > 20)
-    return rows.groupBy("k").agg(F.count_if(fits).cast("int").alias("whole"), F.count_if(cut).cast("int").alias("cut"), F.coalesce(F.sum(F.when(fits, F.col("tokens"))), F.lit(0)).cast("int").alias("used"))
+    rows = lines(spark, sf_dir).withColumn("tier", classify.tier("title", "kind"))
+    docs = rows.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("tier", "n", "tokens"))).alias("d"))
+    shown = docs.select("k", prompts.prefix(F.col("d"), F.lit(60), 20, lambda d: d["tokens"]).alias("s"))
+    whole = F.filter("s", lambda x: x["chars"] == -1)
+    used = F.aggregate(whole, F.lit(0), lambda a, x: a + x["n"])
+    return shown.select("k", F.size(whole).alias("whole"), (F.size("s") - F.size(whole)).alias("cut"), used.cast("int").alias("used"))
 
 
 @query(f"""
 select k, n, cast(greatest(floor(50 * (cast(tokens as double) / sum(tokens) over (partition by k))), 5) as int) as share from {LINES_SQL} as l""")
 def budget_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.sum("tokens").over(Window.partitionBy("k"))
-    return lines(spark, sf_dir).select("k", "n", F.greatest(F.floor(50 * (F.col("tokens") / total)), F.lit(5)).cast("int").alias("share"))
+    return lines(spark, sf_dir).select("k", "n", prompts.shares(F.col("tokens"), total, F.lit(50), 5).alias("share"))
 
 
 @query(f"""
@@ -358,7 +338,7 @@ def paired_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with d as (select doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as p, doc_id % 40 as item_id from documents where doc_id % 2 = 0 or doc_id % 2 = 1),
+with d as (select doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as p, doc_id % 40 as item_id from documents),
 b as (select item_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as r from benchmark),
 j as (select d.doc_id, p, r from d join b on b.item_id = d.item_id),
 pc as (select doc_id, g, count(*) as c from (select doc_id, unnest(p) as g from j) as x group by doc_id, g), rc as (select doc_id, g, count(*) as c from (select doc_id, unnest(r) as g from j) as x group by doc_id, g),
@@ -388,15 +368,6 @@ def rouge_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(nxt, ["conv_id", "turn"]).withColumn("r", scores.rouge_scores("ref", "text")).select("conv_id", "turn", "r.*")
 
 
-@query()
-def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of each turn against all turns of the conversation as source chunks."""
-    c = table(spark, sf_dir, "conversations")
-    chunks = c.groupBy("conv_id", F.col("turn").alias("cid")).agg(F.min("text").alias("text"))
-    s = chunks.select("conv_id", "cid", F.posexplode(T.sentences("text")).alias("i", "text")).select("conv_id", (F.col("cid") * 100000 + F.col("i")).alias("sid"), "text")
-    return scores.attribute(s, chunks, "conv_id")
-
-
 @query("""
 select a.vec_id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""")
 def embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -415,9 +386,7 @@ def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select p_partkey, p_retailprice, 100.0 * row_number() over (order by p_retailprice, p_partkey) / count(*) over () as cdf from part")
 def empirical_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    w = Window.orderBy("p_retailprice", "p_partkey")
-    return p.select("p_partkey", "p_retailprice", (100.0 * F.row_number().over(w) / F.count(F.lit(1)).over(Window.partitionBy())).alias("cdf"))
+    return scores.distribution(table(spark, sf_dir, "part"), "p_retailprice", "p_partkey").select("p_partkey", "p_retailprice", "cdf")
 
 
 @query("""

@@ -55,13 +55,15 @@ class Warehouse:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{at}") if at else self.spark.createDataFrame([], schema)
 
     def replace(self, name: str, df: DataFrame) -> None:
-        """A new snapshot; readers of the old one keep it until the next but one."""
-        old, new = self._pointer(name), f"v-{uuid.uuid4().hex}"
+        """A new snapshot; readers of the old one keep it until the next but one is written."""
+        new = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{name}/{new}")
         n = int(datetime.datetime.now(datetime.timezone.utc).timestamp() * 1e6)
-        self.spark.createDataFrame([(n, new)], "n bigint, at string").coalesce(1).write.mode("append").json(f"{self.path}/{name}/_current")
-        if old:
-            self._delete(f"{self.path}/{name}/{old}")
+        pointers = f"{self.path}/{name}/_current"
+        self.spark.createDataFrame([(n, new)], "n bigint, at string").coalesce(1).write.mode("append").json(pointers)
+        known = self.spark.read.schema("n bigint, at string").json(pointers).orderBy(F.desc("n")).collect()  # one row a write
+        for row in known[2:]:
+            self._delete(f"{self.path}/{name}/{row['at']}")
 
 
 # Scans
@@ -106,6 +108,19 @@ def flatten(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return cases.drop("raw"), dockets.drop("raw"), documents
 
 
+def checked(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Raw cases that can be flattened, and (id, error) of those that cannot: a time that is none, of the case or of one of its
+    documents. One bad case does not fail the others."""
+    bad = lambda v, path: (_get(v, path) != "") & timestamp_or_null(_get(v, path)).isNull()
+    empty = F.array().cast("array<variant>")
+    docs = F.flatten(F.transform(F.coalesce(_get("raw", "dockets", "array<variant>"), empty), lambda d: F.coalesce(F.try_variant_get(d, "$.documents", "array<variant>"), empty)))
+    wrong = F.filter(docs, lambda x: F.coalesce(bad(x, "filed_date"), F.lit(False)))
+    case_error = F.when(bad("raw", "updated_at"), F.concat(F.lit("updated_at is no time: "), _get("raw", "updated_at")))
+    error = F.coalesce(case_error, F.when(F.size(wrong) > 0, F.concat(F.lit("filed_date is no time: "), _get(F.get(wrong, F.lit(0)), "filed_date"))))
+    rows = raw.withColumn("__error", error)
+    return rows.where("__error is null").drop("__error"), rows.where("__error is not null").select(_get("raw", "id").alias("id"), F.col("__error").alias("error"))
+
+
 def _inherited(name: str, parent: str) -> Column:
     """A key's own value, null included; the parent's only where the key is absent."""
     own = F.try_variant_get(F.col("raw"), f"$.{name}", "variant")
@@ -144,6 +159,16 @@ def updated_after(cases: DataFrame, since: Column | datetime.datetime | None, in
     return cases.where(t.isNull() | ((t >= s) if inclusive else (t > s)))
 
 
+def oldest(cases: DataFrame, limit: int) -> DataFrame:
+    """The first cases of a run with a limit: those without a time, then those not checked for longest."""
+    return cases.orderBy(F.asc_nulls_first("updated_at_remote"), "id").limit(limit)
+
+
+def document_json(documents: DataFrame, case_id: str, document_id: str) -> DataFrame:
+    """The one document of a case with an id, as JSON of all its columns, nulls included; no row if there is none."""
+    return get_document(documents, case_id, document_id).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 # State
 
 
@@ -183,21 +208,29 @@ def advanced(checkpoints: DataFrame, cases: DataFrame, key: str, source: str, ru
 
 def run(
     wh: Warehouse, cases: DataFrame, dockets: DataFrame, documents: DataFrame, *, source: str, since: datetime.datetime | None = None, case_limit: int | None = None, checkpoint_key: str | None = None,
-    resume: bool = False, inclusive: bool = False, archive: bool = True, summarise: Callable[[DataFrame], DataFrame] | None = None,
+    resume: bool = False, inclusive: bool = False, archive: bool = True, summarise: Callable[[DataFrame], DataFrame] | None = None, failed: DataFrame | None = None, continue_on_error: bool = True,
 ) -> dict:
     """One run: the cases since a time or the checkpoint, oldest first and up to a limit, with their dockets and documents, go
-    into the warehouse; the checkpoint follows once they are written. Gives the run's record."""
+    into the warehouse; the checkpoint follows once they are written. `failed` (id, error) are cases that could not be read
+    (`checked`): they count as errors and make the run partial, or, without continue_on_error, fail it before anything is
+    written. Gives the run's record."""
     spark, run_id, began = wh.spark, str(uuid.uuid4()), datetime.datetime.now(datetime.timezone.utc)
     effective, resumed = since, False
     if resume and checkpoint_key:
         at = wh.read("ingestion_checkpoints").where(F.col("key") == checkpoint_key).select("last_case_last_checked").first()
         if at and at[0] and (effective is None or at[0] > effective.replace(tzinfo=None)):
             effective, resumed = at[0], True
-    counts, status, error = {"cases": 0, "dockets": 0, "documents": 0}, "success", None
+    counts, status, error, errors = {"cases": 0, "dockets": 0, "documents": 0}, "success", None, 0
     try:
+        if failed is not None:
+            told = failed.agg(F.count(F.lit(1)).alias("n"), F.max_by("error", "id").alias("error")).first()
+            errors, error = told["n"], told["error"]
+            if errors and not continue_on_error:
+                raise ValueError(error)
+            status = "partial" if errors else status
         some = updated_after(cases, effective, inclusive)
         if case_limit is not None:
-            some = some.orderBy(F.asc_nulls_first("updated_at_remote"), "id").limit(case_limit)
+            some = oldest(some, case_limit)
         parts = {"cases": some, "dockets": dockets.join(some.select(F.col("id").alias("case_id")), "case_id", "left_semi"), "documents": documents.join(some.select(F.col("id").alias("case_id")), "case_id", "left_semi")}
         subject = F.get_json_object("metadata_json", "$.subject")
         plain = lambda d: d.withColumn("summary", heuristic_summary("title", "text", "document_type", "court", subject))
@@ -222,7 +255,7 @@ def run(
         record = {
             "id": run_id, "source": source, "status": status, "started_at": began, "finished_at": datetime.datetime.now(datetime.timezone.utc), "requested_since": since, "effective_since": effective,
             "case_limit": case_limit, "checkpoint_key": checkpoint_key, "resumed_from_checkpoint": resumed, "cases_ingested": counts["cases"], "dockets_ingested": counts["dockets"],
-            "documents_ingested": counts["documents"], "errors": int(status == "failed"), "error_message": error,
+            "documents_ingested": counts["documents"], "errors": errors + int(status == "failed" and not errors), "error_message": error,
         }
         schema = S.StructType.fromDDL(RUNS)
         wh.replace("ingestion_runs", wh.read("ingestion_runs").unionByName(spark.createDataFrame([tuple(record[f.name] for f in schema)], schema)))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.scalar import judge_reply
 from .parse import extract
 
 #: a batch of prompts to a batch of replies
@@ -43,6 +44,19 @@ def without_errors(df: DataFrame) -> DataFrame:
     return df.where(~F.coalesce(F.col("generated").startswith("ERROR:"), F.lit(False)))
 
 
+# Dimensions of a judge's scores.
+DIMENSIONS = ("factual_accuracy", "completeness", "conciseness_style", "legal_reasoning", "overall")
+
+
+def judged_by(df: DataFrame, reply: str) -> DataFrame:
+    """Writes a judge's replies back to their rows: judge_* and judge_rationale ('' if the reply has none). A reply that is no JSON
+    leaves nulls, and counts as a failure."""
+    got = judge_reply(reply)
+    field = lambda name, kind: F.try_variant_get(F.col("__reply"), f"$.{name}", kind)
+    out = df.withColumn("__reply", got).withColumns({f"judge_{d}": field(d, "double").cast("int") for d in DIMENSIONS})
+    return out.withColumn("judge_rationale", F.when(F.col("__reply").isNotNull(), F.coalesce(field("brief_rationale", "string"), F.lit("")))).drop("__reply")
+
+
 def extractor(model: Model | None = None) -> Callable[[Column], Column]:
     """For prompts.extract_first: a document's extract by a model, or by the heuristic."""
     if model is None:

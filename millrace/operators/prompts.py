@@ -25,9 +25,9 @@ EXTRACTS_TASK = (
 EXTRACTS_INTRO = "The following are extracted key facts from court documents in this case. Documents are ordered by importance (PRIMARY first).\n"
 
 
-def shares(tokens: Column, total: Column, budget: Column) -> Column:
-    """A document's proportional share of a budget that all do not fit in, 200 at least."""
-    return F.greatest(F.floor(budget * (tokens / total)).cast("int"), F.lit(200))
+def shares(tokens: Column, total: Column, budget: Column, least: int = 200) -> Column:
+    """A document's proportional share of a budget that all do not fit in, `least` at least."""
+    return F.greatest(F.floor(budget * (tokens / total)).cast("int"), F.lit(least))
 
 
 def first_fit(docs: Column, budget: Column, cut_only_below: bool) -> Column:
@@ -49,6 +49,16 @@ def first_fit(docs: Column, budget: Column, cut_only_below: bool) -> Column:
     return F.aggregate(docs, zero, step)
 
 
+def prefix(docs: Column, budget: Column, least: int, size: Callable[[Column], Column]) -> Column:
+    """What is shown of documents in order until the budget is used up: structs (d, n, chars), n being a document's size and chars
+    -1. The first that does not fit is cut to the rest (in characters) if that is over `least`; later, empty ones may follow."""
+    zero = F.struct(F.lit(0).alias("b"), F.array().cast("array<int>").alias("all"))
+    sums = lambda sizes: F.aggregate(sizes, zero, lambda a, x: F.struct((a["b"] + x).alias("b"), F.array_append(a["all"], a["b"]).alias("all")))["all"]
+    chars = lambda b, n: F.when(b + n <= budget, -1).when((b <= budget) & (budget - b > least), (budget - b) * 4)
+    placed = T.let(F.transform(docs, size), lambda sizes: F.zip_with(F.arrays_zip(docs.alias("d"), sizes.alias("n")), sums(sizes), lambda x, b: F.struct(x["d"].alias("d"), x["n"].alias("n"), chars(b, x["n"]).cast("int").alias("chars"))))
+    return F.filter(placed, lambda x: x["chars"].isNotNull())
+
+
 def proportional(docs: Column, budget: Column) -> Column:
     """first_fit's result for documents that share the budget."""
     cut = lambda d, total: F.when(F.length(d["body"]) > shares(d["tokens"], total, budget) * 4, shares(d["tokens"], total, budget) * 4).otherwise(-1)
@@ -85,6 +95,8 @@ def _dated(docs: Column) -> Column:
 
 
 def _with_docs(df: DataFrame) -> DataFrame:
+    if "__docs" in df.columns:
+        return df
     p = F.col("prompt")
     return df.withColumns({"__docs": documents(p), "__case": case_name(p), "__pre": preamble(p)})
 
@@ -94,7 +106,7 @@ def _tier_counts() -> Column:
     return F.struct(*[count(t) for t in (1, 2, 3, 4)])
 
 
-def priority_filter(df: DataFrame, max_tokens: int = 24_000) -> DataFrame:
+def priority_filter(df: DataFrame, max_tokens: int = 24_000, pack: bool = False) -> DataFrame:
     """Documents by tier, in their order within a tier, after the task. Adds the columns of the strategy's report."""
     df = _with_docs(df)
     room = F.lit(max_tokens) - (T.tokens_estimate("__pre") + 200)
@@ -110,10 +122,10 @@ def priority_filter(df: DataFrame, max_tokens: int = 24_000) -> DataFrame:
 
     head = F.array(F.lit(TASK), F.concat(F.lit("\nCase: "), F.col("__case"), F.lit("\n")))
     built = F.array_join(F.concat(head, F.transform("__taken", part)), "\n")
-    return _finished(df, built, "priority_filter", F.size("__docs") - F.size("__taken"), tier_counts=_tier_counts())
+    return _finished(df, built, "priority_filter", F.size("__docs") - F.size("__taken"), pack, tier_counts=_tier_counts())
 
 
-def structured(df: DataFrame, max_tokens: int = 24_000) -> DataFrame:
+def structured(df: DataFrame, max_tokens: int = 24_000, pack: bool = False) -> DataFrame:
     """Documents by tier and date, after a timeline of up to 15 dated documents, before the task."""
     df = _with_docs(df).withColumn("__ordered", _dated(F.col("__docs")))
     budget = F.lit(max_tokens - 500)
@@ -132,13 +144,13 @@ def structured(df: DataFrame, max_tokens: int = 24_000) -> DataFrame:
     line = F.when(F.size("__times") > 0, F.concat(F.array(F.lit("### Case Timeline")), F.slice("__times", 1, 15), F.array(F.lit("")))).otherwise(empty)
     head = F.array(F.concat(F.lit("## Case: "), F.col("__case"), F.lit("\n")))
     built = F.array_join(F.concat(head, line, F.array(F.lit("### Key Documents (ordered by importance)\n")), F.transform("__taken", part), F.array(F.lit(STRUCTURED_TASK))), "\n")
-    return _finished(df, built, "structured", F.size("excluded_doc_types"), timeline_entries=F.size("__times"))
+    return _finished(df, built, "structured", F.size("excluded_doc_types"), pack, timeline_entries=F.size("__times"))
 
 
-def extract_first(df: DataFrame, max_tokens: int = 24_000, extractor: Callable[[Column], Column] | None = None, cache: DataFrame | None = None) -> DataFrame:
+def extract_first(df: DataFrame, max_tokens: int = 24_000, extractor: Callable[[Column], Column] | None = None, cache: DataFrame | None = None, pack: bool = False) -> DataFrame:
     """Extracts of the documents of tiers 1 to 3 (without any, of the first three), by tier, until the budget is used up; the
     first that does not fit is cut if over 200 tokens are left. `extractor` makes a document's extract from its struct; `cache`
-    (key, extraction) has extracts made before."""
+    (key, extraction, and perhaps seq) has extracts made before, of which the last counts."""
     df = _with_docs(df)
     extractor = extractor or (lambda d: extract(d["body"]))
     some = F.filter("__docs", lambda d: d["tier"] <= 3)
@@ -146,8 +158,7 @@ def extract_first(df: DataFrame, max_tokens: int = 24_000, extractor: Callable[[
     if cache is not None:
         rows = df.withColumn("__row", F.monotonically_increasing_id())
         each = rows.select("__row", F.explode("__some").alias("d")).withColumn("key", key16("d.title", "d.body"))
-        latest = cache.groupBy("key").agg(F.first("extraction").alias("extraction"))
-        hits = each.join(latest, "key").groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct(F.col("d.pos"), "extraction"))).alias("__hits"))
+        hits = each.join(latest_extracts(cache), "key").groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct(F.col("d.pos"), "extraction"))).alias("__hits"))
         df = rows.join(hits, "__row", "left").drop("__row")
         found = lambda d: F.try_element_at("__hits", d["pos"])
         df = df.withColumn("cache_hits", F.coalesce(F.size("__hits"), F.lit(0)))
@@ -155,65 +166,90 @@ def extract_first(df: DataFrame, max_tokens: int = 24_000, extractor: Callable[[
         found, df = (lambda d: F.lit(None).cast("string")), df.withColumn("cache_hits", F.lit(0))
     made = F.transform(_by(F.col("__some"), lambda d: d["tier"]), lambda d: F.struct(d["title"].alias("title"), d["date"].alias("date"), d["tier"].alias("tier"), F.coalesce(found(d), extractor(d)).alias("x")))
     df = df.withColumn("__made", made)
-    budget = F.lit(max_tokens - 300)
-    before = lambda sizes, i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, b: a + b)
-    summed = T.let(
-        F.transform("__made", lambda e: T.tokens_estimate(e["x"])), lambda sizes: F.transform("__made", lambda e, i: F.struct(e.alias("e"), before(sizes, i).alias("b"), F.get(sizes, i).alias("n")))
-    )
-    shown = F.filter(summed, lambda s: (s["b"] + s["n"] <= budget) | ((s["b"] <= budget) & (budget - s["b"] > 200)))
+    shown = prefix(F.col("__made"), F.lit(max_tokens - 300), 200, lambda e: T.tokens_estimate(e["x"]))
 
     def part(s: Column) -> Column:
-        e = s["e"]
+        e = s["d"]
         date = F.when(e["date"] != "", F.concat(F.lit(" ("), date_prefix(e["date"]), F.lit(")"))).otherwise("")
-        body = F.when(s["b"] + s["n"] <= budget, e["x"]).otherwise(F.concat(T.head(e["x"], (budget - s["b"]) * 4), F.lit(MARK)))
+        body = F.when(s["chars"] == -1, e["x"]).otherwise(F.concat(T.head(e["x"], s["chars"]), F.lit(MARK)))
         return F.concat(F.lit("### ["), tier_label(e["tier"]), F.lit("] "), F.left(e["title"], F.lit(80)), date, F.lit("\n"), body, F.lit("\n"))
 
     df = df.withColumn("__shown", shown)
     head = F.array(F.concat(F.lit("## Case: "), F.col("__case"), F.lit("\n")), F.lit(EXTRACTS_INTRO))
     built = F.array_join(F.concat(head, F.transform("__shown", part), F.array(F.lit(EXTRACTS_TASK))), "\n")
     df = df.withColumn("__taken", F.col("__shown")).withColumn("excluded_doc_types", F.lit(None).cast("array<string>"))
-    return _finished(df, built, "extract_first", F.lit(None).cast("int"), relevant_docs=F.size("__some"), extracted_docs=F.size("__shown"), cache_hits=F.col("cache_hits"))
+    return _finished(df, built, "extract_first", F.lit(None).cast("int"), pack, relevant_docs=F.size("__some"), extracted_docs=F.size("__shown"), cache_hits=F.col("cache_hits"))
 
 
-def _finished(df: DataFrame, built: Column, strategy: str, excluded: Column, **more: Column) -> DataFrame:
-    """The prompt and the report of a strategy; a prompt without documents stays as it is, with an error."""
+def _finished(df: DataFrame, built: Column, strategy: str, excluded: Column, pack: bool, **more: Column) -> DataFrame:
+    """The prompt and the report of a strategy; a prompt without documents stays as it is, with an error. pack: as one struct, so
+    that other strategies can work on the same parsed row."""
     parsed = F.size("__docs") > 0
     out = df.withColumn("__built", F.when(parsed, built).otherwise(F.col("prompt")))
-    out = out.withColumns(
-        {
-            "strategy": F.lit(strategy), "error": F.when(~parsed, "no_docs_parsed"), "total_docs": F.when(parsed, F.size("__docs")),
-            "selected_docs": F.when(parsed, F.size("__taken")) if strategy != "extract_first" else F.lit(None).cast("int"), "excluded_docs": F.when(parsed, excluded),
-            "excluded_doc_types": F.when(parsed, F.col("excluded_doc_types")), "prompt_tokens_est": F.when(parsed, T.tokens_estimate("__built")),
-            **{k: F.when(parsed, v) for k, v in more.items()},
-        }
-    )
+    report = {
+        "strategy": F.lit(strategy), "error": F.when(~parsed, "no_docs_parsed"), "total_docs": F.when(parsed, F.size("__docs")),
+        "selected_docs": F.when(parsed, F.size("__taken")) if strategy != "extract_first" else F.lit(None).cast("int"), "excluded_docs": F.when(parsed, excluded),
+        "excluded_doc_types": F.when(parsed, F.col("excluded_doc_types")), "prompt_tokens_est": F.when(parsed, T.tokens_estimate("__built")),
+    }
+    more = {k: F.when(parsed, v) for k, v in more.items()}
+    if pack:
+        used = F.coalesce(more["extracted_docs"] if "extracted_docs" in more else report["selected_docs"], "used_chunk_count", F.lit(0))
+        out = out.withColumn(f"__r_{strategy}", F.struct(*[v.alias(k) for k, v in report.items()], used.alias("used_chunk_count"), F.col("__built").alias("prompt")))
+        return out.select(*df.columns[: df.columns.index("__pre") + 1], *[c for c in out.columns if c.startswith("__r_")])
+    out = out.withColumns(report | more)
     return out.withColumn("prompt", F.col("__built")).drop(*[c for c in out.columns if c.startswith("__")])
 
 
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {"priority_filter": priority_filter, "structured": structured, "extract_first": extract_first}
 
 
-def prepare(records: DataFrame, strategy: str, max_tokens: int = 24_000, **options) -> DataFrame:
-    """Training records (id, case_id, prompt, response, and perhaps split, completion and counts) with new prompts. Records with a
-    blank response are left out."""
+def _records(records: DataFrame) -> DataFrame:
     rows = records.where(T.strip("response") != "")
     for name, kind in (("split", "string"), ("completion", "string"), ("source_chunk_count", "int"), ("used_chunk_count", "int")):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
-    out = STRATEGIES[strategy](rows, max_tokens, **options)
+    return rows
+
+
+def prepare(records: DataFrame, strategy: str, max_tokens: int = 24_000, **options) -> DataFrame:
+    """Training records (id, case_id, prompt, response, and perhaps split, completion and counts) with new prompts. Records with a
+    blank response are left out."""
+    out = STRATEGIES[strategy](_records(records), max_tokens, **options)
     used = [F.col(c) for c in ("selected_docs", "extracted_docs", "used_chunk_count") if c in out.columns]
-    return out.withColumns(
-        {
-            "split": F.coalesce("split", F.lit("")), "completion": F.coalesce("completion", "response"), "source_chunk_count": F.coalesce("source_chunk_count", F.lit(0)),
-            "used_chunk_count": F.coalesce(*used, F.lit(0)),
-        }
-    )
+    return _filled(out.withColumn("used_chunk_count", F.coalesce(*used, F.lit(0))))
+
+
+def _filled(out: DataFrame) -> DataFrame:
+    return out.withColumns({"split": F.coalesce("split", F.lit("")), "completion": F.coalesce("completion", "response"), "source_chunk_count": F.coalesce("source_chunk_count", F.lit(0))})
+
+
+def prepare_all(records: DataFrame, max_tokens: int = 24_000) -> DataFrame:
+    """One row for each record and strategy, with the columns that all reports have. A prompt is parsed once."""
+    df = _with_docs(_records(records))
+    for name in STRATEGIES:
+        df = STRATEGIES[name](df, max_tokens, pack=True)
+    keep = [c for c in df.columns if not c.startswith("__") and c not in ("prompt", "used_chunk_count")]
+    return _filled(df.select(*keep, F.inline(F.array(*[f"__r_{name}" for name in STRATEGIES]))))
+
+
+def cached(cache: DataFrame, wanted: DataFrame, make: Column) -> DataFrame:
+    """A cache of extracts (key, extraction, and seq that orders a key's entries) with what is wanted (key) and missing put in:
+    one row a key, the last entry of each, and whether it was made now."""
+    have = latest_extracts(cache)
+    missing = wanted.select("key").distinct().join(have, "key", "left_anti")
+    return have.withColumn("fresh", F.lit(False)).unionByName(missing.select("key", make.alias("extraction"), F.lit(True).alias("fresh")))
+
+
+def latest_extracts(cache: DataFrame) -> DataFrame:
+    """The last extraction of each key, in order of seq if there is one, else of the text."""
+    order = F.col("seq") if "seq" in cache.columns else F.col("extraction")
+    return cache.groupBy("key").agg(F.max_by("extraction", order).alias("extraction"))
 
 
-def prepared_stats(rows: DataFrame, budget: int) -> DataFrame:
-    """One row: prompt tokens (least, most, mean, median), how many fit the budget, documents taken."""
+def prepared_stats(rows: DataFrame, budget: int, *by: str) -> DataFrame:
+    """One row (for each group): prompt tokens (least, most, mean, median), how many fit the budget, documents taken."""
     t = F.col("prompt_tokens_est")
-    return rows.agg(
+    return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.min(t).alias("min_tokens"), F.max(t).alias("max_tokens"), F.avg(t).alias("mean_tokens"), F.median(t).alias("median_tokens"),
         F.count_if(t <= budget).alias("fit"), (100.0 * F.count_if(t <= budget) / F.count(F.lit(1))).alias("fit_pct"), F.avg("used_chunk_count").alias("mean_used"), F.median("used_chunk_count").alias("median_used"),
     )

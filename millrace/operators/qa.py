@@ -239,6 +239,15 @@ def _threshold_flags(score: Column, crit: float, warn: float, code: str, name: s
     return F.when(score < crit, make("critical", what[0])).when(score < warn, make("warning", what[1])).otherwise(_none())
 
 
+def score_flags(rouge: Column, bertscore: Column, k: Knobs) -> Column:
+    """Flags of low overlap with, and low similarity to, the reference."""
+    low = (" — extremely low overlap with reference.", " — low overlap with reference.")
+    weak = (" — below random baseline.", " — weak semantic similarity.")
+    return F.concat(
+        _threshold_flags(rouge, k.rouge_crit, k.rouge_warn, "LOW_ROUGE", "ROUGE-Lsum", low), _threshold_flags(bertscore, k.bertscore_crit, k.bertscore_warn, "LOW_BERTSCORE", "BERTScore F1", weak)
+    )
+
+
 def judge_flags(overall: Column) -> Column:
     shown = F.concat(F.lit("judge_overall="), overall.cast("string"))
     message = F.concat(F.lit("LLM judge gave overall score "), overall.cast("string"), F.lit("/5."))
@@ -280,10 +289,7 @@ def report(df: DataFrame, prediction: str = "prediction", reference: str | None
         ratio = F.when(given, n / F.nullif(T.n_words(F.col(reference)), F.lit(0)))
         gate = lambda c: F.when(given, c).otherwise(_none())
         checks.append(gate(reference_flags(n, F.col(reference), k)))
-        low = (" — extremely low overlap with reference.", " — low overlap with reference.")
-        weak = (" — below random baseline.", " — weak semantic similarity.")
-        checks.append(gate(_threshold_flags(double("rougeLsum"), k.rouge_crit, k.rouge_warn, "LOW_ROUGE", "ROUGE-Lsum", low)))
-        checks.append(gate(_threshold_flags(double("bertscore_f1"), k.bertscore_crit, k.bertscore_warn, "LOW_BERTSCORE", "BERTScore F1", weak)))
+        checks.append(gate(score_flags(double("rougeLsum"), double("bertscore_f1"), k)))
     checks.append(judge_flags(double("judge_overall")))
     metrics = F.struct(ratio.alias("length_ratio"), *[double(c).alias(c) for c in ("rouge1", "rouge2", "rougeL", "rougeLsum", "bertscore_f1", *JUDGE_FIELDS)])
     out = df.withColumn("flags", F.concat(*checks)).withColumn("metrics", metrics).withColumn("status", status("flags"))

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from itertools import pairwise
+from math import isqrt
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import text as T
+from .parse import display_name
 
 #: numeric score columns that are summarised
 METRICS = (
@@ -26,12 +29,18 @@ def rouge_tokens(c: Column | str) -> Column:
     return F.filter(F.split(F.lower(T._col(c)), "[^a-z0-9]+"), lambda w: w != "")
 
 
+@F.pandas_udf(StructType([StructField(c, LongType()) for c in ("overlap", "n_pred", "n_ref")]))
+def _clipped(prediction: pd.Series, reference: pd.Series, n: pd.Series) -> pd.DataFrame:
+    rows = []
+    for p, r, k in zip(prediction, reference, n, strict=True):
+        a, b = (Counter(zip(*(t[i:] for i in range(k)), strict=False)) for t in ([] if p is None else list(p), [] if r is None else list(r)))
+        rows.append((sum((a & b).values()), sum(a.values()), sum(b.values())))
+    return pd.DataFrame(rows, columns=["overlap", "n_pred", "n_ref"])
+
+
 def rouge_n(df: DataFrame, key: str, prediction: str, reference: str, n: int) -> DataFrame:
-    """key, overlap, n_pred, n_ref and f of n-grams without stemming: clipped counts by two grouped sums."""
-    side = lambda c, s: df.select(key, F.explode(T.grams(rouge_tokens(c), n)).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias(s))
-    both = side(prediction, "p").join(side(reference, "r"), [key, "g"], "full_outer")
-    sums = both.groupBy(key).agg(F.sum(F.coalesce(F.least("p", "r"), F.lit(0)) * (F.col("p").isNotNull() & F.col("r").isNotNull()).cast("int")).alias("overlap"), F.coalesce(F.sum("p"), F.lit(0)).alias("n_pred"), F.coalesce(F.sum("r"), F.lit(0)).alias("n_ref"))
-    out = df.select(key).distinct().join(sums, key, "left").na.fill(0, ["overlap", "n_pred", "n_ref"])
+    """key, overlap, n_pred, n_ref and f of n-grams without stemming, counted within the row: nothing is shuffled."""
+    out = df.select(key, _clipped(rouge_tokens(prediction), rouge_tokens(reference), F.lit(n)).alias("o")).select(key, "o.*")
     return out.withColumn("f", F.when(F.col("overlap") > 0, 2.0 * F.col("overlap") / (F.col("n_pred") + F.col("n_ref"))).otherwise(0.0))
 
 
@@ -73,6 +82,7 @@ def _longest(w: str, suffixes) -> str | None:
     return max((s for s in suffixes if w.endswith(s)), key=len, default=None)
 
 
+@lru_cache(maxsize=100_000)
 def porter(w: str) -> str:
     """Stem of a lower-case word after Porter (1980)."""
     if len(w) <= 2:
@@ -114,23 +124,70 @@ def _f1(hits: int, n: int, m: int) -> float:
     return 2 * hits / (n + m) if hits else 0.0
 
 
-def _subsequence(a: list[str], b: list[str]) -> list[int]:
-    """Places in a of one longest common subsequence."""
-    rows = [[0] * (len(b) + 1)]
+def _rows(a: list[str], where: dict[str, int], full: int, row: int) -> Iterator[int]:
+    """The table of common subsequence lengths, row by row from `row` on, after Hyyro (2004): bit j of a row is 0 where the length
+    grows from column j to j + 1."""
     for x in a:
-        last, row = rows[-1], [0]
-        for j, y in enumerate(b):
-            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
-        rows.append(row)
-    out, i, j = [], len(a), len(b)
+        hit = row & where.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def _columns(b: list[str]) -> tuple[dict[str, int], int]:
+    where: dict[str, bytearray] = {}
+    for j, y in enumerate(b):
+        where.setdefault(y, bytearray(len(b) // 8 + 1))[j >> 3] |= 1 << (j & 7)
+    return {y: int.from_bytes(v, "little") for y, v in where.items()}, (1 << len(b)) - 1
+
+
+def _common(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence."""
+    if len(a) > len(b):
+        a, b = b, a
+    known = set(a)
+    places = [x for x in b if x in known]
+    where, full = _columns(places)
+    row = full
+    for row in _rows(a, where, full, full):  # noqa: B007
+        pass
+    return len(places) - row.bit_count()
+
+
+def _subsequence(a: list[str], b: list[str]) -> list[int]:
+    """Places in a of one longest common subsequence: going back from the end, of two equal ways the one that leaves a's word.
+    Only every k-th row of the table is held, and the rows in between of one stretch at a time."""
+    where, full = _columns(b)
+    step = isqrt(len(a)) + 1
+    marks, row = [full], full
+    for i, row in enumerate(_rows(a, where, full, full), 1):
+        if i % step == 0:
+            marks.append(row)
+    out, i, j, held, first = [], len(a), len(b), [], 0
+    grows = lambda r, k: not (held[r - first] >> k) & 1
+
+    def hold(r: int) -> None:
+        nonlocal held, first
+        first = (r - 1) // step * step
+        held = [marks[first // step], *_rows(a[first : first + step], where, full, marks[first // step])]
+
     while i and j:
+        if not held or i - 1 < first:
+            hold(i)
         if a[i - 1] == b[j - 1]:
             out.append(i - 1)
             i, j = i - 1, j - 1
-        elif rows[i][j - 1] > rows[i - 1][j]:
-            j -= 1
-        else:
-            i -= 1
+            continue
+        # lengths of this row and the one above up to column j; they part by one at most
+        low = (1 << j) - 1
+        here, above = j - (held[i - first] & low).bit_count(), j - (held[i - 1 - first] & low).bit_count()
+        while j and a[i - 1] != b[j - 1]:
+            left = here - grows(i, j - 1)
+            if left > above:
+                above -= grows(i - 1, j - 1)
+                here, j = left, j - 1
+            else:
+                i -= 1
+                break
     return out[::-1]
 
 
@@ -142,7 +199,7 @@ def rouge(reference: str, prediction: str) -> tuple[float, float, float, float]:
     for grams in (lambda t: Counter(t), lambda t: Counter(pairwise(t))):
         a, b = grams(r), grams(p)
         out.append(_f1(sum((a & b).values()), sum(a.values()), sum(b.values())))
-    out.append(_f1(len(_subsequence(r, p)), len(r), len(p)))
+    out.append(_f1(_common(r, p), len(r), len(p)))
     left, right = ([_tokens(x) for x in t.split("\n") if x] for t in (reference, prediction))
     have, want, hits = Counter(w for x in left for w in x), Counter(w for x in right for w in x), 0
     for line in left:
@@ -223,11 +280,19 @@ def smoothed(df: DataFrame, value: str, order: str, alpha: float, by: str | None
     return rows.withColumn("out", F.aggregate("xs", first, step)["out"]).select(*([by] if by else []), F.inline("out"))
 
 
-def distribution(df: DataFrame, value: str) -> DataFrame:
-    """Each value with its place in order, in percent: ties take different places."""
-    w = Window.orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return df.select(value, (100.0 * F.row_number().over(w) / n).alias("cdf"))
+def distribution(df: DataFrame, value: str, *ties: str) -> DataFrame:
+    """Rows with the place of their value in order, in percent: ties take different places, in order of the columns `ties`. Values
+    are counted first and rows ranked within their value, so that no task orders all rows."""
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
+    # running counts over ranges of values: within each, and of those before it (one number a range)
+    ranged = counts.repartitionByRange(F.col(value)).withColumn("__range", F.spark_partition_id())
+    inner = ranged.withColumn("__before", F.sum("__n").over(Window.partitionBy("__range").orderBy(F.asc_nulls_first(value)).rowsBetween(Window.unboundedPreceding, -1)))
+    totals = ranged.groupBy("__range").agg(F.sum("__n").alias("__t"))
+    totals = totals.select("__range", F.sum("__t").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__base"), F.sum("__t").over(Window.partitionBy()).alias("__all"))
+    start = inner.join(totals, "__range").select(F.col(value).alias("__v"), (F.coalesce("__before", F.lit(0)) + F.coalesce("__base", F.lit(0))).alias("__start"), "__all")
+    rank = F.row_number().over(Window.partitionBy(value).orderBy(*(ties or (F.lit(0),))))
+    placed = df.withColumn("__rank", rank).join(start, F.col(value).eqNullSafe(F.col("__v")))
+    return placed.withColumn("cdf", 100.0 * (F.col("__start") + F.col("__rank")) / F.col("__all")).drop("__rank", "__v", "__start", "__all")
 
 
 def histogram(df: DataFrame, value: str, edges: Sequence[float]) -> DataFrame:
@@ -281,6 +346,26 @@ def cited(citations: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
     return each.join(chunks, [key, "index"], "left")
 
 
+def with_sources(evals: DataFrame, sources: DataFrame) -> DataFrame:
+    """Evaluation records (index, prediction, ...) with case_id, case_name and chunks of the source of the same line; without one,
+    the record's own id and name if it has them, else its number and its prediction's first sentence, and no chunks."""
+    s = sources.select(F.col("line").alias("__line"), F.col("case_id").alias("__id"), F.col("case_name").alias("__name"), F.col("chunks").alias("__chunks"))
+    own = lambda c: F.col(c).cast("string") if c in evals.columns else F.lit(None).cast("string")
+    both = evals.join(s, F.col("index") == F.col("__line"), "left")
+    return both.withColumns(
+        {
+            "case_id": T.or_else("__id", F.coalesce(own("case_id"), F.col("index").cast("string"))), "case_name": display_name("__name", own("case_name"), F.coalesce("prediction", F.lit("")), F.col("index")),
+            "chunks": F.coalesce("__chunks", F.array().cast(dict(s.dtypes)["__chunks"])),
+        }
+    ).drop("__line", "__id", "__name", "__chunks")
+
+
+def rounded(df: DataFrame, digits: int = 4, *columns: str) -> DataFrame:
+    """Numbers as sinks have them: rounded half to even. All double columns unless some are named."""
+    names = columns or tuple(c for c, kind in df.dtypes if kind in ("double", "float"))
+    return df.withColumns({c: F.bround(F.col(c).cast("double"), digits) for c in names})
+
+
 def judged(df: DataFrame, overall: str = "overall", grounded: str = "grounded") -> DataFrame:
     """One row: mean judge score over scores above 0, and sentences that no source grounds (an array of booleans a record)."""
     open_sentences = F.size(F.filter(F.coalesce(F.col(grounded), F.array().cast("array<boolean>")), lambda g: ~g))

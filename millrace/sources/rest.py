@@ -1,7 +1,8 @@
 """A Python data source for a paginated REST API: `spark.read.format("caserest").option("url", ...)`.
 
-Pages link to the next one, so a root listing is one partition; children of cases are read one case a partition. Requests keep a
-least distance in time, and are tried again after transport errors and the statuses of RETRY.
+Pages link to the next one, so a root listing is one partition; children of cases are dealt over `lanes` partitions (1 unless
+given). Requests keep a least distance in time, which is `lanes` times as long in each, so that all together keep `gap` whatever
+their number; they are tried again after transport errors and the statuses of RETRY.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
+from email.utils import parsedate_to_datetime
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -20,9 +22,11 @@ RETRY = (408, 429, 500, 502, 503, 504)
 
 
 class CasePartition(InputPartition):
-    def __init__(self, case_id: str | None):
-        super().__init__(case_id)
-        self.case_id = case_id
+    """Some cases whose children are read one after another; None is the root listing."""
+
+    def __init__(self, cases: tuple[str | None, ...]):
+        super().__init__(cases)
+        self.cases = cases
 
 
 class RestReader(DataSourceReader):
@@ -33,15 +37,23 @@ class RestReader(DataSourceReader):
         self.gap, self.tries = float(options.get("gap", 1.5)), int(options.get("tries", 5))
         self.base, self.most = float(options.get("backoff", 1.0)), float(options.get("max_backoff", 60.0))
         self.limit = int(options.get("limit", 0))
+        self.lanes = max(1, min(int(options.get("lanes", 1)), len(self.cases) or 1))
+        self.gap *= self.lanes
         self._last = 0.0
 
     def partitions(self) -> list[InputPartition]:
-        return [CasePartition(c) for c in self.cases] or [CasePartition(None)]
+        return [CasePartition(tuple(self.cases[i :: self.lanes])) for i in range(self.lanes)] if self.cases else [CasePartition((None,))]
 
     def wait(self, attempt: int, retry_after: str | None) -> float:
-        """Seconds before another try: what the server asks for, else doubled each time with some chance, up to a most."""
+        """Seconds before another try: what the server asks for (a number, or a date), else doubled each time with some chance, up
+        to a most."""
         if retry_after and retry_after.strip().replace(".", "", 1).isdigit():
             return float(retry_after)
+        if retry_after:
+            try:
+                return max(0.0, parsedate_to_datetime(retry_after).timestamp() - time.time())
+            except ValueError:
+                pass
         return max(0.0, min(self.base * 2**attempt + random.uniform(0, self.base), self.most))
 
     def fetch(self, url: str) -> dict:
@@ -64,15 +76,19 @@ class RestReader(DataSourceReader):
         raise AssertionError
 
     def read(self, partition: CasePartition) -> Iterator[tuple]:
-        params = {"last_checked_date__gte": self.since} if self.since and partition.case_id is None else {}
-        if partition.case_id is not None:
-            params["case"] = partition.case_id
+        for case in partition.cases:
+            yield from self.pages(case)
+
+    def pages(self, case: str | None) -> Iterator[tuple]:
+        params = {"last_checked_date__gte": self.since} if self.since and case is None else {}
+        if case is not None:
+            params["case"] = case
         url: str | None = self.url + (f"?{urllib.parse.urlencode(params)}" if params else "")
         n = 0
         while url:
             page = self.fetch(url)
             for row in page["results"] if isinstance(page, dict) else page:
-                yield (partition.case_id, json.dumps(row))
+                yield (case, json.dumps(row))
                 n += 1
                 if self.limit and n >= self.limit:
                     return

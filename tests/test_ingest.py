@@ -146,6 +146,52 @@ def test_rest_source(spark):
     server.shutdown()
 
 
+def test_rest_lanes_share_the_gap():
+    from millrace.sources.rest import RestReader
+
+    r = RestReader({"url": "u", "cases": "a,b,c,d,e", "gap": "1.5", "lanes": "2"})
+    assert [p.cases for p in r.partitions()] == [("a", "c", "e"), ("b", "d")] and r.gap == 3.0
+    r = RestReader({"url": "u", "cases": "a,b"})
+    assert [p.cases for p in r.partitions()] == [("a", "b")] and r.gap == 1.5
+    assert r.wait(0, "2.5") == 2.5 and r.wait(0, "Wed, 21 Oct 2015 07:28:00 GMT") == 0.0 and 0 <= r.wait(0, "soon") <= 2
+
+
+def test_a_failing_case_leaves_the_others(spark, tmp_path):
+    js = [
+        '{"id": "a", "updated_at": "2024-01-01T00:00:00", "dockets": [{"id": "d", "documents": [{"id": "x", "filed_date": "2020-01-01"}]}]}',
+        '{"id": "b", "updated_at": "never"}', '{"id": "c", "dockets": [{"id": "e", "documents": [{"id": "y", "filed_date": "31/31"}, {"id": "z"}]}]}', '{"id": "d"}',
+    ]
+    raw = spark.createDataFrame([(j,) for j in js], "j string").select(F.parse_json("j").alias("raw"))
+    good, failed = ingest.checked(raw)
+    assert {r["id"]: r["error"] for r in failed.collect()} == {"b": "updated_at is no time: never", "c": "filed_date is no time: 31/31"}
+    wh = ingest.Warehouse(spark, str(tmp_path / "wh"))
+    record = ingest.run(wh, *ingest.flatten(good), source="test", failed=failed)
+    assert (record["status"], record["errors"], record["cases_ingested"]) == ("partial", 2, 2) and wh.read("cases").count() == 2
+    with pytest.raises(ValueError):
+        ingest.run(wh, *ingest.flatten(good), source="test", failed=failed, continue_on_error=False)
+    assert sorted(r["status"] for r in wh.read("ingestion_runs").collect()) == ["failed", "partial"]
+    assert json.loads(ingest.document_json(wh.read("documents"), "a", "x").first()["json"])["docket_id"] == "d"
+
+
+def test_readers_keep_the_snapshot_before(spark, tmp_path):
+    wh = ingest.Warehouse(spark, str(tmp_path / "wh"))
+    row = lambda i: spark.createDataFrame([(str(i), "t", None, None, None, None, None)], "key string, source string, last_case_id string, last_case_last_checked timestamp, last_run_id string, created_at timestamp, updated_at timestamp")
+    wh.replace("ingestion_checkpoints", row(1))
+    reader = wh.read("ingestion_checkpoints")
+    wh.replace("ingestion_checkpoints", row(2))
+    assert reader.first()["key"] == "1" and wh.read("ingestion_checkpoints").first()["key"] == "2"
+    wh.replace("ingestion_checkpoints", row(3))
+    assert len([d for d in (tmp_path / "wh/ingestion_checkpoints").iterdir() if d.name.startswith("v-")]) == 2
+
+
+def test_judge_replies_are_written_back(spark):
+    from millrace.operators.models import judged_by
+
+    df = spark.createDataFrame([(1, '```json\n{"overall": 4, "brief_rationale": "good"}\n```'), (2, "none"), (3, '{"overall": 2}')], "id int, reply string")
+    got = {r["id"]: (r["judge_overall"], r["judge_rationale"], r["judge_completeness"]) for r in judged_by(df, "reply").collect()}
+    assert got == {1: (4, "good", None), 2: (None, None, None), 3: (2, "", None)}
+
+
 def test_models(spark):
     df = spark.createDataFrame([("One. Two.",), ("x" * 200_000,)], "prompt string")
     assert [r["generated"] for r in generate(df).collect()] == ["One. Two.", None]

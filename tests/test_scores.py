@@ -16,6 +16,42 @@ def test_rouge():
     assert scores.rouge("", "a") == (0, 0, 0, 0)
 
 
+def test_subsequences_like_the_whole_table():
+    """Rows held as bits, a stretch at a time, give the places that the full table of lengths gives."""
+    import random
+
+    def whole(a, b):
+        rows = [[0] * (len(b) + 1)]
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(rows[-1][j] + 1 if x == y else max(rows[-1][j + 1], row[j]))
+            rows.append(row)
+        out, i, j = [], len(a), len(b)
+        while i and j:
+            if a[i - 1] == b[j - 1]:
+                out, i, j = [i - 1, *out], i - 1, j - 1
+            elif rows[i][j - 1] > rows[i - 1][j]:
+                j -= 1
+            else:
+                i -= 1
+        return out
+
+    rng = random.Random(1)
+    for _ in range(400):
+        a, b = ([rng.choice("abcdefgh"[: rng.choice([2, 3, 8])]) for _ in range(rng.randrange(40))] for _ in range(2))
+        assert scores._subsequence(a, b) == whole(a, b) and scores._common(a, b) == len(whole(a, b))
+    long = [str(rng.randrange(3000)) for _ in range(20_000)]
+    assert scores._common(long, long[:200]) == 200 and len(scores._subsequence(long, long[-300:])) == 300
+
+
+def test_sources_of_records(spark):
+    evals = spark.createDataFrame([(0, "c0", "A first sentence. More."), (1, None, "Abc"), (2, "c2", None)], "index int, case_id string, prediction string")
+    sources = spark.createDataFrame([(2, "s2", "Doe v. Roe", [(1, "x")])], "line bigint, case_id string, case_name string, chunks array<struct<index:int,text:string>>")
+    got = {r["index"]: (r["case_id"], r["case_name"], len(r["chunks"])) for r in scores.with_sources(evals, sources).collect()}
+    assert got == {0: ("c0", "A first sentence", 0), 1: ("1", "Case 1", 0), 2: ("s2", "Doe v. Roe", 1)}
+
+
 def test_rouge_n_is_the_unstemmed_count(spark):
     df = spark.createDataFrame([(1, "a b a c", "a a a d"), (2, "", "x"), (3, "q", "z")], "k int, p string, r string")
     got = {r["k"]: (r["overlap"], r["n_pred"], r["n_ref"]) for r in scores.rouge_n(df, "k", "p", "r", 1).collect()}
@@ -39,6 +75,9 @@ def test_series_and_samples(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0)], "step int, loss double")
     assert [round(r["ema"], 3) for r in scores.smoothed(df, "loss", "step", 0.1).orderBy("step").collect()] == [1.0, 1.1, 1.29]
     assert sorted(r["cdf"] for r in scores.distribution(spark.createDataFrame([(1,), (1,)], "x int"), "x").collect()) == [50.0, 100.0]
+    many = spark.range(997).select((F.col("id") * 7919 % 101).alias("x"), "id").repartition(5)
+    got = [r["id"] for r in scores.distribution(many, "x", "id").orderBy("cdf").collect()]
+    assert got == [r["id"] for r in many.orderBy("x", "id").collect()]
     assert [r["value"] for r in scores.percentiles(df, "loss", 3).collect()] == [1.0, 2.0, 3.0]
     a, b = (scores.sample(spark.range(1000), "id", 5, 1).collect() for _ in range(2))
     assert a == b and len(a) == 5
