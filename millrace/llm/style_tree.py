@@ -4,10 +4,14 @@ Pages of a host are parsed into elements, tolerant of unclosed and misnested tag
 path of element styles (tag, class, id; digits made equal). A node's presentation importance is the entropy of the child
 sequences it has on the host's pages, its content importance is one less the mean entropy of its texts over pages: what every
 page repeats comes to 0, what is new on each page to 1. A node's importance combines its own and its children's. Branches of
-low importance are removed; so are elements whose name or class says menu, header, footer, sidebar, notice, advert, form or
-comments, which also serve hosts with too few pages to compare. Where a page marks its article or main part, only that part is
-kept, and repetition alone removes nothing from it unless nearly all pages of a larger host have it; elements around it do not
-count against it. Equal pages of a host have the weight of one.
+low importance are removed. Nodes are judged from PAGES different pages on (equal pages of a host have the weight of one); what
+fewer have counts as new and is kept.
+
+Names are the second evidence: menus and adverts that differ on every page look like content to entropies. Elements whose tag,
+role or class says menu, header, footer, sidebar, notice, advert, form or comments have no importance, at every number of
+pages. Where a page marks its article or main part, what lies outside has none either, and within it only what nearly all
+pages repeat goes (importance below LOW_INSIDE). An element around the only main part is not removed for its class or for
+being a form, nor is a form that holds most of the page's prose.
 
 Blocks are cut at block-level tags; character references are decoded, white space becomes one space, blocks are joined by an
 empty line.
@@ -32,13 +36,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: importance below which a branch goes, outside and inside of a marked article, and the pages that a host needs for either
+#: importance below which a branch goes, outside and inside of a marked article, and the different pages that must have an element
+#: for it to be judged
 LOW, LOW_INSIDE = 0.4, 0.1
-PAGES, PAGES_INSIDE = 8, 40
+PAGES = 8
 #: weight of a node's children against its own presentation, by number of its presentations
 GAMMA = 0.9
-#: paths on fewer than PAGES pages and on less than this share of a host's pages count as important
-RARE = 0.02
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -62,47 +65,100 @@ WORDS = frozenset(
     "footer foot header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login register "
     "share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond widget toolbar pagination pager skip search copyright".split()
 )
+REPLIES = frozenset("comment comments commentlist disqus reply replies respond".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd blockquote pre td".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
-_TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>""",
-    re.DOTALL | re.IGNORECASE,
-)
+#: classes that speak of what is beside or missing: with-sidebar, has-ads, no-menu
+_MODIFIER = re.compile(r"(?:^|\s)(?:with|has|no|without|is|not)[-_][\w-]*")
+#: what remains of an opening tag after its name, attribute values in quotes included
+_REST = re.compile(r"""(?>[^>=]+|=\s*(?:"[^"]*"|'[^']*')|=)*+>""")
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style")}
 _ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("article", "boiler", "children", "inline", "path", "tag")
+    __slots__ = ("article", "boiler", "children", "fixed", "holds", "mark", "name", "own", "path", "tag", "up")
 
-    def __init__(self, tag: str, path: int, boiler: bool, article: bool, inline: bool):
-        self.tag, self.path, self.boiler, self.article, self.inline = tag, path, boiler, article, inline
+    def __init__(self, tag: str, name: str, path: int, up: Node | None, own: bool, fixed: bool, mark: bool):
+        #: up: the element around; own: name or attributes mark boilerplate; fixed: the tag itself does; mark: they mark the main part
+        self.tag, self.name, self.path, self.up, self.own, self.fixed, self.mark = tag, name, path, up, own, fixed, mark
         self.children: list[str] = []
+        #: holds: an element within is marked; boiler, article: it lies in boilerplate, in the main part
+        self.holds = self.boiler = self.article = False
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """Of a page: ("text", text, ""), ("open", tag, attributes) and ("close", tag, ""). Comments, declarations, scripts and
+    styles are left out. Every character is looked at a bounded number of times, however broken the page."""
+    at, text, last, broken = 0, 0, page.rfind(">"), False
+    while True:
+        i = page.find("<", at)
+        if i < 0:
+            break
+        if i > last and (page.startswith("<!--", i) or _NAME.match(page, i + 1 + page.startswith("</", i))):  # cut off within a tag
+            page = page[:i]
+            break
+        end, out = -1, None
+        after = page[i + 1 : i + 2]
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            end = len(page) if end < 0 else end + 3
+        elif after in ("!", "?"):
+            end = page.find(">", i) + 1
+        else:
+            close = after == "/"
+            m = _NAME.match(page, i + 1 + close)
+            if m:
+                tag = m[0].lower()
+                rest = None if broken else _REST.match(page, m.end())
+                broken = broken or rest is None  # quotes that never end: from now on the next > ends a tag
+                end = rest.end() if rest else page.find(">", m.end()) + 1
+                out = ("close", tag, "") if close else ("open", tag, page[m.end() : end - 1])
+                if not close and tag in _RAW_END:
+                    stop, out = _RAW_END[tag].search(page, end), None
+                    end = stop.end() if stop else len(page)
+        if end <= i:
+            at = i + 1
+            continue
+        if i > text:
+            yield "text", page[text:i], ""
+        if out:
+            yield out
+        at = text = end
+    if text < len(page):
+        yield "text", page[text:], ""
 
 
 class Parser:
     """Turns pages into blocks; keeps what it has worked out of tags met before."""
 
     def __init__(self) -> None:
-        self.styles: dict[tuple[str, str], tuple[str, bool, bool]] = {}
+        self.styles: dict[tuple[str, str], tuple[str, bool, bool, bool]] = {}
         self.paths: dict[tuple[int, str], int] = {}
 
-    def style(self, tag: str, attrs: str) -> tuple[str, bool, bool]:
-        """Of an opening tag: its style, whether name or attributes mark boilerplate, and whether they mark the main part."""
+    def style(self, tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
+        """Of an opening tag: its style, whether name or attributes mark boilerplate, whether the tag alone does for certain, and
+        whether they mark the main part."""
         got = self.styles.get((tag, attrs))
         if got is None:
             found = {k.lower(): (a or b or c) for k, a, b, c in _ATTR.findall(attrs)} if attrs else {}
-            names = " ".join(found.get(k, "") for k in ("class", "id"))
-            tokens = set(_SPLIT.split(_CAMEL.sub(" ", names).lower()))
+            names = " ".join(_MODIFIER.sub(" ", found.get(k, "")) for k in ("class", "id"))
+            words = set(_SPLIT.split(_CAMEL.sub(" ", names).lower()))
             role = found.get("role", "").strip().lower()
             hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
             main = tag in ("article", "main") or role in ("main", "article")
-            boiler = tag in DROPPED or role in ROLES or hidden or bool(tokens & WORDS and tag not in ("html", "body"))
+            # a reader's comment is often an article of its own; other words on a main part tell what it has, not what it is
+            named = bool(words & (REPLIES if main else WORDS)) and tag not in ("html", "body")
+            fixed = hidden or (tag in DROPPED and tag != "form")
+            boiler = fixed or tag == "form" or (role in ROLES and not main) or named
             name = tag + "".join(f"{mark}{re.sub(r'[0-9]+', '0', v)}" for mark, v in ((".", found.get("class", "")), ("#", found.get("id", "")), ("@", role)) if v)
             if len(self.styles) > 50_000:
                 self.styles.clear()
-            got = self.styles[tag, attrs] = (name, boiler, main and not boiler)
+            got = self.styles[tag, attrs] = (name, boiler, fixed, main and not boiler)
         return got
 
     def below(self, path: int, name: str) -> int:
@@ -115,74 +171,125 @@ class Parser:
             got = self.paths[path, name] = xxh64_intdigest(f"{path}>{name}") >> 1
         return got
 
-    def parse(self, page: str) -> tuple[list[tuple[tuple[Node, ...], str]], list[tuple[int, Node]]]:
-        """Blocks (open block-level elements, text), and all block-level elements with the path of the one around."""
-        stack = [Node("", 0, False, False, False)]
-        blocks: list[tuple[tuple[Node, ...], str]] = []
-        nodes: list[tuple[int, Node]] = []
-        parts: list[str] = []
+    def parse(self, page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
+        """Blocks (innermost block-level element, text), and all block-level elements, the page first, in order."""
+        root = Node("", "", 0, None, False, False, False)
+        nodes, blocks, parts = [root], [], []
+        stack: list[Node | str] = [root]  # block-level elements, and the tags of inline ones
+        inline_open: list[Counter] = [Counter()]  # of each open block-level element: inline tags open directly in it
+        block_open: Counter = Counter()
+        fenced: list[Counter] = [Counter()]  # block-level tags open since each of the open fences
 
         def flush() -> None:
             if parts:
                 text = " ".join(html.unescape("".join(parts)).split())
                 parts.clear()
                 if text:
-                    blocks.append((tuple(n for n in stack if not n.inline), text))
-
-        at = 0
-        for m in _TAG.finditer(page):
-            if m.start() > at:
-                parts.append(page[at : m.start()])
-            at = m.end()
-            tag = m[3] or m[6]
-            if not tag:
+                    blocks.append((next(n for n in reversed(stack) if not isinstance(n, str)), text))
+
+        def pop() -> str:
+            top = stack.pop()
+            if isinstance(top, str):
+                inline_open[-1][top] -= 1
+                return top
+            inline_open.pop()
+            block_open[top.tag] -= 1
+            if top.tag in FENCES:
+                fenced.pop()
+            else:
+                fenced[-1][top.tag] -= 1
+            return top.tag
+
+        def close(*tags: str) -> None:
+            while pop() not in tags:
+                pass
+
+        def innermost() -> Node:
+            while isinstance(stack[-1], str):  # inline elements end where a block begins
+                pop()
+            return stack[-1]
+
+        for what, tag, attrs in tokens(page):
+            if what == "text":
+                parts.append(tag)
                 continue
-            tag = tag.lower()
             inline = tag in INLINE
             if tag == "br":
                 parts.append("\n")
-                continue
-            if m[2] or m[5]:  # an end tag closes what is open inside; without its element it is ignored
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-                if k and not (inline and any(not n.inline for n in stack[k + 1 :])):
-                    if not inline:
-                        flush()
-                    del stack[k:]
-                elif not inline:
+            elif what == "close":  # closes what is open inside; without its element it is ignored
+                if inline:
+                    if inline_open[-1][tag]:
+                        close(tag)
+                else:
                     flush()
-                continue
-            name, boiler, main = self.style(tag, m[4] or m[7] or "")
-            if not inline:
+                    if block_open[tag]:
+                        close(tag)
+            elif inline:
+                if tag not in VOID:
+                    stack.append(tag)
+                    inline_open[-1][tag] += 1
+            else:
                 flush()
-                if tag in ENDS_P:
-                    k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p" or stack[k].tag in FENCES), 0)
-                    if k and stack[k].tag == "p":
-                        del stack[k:]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in CLOSES.get(tag, ()):
-                        del stack[k:]
-                        break
-                    if stack[k].tag in FENCES:
-                        break
+                if tag in ENDS_P and fenced[-1]["p"]:
+                    close("p")
+                if any(fenced[-1][t] for t in CLOSES.get(tag, ())):
+                    close(*CLOSES[tag])
                 if tag in VOID:
                     continue
-            elif tag in VOID:
-                continue
-            top = stack[-1]
-            inside = top.article
-            if tag == "header" and not boiler:
-                boiler = not inside
-            path = top.path if inline else self.below(top.path, name)
-            node = Node(tag, path, top.boiler or boiler, inside or (main and not top.boiler), inline)
-            if not inline:
-                next(n for n in reversed(stack) if not n.inline).children.append(name)
-                nodes.append((top.path, node))
-            stack.append(node)
-        if at < len(page):
-            parts.append(page[at:])
+                name, own, fixed, mark = self.style(tag, attrs)
+                up = innermost()
+                node = Node(tag, name, self.below(up.path, name), up, own, fixed, mark)
+                up.children.append(name)
+                nodes.append(node)
+                stack.append(node)
+                inline_open.append(Counter())
+                block_open[tag] += 1
+                if tag in FENCES:
+                    fenced.append(Counter())
+                else:
+                    fenced[-1][tag] += 1
         flush()
+        self._judge(nodes, blocks)
         return blocks, nodes
 
+    @staticmethod
+    def _judge(nodes: list[Node], blocks: list[tuple[Node, str]]) -> None:
+        """What lies in boilerplate by its names, and what in the main part. An element around the only main part is no
+        boilerplate, unless its tag is; nor is a form around most of the page."""
+
+        def inherit() -> bool:
+            found = False
+            for n in nodes[1:]:
+                within = n.up.article
+                own = n.own or (n.tag == "header" and not within)
+                n.boiler = n.up.boiler or (own and not n.holds)
+                n.article = not n.boiler and (within or n.mark)
+                found = found or n.article
+            return found
+
+        if inherit():
+            return
+        met: set[Node] = set()
+        for n in nodes:
+            if n.mark:
+                while (n := n.up) is not None and n not in met:
+                    met.add(n)
+                    n.holds = not n.fixed
+        if met and inherit():
+            return
+        form: dict[Node, Node | None] = {nodes[0]: None}
+        for n in nodes[1:]:
+            form[n] = None if n.fixed else n if n.tag == "form" else form[n.up]
+        prose, other, free = Counter(), Counter(), 0
+        for n, text in blocks:
+            if form[n]:
+                (prose if n.tag in PROSE else other)[form[n]] += len(text)
+            elif not n.boiler:
+                free += len(text)
+        for n, k in prose.items():
+            n.holds = k > max(free, other[n])
+        inherit()
+
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (host, up, path, kind, value, n): how many pages have the value (a sequence of children, kind 0, or a text, 1) at
@@ -196,10 +303,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not page:
                 continue
             blocks, nodes = parser.parse(page)
-            seen = {(up, n.path, 0, xxh64_intdigest(" ".join(n.children)) >> 1) for up, n in nodes}
-            seen.update((up, n.path, 2, 0) for up, n in nodes)
-            for chain, text in blocks:
-                seen.add((chain[-2].path if len(chain) > 1 else 0, chain[-1].path, 1, xxh64_intdigest(text) >> 1))
+            seen = {(n.up.path, n.path, 0, xxh64_intdigest(" ".join(n.children)) >> 1) for n in nodes[1:]}
+            seen.update((n.up.path, n.path, 2, 0) for n in nodes[1:])
+            seen.update((n.up.path if n.up else 0, n.path, 1, xxh64_intdigest(text) >> 1) for n, text in blocks)
             for x in seen:
                 count[host, *x] += 1 / (copies or 1)
         cols = list(zip(*count, strict=True)) if count else [()] * 5
@@ -208,39 +314,34 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _importance(nodes: pd.DataFrame) -> pd.DataFrame:
-    """Of one host's nodes (up, path, style, styles, content): the largest importance in the branch of each, children before
+    """Of one host's nodes (up, path, style, styles, content, rare): the largest importance in the branch of each, children before
     parents."""
     own = {r.path: r for r in nodes.itertuples()}
     kids: dict[int, list[int]] = {}
     for r in own.values():
         kids.setdefault(r.up, []).append(r.path)
+    order = [x for x in own if own[x].up not in own or own[x].up == x]
+    for x in order:  # parents before children; grows as it goes
+        order += [c for c in kids.get(x, ()) if c != x]
     value: dict[int, float] = {}
     most: dict[int, float] = {}
-    for start in own:
-        todo = [start]
-        while todo:
-            x = todo[-1]
-            wait = [c for c in kids.get(x, ()) if c not in value and c != x]
-            if wait and len(todo) < 500:
-                todo += wait
-                continue
-            todo.pop()
-            if x in value:
-                continue
-            r = own[x]
-            below = [value[c] for c in kids.get(x, ()) if c in value]
-            if not np.isnan(r.content):
-                below.append(r.content)
-            keep = GAMMA ** max(r.styles, 1)
-            value[x] = (1 - keep) * r.style + keep * (sum(below) / len(below) if below else r.style)
-            # a branch is noise only if all of it is
-            most[x] = max([value[x], *(most[c] for c in kids.get(x, ()) if c in most)])
-    return pd.DataFrame({"host": nodes["host"], "path": nodes["path"], "importance": [most[p] for p in nodes["path"]], "pages": nodes["pages"]})
+    for x in reversed(order):
+        r, below = own[x], [c for c in kids.get(x, ()) if c in value]
+        parts = [value[c] for c in below]
+        if not np.isnan(r.content):
+            parts.append(r.content)
+        if r.rare:  # what too few pages have to be judged counts as new
+            parts.append(1.0)
+        keep = GAMMA ** max(r.styles, 1)
+        value[x] = (1 - keep) * r.style + keep * (sum(parts) / len(parts) if parts else r.style)
+        # a branch is noise only if all of it is
+        most[x] = max([1.0 if r.rare else value[x], *(most[c] for c in below)])
+    return pd.DataFrame({"host": nodes["host"], "path": nodes["path"], "importance": [most.get(p, 1.0) for p in nodes["path"]], "pages": nodes["pages"]})
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, importance and pages (that it was judged over) of all nodes that some of the host's pages have (PAGES, or a share RARE). pages has
-    host and html."""
+    """host, path, importance and pages (that it was judged over) of all nodes that PAGES different pages of the host have. pages
+    has host and html."""
     known = pages.where("host is not null and html is not null")
     known = known.withColumns({"h1": F.xxhash64("html"), "h2": F.xxhash64(F.lit(1), "html")})
     same = ["host", "h1", "h2"]
@@ -255,19 +356,23 @@ def style_tree(pages: DataFrame) -> DataFrame:
     nodes = counts.groupBy("host", "path", "kind").agg(F.min("up").alias("up"), total.alias("t"), spread.alias("s"), F.count(F.lit(1)).alias("values"))
     nodes = common.small_join(nodes, size, ["host"], "inner")
     # presentation: entropy of the shares; content: one less the texts' mean entropy; both over the pages that have the element
-    # around, where the node has pages enough to be judged for itself, and else over all pages of the host
+    # around
     of = lambda kind, value: F.max(F.when(F.col("kind") == kind, value))
     nodes = nodes.groupBy("host", "path", "pages").agg(
         F.min("up").alias("up"), of(0, F.log("t") - F.col("s") / F.col("t")).alias("style"), F.coalesce(of(0, F.col("values")), F.lit(1)).alias("styles"),
-        of(1, F.col("s") / F.col("t")).alias("content"), F.max("t").alias("t"), F.coalesce(of(2, F.col("t")), F.col("pages")).alias("have"),
+        of(1, F.col("s") / F.col("t")).alias("content"), F.coalesce(of(2, F.col("t")), F.col("pages")).alias("have"),
     )
-    nodes = common.written(nodes.where((F.col("have") >= PAGES) | (F.col("t") >= RARE * F.col("pages"))), "style-nodes")
-    around = nodes.where(F.col("have") >= PAGES).select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), F.col("have").alias("around"))
-    nodes = nodes.join(around, (F.col("host") == F.col("of_host")) & (F.col("up") == F.col("of_path")), "left")
-    nodes = nodes.withColumn("pages", F.when(F.col("have") >= PAGES, F.coalesce("around", "pages")).otherwise(F.col("pages")).cast("bigint"))
+    nodes = common.written(nodes, "style-nodes")
+    judged, seldom = nodes.where(F.col("have") >= PAGES), nodes.where(F.col("have") < PAGES)
+    around = judged.select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), F.col("have").alias("around"))
+    seldom = seldom.select(F.col("host").alias("in_host"), F.col("up").alias("in_path")).distinct().withColumn("rare", F.lit(True))
+    nodes = judged.join(around, (F.col("host") == F.col("of_host")) & (F.col("up") == F.col("of_path")), "left")
+    nodes = nodes.join(seldom, (F.col("host") == F.col("in_host")) & (F.col("path") == F.col("in_path")), "left")
+    nodes = nodes.withColumn("pages", F.coalesce("around", "pages").cast("bigint"))
     within = F.log("pages")
     nodes = nodes.select(
-        "host", "path", "pages", "up", F.coalesce(F.least(F.col("style") / within, F.lit(1.0)), F.lit(0.0)).alias("style"), "styles", F.coalesce(1 - F.col("content") / within, F.lit(float("nan"))).alias("content")
+        "host", "path", "pages", "up", F.coalesce(F.least(F.col("style") / within, F.lit(1.0)), F.lit(0.0)).alias("style"), "styles", F.coalesce(1 - F.col("content") / within, F.lit(float("nan"))).alias("content"),
+        F.coalesce("rare", F.lit(False)).alias("rare"),
     )
     return nodes.groupBy("host").applyInPandas(_importance, "host string, path bigint, importance double, pages bigint")
 
@@ -280,17 +385,17 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not page:
                 out.append("")
                 continue
-            blocks, _ = parser.parse(page)
-            gone = {x["path"]: x["inside"] for x in low or ()}
-            marked = any(chain[-1].article and not chain[-1].boiler for chain, _ in blocks)
-            kept = []
-            for chain, text in blocks:
-                last = chain[-1]
-                if last.boiler or (marked and not last.article):
-                    continue
-                if gone and any(gone.get(n.path, False) if n.article else n.path in gone and not last.article for n in chain):
-                    continue
-                kept.append(text)
+            blocks, nodes = parser.parse(page)
+            low = {x["path"]: x["inside"] for x in low or ()}
+            main = any(n.article for n, _ in blocks)
+            around, gone = set(), set()
+            for n in reversed(nodes):  # an element around the main part is not removed for what surrounds it
+                if n.article or n in around:
+                    around.add(n.up)
+            for n in nodes:
+                if n.up in gone or n.boiler or (low.get(n.path, False) if n.article else n.path in low and n not in around):
+                    gone.add(n)
+            kept = [text for n, text in blocks if n not in gone and (n.article or not main)]
             out.append("\n\n".join(kept))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
@@ -300,7 +405,7 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
     pages = pages.select("page_id", "url", "html", F.when(F.length(host) > 0, host).alias("host"))
     tree = style_tree(pages)
-    inside = (F.col("importance") < LOW_INSIDE) & (F.col("pages") >= PAGES_INSIDE)
+    inside = F.col("importance") < LOW_INSIDE
     low = tree.where(F.col("importance") < LOW).groupBy("host").agg(F.collect_list(F.struct("path", inside.alias("inside"))).alias("low"))
     low = common.written(low, "style-low")
     n = low.agg(F.coalesce(F.sum(F.size("low")), F.lit(0)).alias("n")).first()["n"]

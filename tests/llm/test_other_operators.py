@@ -1,6 +1,9 @@
+import collections
+import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +120,73 @@ def test_a_section_of_a_large_host_is_judged(spark):
     assert all(r.text and "section" not in r.text for r in got.values())
 
 
+def test_marks_within_boilerplate_names(spark):
+    wrap = [
+        '<form action="/"><header>Site</header><article><p>Text</p></article><div class="ad">Buy</div></form>',
+        '<div class="page with-sidebar"><main><p>Text</p></main><div class="sidebar">Side</div></div>',
+        '<article class="post social-share"><p>Text</p><div class="share">Tweet</div></article>',
+        '<div class="page has-menu"><p>Text</p></div><div class="menu">Home</div>',
+        '<form><h1>Text</h1><nav>Home</nav></form>',
+        '<article><p>Text</p><article class="comment"><p>Nice!</p></article></article>',
+        '<article><p>Text</p></article><aside><article>Teaser</article></aside><div class="related"><article>More</article></div>',
+        "<main><p>Text</p><form><p>Your mail address, please, and all else that we may ask of you</p></form></main>",
+    ]
+    got = texts(spark, [(i, f"http://h{i}.example/", f"<body>{w}</body>") for i, w in enumerate(wrap)])
+    assert {i: r.text for i, r in got.items()} == dict.fromkeys(range(len(wrap)), "Text")
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<script " * 40_000, ""), ('<a "' * 80_000, ""), ("<div>" * 60_000 + "x", "x"), ("<i>" * 60_000 + "x" + "</b>" * 60_000, "x"), ("<center>" * 30_000 + "<h1></h1>" * 30_000 + "x", "x"),
+    ("<b>" + "<div>" * 30_000 + "x" + "</b>" * 30_000, "x"), ("</p>" * 100_000 + "x", "x"), ("<a =" * 50_000 + ">x", "x"), ("<a x='" * 50_001 + ">x", "x"), ("<!-- " * 50_000, ""), ("< " * 9 + "x", "< " * 9 + "x"),
+    ("<p>" * 60_000 + "x", "x"), ("<div>a</div>" * 20_000, "\n\n".join("a" * 20_000)), ("<div>a " * 20_000, "\n\n".join("a" * 20_000)), ("<form><div>a " * 20_000, ""), ("&#120;" * 100_000, "x" * 100_000), ("<p class='" + "x" * 500_000 + "'>x", "x"),
+])
+def test_broken_pages_take_linear_time(page, text):
+    import time
+
+    began = time.perf_counter()
+    blocks, _ = style_tree.Parser().parse(page)
+    assert "\n\n".join(t for n, t in blocks if not n.boiler) == text
+    assert time.perf_counter() - began < 5
+
+
+def test_importance_like_its_definition(spark):
+    """Entropies and importance of a small host, worked out from nested dictionaries."""
+    rng = random.Random(5)
+    menu = lambda i: f"<div class=m><p>Menu</p><p>{'ab'[i % 2]}</p></div>"
+    body = lambda i: "<div class=t>" + "".join(f"<h2>{rng.random()}</h2>" for _ in range(i % 3 + 1)) + "<span>x</span></div>"
+    pages = [f"<body>{menu(i)}{body(i)}{'<pre>rare</pre>' if i < 3 else ''}</body>" for i in range(12)]
+    df = spark.createDataFrame([("h", x) for x in [*pages, pages[0], pages[0]]], "host string, html string")
+    got = sorted(round(r.importance, 6) for r in style_tree.style_tree(df).collect())
+
+    seen: dict = {}
+    for x in pages:
+        blocks, nodes = style_tree.Parser().parse(x)
+        path = lambda n: (*path(n.up), n.name) if n.up else ()
+        for n in nodes[1:]:
+            seen.setdefault(path(n), {}).setdefault(x, (set(), set()))[0].add(tuple(n.children))
+        for n, t in blocks:
+            seen[path(n)][x][1].add(t)
+    entropy = lambda xs: -sum(c / len(xs) * math.log(c / len(xs)) for c in collections.Counter(xs).values())
+
+    def importance(p):
+        within = math.log(len(seen[p[:-1]]) if p[:-1] else 12)
+        styles, contents = ([y for v in seen[p].values() for y in v[k]] for k in (0, 1))
+        style = min(1.0, entropy(styles) / within)
+        kids = [k for k in seen if k[:-1] == p]
+        below = [importance(k)[0] for k in kids if len(seen[k]) >= 8]
+        if contents:
+            count = collections.Counter(contents)
+            below.append(1 - sum(c * math.log(c) for c in count.values()) / sum(count.values()) / within)
+        rare = any(len(seen[k]) < 8 for k in kids)
+        below += [1.0] * rare
+        keep = style_tree.GAMMA ** len(set(styles))
+        own = (1 - keep) * style + keep * (sum(below) / len(below) if below else style)
+        return own, max([1.0 if rare else own, *(importance(k)[1] for k in kids if len(seen[k]) >= 8)])
+
+    assert got == sorted(round(importance(p)[1], 6) for p in seen if len(seen[p]) >= 8) and got[0] < 0.4 < got[-1]
+    assert style_tree._importance(pd.DataFrame({"host": "h", "path": range(1, 2001), "up": [0] + [1] * 1999, "style": 0.0, "styles": 1, "content": [float("nan")] + [0.0] * 1998 + [1.0], "rare": False, "pages": 9}))["importance"][0] == 0.9
+
+
 def test_fixity(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").withColumns({"hash": F.lit(1), "node": F.lit(2), "file": F.lit(3)})
     more = pages.unionByName(spark.createDataFrame([(None, "u", "x", 1, 2, 3), (9000, None, None, 1, 2, 3)], pages.schema))
