@@ -120,13 +120,16 @@ def ending_flags(text: Column) -> Column:
 
 def date_flags(text: Column, k: Knobs) -> Column:
     each = lambda found, make: F.transform(found, make)
+    # texts without digits, which are most, need none of the patterns that look for them
+    none = F.array().cast("array<string>")
+    digits = lambda n, found: F.when(text.rlike(f"(?U)\\d{{{n}}}"), found).otherwise(none)
     mixed = F.filter(
-        T.all_matches(text, r"(?U)\b[A-Za-z0-9]{3,6}\b"),
-        lambda t: t.rlike("[0-9][A-Za-z]|[A-Za-z][0-9]") & ~t.rlike(rf"(?i)\A(?:{ORDINAL}|{REPORTER})\z") & ~t.rlike(rf"\A(?:{VERSION})\z"),
+        F.when(text.rlike("[0-9][A-Za-z]|[A-Za-z][0-9]"), T.all_matches(text, r"(?U)\b(?=[A-Za-z0-9]{3,6}\b)[A-Za-z0-9]*(?:[0-9][A-Za-z]|[A-Za-z][0-9])[A-Za-z0-9]*\b")).otherwise(none),
+        lambda t: ~t.rlike(rf"(?i)\A(?:{ORDINAL}|{REPORTER})\z") & ~t.rlike(rf"\A(?:{VERSION})\z"),
     )
-    long = T.all_matches(text, rf"(?iU)\b{YEAR_CUES}\s*,?\s*\b(\d{{5,}})\b", 1)
-    short = F.filter(T.all_matches(text, rf"(?iU)(?:{MONTHS}\s+\d{{1,2}},?\s*|\b{DATE_CUES}\s+)(\d{{3}})\b", 1), lambda t: t.rlike(r"\A(?:19|20|21)"))
-    year = F.filter(T.all_matches(text, rf"(?iU)\b{YEAR_CUES}\s*,?\s*\b(\d{{4}})\b", 1), lambda t: F.coalesce((F.try_to_number(t, F.lit("9999")) < 1700) | (F.try_to_number(t, F.lit("9999")) > k.year + 1), F.lit(False)))
+    long = digits(5, T.all_matches(text, rf"(?iU)\b{YEAR_CUES}\s*,?\s*\b(\d{{5,}})\b", 1))
+    short = F.filter(digits(3, T.all_matches(text, rf"(?iU)(?:{MONTHS}\s+\d{{1,2}},?\s*|\b{DATE_CUES}\s+)(\d{{3}})\b", 1)), lambda t: t.rlike(r"\A(?:19|20|21)"))
+    year = F.filter(digits(4, T.all_matches(text, rf"(?iU)\b{YEAR_CUES}\s*,?\s*\b(\d{{4}})\b", 1)), lambda t: F.coalesce((F.try_to_number(t, F.lit("9999")) < 1700) | (F.try_to_number(t, F.lit("9999")) > k.year + 1), F.lit(False)))
     garbled = lambda t, message: _flag("critical", "format", "GARBLED_DATE", message, t)
     return F.concat(
         each(mixed, lambda t: garbled(t, F.concat(F.lit("Alphanumeric token '"), t, F.lit("' looks like a garbled year (common overfitting artifact).")))),
@@ -205,8 +208,11 @@ def style_flags(text: Column) -> Column:
 
 
 def spelling_flags(text: Column) -> Column:
-    triples = F.filter(T.all_matches(text, f"(?U){TRIPLE}"), lambda t: ~t.rlike(r"(?i)\A[ivxlcdm]+\z"))
-    some = F.slice(F.array_distinct(F.concat(triples, *[T.all_matches(text, f"(?iU){p}") for p in CLUSTERS])), 1, 5)
+    none = F.array().cast("array<string>")
+    triples = F.when(text.rlike(r"([a-zA-Z])\1{2}"), F.filter(T.all_matches(text, f"(?U){TRIPLE}"), lambda t: ~t.rlike(r"(?i)\A[ivxlcdm]+\z"))).otherwise(none)
+    # the letters of a cluster are looked for before the words around them
+    clusters = [F.when(text.rlike(f"(?iU){c}"), T.all_matches(text, f"(?iU){p}")).otherwise(none) for c, p in zip(("iiv", "iin", "jn|hn|kz|wv", "your[kt]"), CLUSTERS, strict=True)]
+    some = F.slice(F.array_distinct(F.concat(triples, *clusters)), 1, 5)
     return _if(F.size(some) > 0, _flag("warning", "format", "SUSPICIOUS_SPELLING", F.concat(F.lit("Found "), _number(F.size(some)), F.lit(" possibly misspelled token(s).")), F.array_join(some, ", ")))
 
 
