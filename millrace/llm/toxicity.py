@@ -1,18 +1,23 @@
 """Operator 2: a linear-chain conditional random field that tags toxic spans.
 
-Training. Labels are given for documents, a chain needs them for tokens. A toxic document has a toxic word and a clean one
-has none: so the marks of toxic words are a small set of features (the word, its first and last letters) that covers the
-toxic training documents and hardly touches the clean ones. It is chosen greedily; a token of a toxic document that has
-such a feature is labelled toxic, every other token clean. The chain's weights (one for each chosen feature, a bias, four
-transitions) then maximise the regularised conditional likelihood of these labels. The classifier is fitted on a bounded
-sample of labelled rows (`max_docs` of each class, texts of up to `max_chars`), taken by a hash of the id.
-
-Scoring. A text is a chain over all its words. Words without a candidate feature have one and the same potential, so a run
-of k of them is the k-th power of one 2x2 matrix; forward-backward over the other words and these powers gives the exact
-marginals. A document's score is the largest marginal of a word, and its spans are the runs of words above `span`.
+Training. Labels are given for documents, a chain needs them for tokens. So marks are looked for first: features of words (the
+word, beginnings of three to nine letters of longer words, the last five letters) that cover the toxic training documents and
+seldom occur in clean ones, chosen greedily. A token of a toxic document that has a mark is labelled toxic, every other token
+clean. A mark need not be certain: what it is worth, the chain learns from all tokens that have it, together with features that
+have no part in the labels: the case of the token, and whether it begins a sentence (crossed), and the tokens next to it through
+the transitions. The weights maximise the regularised conditional likelihood over stretches of REACH words around all marks, and
+the first words of texts without any. The classifier is fitted on a bounded sample of labelled rows (`max_docs` of each class,
+texts of up to `max_chars`), taken by a hash of the id; of near copies (equal least word hashes) one counts when marks are chosen.
+
+Scoring. A text is a chain over all its words. Words without a mark have one and the same potential, so a run of k of them is the
+k-th power of one 2x2 matrix; forward-backward over the other words and these powers gives the exact marginals. A document's
+score is a logistic function of its marginals (the largest, and their sum over marked words) and its number of words, so that a
+single doubtful word does not make a long text toxic; it is fitted on marginals from chains that have not seen the document (two
+halves). Its spans are the runs of marked words with marginals above `span`.
 
 Defined results: null and empty texts get score 0; the score depends on the text alone; repeated rows score alike; with no
-toxic or no clean training row every score is 0; other columns are ignored by `score` and kept by `keep_clean`.
+toxic or no clean training row, or without any mark, every score is 0; other columns are ignored by `score` and kept by `keep_clean`, which also keeps
+rows whose text is null.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +38,10 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"\w+")
 #: powers of the neutral matrix that are told apart; it has converged long before
 MAX_RUN = 64
+#: words to either side of a mark that the chain is trained on
+REACH = 8
+#: what ends a sentence, between two words
+STOP = re.compile(r"[.!?\n]")
 
 
 @dataclass(frozen=True)
@@ -44,7 +53,9 @@ class Params:
     min_df: int = 3
     min_new: int = 2
     #: share of toxic documents among those (of a sample with as many clean ones) that a feature is in
-    purity: float = 0.97
+    purity: float = 0.85
+    #: documents newly covered that a feature must be worth for each clean one (of as many) that it touches
+    price: float = 2.5
     max_features: int = 2000
     l2: float = 0.02
     rounds: int = 40
@@ -52,9 +63,17 @@ class Params:
 
 
 def features(word: str) -> tuple[str, ...]:
-    """Names of a word's features: the word, its first four to six letters and its last five."""
+    """Names of a word's features: the word, beginnings of three to nine letters that it goes beyond, and its last five letters."""
     w = word.lower()
-    return ("=" + w, *(f"^{w[:k]}" for k in (4, 5, 6) if len(w) >= k), *(("$" + w[-5:],) if len(w) >= 5 else ()))
+    return ("=" + w, *(f"^{w[:k]}" for k in range(3, min(10, len(w)))), *(("$" + w[-5:],) if len(w) >= 5 else ()))
+
+
+def shape(word: str, between: str) -> str:
+    """Name of a token's shape: its case, and whether a sentence ended before it."""
+    return "#" + ("u" if word.isupper() else "l" if word.islower() else "t") + ("." if STOP.search(between) else "-")
+
+
+SHAPES = tuple(f"#{c}{s}" for c in "ult" for s in ".-")
 
 
 @dataclass
@@ -65,6 +84,8 @@ class Chain:
     bias: float
     trans: np.ndarray
     span: float = 0.5
+    #: of the document's score: constant, and factors of the largest marginal's and the marginals' sum's logarithms and of that of the words
+    final: tuple[float, ...] | None = None
 
     def __post_init__(self) -> None:
         self.known: dict[str, float | None] = {}
@@ -113,30 +134,42 @@ class Chain:
             after = back
         return out[::-1], 0.0
 
-    def tag(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """The document's score, and its toxic spans as offsets (code points) with their largest marginal."""
-        if not text:
-            return 0.0, []
-        found = TOKEN.findall(text)
+    def summary(self, text: str | None) -> tuple[tuple[float, float, float] | None, list[tuple[int, int, float]]]:
+        """What the document's score follows from (None: no word), and its toxic spans."""
+        found = TOKEN.findall(text) if text else []
         n = len(found)
-        known, potential = self.known, self.potential
-        at = [(i, v) for i, w in enumerate(found) if (v := known[w] if w in known else potential(w)) is not None]
-        if not at:
-            return self.plain[min(n, MAX_RUN)], []
+        if not n:
+            return None, []
+        known, potential, weights = self.known, self.potential, self.weights
+        if not any((known[w] if w in known else potential(w)) is not None for w in found):
+            plain = max(self.plain[min(n, MAX_RUN)], 1e-6)
+            return (math.log(plain), math.log(plain), math.log(n)), []
+        at, where, last = [], [], 0
+        for i, m in enumerate(TOKEN.finditer(text)):
+            v = potential(m[0])
+            if v is not None:
+                at.append((i, v + weights.get(shape(m[0], text[last : m.start()]), 0.0)))
+                where.append((m.start(), m.end()))
+            last = m.end()
         marginal, _ = self._marginals(at, n)
-        score = max(max(marginal), self.plain[min(n, MAX_RUN)])
         spans: list[tuple[int, int, float]] = []
-        if max(marginal) >= self.span:
-            where = {i: m for (i, _), m in zip(at, marginal, strict=True) if m >= self.span}
-            last = -2
-            for i, m in enumerate(TOKEN.finditer(text)):
-                if i in where:
-                    if last == i - 1:
-                        spans[-1] = (spans[-1][0], m.end(), max(spans[-1][2], where[i]))
-                    else:
-                        spans.append((m.start(), m.end(), where[i]))
-                    last = i
-        return min(1.0, score), spans
+        before = -2
+        for (i, _), (lo, hi), p in zip(at, where, marginal, strict=True):
+            if p >= self.span:
+                if before == i - 1:
+                    spans[-1] = (spans[-1][0], hi, max(spans[-1][2], p))
+                else:
+                    spans.append((lo, hi, p))
+                before = i
+        return (math.log(max(*marginal, 1e-6)), math.log(max(sum(marginal), 1e-6)), math.log(n)), spans
+
+    def tag(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
+        """The document's score, and its toxic spans as offsets (code points) with their largest marginal."""
+        seen, spans = self.summary(text)
+        if seen is None or self.final is None:
+            return 0.0, []
+        z = self.final[0] + sum(a * b for a, b in zip(self.final[1:], seen, strict=True))
+        return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, z)))), spans
 
 
 def cover(toxic: list[list[str]], clean: list[list[str]], p: Params) -> list[str]:
@@ -155,11 +188,16 @@ def cover(toxic: list[list[str]], clean: list[list[str]], p: Params) -> list[str
         for f in {f for w in set(words) for f in features(w)} & pure:
             where[f].append(i)
     open_docs, out = set(range(len(toxic))), []
-    # seen in that many toxic and no clean document, a feature among so many is no accident (one in twenty such samples)
-    sure = max(p.min_df, math.log(20 * max(len(count), 1)) / math.log(1 + len(clean) / len(toxic)))
-    pure = {f for f in pure if len(where[f]) >= sure}
-    # what a feature is worth: documents newly covered, less ten for each clean one that it touches
-    worth = lambda f: sum(i in open_docs for i in where[f]) - 10 * scale * other[f]
+    # found in so many more toxic documents than their share that a mark among so many is no accident (one in twenty such samples)
+    share, sure = len(toxic) / (len(toxic) + len(clean)), math.log(20 * max(len(count), 1))
+
+    def evidence(k: int, o: int) -> float:
+        n = k + o
+        return k * math.log(k / n / share) + (o * math.log(o / n / (1 - share)) if o else 0.0)
+
+    pure = {f for f in pure if evidence(len(where[f]), other[f]) >= sure}
+    # what a mark is worth: documents newly covered, less its price for each clean one
+    worth = lambda f: sum(i in open_docs for i in where[f]) - p.price * scale * other[f]
     queue = [(-worth(f), -len(f), f) for f in pure]
     heapq.heapify(queue)
     while queue and open_docs and len(out) < p.max_features:
@@ -172,50 +210,95 @@ def cover(toxic: list[list[str]], clean: list[list[str]], p: Params) -> list[str
             continue
         out.append(f)
         open_docs.difference_update(where[f])
-    # pure features about as frequent as the chosen ones that only occur beside them
+    # marks about as frequent as the chosen ones that only occur beside them
     if out:
         usual = sorted(len(where[f]) for f in out)[len(out) // 2]
         for f in sorted(pure, key=lambda f: (-len(where[f]), -len(f), f)):
             if len(where[f]) < max(4, usual / 8) or len(out) >= p.max_features:
                 break
-            if not other[f] and not any(f[1:] in g[1:] or g[1:] in f[1:] for g in out):
+            if not any(f[1:] in g[1:] or g[1:] in f[1:] for g in out):
                 out.append(f)
     return out
 
 
+def _least(words: list[str]) -> list[str]:
+    """The three words of a text with the least hashes."""
+    return sorted(set(words), key=lambda w: (zlib.crc32(w.encode()), w))[:3]
+
+
 def _unlike(docs: list[list[str]]) -> list[list[str]]:
-    """One of each group of documents whose three least word hashes agree: copies would make any of their words a mark."""
-    seen: dict[tuple[int, ...], list[str]] = {}
+    """One of each group of documents whose three words of least hash agree: copies would make any of their words a mark."""
+    seen: dict[tuple[str, ...], list[str]] = {}
     for words in docs:
-        seen.setdefault(tuple(sorted(zlib.crc32(w.encode()) for w in set(words))[:3]), words)
+        seen.setdefault(tuple(_least(words)), words)
     return list(seen.values())
 
 
 def fit(rows: list[tuple[str, int]], p: Params) -> Chain:
     """A chain from (text, toxic) rows."""
-    tokens = [TOKEN.findall(text or "") for text, _ in rows]
-    total = [sum(not toxic for _, toxic in rows), sum(toxic for _, toxic in rows)]
-    if not all(total):
+    if len({bool(t) for _, t in rows}) < 2:
         return Chain({}, -30.0, np.zeros((2, 2)), p.span)
+    # the function of the score, from chains that have not seen the rows; copies are on one side
+    half = [zlib.crc32(" ".join(_least(TOKEN.findall(text or ""))).encode()) % 2 for text, _ in rows]
+    seen, toxic = [], []
+    for k in (0, 1):
+        learned = [r for r, h in zip(rows, half, strict=True) if h != k]
+        if len({bool(t) for _, t in learned}) < 2:
+            learned = rows
+        chain = _fit(learned, p)
+        for (text, t), h in zip(rows, half, strict=True):
+            if h == k and (x := chain.summary(text)[0]) is not None:
+                seen.append(x)
+                toxic.append(bool(t))
+    chain = _fit(rows, p)
+    marks = any(not f.startswith("#") for f in chain.weights)
+    return replace(chain, final=_logistic(np.array(seen).reshape(-1, 3), np.array(toxic, float)) if marks else None)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Constant and factors of a regularised logistic regression, by Newton's method."""
+    x = np.column_stack((np.ones(len(x)), x))
+    w, ridge = np.zeros(x.shape[1]), np.diag([1e-6, 1.0, 1.0, 1.0])
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + ridge, x.T @ (y - q) - ridge @ w)
+        w = w + step * min(1.0, 5.0 / max(1e-9, float(np.abs(step).max())))
+        if np.abs(step).max() < 1e-8:
+            break
+    return tuple(float(v) for v in w)
+
+
+def _fit(rows: list[tuple[str, int]], p: Params) -> Chain:
+    tokens = [TOKEN.findall(text or "") for text, _ in rows]
     by_class = [[w for w, (_, t) in zip(tokens, rows, strict=True) if bool(t) == v] for v in (False, True)]
     best = cover(_unlike(by_class[1]), _unlike(by_class[0]), p)
-    number = {f: i for i, f in enumerate(best)}
-    # sequences: only texts with a candidate differ from a neutral run; clean texts teach the bias and the transitions
+    names = [*best, *SHAPES]
+    number = {f: i for i, f in enumerate(names)}
+    # only texts with a mark differ from a neutral run; the others teach the bias and the transitions
     known: dict[str, tuple[int, ...]] = {}
     chains = []
-    for words, (_, toxic) in zip(tokens, rows, strict=True):
+    for words, (text, toxic) in zip(tokens, rows, strict=True):
         seq = []
         for w in words:
             if w not in known:
                 known[w] = tuple(number[f] for f in features(w) if f in number)
             seq.append(known[w])
-        # windows of some words around candidates, and the start of texts without any: the rest repeats the neutral case
         hits = [i for i, s in enumerate(seq) if s]
-        lo = max(0, hits[0] - 8) if hits else 0
-        hi = min(len(seq), (hits[-1] if hits else 0) + 24, lo + 120)
-        if hi > lo:
-            chains.append(([seq[i] for i in range(lo, hi)], [int(bool(toxic and seq[i])) for i in range(lo, hi)]))
-    return _maximise(chains, best, p)
+        label = [int(bool(toxic and s)) for s in seq]
+        if hits:
+            last = 0
+            for i, m in enumerate(TOKEN.finditer(text)):
+                if seq[i]:
+                    seq[i] = (*seq[i], number[shape(m[0], text[last : m.start()])])
+                last = m.end()
+        lo = hi = 0
+        for i in hits or [0]:
+            if i - REACH > hi:
+                chains.append((seq[lo:hi], label[lo:hi]))
+                lo = i - REACH
+            hi = min(len(seq), i + 1 + REACH + (0 if hits else 2 * REACH))
+        chains.append((seq[lo:hi], label[lo:hi]))
+    return _maximise([c for c in chains if c[0]], names, p)
 
 
 def _maximise(chains: list[tuple[list[tuple[int, ...]], list[int]]], names: list[str], p: Params) -> Chain:
@@ -288,7 +371,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params(), learn: Calla
 
 def score(docs: DataFrame, chain: Chain, *, spans: bool = False) -> DataFrame:
     """Adds score and predicted to all rows, and with spans=True the toxic spans (start, end, marginal)."""
-    model = docs.sparkSession.sparkContext.broadcast((chain.weights, chain.bias, chain.trans, chain.span))  # max_features weights
+    model = docs.sparkSession.sparkContext.broadcast((chain.weights, chain.bias, chain.trans, chain.span, chain.final))  # max_features weights
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
