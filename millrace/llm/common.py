@@ -16,6 +16,8 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dir: list[str] = []
+#: when unused shuffle files were looked for last
+_swept = [0.0]
 #: tables written within scopes that are open
 _scopes: list[list[DataFrame]] = []
 
@@ -48,11 +50,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def swept(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver's heap fills.
-    The first collection frees what Python held, the second what that held in turn."""
+    The first collection frees what Python held, the second what that held in turn. Not more often than every two seconds: what
+    a shorter time has written is small."""
+    if time.monotonic() - _swept[0] < 2:
+        return
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     time.sleep(0.1)
     spark.sparkContext._jvm.System.gc()
+    _swept[0] = time.monotonic()
 
 
 def settled(work: Callable[[], DataFrame], name: str) -> DataFrame:

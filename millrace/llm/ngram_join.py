@@ -4,8 +4,10 @@ Rows of the matrix are distinct sets of word shingles, columns are shingles in a
 that reach the similarity share, among their first columns, a number of shingles that follows from the two sizes (Chaudhuri
 et al. 2006, Xiao et al. 2008). So only these columns are multiplied:
 
-1. shingles that many documents share are counted (lossily, over all texts) and ordered last;
+1. shingles that many documents share are counted over all texts (exactly where prefixes are mostly made of them) and ordered
+   last;
 2. each class of equal sets gives the columns of its prefix once;
+   columns of frequent shingles are cut into bands of set sizes, as the similarity bounds the ratio of sizes;
 3. columns of up to BLOCK sets are multiplied out, overlaps are summed for each pair, and pairs below their bound go;
 4. in wider columns all sets are first held against one pivot, then against some of the largest component. Where sets still
    lie in several components, their prefixes are multiplied in blocks: one side holds a block, the other streams by, and rows of
@@ -25,10 +27,12 @@ Shingles are compared by 64-bit hashes, sets by 128-bit hashes.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,15 +43,19 @@ from .graph import components
 #: widest column that is multiplied out pair by pair, and the document frequency from which a shingle is ordered last
 BLOCK = 64
 #: most frequent shingles that are ordered by frequency; only the speed depends on it
-MAX_FREQUENT = 200_000
+MAX_FREQUENT = 1_000_000
 #: sets of the largest component, about, that a wide column's others are held against before all pairs are looked at
 PIVOTS = 8
 #: sets in the block that a task of the exact product holds, and sets that stream by in one task
 HELD, STREAMED = 256, 1024
 #: the same for the product that counts links, and numbers of the dense part of a block
 COUNT_HELD, COUNT_STREAMED, DENSE = 1024, 8192, 1 << 24
-#: shingles that a task counts before it reports those met REPORT times or more
+#: shingles that a task counts before it reports: those that prefixes are mostly made of (see `frequent`), and others met REPORT times
 CHUNK, REPORT = 1_500_000, 3
+#: bits of a set's short name that hold its size: a text has 2^31 bytes at most
+SIZE_BITS = 31
+#: bits of the table that tells whose texts are needed; with many more ids, more texts than needed are moved
+FILTER = 1 << 24
 
 _TOP = np.uint64(1 << 63)
 
@@ -105,12 +113,12 @@ def shingles(text: str | None, k: int, cache: _Hashes) -> np.ndarray:
     return acc[np.concatenate(([True], acc[1:] != acc[:-1]))]
 
 
-def _frequent(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _frequent(batches: Iterator[pa.RecordBatch], k: int, low: int) -> Iterator[pa.RecordBatch]:
     cache, held, size = _Hashes(), [], 0
 
     def report() -> pa.RecordBatch:
         u, c = np.unique(np.concatenate(held), return_counts=True)
-        often = c >= REPORT
+        often = (c >= REPORT) | (u < np.uint64(low))
         return pa.RecordBatch.from_arrays([pa.array(u[often].view(np.int64)), pa.array(c[often].astype(np.int64))], ["h", "c"])
 
     for batch in batches:
@@ -126,8 +134,10 @@ def _frequent(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 
 
 def frequent(docs: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) of shingles that about BLOCK documents or more share, and their ranks by frequency."""
-    found = docs.select("text").mapInArrow(lambda it: _frequent(it, p.words), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= BLOCK)
+    """Hashes (sorted) of shingles that BLOCK documents or more share, and their ranks by frequency. Rare shingles are ordered by hash,
+    so that a prefix is made of low hashes: these are counted exactly, and of the others those that a task meets again and again."""
+    low = int(1.5 * (1 - p.num / p.den + 0.02) * 2**64)
+    found = docs.select("text").mapInArrow(lambda it: _frequent(it, p.words, min(low, 2**64 - 1)), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= BLOCK)
     top = found.orderBy(F.desc("c"), "h").limit(MAX_FREQUENT).toPandas()
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     rank = np.arange(len(h) - 1, -1, -1, dtype=np.uint64)  # rarer first
@@ -146,7 +156,7 @@ def _ordered(s: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, p: Params) -> DataFrame:
-    """doc_id, n (set size), hi and lo (the set's hash), node (a short hash with the size in its low 24 bits) and prefix."""
+    """doc_id, n (set size), hi and lo (the set's hash), node (a short hash with the size in its low SIZE_BITS bits) and prefix."""
     bc = docs.sparkSession.sparkContext.broadcast(frequent(docs, p))  # MAX_FREQUENT numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +169,7 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
                 d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 hi.append(int.from_bytes(d[:8], "little", signed=True))
                 lo.append(int.from_bytes(d[8:], "little", signed=True))
-                node.append((lo[-1] >> 24 << 24) | min(len(s), (1 << 24) - 1))
+                node.append((lo[-1] >> SIZE_BITS << SIZE_BITS) | len(s))
                 if len(s) and named and d not in seen:  # copies within a task give their columns once; rows without an id none
                     seen.add(d)
                     pre.append(_ordered(s, hot, rank)[: p.prefix(len(s))])
@@ -174,7 +184,7 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def _n(node: str) -> str:
-    return f"({node} & 16777215)"
+    return f"({node} & {(1 << SIZE_BITS) - 1})"
 
 
 def _verify(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
@@ -373,8 +383,7 @@ def _counted(edges: DataFrame, wide: DataFrame, docs: DataFrame, p: Params) -> D
     held = member.withColumn("part", F.col("home")).withColumn("salt", F.explode(F.expr("sequence(0L, salts - 1)")))
     stream = member.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), "salts")).withColumn("part", F.explode(F.expr("sequence(home, blocks - 1)")))
     work = held.select(*cols(0, F.lit(True))).unionByName(stream.select(*cols(1, F.col("part") == F.col("home"))))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
-    work = work.join(texts, "id").repartition("block").sortWithinPartitions("block", "side", "id")
+    work = work.hint("merge").join(_texts(docs, member.select("id")), "id").repartition("block").sortWithinPartitions("block", "side", "id")
     inner = work.select("block", "side", "own", "id", "text").mapInArrow(lambda it: _tally(it, p), "id bigint, links bigint").select(F.col("id").alias("rep"), "links")
     ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     flag = lambda c: wide.select(F.col("rep").alias(c), F.lit(True).alias(f"wide_{c}"))
@@ -382,10 +391,27 @@ def _counted(edges: DataFrame, wide: DataFrame, docs: DataFrame, p: Params) -> D
     return inner.unionByName(outer).groupBy("rep").agg(F.sum("links").alias("links"))
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and text of documents, those in ids and few others: a table of FILTER bits tells by a hash of the id which may be."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER))
+    found = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).collect()
+    table = np.zeros(FILTER // 64, np.int64)  # FILTER // 64 rows at most
+    for at, bits in found:
+        table[at] = bits
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may_be(bit: pd.Series) -> pd.Series:
+        b = bit.to_numpy(np.int64)
+        return pd.Series((shared.value[b >> 6] >> (b & 63)) & 1 == 1)
+
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), "text")
+    return texts.where(may_be(bit))
+
+
 def _linked(work: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     """Edges (a, b) found by the exact product of work (block, side, id)."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
-    rows = work.join(texts, "id").repartition("block").sortWithinPartitions("block", "side")
+    rows = work.hint("merge").join(_texts(docs, work.select("id")), "id").repartition("block").sortWithinPartitions("block", "side")
     return rows.select("block", "side", "id", "text").mapInArrow(lambda it: _verify(it, p), "a bigint, b bigint")
 
 
@@ -409,26 +435,35 @@ def _join(docs: DataFrame, p: Params, count: bool = True) -> DataFrame:
     classes = common.written(
         named.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix")), "join-classes"
     )
-    entries = classes.select("node", F.explode("prefix").alias("key")).repartition("key")
-    width = entries.groupBy("key").agg(F.count(F.lit(1)).alias("width")).where("width > 1")
-    columns = common.written(entries.join(width, "key"), "join-columns")
+    entries = classes.select("node", F.explode("prefix").alias("key"))
+    least = F.min(F.struct(F.expr(_n("node")).alias("n"), "node"))
+    width = lambda df: df.groupBy("key").agg(F.count(F.lit(1)).alias("width"), least["node"].alias("pivot")).where("width > 1")
+    rare = entries.where("key < 0").repartition("key").withColumn("home", F.lit(True))
+    # columns of frequent shingles (from 0 up, MAX_FREQUENT at most) are cut by the sets' sizes: a set stands in its own band and,
+    # for those up to the similarity larger, in the next. They are counted without dealing their sets out by column
+    band = F.floor(F.log(F.expr(_n("node")).cast("double")) / F.lit(math.log(p.den / p.num) * (1 + 1e-6)))
+    often = entries.where("key >= 0").withColumn("band", band)
+    often = often.select("node", F.col("key").alias("shingle"), "band", F.explode(F.array(F.lit(True), F.lit(False))).alias("home"))
+    often = often.select("node", F.xxhash64("shingle", F.when(F.col("home"), F.col("band")).otherwise(F.col("band") + 1)).alias("key"), "home")
+    columns = rare.join(width(rare), "key").unionByName(common.small_join(often, width(often), ["key"], "inner"))
+    columns = common.written(columns, "join-columns")
 
     a, b = columns.where(F.col("width") <= BLOCK).alias("a"), columns.where(F.col("width") <= BLOCK).alias("b")
     na, nb = _n("a.node"), _n("b.node")
-    pairs = a.join(b, F.expr(f"a.key = b.key and a.node < b.node and {p.den} * least({na}, {nb}) >= {p.num} * greatest({na}, {nb})"))
+    pairs = a.join(b, F.expr(f"a.key = b.key and (a.home or b.home) and a.node < b.node and {p.den} * least({na}, {nb}) >= {p.num} * greatest({na}, {nb})"))
     counts = pairs.groupBy(F.col("a.node").alias("x"), F.col("b.node").alias("y")).agg(F.count(F.lit(1)).alias("c"))
     nx, ny = _n("x"), _n("y")
     bound = f"{p.overlap_sql(nx, ny)} - greatest({nx} - {p.prefix_sql(nx)}, {ny} - {p.prefix_sql(ny)})"
     narrow = counts.where(F.expr(f"c >= {bound}")).select("x", "y")
 
     wide = columns.where(F.col("width") > BLOCK)
-    pivot = wide.groupBy("key").agg(F.min(F.struct(F.expr(_n("node")).alias("n"), "node")).alias("pivot")).select("key", F.col("pivot.node").alias("x"))
-    star = wide.join(pivot, "key").where(F.expr(f"node <> x and {p.den} * {_n('x')} >= {p.num} * {_n('node')}")).select("x", F.col("node").alias("y")).distinct()
+    star = wide.withColumnRenamed("pivot", "x").where(F.expr(f"node <> x and {p.den} * {_n('x')} >= {p.num} * {_n('node')}")).select("x", F.col("node").alias("y")).distinct()
 
     # short names to representatives; equal short names of different sets give more candidates, never fewer
     rep = classes.select("node", "rep")
     found = narrow.unionByName(star).join(rep.select(F.col("node").alias("x"), F.col("rep").alias("hub")), "x").join(rep.select(F.col("node").alias("y"), F.col("rep").alias("id")), "y")
-    found = common.written(found.where("hub <> id").select("hub", "id").distinct(), "join-candidates")
+    alike = classes.groupBy("node").agg(F.min("rep").alias("hub"), F.collect_set("rep").alias("ids")).where("size(ids) > 1").select("hub", F.explode("ids").alias("id"))
+    found = common.written(found.select("hub", "id").unionByName(alike).where("hub <> id").distinct(), "join-candidates")
     edges = common.written(_linked(_spread(found), docs, p).distinct(), "join-edges")
 
     # wide columns whose sets still lie in several components: first some sets of the largest component are held, then all others
@@ -441,7 +476,7 @@ def _join(docs: DataFrame, p: Params, count: bool = True) -> DataFrame:
         main = common.written(main.select("key", F.col("top.component").alias("main"), F.col("top.m").alias("in_main"), "all"), "join-mixed")
         if main.isEmpty():
             break
-        rows = member.join(main, "key")
+        rows = common.small_join(member, main, ["key"], "inner")
         wides = rows.groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("wide"))  # part of the prefix
         inside = F.col("component") == F.col("main")
         if first:
