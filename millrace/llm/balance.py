@@ -96,7 +96,8 @@ def multipliers(hist: DataFrame, goals: DataFrame, p: Params) -> DataFrame:
         state = new
         if state.where(F.col("gap") > p.tolerance).isEmpty():
             break
-    return state.select("source", "mean", F.col("l").alias("multiplier"))
+    # in steps of 2^-20: sums of doubles depend on their order in the last digits, which must not reach the rounding
+    return state.select("source", "mean", (F.round(F.col("l") * (1 << 20)) / (1 << 20)).alias("multiplier"))
 
 
 def mix(docs: DataFrame, p: Params = Params()) -> DataFrame:

@@ -197,7 +197,45 @@ def test_fixity(spark):
     assert warc_fixity.audit(pages.limit(0), pages).count() == pages.count()
 
 
-def test_pipeline_runs_over_its_stages(spark):
+def test_pipeline_stages(spark, tmp_path):
+    """Every stage on rows with nulls, repeats and clashing columns, on none, and as a whole."""
+    import corpus_pipeline as p
+    from millrace.llm import balance, quality_mcd, toxicity
+
+    from .data import documents, words
+    from .test_text_operators import brute
+
+    rng = random.Random(9)
+    rows = [(100 + i, " ".join(words(rng, 60 + i % 50)), "en", f"s{i % 2}", None) for i in range(60)]
+    rows += [(200 + i, rows[i][1].replace("th", "changed", i % 2), None, "s0", None) for i in range(20)]
+    rows += [(None, rows[0][1], "en", "s0", None), (100, rows[0][1], "en", "s0", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").unionByName(documents(spark, 20, extra=True), allowMissingColumns=True)
+    spark.createDataFrame([(100 + i, i % 9 == 0) for i in range(60)], "doc_id bigint, toxic boolean").selectExpr("doc_id", "1 as quality", "cast(toxic as int) as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    plain = lambda df: collections.Counter(tuple(r) for r in df.collect())
+    seen, stages = docs, dict(p.STAGES)
+    for name, stage in p.STAGES:
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.count() == 0 and (name == "token_ids" or empty.columns == docs.columns), name
+        out = p.common.written(stage(spark, seen, str(tmp_path)), f"test-{name}")
+        if name == "quality":
+            kept = {r.doc_id for r in quality_mcd.quality(seen).collect() if r.kept}
+            assert {r.doc_id for r in out.collect()} == kept and not plain(out) - plain(seen)
+        elif name == "toxicity":
+            chain = toxicity.train(seen, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+            assert out.count() == toxicity.score(seen.select("text"), chain).where("predicted = 0").count() and not plain(out) - plain(seen)
+        elif name == "near_duplicates":
+            want = {c for _, c in brute([(r.doc_id, r.text) for r in seen.collect() if r.doc_id is not None], 5, 80, 100).values()}
+            got = [r.doc_id for r in out.collect()]
+            assert sorted(i for i in got if i is not None) == sorted(want) and not plain(out) - plain(seen)
+        elif name == "mix":
+            assert out.count() == sum(r.copies for r in balance.mix(seen).collect())
+        else:
+            assert sorted(r.doc_id for r in out.collect() if r.doc_id) == sorted(r.doc_id for r in seen.collect() if r.doc_id)
+        seen = out
+    assert stages and seen.count() > 0
+
+
+def test_pipeline_as_a_whole(spark):
     import corpus_pipeline as p
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")

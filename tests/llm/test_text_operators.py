@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -181,6 +182,46 @@ def test_quality(spark):
     assert quality_mcd.quality(df.limit(0)).count() == 0
 
 
+def test_determinant_estimates_like_numpy(spark):
+    """Centre, scatter and distances of one group, by the same steps on arrays."""
+    p, rng = quality_mcd.Params(), np.random.default_rng(3)
+    x = rng.multivariate_normal([5, 1.5, 2, 1, 1], np.diag([1, 0.1, 0.5, 0.4, 0.6]) + 0.05, 400)
+    x[:40] += rng.uniform(5, 9, (40, 5))
+    names = list(quality_mcd.FEATURES)
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "__g string, " + ", ".join(f"{n} double" for n in names))
+    est = quality_mcd.mcd(df, ["__g"], p)
+    got = df.join(est, "__g").select(*names, quality_mcd._distance().alias("d")).collect()
+    at = lambda v, q: np.sort(v)[math.ceil(q * len(v)) - 1]
+    floor = np.diag([quality_mcd.FEATURES[n] ** 2 for n in names])
+    centre = np.array([at(c, 0.5) for c in x.T])
+    scatter = np.diag([(1.4826 * at(np.abs(c - m), 0.5)) ** 2 for c, m in zip(x.T, centre, strict=True)]) + floor
+    factor = p.support / quality_mcd._chi2_cdf(7, quality_mcd._chi2_quantile(5, p.support))
+    far = lambda: np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+    for _ in range(p.steps):
+        near = x[far() <= at(far(), p.support)]
+        centre, scatter = near.mean(0), factor * np.cov(near.T, bias=True) + floor
+    want = dict(zip(map(tuple, x.tolist()), far(), strict=True))
+    assert all(r["d"] == pytest.approx(want[tuple(r[n] for n in names)], rel=1e-4) for r in got)
+    assert np.sort(far())[-40:].min() > 3 * np.sort(far())[:-40].max()
+
+
+def test_rates_solve_the_dual(spark):
+    """Every source meets its target in expectation, with rates of the one form that has least relative entropy."""
+    df = documents(spark, 400)
+    by = collections.defaultdict(list)
+    for r in balance.mix(df).collect():
+        by[r.source].append(r)
+    for rows in by.values():
+        some = [r for r in rows if r["size"]]
+        if not some or some[0].target >= 3 * some[0].source_size:
+            assert all(r.rate == 3 for r in some)
+            continue
+        assert sum(r["size"] * r.rate for r in some) == pytest.approx(some[0].target, rel=1e-4)
+        mean = sum(r["size"] for r in some) / len(some)
+        tilt = [math.log(r.rate) * mean / r["size"] for r in some if r.rate < 3 - 1e-9]
+        assert max(tilt) - min(tilt) < 1e-6 and all(0 < r.rate <= 3 for r in some)
+
+
 def test_mix(spark):
     df = documents(spark, 400, extra=True)
     got = balance.mix(df).collect()
@@ -300,10 +341,17 @@ def test_toxicity(spark):
     assert toxicity.score(df.limit(0), chain).count() == 0 and toxicity.fit([], toxicity.Params()).tag("x")[0] < 0.5
 
 
+def test_toxicity_of_documents_not_learned_from(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    chain = toxicity.train(docs, lab, learn=lambda c: common.id_remainder(c, 5) != 0)
+    held = toxicity.score(docs.select("doc_id", "text"), chain).join(lab, "doc_id").where(common.id_remainder("doc_id", 5) == 0).collect()
+    assert len(held) > 40 and sum(r.predicted == r.toxic for r in held) >= 0.93 * len(held)
+    assert sum(r.predicted for r in held if not r.toxic) <= 0.02 * len(held)
+
+
 def test_marginals_are_exact():
     """Runs of neutral words by powers give what the sum over all taggings gives."""
-    import numpy as np
-
     chain = toxicity.Chain({"=bad": 2.0, "=worse": 3.0}, -1.0, np.array([[0.5, -0.3], [-0.2, 0.4]]))
     text = "bad so so worse so bad so so so so"
     toks = text.split()
