@@ -57,11 +57,11 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select o_orderkey as k, cast(o_orderdate as date) as day, left(cast(o_orderdate as varchar), 10) as prefix, cast(cast(o_orderdate as date) as varchar) as token, case when o_orderkey % 4 = 0 then null else cast(o_orderdate as date) end as strict from orders""")
+select o_orderkey as k, cast(cast(o_orderdate as date) as varchar) as day, left(cast(o_orderdate as varchar), 10) as prefix, cast(cast(o_orderdate as date) as varchar) as token, case when o_orderkey % 4 = 0 then null else cast(cast(o_orderdate as date) as varchar) end as strict from orders""")
 def date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("t"))
     strict = C.timestamp_strict(F.when(F.col("k") % 4 != 0, F.col("t")))
-    return o.select("k", F.to_date("t").alias("day"), C.date_prefix("t").alias("prefix"), C.first_token("t").alias("token"), strict.cast("date").alias("strict"))
+    return o.select("k", F.to_date("t").cast("string").alias("day"), C.date_prefix("t").alias("prefix"), C.first_token("t").alias("token"), strict.cast("date").cast("string").alias("strict"))
 
 
 @query("""
@@ -134,4 +134,29 @@ def case_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cs.select("id", F.lit(True).alias("taken")).unionByName(failed.select("id", F.lit(False).alias("taken")))
 
 
+@query("""
+select k, replace(to_json({'k': k, 'name': name, 'note': note}), '</', '<\\/') as js from (select p_partkey as k, 'part ' || cast(p_partkey as varchar) || '</script>' as name, case when p_partkey % 2 = 0 then 'even' else 'odd' end as note from part) as p""")
+def embedded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as JSON that can stand in a script element of a review page."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit("part "), F.col("p_partkey").cast("string"), F.lit("</script>")).alias("name"), F.when(F.col("p_partkey") % 2 == 0, "even").otherwise("odd").alias("note"))
+    return p.select("k", files.embedded(p, "k", "name", "note").alias("js"))
+
+
+@query("""
+select cast(to_json({'case_id': source, 'id': cast(doc_id as varchar), 'lang': lang, 'note': null}) as varchar) as json from documents where source = 'src2' and doc_id = (select max(doc_id) from documents where source = 'src2')""")
+def document_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("case_id"), F.col("doc_id").cast("string").alias("id"), "lang", F.lit(None).cast("string").alias("note"), "doc_id")
+    last = d.where("case_id = 'src2'").agg(F.max("doc_id").cast("string")).first()[0]
+    return ingest.document_json(d.drop("doc_id"), "src2", last or "")
+
+
+@query("""
+select o_orderkey as k, 'Task.' || chr(10) || 'Order ' || cast(o_orderkey as varchar) as prompt, case when o_orderkey % 2 = 0 then 'own' else null end as completion from orders""")
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split records as training wants them, with a response for a completion."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    rows = o.select("k", F.concat(F.lit("Task.\nOrder "), F.col("k").cast("string")).alias("prompt"), F.when(F.col("k") % 2 == 0, "own").alias("response"))
+    return files.with_completion(rows).select("k", "prompt", "completion")
+
+
 __all__ = ["ORACLE", "QUERIES"]

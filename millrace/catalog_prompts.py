@@ -141,7 +141,7 @@ def eval_with_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select doc_id, case when doc_id % 7 = 0 then null else 1 + doc_id % 5 end as overall, case when doc_id % 7 = 0 then null else 1 + doc_id % 3 end as completeness, case when doc_id % 7 = 0 then null when doc_id % 2 = 0 then 'short' else '' end as rationale
+select doc_id, case when doc_id % 7 = 0 then null else cast(1 + doc_id % 5 as int) end as overall, case when doc_id % 7 = 0 then null else cast(1 + doc_id % 3 as int) end as completeness, case when doc_id % 7 = 0 then null when doc_id % 2 = 0 then 'short' else '' end as rationale
 from (select doc_id from documents where doc_id is not null group by doc_id) as d""")
 def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies of a judge, some fenced, some no JSON, written back to their records."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -36,10 +36,15 @@ def numeric_means(df: DataFrame) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
-    """(line, value) with the number of each line, blank ones counted; the first n only if n is given. A file is split by bytes,
-    so the numbers come from counts of earlier splits."""
-    rows = spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1], x[0])).toDF("line bigint, value string")
-    return rows.where(F.col("line") < n) if n else rows
+    """(line, value) with the number of each line, blank ones counted; the first n only if n is given. A file is split by bytes, so
+    a line's number is its place in its split and the lines of splits before, which one pass counts (one row a split)."""
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    rows = spark.read.text(path).select("value", *split, F.monotonically_increasing_id().alias("at"))
+    w = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("file", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("lines"))
+    counts = counts.select("file", "start", "first", F.coalesce(F.sum("lines").over(w), F.lit(0)).alias("before"))
+    out = rows.join(counts, ["file", "start"]).select((F.col("before") + F.col("at") - F.col("first")).alias("line"), "value")
+    return out.where(F.col("line") < n) if n else out
 
 
 def read_eval(spark: SparkSession, path: str, schema: str, n: int | None = None) -> DataFrame:
