@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -18,8 +20,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 _own_dir: list[str] = []
 #: when unused shuffle files were looked for last
 _swept = [0.0]
-#: tables written within scopes that are open
-_scopes: list[list[DataFrame]] = []
+
+
+class _Scopes(threading.local):
+    """Tables written within scopes that are open, of each thread."""
+
+    def __init__(self) -> None:
+        self.open: list[list[DataFrame]] = []
+
+
+_scopes = _Scopes()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="millrace-"))
@@ -41,8 +51,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
-    if _scopes:
-        _scopes[-1].append(out)
+    if _scopes.open:
+        _scopes.open[-1].append(out)
     del df
     swept(spark)
     return out
@@ -62,19 +72,21 @@ def swept(spark: SparkSession) -> None:
 
 
 def settled(work: Callable[[], DataFrame], name: str) -> DataFrame:
-    """The written result of some work; tables that the work wrote on its way are deleted."""
-    _scopes.append([])
+    """The written result of some work; tables that the work wrote on its way are deleted. The result's own table stays, as any
+    number of plans may read it; it is the caller's to delete (`forget`), or goes with the shared folder."""
+    scopes = _scopes.open
+    scopes.append([])
     try:
         result = work()
-        _scopes.append([])
+        scopes.append([])
         try:
             return written(result, name)
         finally:
-            final = _scopes.pop()
-            if len(_scopes) > 1:
-                _scopes[-2].extend(final)
+            final = scopes.pop()
+            if len(scopes) > 1:
+                scopes[-2].extend(final)
     finally:
-        forget(*_scopes.pop())
+        forget(*scopes.pop())
 
 
 def forget(*frames: DataFrame) -> None:

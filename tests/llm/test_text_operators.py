@@ -108,6 +108,27 @@ def test_join_of_a_copy_after_a_row_without_id(spark):
     assert got == {None: (None, 1), 2: (1, 1), 1: (1, 1)}
 
 
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace as Of
+
+    nothing = Of(get=lambda *_: None)
+    context = Of(getConf=lambda: nothing, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(Of(conf=nothing, sparkContext=context))
+    context.getCheckpointDir = lambda: "hdfs://shared/"
+    assert common.shared_dir(Of(conf=nothing, sparkContext=context)) == "hdfs://shared"
+
+
+def test_salted_joins_are_like_broadcast_ones(spark, monkeypatch):
+    """The side that is too large to broadcast is joined in salted parts, null keys included, the same rows each time."""
+    big = spark.range(500).select(F.when(F.col("id") % 5 != 0, F.col("id") % 7).alias("k"), F.col("id").alias("v"))
+    small = spark.createDataFrame([(i, i * 10) for i in range(5)] + [(None, 99)], "k bigint, x int")
+    want = sorted(map(tuple, common.small_join(big, small, ["k"]).collect()), key=str)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    assert sorted(map(tuple, common.small_join(big, small, ["k"]).collect()), key=str) == want
+    assert all((x == 99) == (k is None) for k, _, x in want)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(1, 300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.createDataFrame([(900, 800), (5, 5)], "a bigint, b bigint"))
     got = {r.node: r.component for r in components(edges).collect()}
@@ -146,7 +167,7 @@ def test_bpe_query(spark, reference_encoder):
 
 def test_token_counts(spark, reference_encoder, monkeypatch):
     monkeypatch.setattr(token_counts, "BLOCK", 64)
-    df = documents(spark, 40)
+    df = documents(spark, 40, extra=True).withColumns({c: F.lit("x") for c in ("file", "ordinal", "payload", "ends", "start")})
     got = {r.doc_id: r.n_tokens for r in token_counts.document_counts(df, RANKS, public_tokenizers.PATTERN, 50256).collect()}
     assert got == {r.doc_id: len(reference_encoder.encode_ordinary(r.text or "")) for r in df.collect()}
     assert token_counts.document_counts(df.limit(0), RANKS, public_tokenizers.PATTERN, 50256).count() == 0
