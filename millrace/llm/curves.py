@@ -8,14 +8,15 @@ precision of the original vectors.
 
 How wide the windows must be depends on the number of vectors and their spread. So the true neighbours of SAMPLE queries are
 found among all vectors (one pass), and windows are doubled until those lie within them by RECALL. Windows of more than HELD
-numbers are several cells to either side. Where the windows would hold more than twice the table, all cells of one ordering
-are searched, which is exact.
+numbers are several cells to either side. Orderings are kept as ids and keys; vectors join those that are searched. Where the
+windows of all orderings together would hold as many vectors as the table, all cells of one ordering are searched instead, which
+is less work and exact. Vectors without any structure (whose neighbours are hardly nearer than others) end there at every size.
 
 Equal vectors are indexed once, with the ids that can matter (the k + 1 smallest), so that a common vector fills no cell.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite components take no
 part, nor do rows without an id; rows that repeat an id and its vector count once; ties go to the smaller id; with at most
-CELL distinct vectors the result is exact; other columns are ignored; an empty table gives an empty result.
+CELL distinct vectors the result is exact, as it is where all cells are searched; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -96,10 +97,7 @@ def _placed(batches: Iterator[pa.RecordBatch], width: int, sigma: float, p: Para
             continue
         v = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
         for c, place in enumerate(places):
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, c, np.int32)), pa.array(place(v)), batch.column("rep"), batch.column("asks"), batch.column("embedding")], ["curve", "key", "rep", "asks", "embedding"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, c, np.int32)), pa.array(place(v)), batch.column("rep")], ["curve", "key", "rep"])
 
 
 def _held(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -159,30 +157,30 @@ def _nearest(batches: Iterator[pa.RecordBatch], asked: np.ndarray, ids: np.ndarr
     yield pa.RecordBatch.from_arrays(cols, ["rep", "near", "score"])
 
 
-def _window(placed: DataFrame, ranked: DataFrame, n: int, width: int, p: Params) -> tuple[int, int, bool]:
+def _window(vectors: DataFrame, ranked: DataFrame, n: int, width: int, p: Params) -> tuple[int, int, bool]:
     """Vectors in a cell, cells to either side of a query's, and whether all cells of one ordering are searched instead."""
+    most = max(p.cell, p.held // width)
+    whole = min(most, n), -(-n // min(most, max(n, 1))), True
     if n <= p.cell:
-        return p.cell, 1, False
-    vectors = placed.where("curve = 0").select("rep", "asks", "embedding")
+        return p.cell, 1, True
     some = vectors.where("asks").orderBy(F.xxhash64(F.lit(p.seed), "rep"), "rep").limit(p.sample).collect()
     if not some:
-        return p.cell, 1, False
+        return whole
     ids, asked = np.array([r["rep"] for r in some], np.int64), np.array([r["embedding"] for r in some], np.float64)
-    shared = placed.sparkSession.sparkContext.broadcast((asked, ids))  # p.sample vectors at most
+    shared = vectors.sparkSession.sparkContext.broadcast((asked, ids))  # p.sample vectors at most
     best = vectors.select("rep", "embedding").mapInArrow(lambda it: _nearest(it, *shared.value, p.k), "rep bigint, near bigint, score double")
     best = best.where(F.col("score") > float("-inf")).withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("score"), "near"))).where(F.col("r") <= p.k)
     pairs = np.array([(r["rep"], r["near"]) for r in best.select("rep", "near").collect()], np.int64)
-    met = placed.sparkSession.createDataFrame([(int(i),) for i in np.unique(pairs)], "rep bigint")  # (p.k + 1) * p.sample at most
+    met = vectors.sparkSession.createDataFrame([(int(i),) for i in np.unique(pairs)], "rep bigint")  # (p.k + 1) * p.sample at most
     places = ranked.join(F.broadcast(met), "rep").select("curve", "rep", "rank").toPandas()
     order = places.pivot(index="rep", columns="curve", values="rank")
     a, b = order.loc[pairs[:, 0]].to_numpy(np.int64), order.loc[pairs[:, 1]].to_numpy(np.int64)
-    most, window = max(p.cell, p.held // width), p.cell
+    window = p.cell
     while True:
         cell = min(window, most)
         reach = -(-window // cell)
-        if window > p.cell and p.curves * (2 * reach + 1) * cell > 2 * n:
-            cell = min(most, n)
-            return cell, -(-n // cell), True
+        if p.curves * (2 * reach + 1) * cell >= n:
+            return whole
         if (np.abs(a // cell - b // cell) <= reach).any(axis=1).mean() >= p.recall:
             return cell, reach, False
         window *= 2
@@ -210,9 +208,11 @@ def _search(vectors: DataFrame, asks: Column, p: Params) -> DataFrame:
     asking = common.written(sound.where("asks").select("vec_id", *same).distinct(), "curves-queries")
     distinct = sound.groupBy(*same).agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("rep"), F.max("asks").alias("asks"))
 
-    placed = distinct.select("rep", "asks", F.col("embedding").cast("array<float>").alias("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else "embedding")
-    kind = dict(placed.dtypes)["embedding"]
-    placed = placed.mapInArrow(lambda it: _placed(it, width, sigma, p), f"curve int, key bigint, rep bigint, asks boolean, embedding {kind}")
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
+    distinct = distinct.select("rep", "asks", F.col("embedding").cast("array<float>").alias("embedding") if single else "embedding")
+    distinct = common.written(distinct, "curves-vectors")
+    # orderings hold ids alone; vectors join those that are searched
+    placed = distinct.select("rep", "embedding").mapInArrow(lambda it: _placed(it, width, sigma, p), "curve int, key bigint, rep bigint")
     placed = placed.repartitionByRange("curve", "key", "rep").sortWithinPartitions("curve", "key", "rep").withColumn("at", F.monotonically_increasing_id())
     placed = common.written(placed, "curves-orderings")
     # the rank of a row in its ordering: its place in its partition, and the rows of partitions before
@@ -220,10 +220,10 @@ def _search(vectors: DataFrame, asks: Column, p: Params) -> DataFrame:
     runs = placed.groupBy("curve", part.alias("part")).agg(F.min("at").alias("start"), F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = common.written(runs.withColumn("offset", before).drop("n"), "curves-runs")
-    ranked = common.small_join(placed.withColumn("part", part), runs, ["curve", "part"]).withColumn("rank", F.col("offset") + F.col("at") - F.col("start"))
-    n = placed.where("curve = 0").count()
-    size, reach, whole = _window(placed, ranked, n, width, p)
-    cells = (ranked.where("curve = 0") if whole else ranked).withColumn("cell", F.floor(F.col("rank") / size))
+    ranked = common.small_join(placed.withColumn("part", part), runs, ["curve", "part"]).select("curve", "rep", (F.col("offset") + F.col("at") - F.col("start")).alias("rank"))
+    n = distinct.count()
+    size, reach, whole = _window(distinct, ranked, n, width, p)
+    cells = (ranked.where("curve = 0") if whole else ranked).join(distinct, "rep").withColumn("cell", F.floor(F.col("rank") / size))
 
     held = cells.select("curve", "cell", F.lit(0).alias("side"), "rep", "embedding")
     around = F.sequence(F.greatest(F.col("cell") - reach, F.lit(0)), F.least(F.col("cell") + reach, F.lit(max(n - 1, 0) // size)))
