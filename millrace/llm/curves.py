@@ -16,7 +16,8 @@ Equal vectors are indexed once, with the ids that can matter (the k + 1 smallest
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite components take no
 part, nor do rows without an id; rows that repeat an id and its vector count once; ties go to the smaller id; with at most
-CELL distinct vectors the result is exact, as it is where all cells are searched; other columns are ignored; an empty table gives an empty result.
+CELL distinct vectors the result is exact, as it is where all cells are searched; other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ class Params:
     curves: int = 16
     dims: int = 8
     bits: int = 7
-    #: vectors in a cell
-    cell: int = 2048
+    #: vectors in a cell, to begin with: windows grow as the sampled queries need
+    cell: int = 256
     seed: int = 11
     #: queries whose true neighbours are looked up, and the share of those that windows must reach
     sample: int = 200
