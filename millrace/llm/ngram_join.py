@@ -7,7 +7,6 @@ et al. 2006, Xiao et al. 2008). So only these columns are multiplied:
 1. shingles that many documents share are counted over all texts (exactly where prefixes are mostly made of them) and ordered
    last;
 2. each class of equal sets gives the columns of its prefix once;
-   columns of frequent shingles are cut into bands of set sizes, as the similarity bounds the ratio of sizes;
 3. columns of up to BLOCK sets are multiplied out, overlaps are summed for each pair, and pairs below their bound go;
 4. in wider columns all sets are first held against one pivot, then against some of the largest component. Where sets still
    lie in several components, their prefixes are multiplied in blocks: one side holds a block, the other streams by, and rows of
@@ -27,7 +26,6 @@ Shingles are compared by 64-bit hashes, sets by 128-bit hashes.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -138,8 +136,8 @@ def frequent(docs: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
     so that a prefix is made of low hashes: these are counted exactly, and of the others those that a task meets again and again."""
     low = int(1.5 * (1 - p.num / p.den + 0.02) * 2**64)
     found = docs.select("text").mapInArrow(lambda it: _frequent(it, p.words, min(low, 2**64 - 1)), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= BLOCK)
-    top = found.orderBy(F.desc("c"), "h").limit(MAX_FREQUENT).toPandas()
-    h = top["h"].to_numpy(np.int64).view(np.uint64)
+    top = found.orderBy(F.desc("c"), "h").limit(MAX_FREQUENT).select("h").toArrow()
+    h = top["h"].to_numpy().astype(np.int64).view(np.uint64)
     rank = np.arange(len(h) - 1, -1, -1, dtype=np.uint64)  # rarer first
     order = np.argsort(h)
     return h[order], rank[order]
@@ -394,10 +392,10 @@ def _counted(edges: DataFrame, wide: DataFrame, docs: DataFrame, p: Params) -> D
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id and text of documents, those in ids and few others: a table of FILTER bits tells by a hash of the id which may be."""
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER))
-    found = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).collect()
-    table = np.zeros(FILTER // 64, np.int64)  # FILTER // 64 rows at most
-    for at, bits in found:
-        table[at] = bits
+    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    words = words.toArrow()  # FILTER // 64 rows at most
+    table = np.zeros(FILTER // 64, np.int64)
+    table[words["at"].to_numpy()] = words["bits"].to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
@@ -438,19 +436,14 @@ def _join(docs: DataFrame, p: Params, count: bool = True) -> DataFrame:
     entries = classes.select("node", F.explode("prefix").alias("key"))
     least = F.min(F.struct(F.expr(_n("node")).alias("n"), "node"))
     width = lambda df: df.groupBy("key").agg(F.count(F.lit(1)).alias("width"), least["node"].alias("pivot")).where("width > 1")
-    rare = entries.where("key < 0").repartition("key").withColumn("home", F.lit(True))
-    # columns of frequent shingles (from 0 up, MAX_FREQUENT at most) are cut by the sets' sizes: a set stands in its own band and,
-    # for those up to the similarity larger, in the next. They are counted without dealing their sets out by column
-    band = F.floor(F.log(F.expr(_n("node")).cast("double")) / F.lit(math.log(p.den / p.num) * (1 + 1e-6)))
-    often = entries.where("key >= 0").withColumn("band", band)
-    often = often.select("node", F.col("key").alias("shingle"), "band", F.explode(F.array(F.lit(True), F.lit(False))).alias("home"))
-    often = often.select("node", F.xxhash64("shingle", F.when(F.col("home"), F.col("band")).otherwise(F.col("band") + 1)).alias("key"), "home")
+    # columns of frequent shingles (from 0 up, MAX_FREQUENT at most) are counted without dealing their sets out by column
+    rare, often = entries.where("key < 0").repartition("key"), entries.where("key >= 0")
     columns = rare.join(width(rare), "key").unionByName(common.small_join(often, width(often), ["key"], "inner"))
     columns = common.written(columns, "join-columns")
 
     a, b = columns.where(F.col("width") <= BLOCK).alias("a"), columns.where(F.col("width") <= BLOCK).alias("b")
     na, nb = _n("a.node"), _n("b.node")
-    pairs = a.join(b, F.expr(f"a.key = b.key and (a.home or b.home) and a.node < b.node and {p.den} * least({na}, {nb}) >= {p.num} * greatest({na}, {nb})"))
+    pairs = a.join(b, F.expr(f"a.key = b.key and a.node < b.node and {p.den} * least({na}, {nb}) >= {p.num} * greatest({na}, {nb})"))
     counts = pairs.groupBy(F.col("a.node").alias("x"), F.col("b.node").alias("y")).agg(F.count(F.lit(1)).alias("c"))
     nx, ny = _n("x"), _n("y")
     bound = f"{p.overlap_sql(nx, ny)} - greatest({nx} - {p.prefix_sql(nx)}, {ny} - {p.prefix_sql(ny)})"
