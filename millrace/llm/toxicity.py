@@ -89,6 +89,7 @@ class Chain:
 
     def __post_init__(self) -> None:
         self.known: dict[str, float | None] = {}
+        self.sizes = sorted({len(f) - 1 for f in self.weights if f[0] == "^"})
         self.neutral = np.exp(self.trans) * np.array([1.0, np.exp(self.bias)])  # previous tag by tag, with the tag's potential
         self.powers = [np.eye(2)]
         for _ in range(MAX_RUN):
@@ -103,7 +104,9 @@ class Chain:
         if got is self:
             if len(self.known) > 100_000:
                 self.known.clear()
-            found = [self.weights[f] for f in features(word) if f in self.weights]
+            w, weights = word.lower(), self.weights
+            names = ["=" + w, "$" + w[-5:], *[f"^{w[:k]}" for k in self.sizes if k < len(w)]]
+            found = [weights[f] for f in names if f in weights]
             got = self.known[word] = sum(found) if found else None
         return got
 
@@ -238,19 +241,21 @@ def fit(rows: list[tuple[str, int]], p: Params) -> Chain:
     """A chain from (text, toxic) rows."""
     if len({bool(t) for _, t in rows}) < 2:
         return Chain({}, -30.0, np.zeros((2, 2)), p.span)
+    shared: dict[str, str] = {}  # each distinct word is held once
+    tokens = [[shared.setdefault(w, w) for w in TOKEN.findall(text or "")] for text, _ in rows]
     # the function of the score, from chains that have not seen the rows; copies are on one side
-    half = [zlib.crc32(" ".join(_least(TOKEN.findall(text or ""))).encode()) % 2 for text, _ in rows]
+    half = [zlib.crc32(" ".join(_least(words)).encode()) % 2 for words in tokens]
     seen, toxic = [], []
     for k in (0, 1):
-        learned = [r for r, h in zip(rows, half, strict=True) if h != k]
-        if len({bool(t) for _, t in learned}) < 2:
-            learned = rows
-        chain = _fit(learned, p)
+        learned = [i for i, h in enumerate(half) if h != k]
+        if len({bool(rows[i][1]) for i in learned}) < 2:
+            learned = range(len(rows))
+        chain = _fit([rows[i] for i in learned], [tokens[i] for i in learned], p)
         for (text, t), h in zip(rows, half, strict=True):
             if h == k and (x := chain.summary(text)[0]) is not None:
                 seen.append(x)
                 toxic.append(bool(t))
-    chain = _fit(rows, p)
+    chain = _fit(rows, tokens, p)
     marks = any(not f.startswith("#") for f in chain.weights)
     return replace(chain, final=_logistic(np.array(seen).reshape(-1, 3), np.array(toxic, float)) if marks else None)
 
@@ -268,8 +273,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
-def _fit(rows: list[tuple[str, int]], p: Params) -> Chain:
-    tokens = [TOKEN.findall(text or "") for text, _ in rows]
+def _fit(rows: list[tuple[str, int]], tokens: list[list[str]], p: Params) -> Chain:
     by_class = [[w for w, (_, t) in zip(tokens, rows, strict=True) if bool(t) == v] for v in (False, True)]
     best = cover(_unlike(by_class[1]), _unlike(by_class[0]), p)
     names = [*best, *SHAPES]
