@@ -7,15 +7,22 @@ the branches behind it; a file's root stands for all of it. Two replicas are com
 differ, level by level, until the records remain that are changed, missing or extra.
 
 Records of a file are numbered by ordered ids, so that both replicas number alike; an id that only one replica has keeps its own
-leaf position. A file has at most FILE records, files are named by ranges of ids, so no task holds more than a file.
+leaf position. A file has the records of FILE ids, files are named by ranges of ids. Each level of a tree is written once; from
+the roots down, a level is joined with the open nodes above it alone.
+
+`archives` makes WARC files of pages, `records` reads the records of such files with their offsets, so that `audit` can be held
+against files as they lie: the bytes of a file from a record's start to its end are the record.
 
 Defined results: a null html is an empty payload, a null url an empty target; rows without an id take no part; of rows with one
-id all versions are hashed together in order of their hash, so repeated rows in one replica only show as a change; identical
-replicas give no rows; an empty replica gives all records of the other as missing or extra; other columns are ignored.
+id all versions are hashed together, whatever their order and number (sums of their hashes), so repeated rows in one replica
+only show as a change; identical replicas give no rows; an empty replica gives all records of the other as missing or extra; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +46,13 @@ def leaves(pages: DataFrame) -> DataFrame:
     """file, slot (place in the file), page_id, start, end and hash of each record."""
     rec = record(F.col("url"), F.col("page_id"), F.col("html"))
     rows = pages.where("page_id is not null").select(F.col("page_id").cast("bigint").alias("page_id"), F.sha2(rec.cast("binary"), 256).alias("h"), F.octet_length(rec).cast("bigint").alias("len"))
-    rows = rows.groupBy("page_id").agg(F.array_sort(F.collect_list("h")).alias("hs"), F.sum("len").alias("len"))
+    # versions of one id are summed up, not gathered: four pieces of 60 bits of their hashes
+    pieces = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
+    rows = rows.groupBy("page_id").agg(F.when(F.count(F.lit(1)) == 1, F.max("h")).otherwise(F.concat_ws(",", F.count(F.lit(1)).cast("string"), *pieces)).alias("h"), F.sum("len").alias("len"))
     file = F.floor(F.col("page_id") / FILE)
     before = Window.partitionBy("file").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("file", file).withColumn("start", F.coalesce(F.sum("len").over(before), F.lit(0))).withColumn("end", F.col("start") + F.col("len"))
-    return rows.select("file", F.pmod("page_id", F.lit(FILE)).alias("slot"), "page_id", "start", "end", F.sha2(F.array_join("hs", ","), 256).alias("hash"))
+    return rows.select("file", F.pmod("page_id", F.lit(FILE)).alias("slot"), "page_id", "start", "end", F.sha2("h", 256).alias("hash"))
 
 
 def tree(leaf: DataFrame) -> list[DataFrame]:
@@ -54,7 +63,7 @@ def tree(leaf: DataFrame) -> list[DataFrame]:
         kids = F.array_sort(F.collect_list(F.struct("node", "start", "end", "hash")))  # FAN at most
         up = below.groupBy("file", F.floor(F.col("node") / FAN).alias("up")).agg(kids.alias("kids"), F.min("start").alias("start"), F.max("end").alias("end"))
         named = F.transform("kids", lambda k: F.concat_ws(":", k["node"], k["start"] - F.col("start"), k["end"] - F.col("start"), k["hash"]))
-        out.append(up.select("file", F.col("up").alias("node"), "start", "end", F.sha2(F.array_join(named, ","), 256).alias("hash")))
+        out.append(common.written(up.select("file", F.col("up").alias("node"), "start", "end", F.sha2(F.array_join(named, ","), 256).alias("hash")), "fixity-level"))
     return out
 
 
@@ -84,6 +93,39 @@ def _audit(left: DataFrame, right: DataFrame) -> DataFrame:
     return out.select(F.coalesce("p", "q").alias("page_id"), "file", kind.alias("kind"), "left_start", "left_end", "right_start", "right_end")
 
 
+def archives(pages: DataFrame) -> DataFrame:
+    """file and warc (the file's bytes) of pages: the records of FILE ids one after another."""
+    rows = pages.where("page_id is not null").select(F.col("page_id").cast("bigint").alias("page_id"), record(F.col("url"), F.col("page_id"), F.col("html")).alias("r"))
+    in_order = F.array_sort(F.collect_list(F.struct("page_id", "r")))
+    return rows.groupBy(F.floor(F.col("page_id") / FILE).alias("file")).agg(F.array_join(F.transform(in_order, lambda x: x["r"]), "").cast("binary").alias("warc"))
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for file, data in zip(batch.column("file").to_pylist(), batch.column("warc").to_pylist(), strict=True):
+            at, rows = 0, []
+            while data and at < len(data):
+                head = data.find(b"\r\n\r\n", at)
+                lines = data[at:head].decode().split("\r\n") if head >= 0 else [""]
+                if not lines[0].startswith("WARC/"):
+                    raise ValueError(f"file {file}: no record at {at}")
+                fields = dict(x.split(": ", 1) for x in lines[1:])
+                end = head + 4 + int(fields["Content-Length"]) + 4
+                if data[end - 4 : end] != b"\r\n\r\n":
+                    raise ValueError(f"file {file}: the record at {at} is cut")
+                rows.append((int(fields["WARC-Record-ID"][10:-1]), fields["WARC-Target-URI"], data[head + 4 : end - 4].decode("utf-8", "surrogatepass"), file, at, end))
+                at = end
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            for k in range(0, len(rows), 256):
+                cols = list(zip(*rows[k : k + 256], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], ["page_id", "url", "html", "file", "start", "end"])
+
+
+def records(files: DataFrame) -> DataFrame:
+    """page_id, url, html, file, start and end of the records of WARC files (file, warc). What is no record is an error."""
+    return files.select(F.col("file").cast("bigint").alias("file"), "warc").mapInArrow(_records, "page_id bigint, url string, html string, file bigint, start bigint, end bigint")
+
+
 def damaged(pages: DataFrame) -> DataFrame:
     """A second replica with known faults, by id: 7 of 1009 loses its record, 11 of 1013 has a byte turned, 13 of 1019 is cut
     short."""

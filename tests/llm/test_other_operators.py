@@ -197,6 +197,24 @@ def test_fixity(spark):
     assert warc_fixity.audit(pages.limit(0), pages).count() == pages.count()
 
 
+def test_archives_keep_records_at_their_offsets(spark):
+    rows = [(i, f"http://x/{i}", "é" * (i % 7) + "<p>\r\n\r\n</p>") for i in range(5000) if i % 3] + [(9, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    files = warc_fixity.archives(pages)
+    got = warc_fixity.records(files)
+    assert sorted((r.page_id, r.url, r.html) for r in got.collect()) == sorted((i, u or "", h or "") for i, u, h in rows)
+    other = got.where("page_id <> 4").withColumn("html", F.when(F.col("page_id") == 4100, F.lit("new")).otherwise(F.col("html")))
+    found = {r.page_id: r for r in warc_fixity.audit(got, other).collect()}
+    assert {i: r.kind for i, r in found.items()} == {4: "missing", 4100: "changed"}
+    data = {r.file: bytes(r.warc) for r in files.collect()}
+    assert all(f"<urn:page:{i}>".encode() in data[r.file][r.left_start : r.left_end][:80] for i, r in found.items())
+    with pytest.raises(Exception, match="is cut"):
+        warc_fixity.records(files.withColumn("warc", F.expr("substring(warc, 1, length(warc) - 3)"))).count()
+    # any number of versions of an id, in any order
+    many = spark.createDataFrame([(1, "u", f"v{i}") for i in range(50)], "page_id bigint, url string, html string")
+    assert warc_fixity.audit(many, many.orderBy(F.desc("html"))).count() == 0 and warc_fixity.audit(many, many.where("html <> 'v7'")).count() == 1
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Every stage on rows with nulls, repeats and clashing columns, on none, and as a whole."""
     import corpus_pipeline as p
