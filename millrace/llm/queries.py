@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balance, bpe, common, curves, ngram_join, periodic, quality_mcd, style_tree, suffix_tree, token_counts, toxicity, warc_fixity
+from . import balance, bpe, common, curves, kd_shards, ngram_join, periodic, quality_mcd, style_tree, suffix_tree, token_counts, toxicity, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.detect(_table(spark, sf_dir, "documents"))
 
 
+def op12_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.shard(_table(spark, sf_dir, "documents"), 8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity_crf": op2_toxicity_crf,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_entropy_balance": op9_entropy_balance,
     "op10_style_tree": op10_style_tree,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_kd_shards": op12_kd_shards,
 }
 
 #: bytes of a record besides id, url, length and html
