@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balance, bpe, common, curves, kd_shards, ngram_join, periodic, quality_mcd, style_tree, suffix_tree, token_counts, toxicity, warc_fixity
+from . import alignment, balance, bpe, common, curves, kd_shards, ngram_join, periodic, quality_mcd, style_tree, suffix_tree, token_counts, toxicity, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op12_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.shard(_table(spark, sf_dir, "documents"), 8)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity_crf": op2_toxicity_crf,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_style_tree": op10_style_tree,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_kd_shards": op12_kd_shards,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 #: bytes of a record besides id, url, length and html
