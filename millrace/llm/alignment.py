@@ -22,6 +22,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ from . import common
 
 #: pieces of text after which a chunk ends, and pieces that a worker keeps encoded
 CHUNK, CACHE = 1 << 20, 400_000
-#: pieces encoded at once
-BLOCK = 20_000
+#: pieces encoded at once, and texts looked through at once
+BLOCK, ROWS = 20_000, 128
 
 RESULT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -53,6 +54,28 @@ def byte_values() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Grown:
+    """An array that rows are put to; room doubles."""
+
+    def __init__(self, kind: type, *shape: int) -> None:
+        self.room, self.n = np.zeros((1024, *shape), kind), 0
+
+    def extend(self, rows: np.ndarray) -> None:
+        while self.n + len(rows) > len(self.room):
+            self.room = np.concatenate([self.room, np.zeros_like(self.room)])
+        self.room[self.n : self.n + len(rows)] = rows
+        self.n += len(rows)
+
+    @property
+    def rows(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
+def _ranges(starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """The numbers of all places of some ranges."""
+    return np.repeat(starts - np.cumsum(widths) + widths, widths) + np.arange(widths.sum())
+
+
 class Units:
     """Both tokenizers, and the pieces of text that were encoded: each a number, under which its results lie."""
 
@@ -76,14 +99,17 @@ class Units:
         #: no piece goes on after its first character other than a space into another space, or holds a line feed
         self.cuts = not any(re.search("[^▁]▁|\n", p) for i, p in enumerate(pieces) if not (self.b.is_control(i) or self.b.is_unknown(i)))
         self.space = self.b.piece_to_id("▁")
-        self.clear()
-
-    def clear(self) -> None:
+        # ids as they are written: A's within a group and at its end, B's within and at the end
+        m, n = len(self.a_size), len(pieces)
+        self.written = [f"{i}{c}" for k, c in ((m, ","), (m, "|"), (n, ","), (n, ";")) for i in range(k)]
+        self.width = np.array([len(t) for t in self.written], np.int64)
         self.number: dict[str, int] = {}
-        self.text: list[str] = []  # groups as they are written
-        self.same: list[bool] = []
-        self.shape: list[tuple[int, int, int, int]] = []
-        self.keys: list[np.ndarray] = []
+        self.text: list[str] = []  # groups, each piece's closed by a semicolon
+        self.shape = Grown(np.int64, 4)  # tokens of A, of B, groups, links
+        self.same = Grown(np.bool_)
+        self.seen = Grown(np.int64)
+        self.keys = Grown(np.int64)  # links of all pieces one after another
+        self.start = Grown(np.int64)
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of space + text; one that begins with a space, and goes on with neither a space nor a line feed, has lost it."""
@@ -99,40 +125,59 @@ class Units:
 
     def _add(self, new: list[str]) -> None:
         plain = [p if p[0] in " \n" else " " + p for p in new]
-        raw = [p.encode() for p in plain]
         a = [e.ids for e in self.a.encode_batch(plain, add_special_tokens=False)]
         b = self.b.encode([p[1:] if p[0] == " " else p for p in plain], num_threads=1)  # which adds a space
-        b = [ids[1:] if p[0] == "\n" and ids[:1] == [self.space] else ids for p, ids in zip(plain, b)]
-        spelt = b"".join(map(self.b_bytes.__getitem__, (i for ids in b for i in ids)))
-        same = [True] * len(new)
-        if spelt != b"".join(raw):
-            same = [b"".join(map(self.b_bytes.__getitem__, ids)) == t for ids, t in zip(b, raw)]
+        for k, p in enumerate(plain):
+            if p[0] == "\n" and b[k][:1] == [self.space]:
+                b[k] = b[k][1:]
+        raw, same = [p.encode() for p in plain], np.ones(len(new), np.bool_)
+        if b"".join(map(self.b_bytes.__getitem__, chain.from_iterable(b))) != b"".join(raw):
             # pieces that B does not spell get no links; texts with one have none
-            a, b = [x if ok else [] for x, ok in zip(a, same)], [x if ok else [] for x, ok in zip(b, same)]
-        flat_a, flat_b = np.fromiter((i for x in a for i in x), np.int64), np.fromiter((i for x in b for i in x), np.int64)
+            same = np.array([b"".join(map(self.b_bytes.__getitem__, ids)) == t for ids, t in zip(b, raw)])
+            a, b = ([x if ok else [] for x, ok in zip(ids, same)] for ids in (a, b))
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(new)) for x in (a, b))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64, n.sum()) for x, n in ((a, n_a), (b, n_b)))
         end_a, end_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
-        unit = np.cumsum([len(t) if ok else 0 for t, ok in zip(raw, same)])
-        ends = np.union1d(end_a, end_b)
-        at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        keys = flat_a[at_a] << 32 | flat_b[at_b]
-        links = np.searchsorted(ends, unit, "right")  # links up to the end of each piece
-        shared = np.intersect1d(end_a, end_b)
-        groups = np.searchsorted(shared, unit, "right")
-        to_a, to_b = np.searchsorted(end_a, shared) + 1, np.searchsorted(end_b, shared) + 1
-        list_a, list_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        written, i, j = [], 0, 0
-        for x, y in zip(to_a.tolist(), to_b.tolist()):
-            written.append(f"{','.join(list_a[i:x])}|{','.join(list_b[j:y])}")
-            i, j = x, y
-        first, g0, l0 = len(self.text), 0, 0
-        for k, p in enumerate(new):
-            g1, l1 = int(groups[k]), int(links[k])
-            self.number[p] = first + k
-            self.text.append(";".join(written[g0:g1]))
-            self.same.append(same[k])
-            self.shape.append((len(a[k]), len(b[k]), g1 - g0, l1 - l0))
-            self.keys.append(keys[l0:l1].copy())
-            g0, l0 = g1, l1
+        unit = np.cumsum(np.fromiter(map(len, raw), np.int64, len(new)) * same)
+        both = np.sort(np.concatenate([end_a, end_b]))
+        twice = both[1:] == both[:-1]
+        shared, ends = both[1:][twice], both[np.concatenate([~twice, [True] * (len(both) > 0)]).astype(np.bool_)]
+        keys = flat_a[np.searchsorted(end_a, ends)] << 32 | flat_b[np.searchsorted(end_b, ends)]
+        links, groups = (np.diff(np.searchsorted(x, unit, "right"), prepend=0) for x in (ends, shared))
+        # the groups as they are written: A's tokens of a group, then B's
+        m, n = len(self.a_size), len(self.b_bytes)
+        group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+        last_a, last_b = (np.concatenate([g[1:] != g[:-1], [True] * (len(g) > 0)]).astype(np.bool_) for g in (group_a, group_b))
+        entry = np.concatenate([flat_a + m * last_a, 2 * m + flat_b + n * last_b])
+        place = np.concatenate([np.arange(len(flat_a)) + np.searchsorted(group_b, group_a), np.arange(len(flat_b)) + np.searchsorted(group_a, group_b, "right")])
+        order = np.zeros(len(entry), np.int64)
+        order[place] = entry
+        text = "".join(map(self.written.__getitem__, order.tolist()))
+        upto = np.concatenate([[0], np.cumsum(self.width[order])])[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
+        first = len(self.text)
+        self.number.update(zip(new, range(first, first + len(new))))
+        self.text += [text[i:j] for i, j in zip(upto, upto[1:])]
+        self.shape.extend(np.stack([n_a, n_b, groups, links], axis=1))
+        self.same.extend(same)
+        self.seen.extend(np.zeros(len(new), np.int64))
+        self.start.extend(self.keys.n + np.cumsum(links) - links)
+        self.keys.extend(keys)
+
+    def thin(self, most: int) -> None:
+        """Keep the pieces that were seen most often, so many at most; all get other numbers."""
+        seen = self.seen.rows
+        least = 2
+        while np.count_nonzero(seen >= least) > most:
+            least *= 2
+        kept = np.flatnonzero(seen >= least)
+        links = self.shape.rows[kept, 3]
+        keys = self.keys.rows[_ranges(self.start.rows[kept], links)]
+        names = list(self.number)  # in order of their numbers
+        self.number = {names[i]: k for k, i in enumerate(kept.tolist())}
+        self.text = [self.text[i] for i in kept.tolist()]
+        for grown, rows in ((self.shape, self.shape.rows[kept]), (self.same, self.same.rows[kept]), (self.seen, np.ones(len(kept), np.int64)), (self.start, np.cumsum(links) - links), (self.keys, keys)):
+            grown.n = 0
+            grown.extend(rows)
 
 
 class Chunk:
@@ -141,31 +186,35 @@ class Chunk:
     def __init__(self) -> None:
         self.ids, self.counts, self.shas, self.units, self.size = [], [], [], [], 0
 
-    def add(self, doc_id: int | None, units: list[int], u: Units) -> None:
-        if units and not all(map(u.same.__getitem__, units)):
-            units = []
+    def add(self, doc_id: int | None, numbers: list[int], u: Units) -> None:
+        units = np.array(numbers, np.int64)
+        if not u.same.rows[units].all():
+            numbers, units = [], units[:0]
         self.ids.append(doc_id)
-        self.units.append(np.array(units, np.int32))
-        self.counts.append(np.array([u.shape[i] for i in units], np.int64).sum(axis=0).tolist() if units else [0] * 4)
-        self.shas.append(hashlib.sha256(";".join(map(u.text.__getitem__, units)).encode()).hexdigest() if units else "")
-        self.size += len(units)
+        self.units.append(units.astype(np.int32))
+        self.counts.append(u.shape.rows[units].sum(axis=0))
+        self.shas.append(hashlib.sha256("".join(map(u.text.__getitem__, numbers))[:-1].encode()).hexdigest() if numbers else "")
+        self.size += len(numbers)
 
     def row(self, u: Units) -> pa.RecordBatch:
-        sizes = np.array([len(x) for x in self.units], np.int32)
-        used, units = np.unique(np.concatenate(self.units) if self.size else np.zeros(0, np.int32), return_inverse=True)
-        widths = np.array([len(u.keys[i]) for i in used.tolist()], np.int32)
-        keys, pairs = np.unique(np.concatenate([u.keys[i] for i in used.tolist()]) if len(used) else np.zeros(0, np.int64), return_inverse=True)
+        sizes, every = np.array([len(x) for x in self.units], np.int32), np.concatenate(self.units)
+        times = np.bincount(every, minlength=len(u.text))
+        u.seen.rows[:] += times
+        used = np.flatnonzero(times)
+        units = (np.cumsum(times > 0) - 1)[every]
+        widths = u.shape.rows[used, 3]
+        keys, pairs = np.unique(u.keys.rows[_ranges(u.start.rows[used], widths)], return_inverse=True)
         # in how many documents: of the pairs of a document, that which was written last under its number counts
-        starts, counts, mark = np.cumsum(widths) - widths, np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32)
-        for own in np.split(units, np.cumsum(sizes)[:-1]):
-            own = np.unique(own)
-            n = widths[own]
-            held = pairs[np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        starts, counts, mark, at = np.cumsum(widths) - widths, np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32), 0
+        for n in sizes.tolist():
+            own = units[at : at + n]
+            held = pairs[_ranges(starts[own], widths[own])]
             order = np.arange(len(held), dtype=np.int32)
             mark[held] = order
             counts[held[mark[held] == order]] += 1
-        packed = [x.tobytes() for x in (sizes, units.astype(np.int32), widths, pairs.astype(np.int32), keys, counts)]
-        values = [uuid.uuid4().hex, self.ids, *map(list, zip(*self.counts)), self.shas, *packed]
+            at += n
+        packed = [x.tobytes() for x in (sizes, units.astype(np.int32), widths.astype(np.int32), pairs.astype(np.int32), keys, counts)]
+        values = [uuid.uuid4().hex, self.ids, *np.array(self.counts).T, self.shas, *packed]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _CHUNK)], schema=_CHUNK)
 
 
@@ -174,16 +223,16 @@ def _gather(batches: Iterator[pa.RecordBatch], shared: dict, chunk: int, cache:
         shared["units"] = Units(shared["a"], shared["b"])
     u, now = shared["units"], Chunk()
     for batch in batches:
-        for k in range(0, batch.num_rows, 128):
-            rows = [(i, u.pieces(t) if t else []) for i, t in zip(batch.column("doc_id").slice(k, 128).to_pylist(), batch.column("text").slice(k, 128).to_pylist())]
-            u.add([p for p in dict.fromkeys(p for _, ps in rows for p in ps) if p not in u.number])
+        for k in range(0, batch.num_rows, ROWS):
+            rows = [(i, u.pieces(t) if t else []) for i, t in zip(batch.column("doc_id").slice(k, ROWS).to_pylist(), batch.column("text").slice(k, ROWS).to_pylist())]
+            u.add(list({p for _, ps in rows for p in ps if p not in u.number}))
             for i, ps in rows:
                 now.add(i, list(map(u.number.__getitem__, ps)), u)
             if now.size >= chunk or len(now.ids) >= chunk // 8 or len(u.text) >= cache:
                 yield now.row(u)
                 now = Chunk()
                 if len(u.text) >= cache:
-                    u.clear()
+                    u.thin(cache // 2)
     if now.ids:
         yield now.row(u)
 
