@@ -1,7 +1,6 @@
 """Ingestion of nested cases: flattening, upsert, payload archive, checkpoint and run log, as set operations on tables.
 
-A warehouse is a folder of Parquet tables. A table's current snapshot is a subfolder that a one-row pointer table names, so a
-table can be read while its next snapshot is written; plain Parquet has no row-level merge.
+A run is one commit of the warehouse: its cases, dockets, documents, payloads, rejects, checkpoint and record appear together.
 """
 
 from __future__ import annotations
@@ -12,10 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
 
 from ..functions.scalar import canonical_json, timestamp_or_null, timestamp_strict
 from ..functions.text import or_else
+from ..sources import elements
+from . import warehouse
 from .parse import heuristic_summary
 
 CASES = "id string, name string, court string, state string, jurisdiction string, status string, updated_at_remote timestamp, documents_url string, dockets_url string, metadata_json string"
@@ -31,48 +31,37 @@ RUNS = (
     "id string, source string, status string, started_at timestamp, finished_at timestamp, requested_since timestamp, effective_since timestamp, case_limit int, checkpoint_key string, "
     "resumed_from_checkpoint boolean, cases_ingested bigint, dockets_ingested bigint, documents_ingested bigint, errors bigint, error_message string"
 )
+REJECTS = "id string, error string, ingestion_run_id string, source string, created_at timestamp"
 TABLES = {
     "cases": f"{CASES}, {STAMPS}", "dockets": f"{DOCKETS}, {STAMPS}", "documents": f"{DOCUMENTS}, {STAMPS}", "raw_api_payloads": f"{PAYLOADS}, {STAMPS}",
-    "ingestion_checkpoints": f"{CHECKPOINTS}, {STAMPS}", "ingestion_runs": RUNS,
+    "ingestion_checkpoints": f"{CHECKPOINTS}, {STAMPS}", "ingestion_runs": RUNS, "rejects": REJECTS,
 }
+#: the column whose hash deals rows to buckets, where it is not the id
+KEYS = {"raw_api_payloads": "resource_id", "ingestion_checkpoints": "key"}
 NO_TEXT = "[[NO_TEXT_RETURNED]]"
 
 
-class Warehouse:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._exists = lambda p: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p))
-        self._delete = lambda p: fs.delete(spark._jvm.org.apache.hadoop.fs.Path(p), True)
+class Warehouse(warehouse.Warehouse):
+    """The tables of cases. buckets: as many as keep one within a task's memory; they stay as the first commit has them."""
 
-    def _pointer(self, name: str) -> str | None:
-        p = f"{self.path}/{name}/_current"
-        return self.spark.read.schema("n bigint, at string").json(p).orderBy(F.desc("n")).first()["at"] if self._exists(p) else None
-
-    def read(self, name: str) -> DataFrame:
-        at = self._pointer(name)
-        schema = S.StructType.fromDDL(TABLES[name])
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{at}") if at else self.spark.createDataFrame([], schema)
-
-    def replace(self, name: str, df: DataFrame) -> None:
-        """A new snapshot; readers of the old one keep it until the next but one is written."""
-        new = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{name}/{new}")
-        n = int(datetime.datetime.now(datetime.timezone.utc).timestamp() * 1e6)
-        pointers = f"{self.path}/{name}/_current"
-        self.spark.createDataFrame([(n, new)], "n bigint, at string").coalesce(1).write.mode("append").json(pointers)
-        known = self.spark.read.schema("n bigint, at string").json(pointers).orderBy(F.desc("n")).collect()  # one row a write
-        for row in known[2:]:
-            self._delete(f"{self.path}/{name}/{row['at']}")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = warehouse.BUCKETS):
+        super().__init__(spark, path, TABLES, KEYS, buckets)
 
 
 # Scans
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """One row a case of a JSON document {"cases": [...]}; nested metadata stays as it is, in the case's own JSON."""
-    doc = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    return doc.select(F.explode(F.expr("variant_get(v, '$.cases', 'array<variant>')")).alias("raw"))
+    """One row a case of JSON documents {"cases": [...]} of any size (`elements`): the case, and at, its place. Nested metadata stays as
+    it is, in the case's own JSON. A case that is no JSON is an error when it is read; `parsed` tells such cases apart."""
+    return elements.read(spark, path, "cases").select(F.parse_json("element").alias("raw"), "at")
+
+
+def parsed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Raw cases of elements, and (id, error) of those that are no JSON, named by their file and place."""
+    rows = found.select(F.try_parse_json("element").alias("raw"), "at")
+    where = F.concat_ws(":", F.regexp_extract("at.file", "[^/]*$", 0), F.col("at.block").cast("string"), F.col("at.number").cast("string"))
+    return rows.where("raw is not null"), rows.where("raw is null").select(where.alias("id"), F.lit("no JSON").alias("error"))
 
 
 def _get(raw: Column | str, path: str, kind: str = "string") -> Column:
@@ -86,37 +75,47 @@ def _meta(raw: str) -> Column:
 def flatten(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cases, dockets and documents of raw cases. Children get the ids of those above; a docket without a state, or a document
     without a court key, has its parent's. A case without a state has its jurisdiction there, and as jurisdiction what its
-    metadata say. A case's time that is no time is an error."""
+    metadata say. A case's time that is no time is an error. Where raw cases have a place (at), all rows have theirs (__at), by which
+    the last of several rows of one id is known."""
+    placed = "at" in raw.columns
+    at = lambda *parts: [F.struct(*parts).alias("__at")] if placed else []
     url = lambda kind: or_else(_get("raw", f"{kind}_url"), F.concat(F.lit("mock://cases/"), _get("raw", "id"), F.lit(f"/{kind}")))
     cases = raw.select(
         _get("raw", "id").alias("id"), _get("raw", "name").alias("name"), _get("raw", "court").alias("court"), or_else(_get("raw", "state"), _get("raw", "jurisdiction")).alias("state"),
         _get("raw", "metadata.jurisdiction").alias("jurisdiction"), _get("raw", "status").alias("status"), timestamp_strict(_get("raw", "updated_at")).alias("updated_at_remote"),
-        url("documents").alias("documents_url"), url("dockets").alias("dockets_url"), _meta("raw").alias("metadata_json"), "raw",
+        url("documents").alias("documents_url"), url("dockets").alias("dockets_url"), _meta("raw").alias("metadata_json"), "raw", *at("at"),
     )
-    d = cases.select(F.col("id").alias("case_id"), F.col("court").alias("c_court"), F.col("state").alias("c_state"), F.explode(_get("raw", "dockets", "array<variant>")).alias("raw"))
+    d = cases.select(F.col("id").alias("case_id"), F.col("court").alias("c_court"), F.col("state").alias("c_state"), *(["__at"] * placed), F.posexplode(_get("raw", "dockets", "array<variant>")).alias("i", "raw"))
     dockets = d.select(
         _get("raw", "id").alias("id"), "case_id", _get("raw", "number").alias("docket_number"), _inherited("court", "c_court").alias("court"), or_else(_get("raw", "state"), F.col("c_state")).alias("state"),
-        F.coalesce(_get("raw", "is_main", "boolean"), F.lit(True)).alias("is_main"), F.lit(None).cast("timestamp").alias("updated_at_remote"), _meta("raw").alias("metadata_json"), "raw",
+        F.coalesce(_get("raw", "is_main", "boolean"), F.lit(True)).alias("is_main"), F.lit(None).cast("timestamp").alias("updated_at_remote"), _meta("raw").alias("metadata_json"), "raw", *at("__at", "i"),
     )
-    e = dockets.select("case_id", F.col("id").alias("docket_id"), F.col("court").alias("d_court"), F.explode(_get("raw", "documents", "array<variant>")).alias("raw"))
+    e = dockets.select("case_id", F.col("id").alias("docket_id"), F.col("court").alias("d_court"), *(["__at"] * placed), F.posexplode(_get("raw", "documents", "array<variant>")).alias("j", "raw"))
     text = _get("raw", "text")
     documents = e.select(
         _get("raw", "id").alias("id"), "docket_id", "case_id", _get("raw", "title").alias("title"), _get("raw", "document_type").alias("document_type"),
         timestamp_strict(_get("raw", "filed_date")).alias("filed_date"), _inherited("court", "d_court").alias("court"), _get("raw", "source_url").alias("external_url"),
-        _get("raw", "text_url").alias("text_url"), (F.coalesce(text, F.lit("")) != "").alias("has_text"), text.alias("text"), _meta("raw").alias("metadata_json"),
+        _get("raw", "text_url").alias("text_url"), (F.coalesce(text, F.lit("")) != "").alias("has_text"), text.alias("text"), _meta("raw").alias("metadata_json"), *at("__at", "j"),
     )
     return cases.drop("raw"), dockets.drop("raw"), documents
 
 
 def checked(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Raw cases that can be flattened, and (id, error) of those that cannot: a time that is none, of the case or of one of its
-    documents. One bad case does not fail the others."""
+    """Raw cases that can be flattened, and (id, error) of those that cannot: a case, docket or document without an id, dockets or
+    documents that are no list, a time that is none. One bad case does not fail the others."""
     bad = lambda v, path: (_get(v, path) != "") & timestamp_or_null(_get(v, path)).isNull()
     empty = F.array().cast("array<variant>")
     docs = F.flatten(F.transform(F.coalesce(_get("raw", "dockets", "array<variant>"), empty), lambda d: F.coalesce(F.try_variant_get(d, "$.documents", "array<variant>"), empty)))
     wrong = F.filter(docs, lambda x: F.coalesce(bad(x, "filed_date"), F.lit(False)))
     case_error = F.when(bad("raw", "updated_at"), F.concat(F.lit("updated_at is no time: "), _get("raw", "updated_at")))
-    error = F.coalesce(case_error, F.when(F.size(wrong) > 0, F.concat(F.lit("filed_date is no time: "), _get(F.get(wrong, F.lit(0)), "filed_date"))))
+    dockets = F.coalesce(_get("raw", "dockets", "array<variant>"), empty)
+    no_list = lambda v, path: F.try_variant_get(v, f"$.{path}", "variant").isNotNull() & F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{path}", "variant")) != "VOID", F.lit(True)) & _get(v, path, "array<variant>").isNull()
+    nameless = lambda vs: F.exists(vs, lambda x: _get(x, "id").isNull())
+    shape = (
+        F.when(_get("raw", "id").isNull(), "case without an id").when(no_list(F.col("raw"), "dockets"), "dockets are no list").when(nameless(dockets), "docket without an id")
+        .when(F.exists(dockets, lambda d: no_list(d, "documents")), "documents are no list").when(nameless(docs), "document without an id")
+    )
+    error = F.coalesce(shape, case_error, F.when(F.size(wrong) > 0, F.concat(F.lit("filed_date is no time: "), _get(F.get(wrong, F.lit(0)), "filed_date"))))
     rows = raw.withColumn("__error", error)
     return rows.where("__error is null").drop("__error"), rows.where("__error is not null").select(_get("raw", "id").alias("id"), F.col("__error").alias("error"))
 
@@ -173,11 +172,13 @@ def document_json(documents: DataFrame, case_id: str, document_id: str) -> DataF
 
 
 def upserted(target: DataFrame, source: DataFrame, key: str = "id", now: Column | None = None, keep_text: bool = False) -> DataFrame:
-    """Target with the source's rows put in: the source wins on all its columns, created_at stays. keep_text: a text that was
-    fetched is not lost to a source without."""
+    """Target with the source's rows put in: the source wins on all its columns, created_at stays; of several rows of one key the
+    last by its place (__at) does, or, without places, the greatest. keep_text: a text that was fetched is not lost to a source
+    without."""
     now = F.current_timestamp() if now is None else now
     old = target.select(F.col(key).alias("__k"), F.col("created_at").alias("__c"), *([F.col("text").alias("__t")] if keep_text else []))
-    new = source.dropDuplicates([key]).join(old, F.col(key) == F.col("__k"), "left")
+    source = warehouse.last_of(source, key, F.col("__at") if "__at" in source.columns else None)
+    new = source.join(old, F.col(key) == F.col("__k"), "left")
     new = new.withColumn("created_at", F.coalesce("__c", now)).withColumn("updated_at", now)
     if keep_text:
         new = new.withColumn("text", F.coalesce("text", "__t"))
@@ -208,12 +209,14 @@ def advanced(checkpoints: DataFrame, cases: DataFrame, key: str, source: str, ru
 
 def run(
     wh: Warehouse, cases: DataFrame, dockets: DataFrame, documents: DataFrame, *, source: str, since: datetime.datetime | None = None, case_limit: int | None = None, checkpoint_key: str | None = None,
-    resume: bool = False, inclusive: bool = False, archive: bool = True, summarise: Callable[[DataFrame], DataFrame] | None = None, failed: DataFrame | None = None, continue_on_error: bool = True,
+    resume: bool = False, inclusive: bool = False, archive: bool = True, summarise: Callable[[DataFrame], DataFrame] | None = None, failed: DataFrame | None = None, continue_on_error: bool = True, batch: tuple[str, int] | None = None,
+    progress: Callable[[str, int], None] | None = None,
 ) -> dict:
     """One run: the cases since a time or the checkpoint, oldest first and up to a limit, with their dockets and documents, go
-    into the warehouse; the checkpoint follows once they are written. `failed` (id, error) are cases that could not be read
-    (`checked`): they count as errors and make the run partial, or, without continue_on_error, fail it before anything is
-    written. Gives the run's record."""
+    into the warehouse, with the checkpoint and the run's record in one commit. `failed` (id, error) are cases that could not be read
+    (`checked`): they go into rejects, count as errors and make the run partial, or, without continue_on_error, fail it before anything is
+    written. batch: a stream and the number of its batch, which is taken up once. progress(table, rows) is told of each table
+    when it is staged. Counts come from the writes themselves. Gives the run's record."""
     spark, run_id, began = wh.spark, str(uuid.uuid4()), datetime.datetime.now(datetime.timezone.utc)
     effective, resumed = since, False
     if resume and checkpoint_key:
@@ -221,45 +224,68 @@ def run(
         if at and at[0] and (effective is None or at[0] > effective.replace(tzinfo=None)):
             effective, resumed = at[0], True
     counts, status, error, errors = {"cases": 0, "dockets": 0, "documents": 0}, "success", None, 0
-    try:
-        if failed is not None:
-            told = failed.agg(F.count(F.lit(1)).alias("n"), F.max_by("error", "id").alias("error")).first()
-            errors, error = told["n"], told["error"]
-            if errors and not continue_on_error:
-                raise ValueError(error)
-            status = "partial" if errors else status
-        some = updated_after(cases, effective, inclusive)
-        if case_limit is not None:
-            some = oldest(some, case_limit)
-        parts = {"cases": some, "dockets": dockets.join(some.select(F.col("id").alias("case_id")), "case_id", "left_semi"), "documents": documents.join(some.select(F.col("id").alias("case_id")), "case_id", "left_semi")}
-        subject = F.get_json_object("metadata_json", "$.subject")
-        plain = lambda d: d.withColumn("summary", heuristic_summary("title", "text", "document_type", "court", subject))
-        parts["documents"] = (summarise or plain)(parts["documents"])
-        for name, df in parts.items():
-            wh.replace(name, upserted(wh.read(name), df))
-            counts[name] = df.count()
-        if archive:
-            kinds = ("case", "id", F.lit(None).cast("string")), ("docket", "case_id", F.col("id")), ("document", "case_id", F.col("docket_id"))
-            payloads = None
-            for (kind, case, docket), df in zip(kinds, parts.values(), strict=True):
-                rows = df.select(F.lit(kind).alias("resource_type"), F.col("id").alias("resource_id"), F.col(case).alias("case_id"), docket.alias("docket_id"), "metadata_json")
-                payloads = rows if payloads is None else payloads.unionByName(rows)
-            old, now = wh.read("raw_api_payloads"), F.current_timestamp()
-            wh.replace("raw_api_payloads", old.unionByName(archived(old, payloads, run_id, source).withColumns({"created_at": now, "updated_at": now})))
-        if checkpoint_key:
-            wh.replace("ingestion_checkpoints", advanced(wh.read("ingestion_checkpoints"), some, checkpoint_key, source, run_id))
-    except Exception as e:
-        status, error = "failed", str(e)
-        raise
-    finally:
-        record = {
+
+    def record() -> dict:
+        return {
             "id": run_id, "source": source, "status": status, "started_at": began, "finished_at": datetime.datetime.now(datetime.timezone.utc), "requested_since": since, "effective_since": effective,
             "case_limit": case_limit, "checkpoint_key": checkpoint_key, "resumed_from_checkpoint": resumed, "cases_ingested": counts["cases"], "dockets_ingested": counts["dockets"],
             "documents_ingested": counts["documents"], "errors": errors + int(status == "failed" and not errors), "error_message": error,
         }
-        schema = S.StructType.fromDDL(RUNS)
-        wh.replace("ingestion_runs", wh.read("ingestion_runs").unionByName(spark.createDataFrame([tuple(record[f.name] for f in schema)], schema)))
-    return record
+
+    def logged() -> DataFrame:
+        schema, row = wh.schema("ingestion_runs"), record()
+        return spark.createDataFrame([tuple(row[f.name] for f in schema)], schema)
+
+    now = F.current_timestamp()
+    try:
+        with wh.commit() as c:
+            if batch and not c.batch(*batch):
+                status = "repeated"
+                return record()
+            if failed is not None:
+                bad = c.stage("rejects", failed.select("id", "error", F.lit(run_id).alias("ingestion_run_id"), F.lit(source).alias("source"), now.alias("created_at")).withColumn("id", F.coalesce("id", F.lit("None"))))
+                errors = c.written["rejects"]
+                error = bad.rows.agg(F.max_by("error", "id")).first()[0]
+                if errors and not continue_on_error:
+                    raise ValueError(error)
+                status = "partial" if errors else status
+                c.append("rejects", bad.rows)
+            some = updated_after(cases, effective, inclusive)
+            if case_limit is not None:
+                some = oldest(some, case_limit)
+            staged, ids = {}, None
+            subject = F.get_json_object("metadata_json", "$.subject")
+            plain = lambda d: d.withColumn("summary", heuristic_summary("title", "text", "document_type", "court", subject))
+            for name, df in (("cases", some), ("dockets", dockets), ("documents", documents)):
+                if ids is not None:
+                    df = df.join(ids, "case_id", "left_semi")
+                if name == "documents":
+                    df = (summarise or plain)(df)
+                staged[name] = c.stage(name, df)
+                if ids is None:
+                    ids = staged[name].rows.select(F.col("id").alias("case_id"))
+                counts[name] = c.written[name]
+                if progress:
+                    progress(name, counts[name])
+                c.upsert(name, staged[name], upserted)
+            if archive:
+                kinds = ("case", "id", F.lit(None).cast("string")), ("docket", "case_id", F.col("id")), ("document", "case_id", F.col("docket_id"))
+                payloads = None
+                for (kind, case, docket), part in zip(kinds, staged.values(), strict=True):
+                    rows = part.rows.select(F.lit(kind).alias("resource_type"), F.col("id").alias("resource_id"), F.col(case).alias("case_id"), docket.alias("docket_id"), "metadata_json")
+                    payloads = rows if payloads is None else payloads.unionByName(rows)
+                # a payload lies in the bucket of its resource's id, so only the staged rows' buckets can hold it
+                old = c.read("raw_api_payloads", set().union(*(p.buckets for p in staged.values())))
+                c.append("raw_api_payloads", archived(old, payloads, run_id, source).withColumns({"created_at": now, "updated_at": now}))
+            if checkpoint_key:
+                c.replace("ingestion_checkpoints", advanced(c.read("ingestion_checkpoints"), staged["cases"].rows, checkpoint_key, source, run_id))
+            c.append("ingestion_runs", logged())
+    except Exception as e:
+        counts, status, error = dict.fromkeys(counts, 0), "failed", str(e)
+        with wh.commit() as c:
+            c.append("ingestion_runs", logged())
+        raise
+    return record()
 
 
 def to_hydrate(documents: DataFrame) -> DataFrame:

@@ -3,8 +3,26 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 from dataclasses import dataclass, fields
 
+from pyspark.sql import SparkSession
+
+_own_dir: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; one of our own only with a local master (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="millrace-"))
+    return "file://" + _own_dir[0]
+
 
 @dataclass(frozen=True)
 class Settings:

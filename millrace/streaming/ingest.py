@@ -6,18 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest
+from ..sources import elements
 
 
 def ingest_new_files(spark: SparkSession, folder: str, warehouse: str, checkpoint: str, source: str = "files") -> None:
-    """Takes up what has come into the folder since the last call and ends. A batch that is repeated after a failure changes
-    nothing, as upserts and the archive are idempotent."""
+    """Takes up what has come into the folder since the last call and ends. Each batch is one commit that also holds the batch's number,
+    so a batch that is repeated after a failure is known and left out. Cases that cannot be read, and files that end in the middle, go into
+    rejects; they do not stop the stream."""
     wh = ingest.Warehouse(spark, warehouse)
 
-    def take(batch: DataFrame, _: int) -> None:
-        raw = batch.select(F.explode(F.expr("variant_get(parse_json(value), '$.cases', 'array<variant>')")).alias("raw"))
-        ingest.run(wh, *ingest.flatten(raw), source=source, checkpoint_key=source)
+    def take(batch: DataFrame, number: int) -> None:
+        found, broken = elements.split(batch, "cases")
+        raw, unparsed = ingest.parsed(found)
+        good, bad = ingest.checked(raw)
+        broken = broken.select(F.regexp_extract("file", "[^/]*$", 0).alias("id"), "error")
+        failed = bad.unionByName(unparsed).unionByName(broken)
+        ingest.run(wh, *ingest.flatten(good), source=source, checkpoint_key=source, failed=failed, batch=(checkpoint, number))
 
-    stream = spark.readStream.format("text").option("wholetext", True).load(folder)
+    stream = spark.readStream.format("text").option("lineSep", "}").load(folder)
+    stream = stream.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 

@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from millrace import catalog, catalog_flows, catalog_prompts  # noqa: F401
+from millrace import catalog, catalog_flows, catalog_prompts, catalog_state  # noqa: F401
 
 from .conftest import SF
 
