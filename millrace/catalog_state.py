@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import query, table
-from .operators import ingest
+from .operators import bertscore, hydrate, ingest
 from .settings import shared_dir
 
 
@@ -74,3 +74,48 @@ def two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wh.read("cases").select("id", "name", version).join(payloads, "id").join(dockets, "id").select("id", "name", "version", "payloads", "dockets")
 
 
+
+
+@query("""
+select doc_id, case when doc_id % 3 <> 0 then lang when doc_id % 2 = 0 or doc_id % 21 = 0 then '[[NO_TEXT_RETURNED]]' else 'got ' || source || '/' || cast(doc_id as varchar) end as text,
+  doc_id % 21 = 0 as failed from documents""")
+def drained_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document waits in the queue for its text; the fetch gives nothing for even ids and fails for some."""
+    d = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.lit(True).alias("has_text"), F.concat_ws("/", "source", "doc_id").alias("text_url"), F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("text")
+    )
+
+    def reader():
+        def fetch(url: str) -> str | None:
+            number = int(url.rsplit("/", 1)[1])
+            if number % 21 == 0:
+                raise ValueError("gone")
+            return None if number % 2 == 0 else f"got {url}"
+
+        return fetch
+
+    wh = ingest.Warehouse(spark, _folder(spark, "texts"))
+    have = set(d.columns)
+    wh.replace("documents", d.select(*[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in wh.schema("documents")]))
+    hydrate.drain(wh, hydrate.Queue(batch=50_000, lanes=8), reader=reader)
+    failed = wh.read("rejects").select("id", F.lit(True).alias("failed"))
+    return wh.read("documents").join(failed, "id", "left").select(F.col("id").cast("bigint").alias("doc_id"), "text", F.coalesce("failed", F.lit(False)).alias("failed"))
+
+
+@query("""
+with t as (select vec_id // 10 as k, vec_id % 10 < 6 as g, vec_id, 't' || cast(vec_id % 7 as varchar) as w, embedding::double[] as v from embeddings),
+refs as (select k, w from t where not g), n as (select count(distinct k) as n from t),
+idf as (select w, ln((n + 1) / (count(distinct k) + 1)) as idf from refs, n group by w, n),
+x as (select t.*, coalesce(idf, ln(n + 1)) as wt from t left join idf using (w), n),
+m as (select a.k, a.vec_id as a, b.vec_id as b, a.wt as wa, b.wt as wb, list_cosine_similarity(a.v, b.v) as c from x a join x b on a.k = b.k and a.g and not b.g),
+p as (select k, sum(c * wa) / sum(wa) as p from (select k, a, wa, max(c) as c from m group by all) group by k), r as (select k, sum(c * wb) / sum(wb) as r from (select k, b, wb, max(c) as c from m group by all) group by k)
+select k as pair, round(p, 9) as bertscore_p, round(r, 9) as bertscore_r, round(2 * p * r / (p + r), 9) as bertscore_f1 from p join r using (k)""")
+def bert_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors stand for tokens: of ten in a row, six are a generated text and four its reference."""
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("pair"), F.struct((F.col("vec_id") % 10).alias("at"), F.concat(F.lit("t"), F.col("vec_id") % 7).alias("t"), F.col("embedding").alias("v")).alias("x"))
+    both = e.groupBy("pair").agg(*[F.array_sort(F.collect_list(F.when(c, F.col("x")))).alias(s) for s, c in (("g", F.col("x.at") < 6), ("r", F.col("x.at") >= 6))])  # ten rows
+    pairs = both.select("pair", *[F.col(c).alias(name) for c, name in (("g.v", "generated"), ("r.v", "reference"), ("g.t", "generated_tokens"), ("r.t", "reference_tokens"))])
+    n = pairs.count()
+    idf = bertscore.document_frequencies(pairs, "reference_tokens")
+    out = bertscore.bert_scores(bertscore.weighed(pairs, "pair", idf, F.lit(n)), "pair")
+    return out.where("bertscore_f1 is not null").select("pair", *[F.round(c, 9).alias(c) for c in bertscore.SCORES])

@@ -32,9 +32,10 @@ RUNS = (
     "resumed_from_checkpoint boolean, cases_ingested bigint, dockets_ingested bigint, documents_ingested bigint, errors bigint, error_message string"
 )
 REJECTS = "id string, error string, ingestion_run_id string, source string, created_at timestamp"
+LEASES = "id string, text_url string, worker string, expires timestamp"
 TABLES = {
     "cases": f"{CASES}, {STAMPS}", "dockets": f"{DOCKETS}, {STAMPS}", "documents": f"{DOCUMENTS}, {STAMPS}", "raw_api_payloads": f"{PAYLOADS}, {STAMPS}",
-    "ingestion_checkpoints": f"{CHECKPOINTS}, {STAMPS}", "ingestion_runs": RUNS, "rejects": REJECTS,
+    "ingestion_checkpoints": f"{CHECKPOINTS}, {STAMPS}", "ingestion_runs": RUNS, "rejects": REJECTS, "leases": LEASES,
 }
 #: the column whose hash deals rows to buckets, where it is not the id
 KEYS = {"raw_api_payloads": "resource_id", "ingestion_checkpoints": "key"}

@@ -44,10 +44,13 @@ class Warehouse:
     def _path(self, name: str):
         return self._hadoop.Path(f"{self.path}/{name}" if name else self.path)
 
-    def _names(self, folder: str) -> list[str]:
+    def names(self, folder: str) -> list[str]:
         p = self._path(folder)
         return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
 
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(name), True)
+
     def _load(self, name: str) -> dict:
         stream = self._fs.open(self._path(f"_manifests/{name}"))
         try:
@@ -57,7 +60,7 @@ class Warehouse:
 
     def manifest(self) -> dict:
         """The newest commit: its number, {table: {bucket: folders}}, how many buckets there are, and {stream: batch}."""
-        names = [n for n in self._names("_manifests") if n.isdigit()]
+        names = [n for n in self.names("_manifests") if n.isdigit()]
         return self._load(names[-1]) if names else {"n": 0, "buckets": self.buckets, "tables": {}, "batches": {}}
 
     def _publish(self, manifest: dict) -> None:
@@ -119,14 +122,14 @@ class Warehouse:
     def vacuum(self, keep: int = 2) -> None:
         """Delete manifests but the last, and folders that were written before the first of these and that none of them names. What
         commits under way have staged is in no manifest yet and stays."""
-        names = [n for n in self._names("_manifests") if n.isdigit()]
+        names = [n for n in self.names("_manifests") if n.isdigit()]
         kept = [self._load(n) for n in names[-keep:]]
         named = {p for m in kept for t in m["tables"].values() for ps in t.values() for p in ps}
         for n in names[:-keep]:
             for p in {p for t in self._load(n)["tables"].values() for ps in t.values() for p in ps} - named:
                 self._fs.delete(self._path(p), True)
                 above = p.rsplit("/", 1)[0]
-                if not [x for x in self._names(above) if not x.startswith(("_", "."))]:
+                if not [x for x in self.names(above) if not x.startswith(("_", "."))]:
                     self._fs.delete(self._path(above), True)
             self._fs.delete(self._path(f"_manifests/{n}"), False)
 
@@ -151,7 +154,7 @@ class Commit:
         self._made.append(folder)
         dealt = df.withColumn(_BUCKET, F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n))).repartition(n, _BUCKET)
         dealt.write.partitionBy(_BUCKET).parquet(f"{self.wh.path}/{folder}")
-        return {x.split("=")[1]: f"{folder}/{x}" for x in self.wh._names(folder) if x.startswith(_BUCKET)}
+        return {x.split("=")[1]: f"{folder}/{x}" for x in self.wh.names(folder) if x.startswith(_BUCKET)}
 
     def stage(self, name: str, df: DataFrame) -> Staged:
         """Rows for a table, written once and counted while they are."""
@@ -211,7 +214,7 @@ class Commit:
         """Delete what this commit has staged, or written and then written anew."""
         named = {p for t in self.manifest["tables"].values() for ps in t.values() for p in ps}
         for folder in self._made:
-            buckets = [f"{folder}/{x}" for x in self.wh._names(folder) if x.startswith(_BUCKET)]
+            buckets = [f"{folder}/{x}" for x in self.wh.names(folder) if x.startswith(_BUCKET)]
             unnamed = [p for p in buckets if p not in named]
             for p in unnamed if len(unnamed) < len(buckets) else [folder]:
                 self.wh._fs.delete(self.wh._path(p), True)

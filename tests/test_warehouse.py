@@ -68,7 +68,7 @@ def test_appends_are_put_together(spark, tmp_path, monkeypatch):
             c.append("a", rows(spark, i, i + 2, i), new=lambda old, new: new.join(old, "id", "left_anti"))
     assert held(wh, "a") == {"0": 0, "1": 0, "2": 1, "3": 2, "4": 3, "5": 4}
     assert all(len(ps) < 3 for ps in wh.manifest()["tables"]["a"].values())
-    named = {p.split("/")[1] for m in wh._names("_manifests") for ps in wh._load(m)["tables"]["a"].values() for p in ps}
+    named = {p.split("/")[1] for m in wh.names("_manifests") for ps in wh._load(m)["tables"]["a"].values() for p in ps}
     assert {p.name for p in (tmp_path / "a").iterdir()} == named
 
 
