@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import text as T
+from .ordered import quantiles, smoothed  # noqa: F401  (smoothed is one of this module's names)
 from .parse import display_name
 
 #: numeric score columns that are summarised
@@ -227,9 +228,14 @@ def summarise(df: DataFrame, metrics: Sequence[str] = METRICS, by: Sequence[str]
     """mean, median, std (sample; 0 for one value), min, max and n by metric, nulls left out. Unrounded: round at the sink."""
     have = [m for m in metrics if m in df.columns]
     long = df.select(*by, *[F.col(m).cast("double").alias(m) for m in have]).unpivot(list(by), have, "metric", "value").where("value is not null")
-    return long.groupBy(*by, "metric").agg(
-        F.avg("value").alias("mean"), F.median("value").alias("median"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("n")
+    middle = quantiles(long, "value", [0.5], [*by, "metric"]).select(*[F.col(c).alias(f"__{c}") for c in (*by, "metric")], F.col("value").alias("median"))
+    rest = long.groupBy(*by, "metric").agg(
+        F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("n")
     )
+    on = F.lit(True)
+    for c in (*by, "metric"):
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rest.join(middle, on).select(*by, "metric", "mean", "median", "std", "min", "max", "n")
 
 
 def paired(left: DataFrame, right: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
@@ -267,19 +273,6 @@ def coverage(attributed: DataFrame, key: str) -> DataFrame:
     return per.agg((100 * F.avg(F.coalesce("p", F.lit(0.0)))).alias("primary_pct"), (100 * F.avg(F.coalesce("s", F.lit(0.0)))).alias("supported_pct"))
 
 
-def smoothed(df: DataFrame, value: str, order: str, alpha: float, by: str | None = None) -> DataFrame:
-    """Exponential moving average along `order`: s = alpha * x + (1 - alpha) * s. A log is one series, folded in one row."""
-    rows = df.groupBy(*([by] if by else [])).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("xs"))
-    first = F.struct(F.lit(None).cast("double").alias("s"), F.array().cast(f"array<struct<{order}:{dict(df.dtypes)[order]},ema:double>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        v = x[value].cast("double")
-        s = F.when(a["s"].isNull(), v).otherwise(alpha * v + (1 - alpha) * a["s"])
-        return F.struct(s.alias("s"), F.array_append(a["out"], F.struct(x[order].alias(order), s.alias("ema"))).alias("out"))
-
-    return rows.withColumn("out", F.aggregate("xs", first, step)["out"]).select(*([by] if by else []), F.inline("out"))
-
-
 def distribution(df: DataFrame, value: str, *ties: str) -> DataFrame:
     """Rows with the place of their value in order, in percent: ties take different places, in order of the columns `ties`. Values
     are counted first and rows ranked within their value, so that no task orders all rows."""
@@ -306,9 +299,8 @@ def histogram(df: DataFrame, value: str, edges: Sequence[float]) -> DataFrame:
 
 def percentiles(df: DataFrame, value: str, points: int = 21) -> DataFrame:
     """Exact percentiles at evenly spaced points, with linear interpolation."""
-    ps = [i / (points - 1) for i in range(points)]
-    got = df.agg(F.percentile(value, F.array(*[F.lit(p) for p in ps])).alias("v"))
-    return got.select(F.posexplode("v").alias("i", "value")).select((100.0 * F.col("i") / (points - 1)).alias("pct"), "value")
+    got = quantiles(df, value, [i / (points - 1) for i in range(points)])
+    return got.select((100.0 * F.round(F.col("fraction") * (points - 1)) / (points - 1)).alias("pct"), "value")
 
 
 def spaced(bins: DataFrame, low: str, high: str, n: str) -> DataFrame:
