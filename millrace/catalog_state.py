@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import query, table
-from .operators import bertscore, hydrate, ingest
+from .operators import bertscore, hydrate, ingest, models
 from .settings import shared_dir
 
 
@@ -119,3 +119,23 @@ def bert_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     idf = bertscore.document_frequencies(pairs, "reference_tokens")
     out = bertscore.bert_scores(bertscore.weighed(pairs, "pair", idf, F.lit(n)), "pair")
     return out.where("bertscore_f1 is not null").select("pair", *[F.round(c, 9).alias(c) for c in bertscore.SCORES])
+
+
+@query("""
+select doc_id, case when doc_id % 50 = 7 then 'ERROR: cannot read this' else lang || ' ' || source end as generated, doc_id % 100 <> 7 as good from documents""")
+def bisected_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that fails as a whole wherever a batch holds a prompt that it cannot read; half of these it can read at a second run."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "lang", "source", "doc_id").alias("prompt"))
+
+    def model(prompts, second=False):
+        ids = [int(p.rsplit(" ", 1)[1]) for p in prompts]
+        if any(i % (100 if second else 50) == 7 for i in ids):
+            raise ValueError("cannot read this")
+        return [p.rsplit(" ", 1)[0] for p in prompts]
+
+    folder = _folder(spark, "replies")
+    once = models.generate_into(folder, d, "doc_id", slices=2, model=model).select("doc_id", "generated")
+    once.write.parquet(f"{folder}-first")  # the folder gets more below
+    again = models.generate_into(folder, d, "doc_id", slices=2, model=lambda ps: model(ps, True))
+    good = models.without_errors(again).select("doc_id", F.lit(True).alias("good"))
+    return spark.read.schema(once.schema).parquet(f"{folder}-first").join(good, "doc_id", "left").select("doc_id", "generated", F.coalesce("good", F.lit(False)).alias("good"))
