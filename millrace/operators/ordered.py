@@ -9,7 +9,6 @@ each row is put through what comes before its range.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from ..settings import shared_dir
+from ..settings import written
 
 #: values of a cell that are sorted at once, and cells that an open cell is cut into
 SMALL, CELLS = 10_000, 64
@@ -127,9 +126,7 @@ def smoothed(df: DataFrame, value: str, order: str, alpha: float, by: str | None
     rows = df.select(*names, key.alias("__key"), F.col(value).cast("double").alias("__x"))
     dealt = rows.repartitionByRange(*names).sortWithinPartitions(*names, "__x")
     schema = S.StructType([*[df.schema[c] for c in names], *S.StructType.fromDDL("__part bigint, __at bigint, __key string, __x double, __a double, __b double")])
-    path = f"{shared_dir(spark)}/ema-{uuid.uuid4().hex}"
-    dealt.mapInArrow(lambda it: _ranges(it, alpha), schema).write.parquet(path)
-    scan = spark.read.schema(schema).parquet(path)
+    scan = written(dealt.mapInArrow(lambda it: _ranges(it, alpha), schema), "averages")
     ends = scan.groupBy("__part").agg(F.min_by(F.struct("__key", "__x"), "__at").alias("first"), F.max_by(F.struct("__key", "__x", "__a", "__b"), "__at").alias("last"))
     befores, s, last = [], None, None
     for r in sorted(ends.collect(), key=lambda r: r["__part"]):  # one row a range

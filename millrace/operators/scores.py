@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import text as T
+from ..settings import written
 from .ordered import quantiles, smoothed  # noqa: F401  (smoothed is one of this module's names)
 from .parse import display_name
 
@@ -249,20 +250,68 @@ def paired(left: DataFrame, right: DataFrame, key: str, metrics: Sequence[str])
 SUPPORTED, PRIMARY = 0.15, 0.35
 
 
-def attribute(sentences: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
-    """For each sentence (key, sid, text) its nearest chunk (key, cid, text) of the same case by tf-idf cosine, and whether that
-    is its PRIMARY or a SUPPORTING source or none. Document frequencies count chunks of all cases."""
+def _weighed(sentences: DataFrame, chunks: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Unit tf-idf vectors as rows (key, sid, w, x) and (key, cid, w, x). Document frequencies count chunks of all cases; a word that no
+    chunk has is left out."""
     terms = lambda d, i: d.select(key, i, F.explode(rouge_tokens("text")).alias("w")).groupBy(key, i, "w").agg(F.count(F.lit(1)).alias("tf"))
-    c, s = terms(chunks, "cid"), terms(sentences, "sid")
+    c, s = written(terms(chunks, "cid"), "chunk-terms"), terms(sentences, "sid")
     n = chunks.agg(F.count(F.lit(1)).alias("n"))
     idf = c.groupBy("w").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("w", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))  # n is one row
-    weigh = lambda d: d.join(idf, "w").withColumn("x", F.col("tf") * F.col("idf"))
-    c, s = weigh(c), weigh(s)
-    norm = lambda d, i: d.groupBy(key, i).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias(f"norm_{i}"))
-    dots = s.select(key, "sid", "w", F.col("x").alias("a")).join(c.select(key, "cid", "w", F.col("x").alias("b")), [key, "w"]).groupBy(key, "sid", "cid").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
-    near = dots.join(norm(s, "sid"), [key, "sid"]).join(norm(c, "cid"), [key, "cid"]).withColumn("cosine", F.col("dot") / (F.col("norm_sid") * F.col("norm_cid")))
-    best = near.groupBy(key, "sid").agg(F.max("cosine").alias("cosine"), F.max_by("cid", F.struct("cosine", -F.col("cid"))).alias("cid"))
-    out = sentences.select(key, "sid").join(best, [key, "sid"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
+
+    def unit(d: DataFrame, i: str) -> DataFrame:
+        x = d.join(idf, "w").withColumn("x", F.col("tf") * F.col("idf"))
+        return x.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key, i)))).drop("tf", "idf")  # of one text
+
+    return written(unit(s, "sid"), "sentence-vectors"), written(unit(c, "cid"), "chunk-vectors")
+
+
+def probes(s: DataFrame, c: DataFrame, key: str) -> DataFrame:
+    """One row a sentence: ts, its words that any chunk of the case has, with u, the most that a word can add to a cosine (its weight by the
+    greatest that a chunk gives it), greatest first."""
+    top = c.groupBy(key, F.col("w").alias("__w")).agg(F.max("x").alias("m")).withColumnRenamed(key, "__key")
+    u = s.join(top, F.col(key).eqNullSafe(F.col("__key")) & (F.col("w") == F.col("__w")))
+    return u.groupBy(key, "sid").agg(F.sort_array(F.collect_list(F.struct((F.col("x") * F.col("m")).alias("u"), "w", "x")), asc=False).alias("ts"))  # of one sentence
+
+
+def _met(words: DataFrame, c: DataFrame, key: str) -> DataFrame:
+    """Pairs (key, sid, cid) that share one of the words (key, sid, w)."""
+    other = c.select(F.col(key).alias("__key"), F.col("w").alias("__w"), "cid")
+    return words.join(other, F.col(key).eqNullSafe(F.col("__key")) & (F.col("w") == F.col("__w"))).select(key, "sid", "cid").distinct()
+
+
+def _cosines(pairs: DataFrame, ts: DataFrame, c: DataFrame, key: str) -> DataFrame:
+    """Pairs with their cosine, summed in the same order of words everywhere, so that equal chunks tie."""
+    left = ts.select(F.col(key).alias("__k1"), F.col("sid").alias("__sid"), "ts")
+    right = c.groupBy(F.col(key).alias("__k2"), F.col("cid").alias("__cid")).agg(F.map_from_entries(F.collect_list(F.struct("w", "x"))).alias("m"))  # of one chunk
+    both = pairs.join(left, F.col(key).eqNullSafe(F.col("__k1")) & (F.col("sid") == F.col("__sid"))).join(right, F.col(key).eqNullSafe(F.col("__k2")) & (F.col("cid") == F.col("__cid")))
+    dot = F.aggregate("ts", F.lit(0.0), lambda a, t: a + t["x"] * F.coalesce(F.try_element_at("m", t["w"]), F.lit(0.0)))
+    return both.select(key, "sid", "cid", dot.alias("cosine"))
+
+
+def candidates(ts: DataFrame, c: DataFrame, key: str) -> DataFrame:
+    """Pairs (key, sid, cid, cosine) that hold each sentence's nearest chunks: those that share its first word, and those that share one of
+    the words without which the others together cannot reach the best of these. Words in nearly all chunks, which add little,
+    meet no chunk."""
+    first = written(_cosines(_met(ts.select(key, "sid", F.col("ts")[0]["w"].alias("w")), c, key), ts, c, key), "first-cosines")
+    best = first.groupBy(F.col(key).alias("__k0"), F.col("sid").alias("__s0")).agg(F.max("cosine").alias("best"))
+    known = ts.join(best, F.col(key).eqNullSafe(F.col("__k0")) & (F.col("sid") == F.col("__s0")))
+    rest = F.aggregate(F.col("ts"), F.lit(0.0), lambda a, t: a + t["u"])
+    # a word is needed if it and those after it could reach the best found; 1e-9 for the order of sums
+    step = lambda a, t: F.struct((a["rest"] - t["u"]).alias("rest"), F.when(a["rest"] >= F.col("best") * (1 - 1e-9), F.array_append(a["ws"], t["w"])).otherwise(a["ws"]).alias("ws"))
+    needed = F.aggregate("ts", F.struct(rest.alias("rest"), F.array().cast("array<string>").alias("ws")), step)["ws"]
+    words = known.select(key, "sid", F.explode(F.slice(needed, 2, F.greatest(F.size(needed) - 1, F.lit(0)))).alias("w"))
+    seen = first.select(F.col(key).alias("__k0"), F.col("sid").alias("__s0"), F.col("cid").alias("__c0"))
+    more = _met(words, c, key).join(seen, F.col(key).eqNullSafe(F.col("__k0")) & (F.col("sid") == F.col("__s0")) & (F.col("cid") == F.col("__c0")), "left_anti")
+    return first.unionByName(_cosines(more, ts, c, key))
+
+
+def attribute(sentences: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    """For each sentence (key, sid, text) its nearest chunk (key, cid, text) of the same case by tf-idf cosine, the least cid of equals, and
+    whether that is its PRIMARY or a SUPPORTING source or none."""
+    s, c = _weighed(sentences, chunks, key)
+    near = candidates(written(probes(s, c, key), "probes"), c, key)
+    best = near.groupBy(F.col(key).alias("__k"), F.col("sid").alias("__s")).agg(F.max("cosine").alias("cosine"), F.max_by("cid", F.struct("cosine", -F.col("cid"))).alias("cid"))
+    out = sentences.select(key, "sid").join(best, F.col(key).eqNullSafe(F.col("__k")) & (F.col("sid") == F.col("__s")), "left").drop("__k", "__s").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
     return out.withColumn("support", F.when(F.col("cosine") >= PRIMARY, "PRIMARY").when(F.col("cosine") >= SUPPORTED, "SUPPORTING").otherwise("UNSUPPORTED"))
 
 
