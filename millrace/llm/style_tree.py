@@ -176,6 +176,7 @@ class Parser:
         root = Node("", "", 0, None, False, False, False)
         nodes, blocks, parts = [root], [], []
         stack: list[Node | str] = [root]  # block-level elements, and the tags of inline ones
+        within: list[Node] = [root]  # of these, the block-level elements
         inline_open: list[Counter] = [Counter()]  # of each open block-level element: inline tags open directly in it
         block_open: Counter = Counter()
         fenced: list[Counter] = [Counter()]  # block-level tags open since each of the open fences
@@ -185,13 +186,14 @@ class Parser:
                 text = " ".join(html.unescape("".join(parts)).split())
                 parts.clear()
                 if text:
-                    blocks.append((next(n for n in reversed(stack) if not isinstance(n, str)), text))
+                    blocks.append((within[-1], text))
 
         def pop() -> str:
             top = stack.pop()
             if isinstance(top, str):
                 inline_open[-1][top] -= 1
                 return top
+            within.pop()
             inline_open.pop()
             block_open[top.tag] -= 1
             if top.tag in FENCES:
@@ -242,6 +244,7 @@ class Parser:
                 up.children.append(name)
                 nodes.append(node)
                 stack.append(node)
+                within.append(node)
                 inline_open.append(Counter())
                 block_open[tag] += 1
                 if tag in FENCES:

@@ -139,6 +139,7 @@ def test_marks_within_boilerplate_names(spark):
     ("<script " * 40_000, ""), ('<a "' * 80_000, ""), ("<div>" * 60_000 + "x", "x"), ("<i>" * 60_000 + "x" + "</b>" * 60_000, "x"), ("<center>" * 30_000 + "<h1></h1>" * 30_000 + "x", "x"),
     ("<b>" + "<div>" * 30_000 + "x" + "</b>" * 30_000, "x"), ("</p>" * 100_000 + "x", "x"), ("<a =" * 50_000 + ">x", "x"), ("<a x='" * 50_001 + ">x", "x"), ("<!-- " * 50_000, ""), ("< " * 9 + "x", "< " * 9 + "x"),
     ("<p>" * 60_000 + "x", "x"), ("<div>a</div>" * 20_000, "\n\n".join("a" * 20_000)), ("<div>a " * 20_000, "\n\n".join("a" * 20_000)), ("<form><div>a " * 20_000, ""), ("&#120;" * 100_000, "x" * 100_000), ("<p class='" + "x" * 500_000 + "'>x", "x"),
+    ("<b>" * 100_000 + "x</div>" * 100_000, "\n\n".join("x" * 100_000)),
 ])
 def test_broken_pages_take_linear_time(page, text):
     import time
