@@ -362,14 +362,16 @@ def _maximise(chains: list[tuple[list[tuple[int, ...]], list[int]]], names: list
 
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params(), learn: Callable | None = None) -> Chain:
     """Fits the chain on at most p.max_docs labelled documents of each class; `learn` makes, of the id's name, the condition
-    that a row may be learned from."""
+    that a row may be learned from. Of rows that repeat an id one counts."""
     lab = labels.where("doc_id is not null and toxic in (0, 1)")
     lab = lab.where(learn("doc_id")) if learn else lab
     pick = lambda v: lab.where(f"toxic = {v}").join(short, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_docs)
     short = docs.where(F.length("text").between(1, p.max_chars)).select("doc_id")
     chosen = pick(0).unionByName(pick(1))
     rows = docs.select("doc_id", "text").where(F.length("text").between(1, p.max_chars)).join(F.broadcast(chosen), "doc_id")
-    got = rows.select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
+    # of rows that repeat an id one, so that what the driver takes is bounded by the two parameters
+    one = rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.min("toxic").alias("toxic"))
+    got = one.select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")
     return fit(list(zip(got["text"], got["toxic"].astype(int), strict=True)), p)
 
 

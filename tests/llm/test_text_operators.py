@@ -362,6 +362,17 @@ def test_toxicity(spark):
     assert toxicity.score(df.limit(0), chain).count() == 0 and toxicity.fit([], toxicity.Params()).tag("x")[0] < 0.5
 
 
+def test_repeated_ids_are_learned_from_once(spark, monkeypatch):
+    """A labelled id in thousands of rows brings one of them to the driver, the same at every run."""
+    taken = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, p: taken.append(rows))
+    docs = spark.range(5000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = spark.createDataFrame([(0, 0), (1, 1), (1, 1), (2, None)], "doc_id bigint, toxic int")
+    toxicity.train(docs, labels)
+    toxicity.train(docs.repartition(7), labels)
+    assert len(taken[0]) == 2 and taken[0] == taken[1]
+
+
 def test_toxicity_of_documents_not_learned_from(spark):
     sf = "/root/testdata/sf0.01"
     docs, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
