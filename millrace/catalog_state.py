@@ -7,8 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import query, table
-from .operators import bertscore, hydrate, ingest, models
+from .catalog import LINES_SQL, query, table
+from .catalog_prompts import _CHUNKS as CHUNKS_SQL
+from .catalog_prompts import _DOCS as DOCS_SQL
+from .catalog_prompts import _chunked as chunked
+from .catalog_prompts import _prepared as prepared
+from .operators import bertscore, hydrate, ingest, models, parse
+from .operators.parse import MARK
+from .operators.prompts import STRUCTURED_TASK, TASK
 from .settings import shared_dir
 
 
@@ -139,3 +145,36 @@ def bisected_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = models.generate_into(folder, d, "doc_id", slices=2, model=lambda ps: model(ps, True))
     good = models.without_errors(again).select("doc_id", F.lit(True).alias("good"))
     return spark.read.schema(once.schema).parquet(f"{folder}-first").join(good, "doc_id", "left").select("doc_id", "generated", F.coalesce("good", F.lit(False)).alias("good"))
+
+
+def _text(words: str) -> str:
+    """A fixed wording as an SQL string."""
+    return "'" + words.replace("'", "''") + "'"
+
+
+_PROMPT_TEXTS = f"""
+part as (select t.s, t.k, c.i, t.n, '20' || lpad(cast(l.p % 25 as varchar), 2, '0') || '-01-' || lpad(cast(l.p % 28 + 1 as varchar), 2, '0') as date, t.title, t.kind, t.tier,
+    case when chars = -1 then repeat('The court granted it. Now x', l.tokens) else left(repeat('The court granted it. Now x', l.tokens), chars) || {_text(MARK)} end as body
+  from taken t join choice c on c.s = t.s and c.k = t.k and c.n = t.n join {LINES_SQL} as l on l.k = t.k and l.n = t.n where chars <> -2),
+shown as (select s, k, string_agg(case s when 'priority_filter' then chr(10) || '[DOCUMENT]' || chr(10) || 'Title: ' || title || case when kind = '' then '' else chr(10) || 'Type: ' || kind end || chr(10) || 'Date: ' || date || chr(10) || chr(10) || body
+  else '#### [' || case tier when 1 then 'PRIMARY' when 2 then 'SUPPORTING' else 'CONTEXTUAL' end || '] ' || title || ', ' || date || chr(10) || body || chr(10) end, chr(10) order by i) as docs from part group by s, k),
+times as (select k, string_agg('- ' || date || ': ' || title, chr(10) order by i) as times from (select *, row_number() over (partition by k order by tier, date, n) as i from docs where tier < 4) as x where i <= 15 group by k),
+texts as (
+  select p.k as id, 'priority_filter' as strategy, {_text(TASK)} || chr(10) || chr(10) || 'Case: Order ' || cast(p.k as varchar) || chr(10) || coalesce(chr(10) || s.docs, '') as x from per p left join shown s on s.k = p.k and s.s = 'priority_filter'
+  union all select p.k, 'structured', '## Case: Order ' || cast(p.k as varchar) || chr(10) || coalesce(chr(10) || '### Case Timeline' || chr(10) || t.times || chr(10), '') || chr(10) || '### Key Documents (ordered by importance)' || chr(10)
+    || coalesce(chr(10) || s.docs, '') || chr(10) || {_text(STRUCTURED_TASK)} from per p left join shown s on s.k = p.k and s.s = 'structured' left join times t on t.k = p.k)"""
+
+
+@query(f"with recursive {DOCS_SQL}, {_PROMPT_TEXTS} select id, strategy, md5(x) as digest, length(x) as n_chars from texts")
+def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompts of two strategies, to the last character."""
+    made = prepared(spark, sf_dir).where("strategy <> 'extract_first'")
+    return made.select("id", "strategy", F.md5(F.col("prompt").cast("binary")).alias("digest"), F.length("prompt").cast("bigint").alias("n_chars"))
+
+
+@query(f"""with {CHUNKS_SQL}, shown as (select k, n, tier, kind, left(rtrim(repeat('some text ', tokens * 10)), cast(least(room, 2800) as int)) as text from placed where room > 300)
+select k, md5(coalesce(string_agg('[CHUNK ' || cast(n as varchar) || ' — ' || case when kind = '' then 'Date: 2010-01-02 10:00' else kind end || ' · 2010-01-02]' || chr(10) || text, chr(10) || chr(10) order by tier, n),
+  '(No source documents provided — scoring factual grounding as N/A.)')) as digest from (select distinct k from chunks) as d left join shown using (k) group by k""")
+def sources_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judge's blocks of sources, to the last character."""
+    return chunked(spark, sf_dir).select("k", F.md5(parse.sources_block("chunks").cast("binary")).alias("digest"))
