@@ -2,16 +2,18 @@
 
 Pages of a host are parsed into elements, tolerant of unclosed and misnested tags, and merged into one style tree: a node is a
 path of element styles (tag, class, id; digits made equal). A node's presentation importance is the entropy of the child
-sequences it has on the host's pages, its content importance is one less the mean entropy of its texts over pages: what every
-page repeats comes to 0, what is new on each page to 1. A node's importance combines its own and its children's. Branches of
-low importance are removed. Nodes are judged from PAGES different pages on (equal pages of a host have the weight of one); what
-fewer have counts as new and is kept.
+sequences it has on the host's pages, its content importance is one less the mean entropy of its sentences over pages: what
+every page repeats comes to 0, what is new on each page to 1. Menus and adverts are dealt to pages in turn, so a host repeats
+each seldom; a sentence's pages are therefore counted at the same place of all hosts' trees, up to as many as the host itself
+has. A node's importance combines its own and its children's. Branches of low importance are removed. Nodes are judged from
+PAGES different pages on (equal pages of a host have the weight of one); what fewer have counts as new and is kept.
 
-Names are the second evidence: menus and adverts that differ on every page look like content to entropies. Elements whose tag,
+Names are the second evidence, for what too few pages have and for menus of which each is the only one. Elements whose tag,
 role or class says menu, header, footer, sidebar, notice, advert, form or comments have no importance, at every number of
 pages. Where a page marks its article or main part, what lies outside has none either, and within it only what nearly all
-pages repeat goes (importance below LOW_INSIDE). An element around the only main part is not removed for its class or for
-being a form, nor is a form that holds most of the page's prose.
+pages of the host repeat goes (importance below LOW_INSIDE, other hosts left out: articles that many hosts copy stay). An
+element around the only main part is not removed for its class or for being a form, nor is a form that holds most of the
+page's prose. `names=False` leaves all this to the tree.
 
 Blocks are cut at block-level tags; character references are decoded, white space becomes one space, blocks are joined by an
 empty line.
@@ -27,6 +29,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -59,7 +62,9 @@ FENCES = frozenset("ul ol dl table select article section div main body blockquo
 ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
-DROPPED = frozenset("head title nav footer aside form noscript template iframe object svg math canvas audio video button select textarea dialog menu datalist applet map frameset noframes".split())
+DROPPED = frozenset("head title noscript template iframe object svg math canvas audio video button select textarea datalist applet map frameset noframes".split())
+#: tags that name boilerplate
+CHROME = frozenset("nav footer aside form dialog menu".split())
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation topnav breadcrumb breadcrumbs "
     "footer foot header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login register "
@@ -77,6 +82,7 @@ _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style")}
 _ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z]+")
+_SENTENCE = re.compile(r"(?<=[.!?;:|\u00b7\u2022]) ")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -134,9 +140,10 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 class Parser:
-    """Turns pages into blocks; keeps what it has worked out of tags met before."""
+    """Turns pages into blocks; keeps what it has worked out of tags met before. names: whether names and marks count."""
 
-    def __init__(self) -> None:
+    def __init__(self, names: bool = True) -> None:
+        self.names = names
         self.styles: dict[tuple[str, str], tuple[str, bool, bool, bool]] = {}
         self.paths: dict[tuple[int, str], int] = {}
 
@@ -153,12 +160,15 @@ class Parser:
             main = tag in ("article", "main") or role in ("main", "article")
             # a reader's comment is often an article of its own; other words on a main part tell what it has, not what it is
             named = bool(words & (REPLIES if main else WORDS)) and tag not in ("html", "body")
-            fixed = hidden or (tag in DROPPED and tag != "form")
-            boiler = fixed or tag == "form" or (role in ROLES and not main) or named
+            fixed = hidden or tag in DROPPED
+            boiler = fixed
+            if self.names:
+                fixed = fixed or (tag in CHROME and tag != "form")
+                boiler = fixed or tag == "form" or (role in ROLES and not main) or named
             name = tag + "".join(f"{mark}{re.sub(r'[0-9]+', '0', v)}" for mark, v in ((".", found.get("class", "")), ("#", found.get("id", "")), ("@", role)) if v)
             if len(self.styles) > 50_000:
                 self.styles.clear()
-            got = self.styles[tag, attrs] = (name, boiler, fixed, main and not boiler)
+            got = self.styles[tag, attrs] = (name, boiler, fixed, self.names and main and not boiler)
         return got
 
     def below(self, path: int, name: str) -> int:
@@ -255,8 +265,7 @@ class Parser:
         self._judge(nodes, blocks)
         return blocks, nodes
 
-    @staticmethod
-    def _judge(nodes: list[Node], blocks: list[tuple[Node, str]]) -> None:
+    def _judge(self, nodes: list[Node], blocks: list[tuple[Node, str]]) -> None:
         """What lies in boilerplate by its names, and what in the main part. An element around the only main part is no
         boilerplate, unless its tag is; nor is a form around most of the page."""
 
@@ -264,13 +273,13 @@ class Parser:
             found = False
             for n in nodes[1:]:
                 within = n.up.article
-                own = n.own or (n.tag == "header" and not within)
+                own = n.own or (self.names and n.tag == "header" and not within)
                 n.boiler = n.up.boiler or (own and not n.holds)
                 n.article = not n.boiler and (within or n.mark)
                 found = found or n.article
             return found
 
-        if inherit():
+        if inherit() or not self.names:
             return
         met: set[Node] = set()
         for n in nodes:
@@ -294,12 +303,12 @@ class Parser:
         inherit()
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, up, path, kind, value, n): how many pages have the value (a sequence of children, kind 0, or a text, 1) at
+def _counts(batches: Iterator[pa.RecordBatch], names: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (host, up, path, kind, value, n): how many pages have the value (a sequence of children, kind 0, or a sentence, 1) at
     the path, or the path itself (2). Of pages with c copies each counts 1 / c."""
     from xxhash import xxh64_intdigest
 
-    parser = Parser()
+    parser = Parser(names)
     for batch in batches:
         count: Counter = Counter()
         for host, page, copies in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("copies").to_pylist(), strict=True):
@@ -308,7 +317,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks, nodes = parser.parse(page)
             seen = {(n.up.path, n.path, 0, xxh64_intdigest(" ".join(n.children)) >> 1) for n in nodes[1:]}
             seen.update((n.up.path, n.path, 2, 0) for n in nodes[1:])
-            seen.update((n.up.path if n.up else 0, n.path, 1, xxh64_intdigest(text) >> 1) for n, text in blocks)
+            seen.update((n.up.path if n.up else 0, n.path, 1, xxh64_intdigest(part) >> 1) for n, text in blocks for part in _SENTENCE.split(text))
             for x in seen:
                 count[host, *x] += 1 / (copies or 1)
         cols = list(zip(*count, strict=True)) if count else [()] * 5
@@ -317,8 +326,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _importance(nodes: pd.DataFrame) -> pd.DataFrame:
-    """Of one host's nodes (up, path, style, styles, content, rare): the largest importance in the branch of each, children before
-    parents."""
+    """Of one host's nodes (up, path, style, styles, content, content_here, rare): the largest importance in the branch of each,
+    by either content, children before parents."""
     own = {r.path: r for r in nodes.itertuples()}
     kids: dict[int, list[int]] = {}
     for r in own.values():
@@ -326,62 +335,74 @@ def _importance(nodes: pd.DataFrame) -> pd.DataFrame:
     order = [x for x in own if own[x].up not in own or own[x].up == x]
     for x in order:  # parents before children; grows as it goes
         order += [c for c in kids.get(x, ()) if c != x]
-    value: dict[int, float] = {}
-    most: dict[int, float] = {}
-    for x in reversed(order):
-        r, below = own[x], [c for c in kids.get(x, ()) if c in value]
-        parts = [value[c] for c in below]
-        if not np.isnan(r.content):
-            parts.append(r.content)
-        if r.rare:  # what too few pages have to be judged counts as new
-            parts.append(1.0)
-        keep = GAMMA ** max(r.styles, 1)
-        value[x] = (1 - keep) * r.style + keep * (sum(parts) / len(parts) if parts else r.style)
-        # a branch is noise only if all of it is
-        most[x] = max([1.0 if r.rare else value[x], *(most[c] for c in below)])
-    return pd.DataFrame({"host": nodes["host"], "path": nodes["path"], "importance": [most.get(p, 1.0) for p in nodes["path"]], "pages": nodes["pages"]})
-
-
-def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, importance and pages (that it was judged over) of all nodes that PAGES different pages of the host have. pages
-    has host and html."""
+
+    def largest(content: str) -> list[float]:
+        value: dict[int, float] = {}
+        most: dict[int, float] = {}
+        for x in reversed(order):
+            r, below = own[x], [c for c in kids.get(x, ()) if c in value]
+            parts = [value[c] for c in below]
+            if not np.isnan(getattr(r, content)):
+                parts.append(getattr(r, content))
+            if r.rare:  # what too few pages have to be judged counts as new
+                parts.append(1.0)
+            keep = GAMMA ** max(r.styles, 1)
+            value[x] = (1 - keep) * r.style + keep * (sum(parts) / len(parts) if parts else r.style)
+            # a branch is noise only if all of it is
+            most[x] = max([1.0 if r.rare else value[x], *(most[c] for c in below)])
+        return [most.get(p, 1.0) for p in nodes["path"]]
+
+    return pd.DataFrame({"host": nodes["host"], "path": nodes["path"], "importance": largest("content"), "here": largest("content_here"), "pages": nodes["pages"]})
+
+
+def style_tree(pages: DataFrame, names: bool = True) -> DataFrame:
+    """host, path, importance, here (importance by what the host alone repeats) and pages (that it was judged over) of all nodes
+    that PAGES different pages of the host have. pages has host and html."""
     known = pages.where("host is not null and html is not null")
     known = known.withColumns({"h1": F.xxhash64("html"), "h2": F.xxhash64(F.lit(1), "html")})
     same = ["host", "h1", "h2"]
     each = common.written(known.groupBy(*same).agg(F.count(F.lit(1)).alias("copies")), "style-pages")
     known = common.small_join(known.select(*same, "html"), common.written(each.where("copies > 1"), "style-copies"), same)
-    counts = known.select("host", "html", "copies").mapInArrow(_counts, "host string, up bigint, path bigint, kind int, value bigint, n double")
+    counts = known.select("host", "html", "copies").mapInArrow(partial(_counts, names=names), "host string, up bigint, path bigint, kind int, value bigint, n double")
     # rounded, as copies of a page add up to 1 but for the last digits
     counts = common.written(counts.groupBy("host", "up", "path", "kind", "value").agg(F.round(F.sum("n"), 6).alias("n")), "style-counts")
     size = common.written(each.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= PAGES), "style-hosts")
+    # sentences that other hosts have at the same place of their trees, with all their pages
+    spread = counts.where("kind = 1").groupBy("path", "value").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("hosts")).where("hosts > 1")
+    spread = spread.select(F.col("path").alias("at_path"), F.col("value").alias("at_value"), "all")
+    ours = common.small_join(counts, size, ["host"], "inner")
+    around = ours.where("kind = 2").groupBy("host", F.col("path").alias("up")).agg(F.sum("n").alias("around")).where(F.col("around") >= PAGES)
+    around = common.written(around, "style-around")
+    at = (F.col("path") == F.col("at_path")) & (F.col("value") == F.col("at_value"))
+    ours = ours.where("kind = 1").join(spread, at, "left").drop("at_path", "at_value").unionByName(ours.where("kind <> 1"), allowMissingColumns=True)
+    ours = common.small_join(ours, around, ["host", "up"]).withColumn("around", F.coalesce("around", "pages"))
+    # presentation: entropy of the shares; content: one less the sentences' mean entropy; both over the pages that have the
+    # element around, and content also with the pages of other hosts, as many as make a sentence one of every page
     total = F.sum("n")
-    spread = F.sum(F.col("n") * F.log("n"))
-    nodes = counts.groupBy("host", "path", "kind").agg(F.min("up").alias("up"), total.alias("t"), spread.alias("s"), F.count(F.lit(1)).alias("values"))
-    nodes = common.small_join(nodes, size, ["host"], "inner")
-    # presentation: entropy of the shares; content: one less the texts' mean entropy; both over the pages that have the element
-    # around
+    every = F.least(F.log(F.greatest("n", "all")), F.log("around"))
+    nodes = ours.groupBy("host", "path", "pages", "kind").agg(
+        F.min("up").alias("up"), F.min("around").alias("around"), total.alias("t"), F.sum(F.col("n") * F.log("n")).alias("s"), F.sum(F.col("n") * every).alias("w"), F.count(F.lit(1)).alias("values")
+    )
     of = lambda kind, value: F.max(F.when(F.col("kind") == kind, value))
     nodes = nodes.groupBy("host", "path", "pages").agg(
-        F.min("up").alias("up"), of(0, F.log("t") - F.col("s") / F.col("t")).alias("style"), F.coalesce(of(0, F.col("values")), F.lit(1)).alias("styles"),
-        of(1, F.col("s") / F.col("t")).alias("content"), F.coalesce(of(2, F.col("t")), F.col("pages")).alias("have"),
+        F.min("up").alias("up"), F.min("around").alias("around"), of(0, F.log("t") - F.col("s") / F.col("t")).alias("style"), F.coalesce(of(0, F.col("values")), F.lit(1)).alias("styles"),
+        of(1, F.col("w") / F.col("t")).alias("content"), of(1, F.col("s") / F.col("t")).alias("content_here"), F.coalesce(of(2, F.col("t")), F.col("pages")).alias("have"),
     )
     nodes = common.written(nodes, "style-nodes")
     judged, seldom = nodes.where(F.col("have") >= PAGES), nodes.where(F.col("have") < PAGES)
-    around = judged.select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), F.col("have").alias("around"))
     seldom = seldom.select(F.col("host").alias("in_host"), F.col("up").alias("in_path")).distinct().withColumn("rare", F.lit(True))
-    nodes = judged.join(around, (F.col("host") == F.col("of_host")) & (F.col("up") == F.col("of_path")), "left")
-    nodes = nodes.join(seldom, (F.col("host") == F.col("in_host")) & (F.col("path") == F.col("in_path")), "left")
-    nodes = nodes.withColumn("pages", F.coalesce("around", "pages").cast("bigint"))
+    nodes = judged.join(seldom, (F.col("host") == F.col("in_host")) & (F.col("path") == F.col("in_path")), "left")
+    nodes = nodes.withColumn("pages", F.col("around").cast("bigint"))
     within = F.log("pages")
+    less = lambda c: F.coalesce(1 - F.col(c) / within, F.lit(float("nan"))).alias(c)
     nodes = nodes.select(
-        "host", "path", "pages", "up", F.coalesce(F.least(F.col("style") / within, F.lit(1.0)), F.lit(0.0)).alias("style"), "styles", F.coalesce(1 - F.col("content") / within, F.lit(float("nan"))).alias("content"),
-        F.coalesce("rare", F.lit(False)).alias("rare"),
+        "host", "path", "pages", "up", F.coalesce(F.least(F.col("style") / within, F.lit(1.0)), F.lit(0.0)).alias("style"), "styles", less("content"), less("content_here"), F.coalesce("rare", F.lit(False)).alias("rare")
     )
-    return nodes.groupBy("host").applyInPandas(_importance, "host string, path bigint, importance double, pages bigint")
+    return nodes.groupBy("host").applyInPandas(_importance, "host string, path bigint, importance double, here double, pages bigint")
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parser = Parser()
+def _texts(batches: Iterator[pa.RecordBatch], names: bool) -> Iterator[pa.RecordBatch]:
+    parser = Parser(names)
     for batch in batches:
         out = []
         for page, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True):
@@ -403,15 +424,15 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+def extract(pages: DataFrame, names: bool = True) -> DataFrame:
+    """page_id, url, text and n_chars of every page. Without names the tree alone decides."""
     host = F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
     pages = pages.select("page_id", "url", "html", F.when(F.length(host) > 0, host).alias("host"))
-    tree = style_tree(pages)
-    inside = F.col("importance") < LOW_INSIDE
+    tree = style_tree(pages, names)
+    inside = F.col("here") < LOW_INSIDE
     low = tree.where(F.col("importance") < LOW).groupBy("host").agg(F.collect_list(F.struct("path", inside.alias("inside"))).alias("low"))
     low = common.written(low, "style-low")
     n = low.agg(F.coalesce(F.sum(F.size("low")), F.lit(0)).alias("n")).first()["n"]
     kinds = dict(pages.dtypes)
     joined = common.small_join(pages, low, ["host"], n=n).select("page_id", "url", "html", "low")
-    return joined.mapInArrow(_texts, f"page_id {kinds['page_id']}, url string, text string, n_chars bigint")
+    return joined.mapInArrow(partial(_texts, names=names), f"page_id {kinds['page_id']}, url string, text string, n_chars bigint")

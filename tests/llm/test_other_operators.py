@@ -97,6 +97,42 @@ def test_style_tree_removes_what_pages_repeat(spark):
     assert {r.text for r in copies.values()} == {"Same text"}
 
 
+def test_tree_alone_finds_the_main_text(spark):
+    """Pages without any name or mark, menus, adverts and closing lines dealt in turn: the whole text of every page."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n)) + "."
+    menus, adverts, ends = [[word() for _ in range(5)] for _ in range(30)], [line(8) for _ in range(30)], [line(5) for _ in range(30)]
+    pages, want = [], {}
+    for i in range(360):
+        host, k = i % 9, rng.randrange(30)
+        main = [line(4), *(" ".join(line(9) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 5)))]
+        if i % 8 == 7:  # a copy of the page before, at another host
+            main = want[i - 1].split("\n\n")
+        body = f"<h2>{main[0]}</h2>" + "".join(f"<p>{x}</p>" for x in main[1:])
+        items = "".join(f"<li><a href='/{x}'>{x}</a></li>" for x in menus[k])
+        pages.append((i, f"https://h{host}.example/{i}", f"<body><ul class=xa>{items}</ul><div class=xb>{adverts[k]}</div><div class=xc>{body}</div><div class=xd>Site {host}. {ends[k]}</div></body>"))
+        want[i] = "\n\n".join(main)
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in style_tree.extract(df, names=False).collect()} == want
+    assert {r.page_id: r.text for r in style_tree.extract(df).collect()} == want
+
+
+def test_tree_alone_on_the_tables(spark):
+    """Without names and marks the tree gives the texts that these give."""
+    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html")
+    named, alone = (style_tree.extract(df, names=x).select("page_id", "text") for x in (True, False))
+    assert named.exceptAll(alone).count() == 0 and named.where("text <> ''").count() == df.count()
+
+
+def test_an_article_that_many_hosts_copy_stays(spark):
+    rng = random.Random(8)
+    page = lambda i, text: f"<body><div class=top>Menu {i % 3}</div><article><p>{text}</p></article></body>"
+    pages = [(i, f"https://h{i % 12}.example/{i}", page(i, "The same words everywhere." if i % 3 else f"Words {rng.random()}")) for i in range(360)]
+    got = texts(spark, pages)
+    assert all(r.text and "Menu" not in r.text for r in got.values())
+
+
 def test_copies_of_a_page_do_not_remove_articles(spark):
     rng = random.Random(2)
     body = lambda i: f"<html><body><div class=top><p>Our site</p></div><article><p>{i} {rng.random()}</p></article></body></html>"
@@ -185,7 +221,7 @@ def test_importance_like_its_definition(spark):
         return own, max([1.0 if rare else own, *(importance(k)[1] for k in kids if len(seen[k]) >= 8)])
 
     assert got == sorted(round(importance(p)[1], 6) for p in seen if len(seen[p]) >= 8) and got[0] < 0.4 < got[-1]
-    assert style_tree._importance(pd.DataFrame({"host": "h", "path": range(1, 2001), "up": [0] + [1] * 1999, "style": 0.0, "styles": 1, "content": [float("nan")] + [0.0] * 1998 + [1.0], "rare": False, "pages": 9}))["importance"][0] == 0.9
+    assert style_tree._importance(pd.DataFrame({"host": "h", "path": range(1, 2001), "up": [0] + [1] * 1999, "style": 0.0, "styles": 1, "content": [float("nan")] + [0.0] * 1998 + [1.0], "content_here": 1.0, "rare": False, "pages": 9}))["importance"][0] == 0.9
 
 
 def test_fixity(spark):
