@@ -11,7 +11,8 @@ leaf position. A file has the records of FILE ids, files are named by ranges of
 the roots down, a level is joined with the open nodes above it alone.
 
 `archives` makes WARC files of pages, `records` reads the records of such files with their offsets, so that `audit` can be held
-against files as they lie: the bytes of a file from a record's start to its end are the record.
+against files as they lie: the bytes of a file from a record's start to its end are the record. `read` reads WARC files of any
+writer, plain or gzip members, and `audit_files` compares two sets of them record by record. A file is one row, below 2 GB.
 
 Defined results: a null html is an empty payload, a null url an empty target; rows without an id take no part; of rows with one
 id all versions are hashed together, whatever their order and number (sums of their hashes), so repeated rows in one replica
@@ -20,6 +21,7 @@ only show as a change; identical replicas give no rows; an empty replica gives a
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -100,30 +102,117 @@ def archives(pages: DataFrame) -> DataFrame:
     return rows.groupBy(F.floor(F.col("page_id") / FILE).alias("file")).agg(F.array_join(F.transform(in_order, lambda x: x["r"]), "").cast("binary").alias("warc"))
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """Start, end and content of a file's gzip members; a plain file is one."""
+    if data[:2] != b"\x1f\x8b":
+        yield 0, len(data), data
+        return
+    at = 0
+    while at < len(data):
+        z, parts, to = zlib.decompressobj(31), [], at
+        while not z.eof and to < len(data):
+            parts.append(z.decompress(data[to : to + 65_536]))
+            to = min(to + 65_536, len(data))
+        if not z.eof:
+            raise ValueError(f"the member at {at} is cut")
+        to -= len(z.unused_data)
+        yield at, to, b"".join(parts)
+        at = to
+
+
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Header fields by lower-case name; a line that begins with white space goes on with the one before."""
+    out, last = {}, ""
+    for line in lines:
+        if line[:1] in (" ", "\t"):
+            out[last] = f"{out.get(last, '')} {line.strip()}".strip()
+        else:
+            last, _, value = line.partition(":")
+            last = last.strip().lower()
+            out[last] = value.strip()
+    return out
+
+
+def _found(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
+    """Fields, block, start and end of each record; those of a gzip member have the member's."""
+    for start, stop, text in _members(data):
+        at, plain = 0, text is data
+        while at < len(text):
+            head = text.find(b"\r\n\r\n", at)
+            lines = text[at:head].decode("utf-8", "replace").split("\r\n") if head >= 0 else [""]
+            if not lines[0].startswith("WARC/"):
+                raise ValueError(f"no record at {at if plain else start}")
+            fields = _fields(lines[1:])
+            size = fields.get("content-length", "")
+            end = head + 8 + int(size) if size.isdecimal() else -1
+            if text[end - 4 : end] != b"\r\n\r\n":
+                raise ValueError(f"the record at {at if plain else start} is cut")
+            yield fields, text[head + 4 : end - 4], *((at, end) if plain else (start, stop))
+            at = end
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["record_id", "type", "uri", "block", "file", "start", "end"]
+    kinds = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64())
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
     for batch in batches:
         for file, data in zip(batch.column("file").to_pylist(), batch.column("warc").to_pylist(), strict=True):
-            at, rows = 0, []
-            while data and at < len(data):
-                head = data.find(b"\r\n\r\n", at)
-                lines = data[at:head].decode().split("\r\n") if head >= 0 else [""]
-                if not lines[0].startswith("WARC/"):
-                    raise ValueError(f"file {file}: no record at {at}")
-                fields = dict(x.split(": ", 1) for x in lines[1:])
-                end = head + 4 + int(fields["Content-Length"]) + 4
-                if data[end - 4 : end] != b"\r\n\r\n":
-                    raise ValueError(f"file {file}: the record at {at} is cut")
-                rows.append((int(fields["WARC-Record-ID"][10:-1]), fields["WARC-Target-URI"], data[head + 4 : end - 4].decode("utf-8", "surrogatepass"), file, at, end))
-                at = end
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            for k in range(0, len(rows), 256):
-                cols = list(zip(*rows[k : k + 256], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], ["page_id", "url", "html", "file", "start", "end"])
+            rows, size = [], 0
+            try:
+                for fields, block, start, end in _found(data or b""):
+                    rows.append((fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri"), block, file, start, end))
+                    size += len(block)
+                    if size > 8_000_000 or len(rows) == 256:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+            except (ValueError, zlib.error) as e:
+                raise ValueError(f"file {file}: {e}") from e
+            if rows:
+                yield batch_of(rows)
+
+
+def read(files: DataFrame) -> DataFrame:
+    """record_id, type, uri, block (bytes), file, start and end of the records of WARC files (file, warc), of any type; null for
+    a field that a record lacks. What is no record is an error. Records of one gzip member have the member's start and end."""
+    schema = "record_id string, type string, uri string, block binary, file string, start bigint, end bigint"
+    return files.select(F.col("file").cast("string").alias("file"), "warc").mapInArrow(_read, schema)
 
 
 def records(files: DataFrame) -> DataFrame:
-    """page_id, url, html, file, start and end of the records of WARC files (file, warc). What is no record is an error."""
-    return files.select(F.col("file").cast("bigint").alias("file"), "warc").mapInArrow(_records, "page_id bigint, url string, html string, file bigint, start bigint, end bigint")
+    """page_id, url, html, file, start and end of the pages in files that `archives` made."""
+    own = F.regexp_extract("record_id", r"^<urn:page:(-?\d+)>$", 1)
+    return read(files).where(own != "").select(own.cast("bigint").alias("page_id"), F.col("uri").alias("url"), F.col("block").cast("string").alias("html"), F.col("file").cast("bigint").alias("file"), "start", "end")
+
+
+def _numbered(ids: DataFrame) -> DataFrame:
+    """record_id and page_id, its number from 0 in order."""
+    ids = common.written(ids.distinct().repartitionByRange("record_id").withColumn("part", F.spark_partition_id()), "fixity-ids")
+    sizes = ids.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    ids = ids.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("record_id")))
+    return common.small_join(ids, sizes.select("part", before.alias("before")), ["part"], "inner").select("record_id", (F.col("before") + F.col("i") - 1).alias("page_id"))
+
+
+def audit_files(left: DataFrame, right: DataFrame) -> DataFrame:
+    """record_id, kind, and file, start and end in both sets of files (file, warc) of every record whose type, uri or block
+    differs, or that one set lacks. Records that lack an id take no part; of records with one id the first place is told."""
+    return common.settled(lambda: _audit_files(left, right), "fixity-files")
+
+
+def _audit_files(left: DataFrame, right: DataFrame) -> DataFrame:
+    a, b = (common.written(read(x).where("record_id is not null"), "fixity-read") for x in (left, right))
+    ids = common.written(_numbered(a.select("record_id").unionAll(b.select("record_id"))), "fixity-numbers")
+    # lengths before the parts, so that no two different records read alike
+    text = F.concat(*[x for c in ("type", "uri") for x in (F.coalesce(F.octet_length(c), F.lit(-1)).cast("string"), F.lit(" "), F.coalesce(c, F.lit("")))], F.col("block").cast("string"))
+    pages = [x.join(ids, "record_id").select("page_id", F.lit(None).cast("string").alias("url"), text.alias("html")) for x in (a, b)]
+    found = audit(*pages).select("page_id", "kind").join(ids, "page_id").drop("page_id")
+    for side, x in (("left", a), ("right", b)):
+        place = x.groupBy("record_id").agg(F.min(F.struct("file", "start", "end")).alias("at"))
+        found = found.join(place.select("record_id", *[F.col(f"at.{c}").alias(f"{side}_{c}") for c in ("file", "start", "end")]), "record_id", "left")
+    return found
 
 
 def damaged(pages: DataFrame) -> DataFrame:

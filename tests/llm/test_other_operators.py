@@ -252,6 +252,37 @@ def test_archives_keep_records_at_their_offsets(spark):
     assert warc_fixity.audit(many, many.orderBy(F.desc("html"))).count() == 0 and warc_fixity.audit(many, many.where("html <> 'v7'")).count() == 1
 
 
+def test_files_of_other_writers(spark):
+    """Plain files and gzip members, any case of names, folded lines, records of all types."""
+    import gzip
+
+    def rec(kind, name, block, uri=None):
+        head = f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-Record-ID:<urn:uuid:{name}>\r\nX-Note: one\r\n  two\r\n" + (f"WARC-Target-URI: {uri}\r\n" if uri else "")
+        return f"{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    recs = [rec("warcinfo", "w", b"software: x")] + [rec("response", f"{i:04}", b"HTTP/1.1 200 OK\r\n\r\n\xff" + bytes([i % 256]) * (i * 37 % 90_000), f"http://x/{i}") for i in range(300)]
+    pack = lambda rs: b"".join(gzip.compress(r) for r in rs)
+    df = lambda *fs: spark.createDataFrame([(f, bytearray(x)) for f, x in fs], "file string, warc binary")
+    left = df(("a.warc.gz", pack(recs[:150])), ("b.warc", b"".join(recs[150:])), ("empty", b""))
+    got = warc_fixity.read(left).collect()
+    assert len(got) == 301 and {r.type for r in got} == {"warcinfo", "response"} and next(r for r in got if r.type == "warcinfo").uri is None
+    data = {"a.warc.gz": pack(recs[:150]), "b.warc": b"".join(recs[150:])}
+    part = lambda r: data[r.file][r.start : r.end]
+    assert sorted(gzip.decompress(part(r)) if r.file.endswith("gz") else part(r) for r in got) == sorted(recs)
+    # the same records packed otherwise, but for one turned byte, one lost and one more
+    other = [r for i, r in enumerate(recs) if i != 20]
+    other[200] = other[200].replace(b"\xff", b"\xfe", 1)
+    right = df(("c.warc.gz", pack([*other, rec("response", "more", b"new")])))
+    found = {r.record_id: r for r in warc_fixity.audit_files(left, right).collect()}
+    changed = f"<urn:uuid:{200:04}>"
+    assert {k: r.kind for k, r in found.items()} == {"<urn:uuid:0019>": "missing", changed: "changed", "<urn:uuid:more>": "extra"}
+    assert found[changed].left_file == "b.warc" and part(next(r for r in got if r.record_id == changed)) == data["b.warc"][found[changed].left_start : found[changed].left_end]
+    assert warc_fixity.audit_files(left, left).count() == 0
+    for bad in (pack(recs)[:-9], b"".join(recs)[:-1], b"no record"):
+        with pytest.raises(Exception, match="is cut|no record"):
+            warc_fixity.read(df(("bad", bad))).count()
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Every stage on rows with nulls, repeats and clashing columns, on none, and as a whole."""
     import corpus_pipeline as p
