@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .catalog import LINES_SQL, ORACLE, QUERIES, lines, made_prompts, query, table
 from .functions.scalar import key16
 from .operators import models, parse, prompts, scores
+from .sources import files
 
 _TIER = """case when regexp_matches(lower(title || ' ' || kind), 'opinion|order|judgment|decree|settlement') then 1 when trim(title || kind) = '' then 4
   when regexp_matches(lower(title || ' ' || kind), 'docket|pacer|correspondence|letter|press release|untitled') then 4 when regexp_matches(lower(title || ' ' || kind), 'complaint|motion to dismiss|class cert|answer') then 2 else 3 end"""
@@ -64,6 +65,31 @@ def prepared_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.prepared_stats(_prepared(spark, sf_dir), 700, "strategy")
 
 
+@query(f"""with recursive {_DOCS} select strategy, avg(used_chunk_count) as mean_taken, median(used_chunk_count) as median_taken, avg(total_docs) as mean_total, median(total_docs) as median_total, 0 as cache_hits
+  from made group by strategy""")
+def prepared_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prompts.document_stats(_prepared(spark, sf_dir), "strategy")
+
+
+@query("""select doc_id as id, case when doc_id % 7 = 0 or trim(coalesce(source, '')) = '' then 'no response' when doc_id % 5 = 0 then 'no prompt' else 'no documents' end as reason
+  from documents where doc_id % 7 = 0 or trim(coalesce(source, '')) = '' or doc_id % 5 = 0 or doc_id % 3 = 0""")
+def rejected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records of one document each; some lack their response, their prompt, or the mark that a document begins with."""
+    i = F.col("doc_id")
+    body = F.concat(F.lit("Task.\nCase: X\n"), F.when(i % 3 == 0, "").otherwise("\n[DOCUMENT]\nTitle: T\n\n"), F.coalesce("text", F.lit("")))
+    rec = table(spark, sf_dir, "documents").select(i.alias("id"), F.when(i % 5 != 0, body).alias("prompt"), F.when(i % 7 == 0, " \n").otherwise(F.col("source")).alias("response"))
+    return prompts.rejected(rec)
+
+
+@query("""select o_orderkey as step, cast(o_totalprice as double) as loss from orders where o_orderkey % 5 > 1""")
+def log_with_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as lines of a training log; every fifth line is an evaluation and every fifth is torn."""
+    line = F.to_json(F.struct(F.col("o_orderkey").alias("step"), F.col("o_totalprice").cast("double").alias("loss")))
+    k = F.col("o_orderkey") % 5
+    evaluation = F.concat(F.lit('{"eval_loss": 1.5, "step": '), F.col("o_orderkey").cast("string"), F.lit("}"))
+    return files.log_rows(table(spark, sf_dir, "orders").select(F.when(k == 0, evaluation).when(k == 1, F.left(line, F.lit(9))).otherwise(line).alias("value")))
+
+
 _CHUNKS = f"""chunks as (select k, n, p, title, kind, tokens, case when regexp_matches(lower(kind), 'opinion|order|judgment|settlement') then 1 when regexp_matches(lower(kind), 'docket|pacer|letter|correspondence') then 4 else 2 end as tier
   from {LINES_SQL} as l),
 placed as (select *, 14000 - coalesce(sum(100 * tokens - 1) over (partition by k order by tier, n rows between unbounded preceding and 1 preceding), 0) as room from chunks where tier < 4)"""

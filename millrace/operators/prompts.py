@@ -219,6 +219,25 @@ def prepare(records: DataFrame, strategy: str, max_tokens: int = 24_000, **optio
     return _filled(out.withColumn("used_chunk_count", F.coalesce(*used, F.lit(0))))
 
 
+def rejected(records: DataFrame) -> DataFrame:
+    """id and reason of the records that no prompt can be made of, the first reason that holds; the others go through `prepare`."""
+    blank = lambda c: F.coalesce(T.strip(c), F.lit("")) == ""
+    reason = F.when(blank("response"), "no response").when(blank("prompt"), "no prompt").when(F.size(documents(F.col("prompt"))) == 0, "no documents")
+    return records.select("id", reason.alias("reason")).where("reason is not null")
+
+
+def document_stats(rows: DataFrame, *by: str) -> DataFrame:
+    """One row (for each group): documents taken and documents there were, mean and exact median, and the extracts found in a cache
+    (0 where the strategy has none)."""
+    hits = F.col("cache_hits") if "cache_hits" in rows.columns else F.lit(0)
+    total = [c for c in ("relevant_docs", "total_docs") if c in rows.columns]  # where documents were sifted first, those that remained
+    rows = rows.withColumns({"used_chunk_count": F.coalesce("used_chunk_count", F.lit(0)), "total_docs": F.coalesce(*total, F.lit(0))})
+    return rows.groupBy(*by).agg(
+        F.avg("used_chunk_count").alias("mean_taken"), F.median("used_chunk_count").alias("median_taken"), F.avg("total_docs").alias("mean_total"), F.median("total_docs").alias("median_total"),
+        F.sum(F.coalesce(hits, F.lit(0))).alias("cache_hits"),
+    )
+
+
 def _filled(out: DataFrame) -> DataFrame:
     return out.withColumns({"split": F.coalesce("split", F.lit("")), "completion": F.coalesce("completion", "response"), "source_chunk_count": F.coalesce("source_chunk_count", F.lit(0))})
 

@@ -89,3 +89,10 @@ def write_summary(df: DataFrame, path: str) -> None:
 def embedded(rows: DataFrame, *columns: str) -> Column:
     """JSON of a row that can stand in a script element."""
     return F.replace(F.to_json(F.struct(*columns)), F.lit("</"), F.lit("<\\/"))
+
+
+def log_rows(lines: DataFrame, metric: str = "loss") -> DataFrame:
+    """step and the metric of the lines (value) of a training log that have it as a number, not null; lines that are no JSON, or of another kind
+    (evaluations, totals), are left out."""
+    row = F.from_json("value", f"step bigint, `{metric}` double")
+    return lines.select(row.alias("r")).select("r.step", F.col(f"r.`{metric}`").alias(metric)).where(F.col(metric).isNotNull())

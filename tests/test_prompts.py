@@ -98,3 +98,26 @@ def test_extract_and_chunks(spark):
     assert [(x["index"], x["tier"], len(x["text"]), x["date"]) for x in c] == [(2, 1, 13600, ""), (1, 2, 400, "2010-01-02")]
     assert len(spark.range(1).select(parse.source_chunks(F.lit("y" * 5000)).alias("c")).first()["c"][0]["text"]) == 4000
     assert spark.range(1).select(tokens_estimate(F.lit("abcdefg")).alias("n")).first()["n"] == 1
+
+
+def test_rejected_records_and_documents_taken(spark):
+    doc = "Task.\nCase: X\n" + "\n[DOCUMENT]\nTitle: Opinion\n\nThe court finds it so." * 3
+    rows = [(1, doc, "yes"), (2, doc, " \n"), (3, doc, None), (4, None, "yes"), (5, "", "yes"), (6, "Task.\nCase: X\n", "yes"), (7, None, None)]
+    df = spark.createDataFrame(rows, "id bigint, prompt string, response string").withColumns({"case_id": F.col("id"), "reason": F.lit("other")})
+    got = {r.id: r.reason for r in prompts.rejected(df).collect()}
+    assert got == {2: "no response", 3: "no response", 4: "no prompt", 5: "no prompt", 6: "no documents", 7: "no response"}
+    assert prompts.rejected(df.limit(0)).count() == 0
+    cache = prompts.prepare(df.where("id = 1"), "extract_first")
+    r = prompts.document_stats(cache).first()
+    assert (r.mean_taken, r.mean_total, r.median_total, r.cache_hits) == (3, 3, 3, 0)
+    shown = spark.createDataFrame([(1, 2, 5, 4, 7), (2, 4, 9, None, None), (3, None, 1, 2, 1)], "id int, used_chunk_count int, total_docs int, relevant_docs int, cache_hits int")
+    r = prompts.document_stats(shown).first()
+    assert (r.mean_taken, r.median_taken, r.mean_total, r.median_total, r.cache_hits) == (2, 2, 5, 4, 8)
+
+
+def test_log_rows(spark):
+    from millrace.sources import files
+
+    lines = ['{"loss": 1.5, "step": 2}', '{"step": 3}', '{"step": 4, "loss": null}', "no json", "", None, '{"loss": 0, "step": 1, "other": [1]}', '{"eval_loss": 3, "step": 5}']
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    assert sorted(map(tuple, files.log_rows(df).collect())) == [(1, 0.0), (2, 1.5)] and files.log_rows(df, "eval_loss").collect()[0].step == 5
