@@ -54,14 +54,18 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", "n", "p", F.expr(templates.TITLE).alias("title"), F.expr(templates.KIND).alias("kind"), "tokens")
 
 
+def lines_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, d): an order's lines as an array in their order. Texts are made of them afterwards, so that only narrow rows are sorted."""
+    return lines(spark, sf_dir).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "p", "title", "kind", "tokens"))).alias("d"))
+
+
 def made_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(k, prompt): an order's lines as the documents of a prompt, each with a body of 40 characters a token."""
-    doc = F.concat(
-        F.lit("\n[DOCUMENT]\nTitle: "), "title", F.lit("\nType: "), "kind", F.lit("\nDate: 20"), F.lpad((F.col("p") % 25).cast("string"), 2, "0"), F.lit("-01-"), F.lpad((F.col("p") % 28 + 1).cast("string"), 2, "0"),
-        F.lit("\n\n"), F.repeat(F.lit("The court granted it. Now x"), F.col("tokens")),
+    """(k, prompt): an order's lines as the documents of a prompt, each with a body of 27 characters a token."""
+    doc = lambda d: F.concat(
+        F.lit("\n[DOCUMENT]\nTitle: "), d["title"], F.lit("\nType: "), d["kind"], F.lit("\nDate: 20"), F.lpad((d["p"] % 25).cast("string"), 2, "0"), F.lit("-01-"), F.lpad((d["p"] % 28 + 1).cast("string"), 2, "0"),
+        F.lit("\n\n"), F.repeat(F.lit("The court granted it. Now x"), d["tokens"]),
     )
-    docs = lines(spark, sf_dir).select("k", F.struct("n", doc.alias("d")).alias("d")).groupBy("k").agg(F.array_sort(F.collect_list("d")).alias("d"))
-    return docs.select("k", F.concat(F.lit("Task.\nCase: Order "), F.col("k").cast("string"), F.lit("\n"), F.array_join(F.transform("d", lambda d: d["d"]), "")).alias("prompt"))
+    return lines_by_order(spark, sf_dir).select("k", F.concat(F.lit("Task.\nCase: Order "), F.col("k").cast("string"), F.lit("\n"), F.array_join(F.transform("d", doc), "")).alias("prompt"))
 
 
 # Text functions

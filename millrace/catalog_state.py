@@ -12,7 +12,7 @@ from .catalog_prompts import _CHUNKS as CHUNKS_SQL
 from .catalog_prompts import _DOCS as DOCS_SQL
 from .catalog_prompts import _chunked as chunked
 from .catalog_prompts import _prepared as prepared
-from .operators import bertscore, hydrate, ingest, models, parse
+from .operators import bertscore, hydrate, ingest, models, parse, prompts
 from .operators.parse import MARK
 from .operators.prompts import STRUCTURED_TASK, TASK
 from .settings import shared_dir
@@ -168,7 +168,7 @@ texts as (
 @query(f"with recursive {DOCS_SQL}, {_PROMPT_TEXTS} select id, strategy, md5(x) as digest, length(x) as n_chars from texts")
 def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prompts of two strategies, to the last character."""
-    made = prepared(spark, sf_dir).where("strategy <> 'extract_first'")
+    made = prepared(spark, sf_dir, prompts.TIMELINE).where("strategy <> 'extract_first'")
     return made.select("id", "strategy", F.md5(F.col("prompt").cast("binary")).alias("digest"), F.length("prompt").cast("bigint").alias("n_chars"))
 
 

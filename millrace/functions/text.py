@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: one character of white space, for patterns with the flag U
 WS = r"[\s\x1c-\x1f]"
+#: the same characters one by one, for functions that take no pattern
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def _col(c: Column | str) -> Column:
@@ -22,15 +24,15 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), rf"(?U)\A{WS}+|{WS}+\z", "")
+    return F.btrim(_col(c), F.lit(SPACES))
 
 
 def lstrip(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), rf"(?U)\A{WS}+", "")
+    return F.ltrim(_col(c), F.lit(SPACES))
 
 
 def rstrip(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), rf"(?U){WS}+\z", "")
+    return F.rtrim(_col(c), F.lit(SPACES))
 
 
 def words(c: Column | str) -> Column:
@@ -44,7 +46,8 @@ def n_words(c: Column | str) -> Column:
 
 def sentences(c: Column | str) -> Column:
     """Cut after . ! or ? where white space follows; stripped, without empty ones."""
-    return F.filter(F.transform(F.split(_col(c), rf"(?U)(?<=[.!?]){WS}+"), strip), lambda s: s != "")
+    # the white space is looked for before what precedes it: few characters are any
+    return F.filter(F.transform(F.split(_col(c), rf"(?U){WS}(?<=[.!?]{WS}){WS}*"), strip), lambda s: s != "")
 
 
 def paragraphs(c: Column | str) -> Column:

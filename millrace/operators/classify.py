@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import _col, strip
+from ..functions.text import _col, let, strip
 
 # Patterns of the tiers, searched in "title type" in lower case.
 TIER_1 = (
@@ -36,9 +36,11 @@ ROUTES = {
 def tier(title: Column | str, kind: Column | str | None = None) -> Column:
     """1 to 4. Tier 1 is tried first, then 4, then 2; whatever remains is 3, an empty title and type 4."""
     kind = F.lit("") if kind is None else F.coalesce(_col(kind), F.lit(""))
-    text = F.lower(strip(F.concat(F.coalesce(_col(title), F.lit("")), F.lit(" "), kind)))
-    found = lambda patterns: text.rlike("(?U)" + "|".join(patterns))
-    return F.when(text == "", 4).when(found(TIER_1), 1).when(found(TIER_4), 4).when(found(TIER_2), 2).otherwise(3)
+    found = lambda text, patterns: text.rlike("(?U)" + "|".join(patterns))
+    return let(
+        F.lower(strip(F.concat(F.coalesce(_col(title), F.lit("")), F.lit(" "), kind))),
+        lambda text: F.when(text == "", 4).when(found(text, TIER_1), 1).when(found(text, TIER_4), 4).when(found(text, TIER_2), 2).otherwise(3),
+    )
 
 
 def tier_label(t: Column | str) -> Column:

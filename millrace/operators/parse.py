@@ -13,8 +13,13 @@ _col = T._col
 MARK = "\n[...truncated]"
 
 
+def _rest(items: Column, start: Column) -> Column:
+    """The elements from a place on; without a count of them, for which the array would be made a second time."""
+    return F.slice(items, start, F.lit(1 << 30))
+
+
 def _unchunked(c: Column) -> Column:
-    return T.strip(F.regexp_replace(c, r"(?dmU)^Chunk\s+\d+:\s*\n?", ""))
+    return T.let(c, lambda x: T.strip(F.when(x.contains("Chunk"), F.regexp_replace(x, r"(?dmU)^Chunk\s+\d+:\s*\n?", "")).otherwise(x)))
 
 
 def preamble(prompt: Column | str) -> Column:
@@ -26,37 +31,33 @@ def case_name(prompt: Column | str) -> Column:
     return T.strip(F.regexp_extract(preamble(prompt), r"(?dmU)^[^\S\n]*Case:(.*)$", 1))
 
 
-def _header(fragment: Column) -> Column:
+def _header(rows: Column) -> Column:
     """title, kind, date and start (lines before the body). Header lines are read until a date or, after the first line, any
-    other line; if neither comes, all lines stay in the body."""
-    numbered = F.transform(F.split(fragment, "\n"), lambda x, i: F.struct(i.alias("i"), T.strip(x).alias("x")))
-    start = F.struct(F.lit("").alias("title"), F.lit("").alias("kind"), F.lit("").alias("date"), F.lit(0).alias("start"), F.lit(False).alias("done"))
-
-    def step(a: Column, line: Column) -> Column:
-        x, i = line["x"], line["i"]
-        is_title, is_kind, is_date = x.startswith("Title:"), x.startswith("Type:"), x.startswith("Date:")
-        other = ~(is_title | is_kind | is_date) & (x != "") & (i > 0)
-        go = ~a["done"]
-        return F.struct(
-            F.when(go & is_title, F.btrim(T.strip(F.substring(x, 7, 1 << 30)), F.lit("[]"))).otherwise(a["title"]).alias("title"),
-            F.when(go & is_kind, T.strip(F.substring(x, 6, 1 << 30))).otherwise(a["kind"]).alias("kind"),
-            F.when(go & is_date, T.strip(F.substring(x, 6, 1 << 30))).otherwise(a["date"]).alias("date"),
-            F.when(go & is_date, i + 1).when(go & other, i).otherwise(a["start"]).cast("int").alias("start"),
-            (a["done"] | is_date | other).alias("done"),
+    other line; if neither comes, all lines stay in the body. Lines after the header cost nothing."""
+    start = F.struct(F.lit("").alias("title"), F.lit("").alias("kind"), F.lit("").alias("date"), F.lit(0).alias("start"), F.lit(False).alias("done"), F.lit(0).alias("i"))
+
+    def read(a: Column, x: Column) -> Column:
+        made = lambda title=a["title"], kind=a["kind"], date=a["date"], start=a["start"], done=F.lit(False): F.struct(
+            title.alias("title"), kind.alias("kind"), date.alias("date"), start.alias("start"), done.alias("done"), (a["i"] + 1).alias("i")
         )
+        rest = lambda n: T.strip(F.substring(x, n, 1 << 30))
+        return (
+            F.when(x.startswith("Title:"), made(title=F.btrim(rest(7), F.lit("[]")))).when(x.startswith("Type:"), made(kind=rest(6)))
+            .when(x.startswith("Date:"), made(date=rest(6), start=a["i"] + 1, done=F.lit(True)))
+            .when((x != "") & (a["i"] > 0), made(start=a["i"], done=F.lit(True))).otherwise(made())
+        )
 
-    return F.aggregate(numbered, start, step)
+    return F.aggregate(rows, start, lambda a, line: F.when(a["done"], a).otherwise(T.let(T.strip(line), lambda x: read(a, x))))
 
 
 def documents(prompt: Column | str) -> Column:
     """Array of (pos, title, doc_type, date, body, tier, tokens) of a prompt's documents in order."""
     parts = F.split(_col(prompt), r"\[DOCUMENT\]")
-    fragments = F.filter(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), _unchunked), lambda f: f != "")
-    headed = F.transform(fragments, lambda f, i: F.struct(f.alias("f"), i.alias("pos"), _header(f).alias("h")))
+    fragments = F.filter(F.transform(_rest(parts, F.lit(2)), _unchunked), lambda f: f != "")
+    headed = F.transform(fragments, lambda f, i: T.let(F.split(f, "\n"), lambda rows: F.struct(rows.alias("rows"), i.alias("pos"), _header(rows).alias("h"))))
 
     def body(x: Column) -> Column:
-        rows = F.split(x["f"], "\n")
-        return _unchunked(F.array_join(F.slice(rows, x["h"]["start"] + 1, F.greatest(F.size(rows) - x["h"]["start"], F.lit(0))), "\n"))
+        return _unchunked(F.array_join(_rest(x["rows"], x["h"]["start"] + 1), "\n"))
 
     full = F.transform(headed, lambda x: F.struct(x["pos"].alias("pos"), x["h"].alias("h"), body(x).alias("body")))
     return F.transform(
@@ -75,33 +76,33 @@ def source_chunks(prompt: Column | str, max_chars: int = 14_000) -> Column:
     parts = F.split(p, r"\nChunk \d+:\n")
 
     def field(part: Column, name: str, other: Column) -> Column:
-        return F.coalesce(F.when(part.rlike(rf"(?dU){name}:\s*.+"), T.strip(F.regexp_extract(part, rf"(?dU){name}:\s*(.+)", 1))), other)
-
-    made = F.transform(
-        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
-        lambda part, i: F.struct(
-            (i + 1).alias("index"), field(part, "Title", F.concat(F.lit("Document "), (i + 1).cast("string"))).alias("title"), field(part, "Type", F.lit("Document")).alias("type"),
-            first_token(field(part, "Date", F.lit(""))).alias("date"), chunk_tier(field(part, "Type", F.lit("Document"))).alias("tier"),
-            T.strip(F.regexp_replace(part, r"(?s)\[DOCUMENT\].*?\n\n", "")).alias("text"),
-        ),
-    )
-    ranked = F.array_sort(F.transform(F.filter(made, lambda c: c["tier"] < 4), lambda c: F.struct(c["tier"].alias("t"), c["index"].alias("i"), c.alias("c"))))
+        return F.coalesce(T.strip(F.nullif(F.regexp_extract(part, rf"(?dU){name}:\s*(.+)", 1), F.lit(""))), other)
+
+    def chunk(part: Column, i: Column, kind: Column) -> Column:
+        return F.struct(
+            (i + 1).alias("index"), field(part, "Title", F.concat(F.lit("Document "), (i + 1).cast("string"))).alias("title"), kind.alias("type"),
+            first_token(field(part, "Date", F.lit(""))).alias("date"), chunk_tier(kind).alias("tier"), T.strip(F.regexp_replace(part, r"(?s)\[DOCUMENT\].*?\n\n", "")).alias("text"),
+        )
+
+    made = lambda parts: F.transform(_rest(parts, F.lit(2)), lambda part, i: T.let(field(part, "Type", F.lit("Document")), lambda kind: chunk(part, i, kind)))
+    ranked = lambda parts: F.array_sort(F.transform(F.filter(made(parts), lambda c: c["tier"] < 4), lambda c: F.struct(c["tier"].alias("t"), c["index"].alias("i"), c.alias("c"))))
     before = lambda lengths, i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, b: a + b)
     rooms = lambda r: T.let(
         F.transform(r, lambda x: F.length(x["c"]["text"])), lambda lengths: F.transform(r, lambda x, i: F.struct(x["c"].alias("c"), (F.lit(max_chars) - before(lengths, i)).alias("room")))
     )
-    kept = F.transform(
-        F.filter(T.let(ranked, rooms), lambda x: x["room"] > 300),
+    kept = lambda parts: F.transform(
+        F.filter(T.let(ranked(parts), rooms), lambda x: x["room"] > 300),
         lambda x: F.struct(*[x["c"][k].alias(k) for k in ("index", "title", "type", "date", "tier")], F.left(x["c"]["text"], x["room"]).alias("text")),
     )
     whole = F.array(F.struct(F.lit(1).alias("index"), F.lit("Source").alias("title"), F.lit("Document").alias("type"), F.lit("").alias("date"), F.lit(2).alias("tier"), F.left(p, F.lit(4000)).alias("text")))
-    return F.when(F.size(parts) <= 1, whole).otherwise(kept)
+    return T.let(parts, lambda parts: F.when(F.size(parts) <= 1, whole).otherwise(kept(parts)))
 
 
 def sources_block(chunks: Column | str) -> Column:
     """Chunks as a judge reads them, each text up to 2800 characters."""
     one = lambda c: F.concat(F.lit("[CHUNK "), c["index"].cast("string"), F.lit(" — "), c["type"], F.lit(" · "), c["date"], F.lit("]\n"), F.left(c["text"], F.lit(2800)))
-    return F.when(F.size(_col(chunks)) == 0, "(No source documents provided — scoring factual grounding as N/A.)").otherwise(F.array_join(F.transform(_col(chunks), one), "\n\n"))
+    block = lambda cs: F.when(F.size(cs) == 0, "(No source documents provided — scoring factual grounding as N/A.)").otherwise(F.array_join(F.transform(cs, one), "\n\n"))
+    return T.let(_col(chunks), block)
 
 
 def heuristic_summary(title: Column | str, text: Column | str, kind: Column | str, court: Column | str, subject: Column | str, n: int = 4) -> Column:
@@ -125,7 +126,7 @@ def extract(body: Column | str) -> Column:
     them and the last the two with most holding words (ties in order), and the last, up to 6000 characters."""
     body = T.strip(body)
     capped = lambda c, n: F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit(MARK))).otherwise(c)
-    score = lambda x: sum((F.lower(x).contains(w).cast("int") for w in HOLDINGS[1:]), F.lower(x).contains(HOLDINGS[0]).cast("int"))
+    score = lambda x: T.let(F.lower(x), lambda low: sum((low.contains(w).cast("int") for w in HOLDINGS[1:]), low.contains(HOLDINGS[0]).cast("int")))
 
     def condensed(paras: Column) -> Column:
         middle = F.transform(F.slice(paras, 3, F.greatest(F.size(paras) - 3, F.lit(0))), lambda x, i: F.struct((-score(x)).alias("s"), i.alias("i"), x.alias("x")))
@@ -133,7 +134,7 @@ def extract(body: Column | str) -> Column:
         marked = F.when(F.size(picks) > 0, F.concat(F.array(F.lit("[...key holdings...]")), picks)).otherwise(picks)
         return F.array_join(F.concat(F.slice(paras, 1, 2), marked, F.array(F.lit("[...]")), F.slice(paras, -1, 1)), "\n\n")
 
-    return T.let(T.paragraphs(body), lambda paras: F.when(F.size(paras) <= 4, capped(body, 12000)).otherwise(capped(condensed(paras), 6000)))
+    return T.let(body, lambda body: T.let(T.paragraphs(body), lambda paras: F.when(F.size(paras) <= 4, capped(body, 12000)).otherwise(T.let(condensed(paras), lambda c: capped(c, 6000)))))
 
 
 def display_name(known: Column | str, own: Column | str, prediction: Column | str, index: Column | str) -> Column:

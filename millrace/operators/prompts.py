@@ -125,8 +125,12 @@ def priority_filter(df: DataFrame, max_tokens: int = 24_000, pack: bool = False)
     return _finished(df, built, "priority_filter", F.size("__docs") - F.size("__taken"), pack, tier_counts=_tier_counts())
 
 
-def structured(df: DataFrame, max_tokens: int = 24_000, pack: bool = False) -> DataFrame:
-    """Documents by tier and date, after a timeline of up to 15 dated documents, before the task."""
+#: entries that a timeline shows
+TIMELINE = 15
+
+
+def structured(df: DataFrame, max_tokens: int = 24_000, pack: bool = False, timeline: int | None = TIMELINE) -> DataFrame:
+    """Documents by tier and date, after a timeline of the first dated documents (None: of all), before the task."""
     df = _with_docs(df).withColumn("__ordered", _dated(F.col("__docs")))
     budget = F.lit(max_tokens - 500)
     taken, passed = _select(F.col("__docs"), F.col("__ordered"), budget, True)
@@ -141,7 +145,7 @@ def structured(df: DataFrame, max_tokens: int = 24_000, pack: bool = False) -> D
         return F.concat(F.lit("#### ["), tier_label(d["tier"]), F.lit("] "), F.left(d["title"], F.lit(80)), date, F.lit("\n"), _body(F.col("__docs"), t), F.lit("\n"))
 
     empty = F.array().cast("array<string>")
-    line = F.when(F.size("__times") > 0, F.concat(F.array(F.lit("### Case Timeline")), F.slice("__times", 1, 15), F.array(F.lit("")))).otherwise(empty)
+    line = F.when(F.size("__times") > 0, F.concat(F.array(F.lit("### Case Timeline")), F.slice("__times", 1, timeline) if timeline else F.col("__times"), F.array(F.lit("")))).otherwise(empty)
     head = F.array(F.concat(F.lit("## Case: "), F.col("__case"), F.lit("\n")))
     built = F.array_join(F.concat(head, line, F.array(F.lit("### Key Documents (ordered by importance)\n")), F.transform("__taken", part), F.array(F.lit(STRUCTURED_TASK))), "\n")
     return _finished(df, built, "structured", F.size("excluded_doc_types"), pack, timeline_entries=F.size("__times"))
@@ -242,11 +246,11 @@ def _filled(out: DataFrame) -> DataFrame:
     return out.withColumns({"split": F.coalesce("split", F.lit("")), "completion": F.coalesce("completion", "response"), "source_chunk_count": F.coalesce("source_chunk_count", F.lit(0))})
 
 
-def prepare_all(records: DataFrame, max_tokens: int = 24_000) -> DataFrame:
+def prepare_all(records: DataFrame, max_tokens: int = 24_000, timeline: int | None = TIMELINE) -> DataFrame:
     """One row for each record and strategy, with the columns that all reports have. A prompt is parsed once."""
     df = _with_docs(_records(records))
     for name in STRATEGIES:
-        df = STRATEGIES[name](df, max_tokens, pack=True)
+        df = STRATEGIES[name](df, max_tokens, pack=True, **({"timeline": timeline} if name == "structured" else {}))
     keep = [c for c in df.columns if not c.startswith("__") and c not in ("prompt", "used_chunk_count")]
     return _filled(df.select(*keep, F.inline(F.array(*[f"__r_{name}" for name in STRATEGIES]))))
 

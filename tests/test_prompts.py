@@ -121,3 +121,16 @@ def test_log_rows(spark):
     lines = ['{"loss": 1.5, "step": 2}', '{"step": 3}', '{"step": 4, "loss": null}', "no json", "", None, '{"loss": 0, "step": 1, "other": [1]}', '{"eval_loss": 3, "step": 5}']
     df = spark.createDataFrame([(x,) for x in lines], "value string")
     assert sorted(map(tuple, files.log_rows(df).collect())) == [(1, 0.0), (2, 1.5)] and files.log_rows(df, "eval_loss").collect()[0].step == 5
+
+
+def test_timeline_of_all_documents(spark):
+    """More dated documents than a timeline shows: bounded by default, whole where no bound is given."""
+    df = many(spark, [("Reply", 4)] * 20)
+    dated = lambda rows: next(r["prompt"] for r in rows if r["strategy"] == "structured").count("\n- 20")
+    assert dated(prompts.prepare_all(df).collect()) == 15 and dated(prompts.prepare_all(df, timeline=None).collect()) == 20
+
+
+def test_marks_of_indented_lines_stay(spark):
+    """Only a mark that begins its line goes, also where white space is cut off around it."""
+    d = frame(spark, "Case: A\n[DOCUMENT]\nTitle: T\nDate: 2010-01-01\n  Chunk 1: x\nChunk 2:\nmore\u3000\x1c").select(parse.documents("prompt").alias("d")).first()["d"]
+    assert [(x["title"], x["body"]) for x in d] == [("T", "Chunk 1: x\nmore")]
