@@ -61,6 +61,8 @@ REPORTER = r"(?:Nos?|Count|Doc|ECF|ID|PL|DEF|No\d+|Fed|Cir|Cal|Ill|Mich|Tex|Va|W
 VERSION = r"\d+[xkKm]\d*|v\d+|p\d+|§\d+"
 YEAR_CUES = f"(?:in|on|since|until|filed|year|dated|of|{MONTHS})"
 DATE_CUES = "(?:in|on|since|until|filed|year|dated)"
+#: the last two letters of all cues and months
+CUE_ENDS = "in|on|ce|il|ed|ar|of|an|ry|eb|ch|pr|ay|ne|un|ly|ul|ug|st|ep|pt|er|ct|ov|ec"
 CLUSTERS = (r"\b\w*iiv\w*\b", r"\b\w*iin\w*\b", r"\b\w*(?:jn|hn|kz|wv)\w*\b", r"\bYour[kt]\b(?!shire)")
 TRIPLE = r"\b\w*([a-zA-Z])\1{2,}\w*\b"
 JUDGE_FIELDS = ("judge_factual_accuracy", "judge_completeness", "judge_conciseness_style", "judge_legal_reasoning", "judge_overall")
@@ -93,6 +95,30 @@ def _if(condition: Column, flag: Column) -> Column:
     return F.when(condition, F.array(flag)).otherwise(_none())
 
 
+def _plain(text: Column) -> Column:
+    """Whether a text is ASCII, for which patterns mean the same with and without Unicode classes and cases."""
+    return F.octet_length(text) == F.length(text)
+
+
+def _may(text: Column, *words: str, fold: bool = False) -> Column:
+    """False only where a text holds none of some words, one of which a pattern needs; looking for words is much cheaper than the
+    pattern. fold: in any case, by words in small letters."""
+    c = F.lower(text) if fold else text
+    found = c.contains(words[0])
+    for w in words[1:]:
+        found = found | c.contains(w)
+    return found | ~_plain(text) if fold else found
+
+
+def _has(text: Column, mode: str, pattern: str) -> Column:
+    """text.rlike(mode + pattern). Plain texts are searched in small letters where case plays no part, without Unicode classes."""
+    flags = mode.strip("(?)").replace("U", "")
+    small = "i" in flags and not any(c.isupper() for c in pattern.replace("\\S", ""))
+    flags = flags.replace("i", "") if small else flags
+    plain = (F.lower(text) if small else text).rlike((f"(?{flags})" if flags else "") + pattern)
+    return F.when(_plain(text), plain).otherwise(text.rlike(mode + pattern))
+
+
 def _number(c: Column) -> Column:
     return c.cast("string")
 
@@ -122,7 +148,9 @@ def date_flags(text: Column, k: Knobs) -> Column:
     each = lambda found, make: F.transform(found, make)
     # texts without digits, which are most, need none of the patterns that look for them
     none = F.array().cast("array<string>")
-    digits = lambda n, found: F.when(text.rlike(f"(?U)\\d{{{n}}}"), found).otherwise(none)
+    # in plain texts, white space or a comma stands between a cue or month and the digits: it is looked for, then what is around it
+    dated = ~_plain(text) | text.rlike(rf"(?i)[\s,](?=[\s,]*\d)(?<=(?:{CUE_ENDS})[\s,])")
+    digits = lambda n, found: F.when(dated & text.rlike(f"(?U)\\d{{{n}}}"), found).otherwise(none)
     mixed = F.filter(
         F.when(text.rlike("[0-9][A-Za-z]|[A-Za-z][0-9]"), T.all_matches(text, r"(?U)\b(?=[A-Za-z0-9]{3,6}\b)[A-Za-z0-9]*(?:[0-9][A-Za-z]|[A-Za-z][0-9])[A-Za-z0-9]*\b")).otherwise(none),
         lambda t: ~t.rlike(rf"(?i)\A(?:{ORDINAL}|{REPORTER})\z") & ~t.rlike(rf"\A(?:{VERSION})\z"),
@@ -141,15 +169,14 @@ def date_flags(text: Column, k: Knobs) -> Column:
 
 def without_header(text: Column) -> Column:
     """Without up to eight leading lines of a displayed header, and blank lines among them."""
-    def step(a: Column, line: Column) -> Column:
-        x = T.strip(line)
-        go = ~a["done"] & (a["headers"] < 8)
-        header = x.rlike(f"(?idU){HEADER_LINE}")
+    def read(a: Column, blank: Column, header: Column) -> Column:
         return F.struct(
-            F.when(go & ((x == "") | header), a["lines"] + 1).otherwise(a["lines"]).alias("lines"),
-            F.when(go & (x != "") & header, a["headers"] + 1).otherwise(a["headers"]).alias("headers"),
-            (~go | ((x != "") & ~header)).alias("done"),
-        )
+            F.when(blank | header, a["lines"] + 1).otherwise(a["lines"]).alias("lines"), F.when(~blank & header, a["headers"] + 1).otherwise(a["headers"]).alias("headers"),
+            (~blank & ~header | (a["headers"] + (~blank & header).cast("int") >= 8)).alias("done"),
+        )
+
+    def step(a: Column, line: Column) -> Column:  # lines after the header cost nothing
+        return F.when(a["done"], a).otherwise(T.let(T.strip(line), lambda x: T.let(F.struct((x == "").alias("blank"), x.rlike(f"(?idU){HEADER_LINE}").alias("header")), lambda y: read(a, y["blank"], y["header"]))))
 
     skipped = lambda rows: F.aggregate(rows, F.struct(F.lit(0).alias("lines"), F.lit(0).alias("headers"), F.lit(False).alias("done")), step)["lines"]
     return T.let(T.lines(text), lambda rows: T.lstrip(F.array_join(F.slice(rows, skipped(rows) + 1, F.greatest(F.size(rows), F.lit(1))), "\n")))
@@ -159,9 +186,9 @@ def artifact_flags(text: Column) -> Column:
     caption, caps = f"(?midU){CAPTION}", f"(?U){CAPS_RUN}"
     raw = "Summary contains raw pleading or order text (caption, signature block, or court header) — model is regurgitating source documents instead of summarizing."
     return F.concat(
-        _if(text.rlike(caption), _flag("critical", "format", "RAW_DOCUMENT_ARTIFACT", raw, F.left(F.regexp_extract(text, caption, 0), F.lit(80)))),
+        _if(_has(text, "(?midU)", CAPTION), _flag("critical", "format", "RAW_DOCUMENT_ARTIFACT", raw, F.left(F.regexp_extract(text, caption, 0), F.lit(80)))),
         _if(
-            text.rlike(f"(?mdU){NUMBERED_LINES}"),
+            text.contains("\n") & text.rlike(f"(?mdU){NUMBERED_LINES}"),
             _flag("critical", "format", "RAW_DOCUMENT_ARTIFACT", "Summary contains consecutive line-numbered lines — likely a raw transcript or brief block.", "line-numbered block detected"),
         ),
         _if(text.rlike(caps), _flag("warning", "format", "EXCESSIVE_CAPS", "Extended run of ALL-CAPS words — may indicate a court header or shout block.", F.left(F.regexp_extract(text, caps, 0), F.lit(80)))),
@@ -183,7 +210,8 @@ def _most_common(items: Column, keys: Column, least: int) -> Column:
 
 def repetition_flags(text: Column, tokens: Column) -> Column:
     n = F.size(tokens)
-    at = F.when(n >= 24, F.sequence(F.lit(0), F.greatest(n - 8, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    # a phrase that occurs three times makes nine words at least repeat an earlier one
+    at = F.when((n >= 24) & (n - F.size(F.array_distinct(tokens)) >= 9), F.sequence(F.lit(0), F.greatest(n - 8, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     hashes = F.transform(at, lambda i: F.xxhash64(*[F.get(tokens, i + j) for j in range(8)]))
     twice = lambda w: F.array(_flag("warning", "format", "DUPLICATE_SENTENCE", F.concat(F.lit("Sentence appears "), _number(w["n"]), F.lit(" times.")), F.left(w["item"], F.lit(100))))
     gram = lambda w: F.left(F.array_join(F.slice(tokens, (1 - w["at"]).cast("int") - 1, 8), " "), F.lit(80))
@@ -193,16 +221,22 @@ def repetition_flags(text: Column, tokens: Column) -> Column:
     return F.concat(sentences, some(T.let(hashes, lambda h: _most_common(h, h, 3)), loop))
 
 
+def _words(pattern: str) -> list[str]:
+    """The words of a pattern that is a choice of words."""
+    return pattern.removeprefix(r"\b(?:").removesuffix(r")\b").split("|")
+
+
 def meta_flags(text: Column) -> Column:
     pattern = f"(?iU){META}"
-    return _if(text.rlike(pattern), _flag("critical", "format", "META_PROMPT_LEAK", "Summary contains meta-prompt or self-referential AI language.", F.left(F.regexp_extract(text, pattern, 0), F.lit(80))))
+    some = _may(text, "as an ai", "summar", "creat", "generat", "writ", "provid", "based on", fold=True)
+    return _if(some & text.rlike(pattern), _flag("critical", "format", "META_PROMPT_LEAK", "Summary contains meta-prompt or self-referential AI language.", F.left(F.regexp_extract(text, pattern, 0), F.lit(80))))
 
 
 def style_flags(text: Column) -> Column:
-    now, past = T.count_regex(text, f"(?U){PRESENT}"), T.count_regex(text, f"(?U){PAST}")
+    now, past = F.when(_may(text, *_words(PRESENT)), T.count_regex(text, f"(?U){PRESENT}")).otherwise(0), T.count_regex(text, f"(?U){PAST}")
     tense = F.concat(F.lit("Summary appears to use present tense ("), _number(now), F.lit(" present-tense verbs vs "), _number(past), F.lit(" past-tense) — the house style is past tense."))
     return F.concat(
-        _if(text.rlike(r"(?U)\bjudgement\b"), _flag("info", "content", "WRONG_JUDGMENT_SPELLING", "'Judgement' should be 'judgment' in U.S. legal usage.", "judgement")),
+        _if(text.contains("judgement") & text.rlike(r"(?U)\bjudgement\b"), _flag("info", "content", "WRONG_JUDGMENT_SPELLING", "'Judgement' should be 'judgment' in U.S. legal usage.", "judgement")),
         _if((now >= 3) & (now > past), _flag("warning", "content", "WRONG_TENSE", tense, F.concat(_number(now), F.lit(" present / "), _number(past), F.lit(" past")))),
     )
 
@@ -211,7 +245,7 @@ def spelling_flags(text: Column) -> Column:
     none = F.array().cast("array<string>")
     triples = F.when(text.rlike(r"([a-zA-Z])\1{2}"), F.filter(T.all_matches(text, f"(?U){TRIPLE}"), lambda t: ~t.rlike(r"(?i)\A[ivxlcdm]+\z"))).otherwise(none)
     # the letters of a cluster are looked for before the words around them
-    clusters = [F.when(text.rlike(f"(?iU){c}"), T.all_matches(text, f"(?iU){p}")).otherwise(none) for c, p in zip(("iiv", "iin", "jn|hn|kz|wv", "your[kt]"), CLUSTERS, strict=True)]
+    clusters = [F.when(_may(text, *c.replace("[kt]", "").split("|"), fold=True) & text.rlike(f"(?iU){c}"), T.all_matches(text, f"(?iU){p}")).otherwise(none) for c, p in zip(("iiv", "iin", "jn|hn|kz|wv", "your[kt]"), CLUSTERS, strict=True)]
     some = F.slice(F.array_distinct(F.concat(triples, *clusters)), 1, 5)
     return _if(F.size(some) > 0, _flag("warning", "format", "SUSPICIOUS_SPELLING", F.concat(F.lit("Found "), _number(F.size(some)), F.lit(" possibly misspelled token(s).")), F.array_join(some, ", ")))
 
@@ -226,8 +260,24 @@ ELEMENTS = (
 )
 
 
+#: words of which a text holds one if it has the element; those of the first three in their case, none if there are no such words
+ELEMENT_WORDS = {
+    "MISSING_COURT": ("Court", "District"),
+    "MISSING_STATUTE": ("42 U", "28 U", "Title", "Act", "ADA", "1983", "Amendment", "Protection", "Due Process", "FHA", "IDEA", "FMLA", "RFRA", "FLSA", "§"),
+    "MISSING_REMEDY": ("damages", "relief", "declaratory", "compensatory", "punitive", "fees", "restitution", "injunction", "order"),
+    "MISSING_OUTCOME": ("dismissed", "granted", "denied", "settled", "affirmed", "reversed", "remanded", "entered", "approved", "certified", "judgment", "court", "class"),
+    "MISSING_ACTION_TYPE": ("class", "individual", "pro se"),
+}
+
+
 def element_flags(text: Column) -> Column:
-    return F.concat(*[_if(~text.rlike(mode + pattern), _flag(severity, "element", code, message)) for mode, pattern, severity, code, message in ELEMENTS])
+    def found(mode: str, pattern: str, code: str) -> Column:
+        has = _has(text, mode, pattern)
+        if code not in ELEMENT_WORDS:
+            return has
+        return _may(text, *ELEMENT_WORDS[code], fold="i" in mode) & has
+
+    return F.concat(*[_if(~found(mode, pattern, code), _flag(severity, "element", code, message)) for mode, pattern, severity, code, message in ELEMENTS])
 
 
 def reference_flags(n: Column, reference: Column, k: Knobs) -> Column:
@@ -323,7 +373,8 @@ def csv_rows(reports: DataFrame) -> DataFrame:
 
 def code_counts(reports: DataFrame) -> DataFrame:
     """Flags and distinct records by code, with the severity of its first and of its last place."""
-    each = reports.select("identifier", F.posexplode("flags").alias("at", "f"))
+    # the outer form: else Spark makes the flags once more, to see that there are any
+    each = reports.select("identifier", F.posexplode_outer("flags").alias("at", "f")).where("at is not null")
     place = F.struct("identifier", "at")
     return each.groupBy(F.col("f.code").alias("code")).agg(
         F.count(F.lit(1)).alias("flags"), F.count_distinct("identifier").alias("records"), F.min_by("f.severity", place).alias("first_severity"), F.max_by("f.severity", place).alias("last_severity")

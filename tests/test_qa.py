@@ -60,3 +60,19 @@ def test_status_follows_severities(spark):
     bad = df.where((F.col("status") == "REJECT") != (qa.severity_count("flags", "critical") > 0)).count()
     assert bad == 0 and qa.csv_rows(df).columns[0] == "identifier" and len(qa.csv_rows(df).columns) == 12
     assert qa.code_counts(df).where("code = 'MISSING_COURT'").first()["records"] == 3
+
+
+def test_cues_in_other_scripts_and_cases(spark):
+    """Texts that are not plain are searched by the whole patterns: a long s is an s in any case, and other white space stands before digits."""
+    assert "IMPLAUSIBLE_YEAR" in codes(spark, FILL + " \u017fince\xa01650.")[0] and "IMPLAUSIBLE_YEAR" in codes(spark, FILL + " SINCE , 1650.")[0]
+    assert "MISSING_OUTCOME" not in codes(spark, FILL + " It was di\u017fmi\u017f\u017fed.")[0] and "MISSING_OUTCOME" not in codes(spark, FILL + " DISMISSED.")[0]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reports_are_made_once(spark):
+    """Counting codes adds no filter that makes all flags a second time."""
+    df = qa.report(spark.createDataFrame([(1, FILL)], "index int, prediction string"), reference=None)
+    assert plan(qa.code_counts(df)).count("GARBLED_DATE") == plan(df).count("GARBLED_DATE")
