@@ -32,7 +32,10 @@ from pyspark.sql import functions as F
 from . import common
 
 #: pieces of text after which a chunk ends, and pieces that a worker keeps encoded
-CHUNK, CACHE = 1 << 20, 400_000
+CHUNK, CACHE = 1 << 19, 150_000
+#: chunks handed to Python at once where they are finished
+HANDED = 4
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: pieces encoded at once, and texts looked through at once
 BLOCK, ROWS = 20_000, 128
 
@@ -218,9 +221,17 @@ class Chunk:
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _CHUNK)], schema=_CHUNK)
 
 
+#: the tokenizers that this worker used last
+_kept: dict[tuple[str, str], Units] = {}
+
+
 def _gather(batches: Iterator[pa.RecordBatch], shared: dict, chunk: int, cache: int) -> Iterator[pa.RecordBatch]:
-    if "units" not in shared:  # kept with the worker's copy of the broadcast value
-        shared["units"] = Units(shared["a"], shared["b"])
+    if "units" not in shared:  # kept with the worker's copy of the broadcast value, and for later runs: a second pair beside the first takes as much memory again
+        key = shared["a"], shared["b"]
+        if key not in _kept:
+            _kept.clear()
+            _kept[key] = Units(*key)
+        shared["units"] = _kept[key]
     u, now = shared["units"], Chunk()
     for batch in batches:
         for k in range(0, batch.num_rows, ROWS):
@@ -363,6 +374,7 @@ def align(docs: DataFrame, a_file: str, b_file: str, *, chunk: int = CHUNK, cach
     """One row a document, as RESULT has it. a_file: a byte-level tokenizer as JSON; b_file: a piece model. files=False: counts are looked
     up by a join even where the shared folder can be mapped."""
     spark = docs.sparkSession
+    batch = spark.conf.get(_BATCH)
 
     def work() -> DataFrame:
         rows = chunks(docs, a_file, b_file, chunk=chunk, cache=cache)
@@ -372,6 +384,7 @@ def align(docs: DataFrame, a_file: str, b_file: str, *, chunk: int = CHUNK, cach
             folder = f"{folder}/align-shards-{uuid.uuid4().hex}"
             named = shards(counts, folder)
             kept.append(folder)
+            spark.conf.set(_BATCH, str(HANDED))  # else a task is handed all chunks of its split at once, which grow with the input
             return rows.drop("counts").mapInArrow(lambda it: _mapped(it, named), RESULT)
         keys = rows.select("chunk", "keys").mapInArrow(_chunk_keys, "chunk string, key bigint")
         found = keys.join(counts, "key").groupBy("chunk").agg(F.collect_list(F.struct("key", (F.col("n") * 2 + F.col("best").cast("bigint")).alias("v"))).alias("found"))  # of one chunk
@@ -381,6 +394,7 @@ def align(docs: DataFrame, a_file: str, b_file: str, *, chunk: int = CHUNK, cach
     try:
         return common.settled(work, "align-result")
     finally:
+        spark.conf.set(_BATCH, batch)
         for folder in kept:  # the driver sees the shared folder as the tasks do
             p = spark._jvm.org.apache.hadoop.fs.Path("file://" + folder)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -122,3 +122,14 @@ def test_no_files_stay(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(alignment.common, "shared_dir", lambda _: f"file://{tmp_path}")
     alignment.align(spark.createDataFrame([(1, "a b a")], "doc_id bigint, text string"), A, B)
     assert [p.name.split("-")[1] for p in tmp_path.iterdir()] == ["result"]
+
+
+def test_a_later_run_loads_nothing_again():
+    """Workers that serve a second run keep one pair of tokenizers, not one a run."""
+    import pyarrow as pa
+
+    files = {"a": P.path("byte_bpe_50k.json"), "b": P.path("piece_bpe_32k.model")}
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b", "c d"]})
+    first, second = dict(files), dict(files)
+    rows = [[r["groups_sha256"].to_pylist() for r in alignment._gather(iter([batch]), x, 100, 100)] for x in (first, second)]
+    assert first["units"] is second["units"] and rows[0] == rows[1]
