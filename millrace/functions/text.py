@@ -58,7 +58,7 @@ def paragraphs(c: Column | str) -> Column:
 def lines(c: Column | str) -> Column:
     """Lines of a text; a final line end adds no empty line, and an empty text has none."""
     cut = F.split(_col(c), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
-    return F.when(_col(c) == "", F.array().cast("array<string>")).otherwise(F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut))
+    return F.when(_col(c) == "", F.array().cast("array<string>")).otherwise(let(cut, lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x)))
 
 
 def last_line(c: Column | str) -> Column:

@@ -5,9 +5,12 @@ A flag is (severity, category, code, message, evidence). Any critical flag makes
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,6 +122,10 @@ def _has(text: Column, mode: str, pattern: str) -> Column:
     return F.when(_plain(text), plain).otherwise(text.rlike(mode + pattern))
 
 
+def _always(check: str) -> Column:
+    return F.lit(True)
+
+
 def _number(c: Column) -> Column:
     return c.cast("string")
 
@@ -144,20 +151,25 @@ def ending_flags(text: Column) -> Column:
     return F.when(end == "", _none()).when(~last.isin(*'.!?"\')]'), F.array(open_end)).when(end.endswith(".."), F.array(dots)).otherwise(_none())
 
 
-def date_flags(text: Column, k: Knobs) -> Column:
+def date_flags(text: Column, k: Knobs, may: Callable[[str], Column] = _always, known: Column | None = None) -> Column:
+    """known: whether `may` is not a guess but says itself that a pattern is found, in a plain text."""
     each = lambda found, make: F.transform(found, make)
     # texts without digits, which are most, need none of the patterns that look for them
     none = F.array().cast("array<string>")
     # in plain texts, white space or a comma stands between a cue or month and the digits: it is looked for, then what is around it
     dated = ~_plain(text) | text.rlike(rf"(?i)[\s,](?=[\s,]*\d)(?<=(?:{CUE_ENDS})[\s,])")
-    digits = lambda n, found: F.when(dated & text.rlike(f"(?U)\\d{{{n}}}"), found).otherwise(none)
+
+    def digits(n: int, check: str, pattern: str) -> Column:
+        found = F.when(dated & text.rlike(f"(?U)\\d{{{n}}}"), T.all_matches(text, f"(?iU){pattern}", 1)).otherwise(none)
+        return F.when(~may(check), none).otherwise(found) if known is None else F.when(~may(check), none).when(known, T.all_matches(text, f"(?i){pattern}", 1)).otherwise(found)
+
     mixed = F.filter(
-        F.when(text.rlike("[0-9][A-Za-z]|[A-Za-z][0-9]"), T.all_matches(text, r"(?U)\b(?=[A-Za-z0-9]{3,6}\b)[A-Za-z0-9]*(?:[0-9][A-Za-z]|[A-Za-z][0-9])[A-Za-z0-9]*\b")).otherwise(none),
+        F.when(may("mixed") & text.rlike("[0-9][A-Za-z]|[A-Za-z][0-9]"), T.all_matches(text, r"(?U)\b(?=[A-Za-z0-9]{3,6}\b)[A-Za-z0-9]*(?:[0-9][A-Za-z]|[A-Za-z][0-9])[A-Za-z0-9]*\b")).otherwise(none),
         lambda t: ~t.rlike(rf"(?i)\A(?:{ORDINAL}|{REPORTER})\z") & ~t.rlike(rf"\A(?:{VERSION})\z"),
     )
-    long = digits(5, T.all_matches(text, rf"(?iU)\b{YEAR_CUES}\s*,?\s*\b(\d{{5,}})\b", 1))
-    short = F.filter(digits(3, T.all_matches(text, rf"(?iU)(?:{MONTHS}\s+\d{{1,2}},?\s*|\b{DATE_CUES}\s+)(\d{{3}})\b", 1)), lambda t: t.rlike(r"\A(?:19|20|21)"))
-    year = F.filter(digits(4, T.all_matches(text, rf"(?iU)\b{YEAR_CUES}\s*,?\s*\b(\d{{4}})\b", 1)), lambda t: F.coalesce((F.try_to_number(t, F.lit("9999")) < 1700) | (F.try_to_number(t, F.lit("9999")) > k.year + 1), F.lit(False)))
+    long = digits(5, "long", rf"\b{YEAR_CUES}\s*,?\s*\b(\d{{5,}})\b")
+    short = F.filter(digits(3, "short", rf"(?:{MONTHS}\s+\d{{1,2}},?\s*|\b{DATE_CUES}\s+)(\d{{3}})\b"), lambda t: t.rlike(r"\A(?:19|20|21)"))
+    year = F.filter(digits(4, "year", rf"\b{YEAR_CUES}\s*,?\s*\b(\d{{4}})\b"), lambda t: F.coalesce((F.try_to_number(t, F.lit("9999")) < 1700) | (F.try_to_number(t, F.lit("9999")) > k.year + 1), F.lit(False)))
     garbled = lambda t, message: _flag("critical", "format", "GARBLED_DATE", message, t)
     return F.concat(
         each(mixed, lambda t: garbled(t, F.concat(F.lit("Alphanumeric token '"), t, F.lit("' looks like a garbled year (common overfitting artifact).")))),
@@ -182,16 +194,16 @@ def without_header(text: Column) -> Column:
     return T.let(T.lines(text), lambda rows: T.lstrip(F.array_join(F.slice(rows, skipped(rows) + 1, F.greatest(F.size(rows), F.lit(1))), "\n")))
 
 
-def artifact_flags(text: Column) -> Column:
+def artifact_flags(text: Column, may: Callable[[str], Column] = _always) -> Column:
     caption, caps = f"(?midU){CAPTION}", f"(?U){CAPS_RUN}"
     raw = "Summary contains raw pleading or order text (caption, signature block, or court header) — model is regurgitating source documents instead of summarizing."
     return F.concat(
-        _if(_has(text, "(?midU)", CAPTION), _flag("critical", "format", "RAW_DOCUMENT_ARTIFACT", raw, F.left(F.regexp_extract(text, caption, 0), F.lit(80)))),
+        _if(may("caption") & _has(text, "(?midU)", CAPTION), _flag("critical", "format", "RAW_DOCUMENT_ARTIFACT", raw, F.left(F.regexp_extract(text, caption, 0), F.lit(80)))),
         _if(
-            text.contains("\n") & text.rlike(f"(?mdU){NUMBERED_LINES}"),
+            may("numbered") & text.contains("\n") & text.rlike(f"(?mdU){NUMBERED_LINES}"),
             _flag("critical", "format", "RAW_DOCUMENT_ARTIFACT", "Summary contains consecutive line-numbered lines — likely a raw transcript or brief block.", "line-numbered block detected"),
         ),
-        _if(text.rlike(caps), _flag("warning", "format", "EXCESSIVE_CAPS", "Extended run of ALL-CAPS words — may indicate a court header or shout block.", F.left(F.regexp_extract(text, caps, 0), F.lit(80)))),
+        _if(may("caps") & text.rlike(caps), _flag("warning", "format", "EXCESSIVE_CAPS", "Extended run of ALL-CAPS words — may indicate a court header or shout block.", F.left(F.regexp_extract(text, caps, 0), F.lit(80)))),
     )
 
 
@@ -208,7 +220,7 @@ def _most_common(items: Column, keys: Column, least: int) -> Column:
     return F.array_max(T.let(keys, lambda k: T.let(F.sort_array(k), lambda o: counted(k, o))))
 
 
-def repetition_flags(text: Column, tokens: Column) -> Column:
+def repetition_flags(text: Column, tokens: Column, may: Callable[[str], Column] = _always) -> Column:
     n = F.size(tokens)
     # a phrase that occurs three times makes nine words at least repeat an earlier one
     at = F.when((n >= 24) & (n - F.size(F.array_distinct(tokens)) >= 9), F.sequence(F.lit(0), F.greatest(n - 8, F.lit(0)))).otherwise(F.array().cast("array<int>"))
@@ -218,7 +230,8 @@ def repetition_flags(text: Column, tokens: Column) -> Column:
     loop = lambda w: F.array(_flag("critical", "format", "REPETITION_LOOP", F.concat(F.lit("8-word phrase repeats "), _number(w["n"]), F.lit(" times — model is stuck in a loop.")), gram(w)))
     some = lambda worst, make: T.let(worst, lambda w: F.when(w.isNotNull(), make(w)).otherwise(_none()))
     sentences = T.let(F.filter(T.sentences(text), lambda s: F.length(s) > 40), lambda long: some(_most_common(long, long, 2), twice))
-    return F.concat(sentences, some(T.let(hashes, lambda h: _most_common(h, h, 3)), loop))
+    gate = lambda check, flags: F.when(may(check), flags).otherwise(_none())
+    return F.concat(gate("sentences", sentences), gate("loop", some(T.let(hashes, lambda h: _most_common(h, h, 3)), loop)))
 
 
 def _words(pattern: str) -> list[str]:
@@ -232,12 +245,16 @@ def meta_flags(text: Column) -> Column:
     return _if(some & text.rlike(pattern), _flag("critical", "format", "META_PROMPT_LEAK", "Summary contains meta-prompt or self-referential AI language.", F.left(F.regexp_extract(text, pattern, 0), F.lit(80))))
 
 
-def style_flags(text: Column) -> Column:
-    now, past = F.when(_may(text, *_words(PRESENT)), T.count_regex(text, f"(?U){PRESENT}")).otherwise(0), T.count_regex(text, f"(?U){PAST}")
-    tense = F.concat(F.lit("Summary appears to use present tense ("), _number(now), F.lit(" present-tense verbs vs "), _number(past), F.lit(" past-tense) — the house style is past tense."))
+def style_flags(text: Column, may: Callable[[str], Column] = _always) -> Column:
+    def tense(now: Column, past: Column) -> Column:
+        told = F.concat(F.lit("Summary appears to use present tense ("), _number(now), F.lit(" present-tense verbs vs "), _number(past), F.lit(" past-tense) — the house style is past tense."))
+        return _if((now >= 3) & (now > past), _flag("warning", "content", "WRONG_TENSE", told, F.concat(_number(now), F.lit(" present / "), _number(past), F.lit(" past"))))
+
+    count = lambda pattern: F.when(_plain(text), T.count_regex(text, pattern)).otherwise(T.count_regex(text, f"(?U){pattern}"))
+    both = T.let(F.struct(count(PRESENT).alias("now"), count(PAST).alias("past")), lambda n: tense(n["now"], n["past"]))
     return F.concat(
-        _if(text.contains("judgement") & text.rlike(r"(?U)\bjudgement\b"), _flag("info", "content", "WRONG_JUDGMENT_SPELLING", "'Judgement' should be 'judgment' in U.S. legal usage.", "judgement")),
-        _if((now >= 3) & (now > past), _flag("warning", "content", "WRONG_TENSE", tense, F.concat(_number(now), F.lit(" present / "), _number(past), F.lit(" past")))),
+        _if(may("judgement") & text.contains("judgement") & text.rlike(r"(?U)\bjudgement\b"), _flag("info", "content", "WRONG_JUDGMENT_SPELLING", "'Judgement' should be 'judgment' in U.S. legal usage.", "judgement")),
+        F.when(may("tense") & _may(text, *_words(PRESENT)), both).otherwise(_none()),
     )
 
 
@@ -270,15 +287,86 @@ ELEMENT_WORDS = {
 }
 
 
-def element_flags(text: Column) -> Column:
+def element_flags(text: Column, may: Callable[[str], Column] = _always, known: Column | None = None) -> Column:
+    """known: whether `may` is not a guess but says itself that an element is missing."""
+
     def found(mode: str, pattern: str, code: str) -> Column:
         has = _has(text, mode, pattern)
         if code not in ELEMENT_WORDS:
             return has
         return _may(text, *ELEMENT_WORDS[code], fold="i" in mode) & has
 
-    return F.concat(*[_if(~found(mode, pattern, code), _flag(severity, "element", code, message)) for mode, pattern, severity, code, message in ELEMENTS])
-
+    missing = lambda mode, pattern, code: may(code) & (~found(mode, pattern, code) if known is None else known | ~found(mode, pattern, code))
+    return F.concat(*[_if(missing(mode, pattern, code), _flag(severity, "element", code, message)) for mode, pattern, severity, code, message in ELEMENTS])
+
+
+#: checks of which one pass over a batch of texts tells where they can find anything, as bits above the first
+SCREENED = ("ending", "mixed", "long", "short", "year", "caption", "numbered", "caps", "sentences", "loop", "meta", "judgement", "tense", "spelling", *[e[3] for e in ELEMENTS])
+_BITS = len(SCREENED) + 1
+#: patterns without which a check finds nothing, for texts of tabs, line feeds and printable ASCII; for the elements, the pattern itself
+_SCREENS = {
+    "mixed": "[0-9][A-Za-z]|[A-Za-z][0-9]",
+    "long": rf"(?i)\b{YEAR_CUES}\s*,?\s*\b\d{{5,}}\b",
+    "short": rf"(?i)(?:{MONTHS}\s+\d{{1,2}},?\s*|\b{DATE_CUES}\s+)\d{{3}}\b",
+    "year": rf"(?i)\b{YEAR_CUES}\s*,?\s*\b\d{{4}}\b",
+    "caption": f"(?mi){CAPTION}",
+    "numbered": f"(?m){NUMBERED_LINES}",
+    "caps": CAPS_RUN,
+    "meta": rf"(?i){META}",
+    "judgement": r"\bjudgement\b",
+    "spelling": "|".join(f"{c}{c}{c}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") + "|(?i:iiv|iin|jn|hn|kz|wv|your[kt])",
+} | {code: ("(?i)" if "i" in mode else "") + pattern for mode, pattern, _, code, _ in ELEMENTS}
+
+
+def _repeated(rows: np.ndarray, keys: np.ndarray, times: int) -> np.ndarray:
+    """Rows in which a key occurs so many times; by chance perhaps some others."""
+    both = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rows.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    both ^= both >> np.uint64(29)
+    at = np.sort(both)
+    often = at[times - 1 :][at[times - 1 :] == at[: len(at) - times + 1]]
+    return np.unique(rows[np.isin(both, often)]) if len(often) else rows[:0]
+
+
+def _split(parts: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    flat = parts.flatten()
+    return np.repeat(np.arange(len(parts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False)), flat
+
+
+def screened(texts: pa.Array) -> pa.Array:
+    """For each text the number of its words, above bits that say which checks may find something. The first bit and all others are
+    set for texts that hold anything but tabs, line feeds and printable ASCII: of these nothing is known, and they count no words."""
+    simple = pc.match_substring_regex(texts, r"\A[\t\n -~]*\z")
+    x = pc.if_else(simple, texts, pa.scalar("", texts.type))
+    n = len(x)
+    found = {check: pc.match_substring_regex(x, pattern).to_numpy(zero_copy_only=False) for check, pattern in _SCREENS.items()}
+    found |= {code: ~found[code] for *_, code, _ in ELEMENTS}
+    closed = pc.and_not(pc.match_substring_regex(x, r"[.!?\"')\]]\s*\z"), pc.match_substring_regex(x, r"\.\.\s*\z"))
+    found["ending"] = ~closed.to_numpy(zero_copy_only=False)
+    now = pc.count_substring_regex(x, PRESENT)
+    found["tense"] = pc.and_(pc.greater_equal(now, 3), pc.greater(now, pc.count_substring_regex(x, PAST))).to_numpy(zero_copy_only=False)
+    found |= {"sentences": np.zeros(n, bool), "loop": np.zeros(n, bool)}
+    rows, parts = _split(pc.split_pattern(pc.replace_substring_regex(x, r"([.!?])\s+", "\\1\x01"), "\x01"))
+    parts = pc.ascii_trim_whitespace(parts)
+    long = pc.greater(pc.binary_length(parts), 40).to_numpy(zero_copy_only=False)
+    found["sentences"][_repeated(rows[long], parts.filter(pa.array(long)).dictionary_encode().indices.to_numpy(), 2)] = True
+    rows, words = _split(pc.ascii_split_whitespace(x))
+    some = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    rows, codes = rows[some], words.filter(pa.array(some)).dictionary_encode().indices.to_numpy().astype(np.uint64)
+    counts = np.bincount(rows, minlength=n)
+    if len(rows) >= 24:
+        grams = np.zeros(len(rows) - 7, np.uint64)
+        for j in range(8):
+            grams = grams * np.uint64(0x100000001B3) + codes[j : len(codes) - 7 + j] + np.uint64(1)
+        within = (rows[:-7] == rows[7:]) & (counts[rows[:-7]] >= 24)
+        found["loop"][_repeated(rows[:-7][within], grams[within], 3)] = True
+    bits = counts.astype(np.int64) << _BITS
+    for i, check in enumerate(SCREENED, 1):
+        bits |= found[check].astype(np.int64) << i
+    return pa.array(np.where(simple.to_numpy(zero_copy_only=False), bits, (1 << _BITS) - 1))
+
+
+def _screen(text: Column) -> Column:
+    return F.arrow_udf(screened, "long")(text)
 
 def reference_flags(n: Column, reference: Column, k: Knobs) -> Column:
     m = T.n_words(reference)
@@ -333,11 +421,18 @@ def report(df: DataFrame, prediction: str = "prediction", reference: str | None
     has = set(df.columns)
     double = lambda c: F.col(c).cast("double") if c in has else F.lit(None).cast("double")
     known = [c for c in ids if c in has]
-    df = df.withColumn("__tokens", T.words(text)).withColumn("word_count", F.size("__tokens")).withColumn("__raw", without_header(text))
+    # texts are looked through in batches first; a check is made only where it can find something
+    seen, at = F.col("__screen"), {check: i for i, check in enumerate(SCREENED, 1)}
+    may = lambda check: seen.bitwiseAND(1 << at[check]) != 0
+    only = lambda check, flags: F.when(may(check), flags).otherwise(_none())
+    plain = seen.bitwiseAND(1) == 0
+    df = df.withColumn("__screen", _screen(text))
+    df = df.withColumn("word_count", F.when(plain, F.shiftright(seen, _BITS).cast("int")).otherwise(T.n_words(text)))
+    df = df.withColumn("__tokens", F.when(may("loop"), T.words(text)).otherwise(F.array().cast("array<string>"))).withColumn("__raw", F.when(may("caption") | may("numbered") | may("caps"), without_header(text)))
     n = F.col("word_count")
     checks = [
-        length_flags(n, k), ending_flags(text), date_flags(text, k), artifact_flags(F.col("__raw")), repetition_flags(text, F.col("__tokens")), meta_flags(text), style_flags(text),
-        spelling_flags(text), element_flags(text),
+        length_flags(n, k), only("ending", ending_flags(text)), date_flags(text, k, may, plain), artifact_flags(F.col("__raw"), may), repetition_flags(text, F.col("__tokens"), may),
+        only("meta", meta_flags(text)), style_flags(text, may), only("spelling", spelling_flags(text)), element_flags(text, may, plain),
     ]
     ratio = F.lit(None).cast("double")
     if reference in has:
@@ -350,7 +445,7 @@ def report(df: DataFrame, prediction: str = "prediction", reference: str | None
     metrics = F.struct(ratio.alias("length_ratio"), *[double(c).alias(c) for c in ("rouge1", "rouge2", "rougeL", "rougeLsum", "bertscore_f1", *JUDGE_FIELDS)])
     out = df.withColumn("flags", F.concat(*checks)).withColumn("metrics", metrics).withColumn("status", status("flags"))
     position = F.monotonically_increasing_id()
-    return out.withColumn("identifier", identifier(*known, position=position) if known else position.cast("string")).drop("__tokens", "__raw")
+    return out.withColumn("identifier", identifier(*known, position=position) if known else position.cast("string")).drop("__screen", "__tokens", "__raw")
 
 
 def quick_report(df: DataFrame, text: str, k: Knobs = Knobs()) -> DataFrame:
@@ -374,7 +469,9 @@ def csv_rows(reports: DataFrame) -> DataFrame:
 def code_counts(reports: DataFrame) -> DataFrame:
     """Flags and distinct records by code, with the severity of its first and of its last place."""
     # the outer form: else Spark makes the flags once more, to see that there are any
-    each = reports.select("identifier", F.posexplode_outer("flags").alias("at", "f")).where("at is not null")
+    # messages and evidence are left behind before each flag becomes a row
+    short = F.transform("flags", lambda f: F.struct(f["severity"].alias("severity"), f["code"].alias("code")))
+    each = reports.select("identifier", short.alias("flags")).select("identifier", F.posexplode_outer("flags").alias("at", "f")).where("at is not null")
     place = F.struct("identifier", "at")
     return each.groupBy(F.col("f.code").alias("code")).agg(
         F.count(F.lit(1)).alias("flags"), F.count_distinct("identifier").alias("records"), F.min_by("f.severity", place).alias("first_severity"), F.max_by("f.severity", place).alias("last_severity")

@@ -76,3 +76,22 @@ def test_reports_are_made_once(spark):
     """Counting codes adds no filter that makes all flags a second time."""
     df = qa.report(spark.createDataFrame([(1, FILL)], "index int, prediction string"), reference=None)
     assert plan(qa.code_counts(df)).count("GARBLED_DATE") == plan(df).count("GARBLED_DATE")
+
+
+def test_screen_finds_what_the_checks_find(spark):
+    """Texts are looked through in batches: a check is made only where something may be found, and on all texts that are no plain ASCII."""
+    import pyarrow as pa
+
+    loop, twice = "one two three four five six seven eight nine " * 3, "This very sentence is longer than forty characters, is it not. " * 2
+    texts = [FILL, FILL + " open", FILL + " in 2oo4.", FILL + " May 3, 210.", FILL + " in 1650.", FILL + " filed 21020.", "**A v. B**\nCase No. 12\n" + FILL, FILL + "\nSO ORDERED.", "1 a\n2 b\n3 c\n" + FILL, loop, twice, FILL + " John.", " ", ""]
+    bits = qa.screened(pa.array([*texts, FILL + " \u00a7", FILL + "\r\n", "a\x0bb"])).to_pylist()
+    assert bits[-3:] == [(1 << qa._BITS) - 1] * 3
+    assert [b >> qa._BITS for b in bits[:2]] == [91, 92]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, prediction string")
+    # a blank that is no ASCII takes the other way, and changes no flag of these texts but their number of words
+    other = df.withColumn("prediction", F.concat(F.lit("\u00e9 "), "prediction"))
+    flags = lambda d: {r["i"]: [f["code"] for f in r["flags"]] for r in qa.report(d, reference=None, ids=("i",)).collect()}
+    one, two = flags(df), flags(other)
+    assert [one[i] for i in range(6)] == [two[i] for i in range(6)]
+    assert "RAW_DOCUMENT_ARTIFACT" not in one[6] and "RAW_DOCUMENT_ARTIFACT" in one[7]
+    assert "REPETITION_LOOP" in one[9] and "DUPLICATE_SENTENCE" in one[10] and "SUSPICIOUS_SPELLING" in one[11]
