@@ -168,7 +168,7 @@ texts as (
 @query(f"with recursive {DOCS_SQL}, {_PROMPT_TEXTS} select id, strategy, md5(x) as digest, length(x) as n_chars from texts")
 def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prompts of two strategies, to the last character."""
-    made = prepared(spark, sf_dir, prompts.TIMELINE).where("strategy <> 'extract_first'")
+    made = prepared(spark, sf_dir, "strategy", "prompt", timeline=prompts.TIMELINE, strategies=("priority_filter", "structured"))
     return made.select("id", "strategy", F.md5(F.col("prompt").cast("binary")).alias("digest"), F.length("prompt").cast("bigint").alias("n_chars"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,7 +106,7 @@ def _tier_counts() -> Column:
     return F.struct(*[count(t) for t in (1, 2, 3, 4)])
 
 
-def priority_filter(df: DataFrame, max_tokens: int = 24_000, pack: bool = False) -> DataFrame:
+def priority_filter(df: DataFrame, max_tokens: int = 24_000, pack: bool | Sequence[str] = False) -> DataFrame:
     """Documents by tier, in their order within a tier, after the task. Adds the columns of the strategy's report."""
     df = _with_docs(df)
     room = F.lit(max_tokens) - (T.tokens_estimate("__pre") + 200)
@@ -129,7 +129,7 @@ def priority_filter(df: DataFrame, max_tokens: int = 24_000, pack: bool = False)
 TIMELINE = 15
 
 
-def structured(df: DataFrame, max_tokens: int = 24_000, pack: bool = False, timeline: int | None = TIMELINE) -> DataFrame:
+def structured(df: DataFrame, max_tokens: int = 24_000, pack: bool | Sequence[str] = False, timeline: int | None = TIMELINE) -> DataFrame:
     """Documents by tier and date, after a timeline of the first dated documents (None: of all), before the task."""
     df = _with_docs(df).withColumn("__ordered", _dated(F.col("__docs")))
     budget = F.lit(max_tokens - 500)
@@ -151,7 +151,7 @@ def structured(df: DataFrame, max_tokens: int = 24_000, pack: bool = False, time
     return _finished(df, built, "structured", F.size("excluded_doc_types"), pack, timeline_entries=F.size("__times"))
 
 
-def extract_first(df: DataFrame, max_tokens: int = 24_000, extractor: Callable[[Column], Column] | None = None, cache: DataFrame | None = None, pack: bool = False) -> DataFrame:
+def extract_first(df: DataFrame, max_tokens: int = 24_000, extractor: Callable[[Column], Column] | None = None, cache: DataFrame | None = None, pack: bool | Sequence[str] = False) -> DataFrame:
     """Extracts of the documents of tiers 1 to 3 (without any, of the first three), by tier, until the budget is used up; the
     first that does not fit is cut if over 200 tokens are left. `extractor` makes a document's extract from its struct; `cache`
     (key, extraction, and perhaps seq) has extracts made before, of which the last counts."""
@@ -185,9 +185,9 @@ def extract_first(df: DataFrame, max_tokens: int = 24_000, extractor: Callable[[
     return _finished(df, built, "extract_first", F.lit(None).cast("int"), pack, relevant_docs=F.size("__some"), extracted_docs=F.size("__shown"), cache_hits=F.col("cache_hits"))
 
 
-def _finished(df: DataFrame, built: Column, strategy: str, excluded: Column, pack: bool, **more: Column) -> DataFrame:
+def _finished(df: DataFrame, built: Column, strategy: str, excluded: Column, pack: bool | Sequence[str], **more: Column) -> DataFrame:
     """The prompt and the report of a strategy; a prompt without documents stays as it is, with an error. pack: as one struct, so
-    that other strategies can work on the same parsed row."""
+    that other strategies can work on the same parsed row; names: of these columns alone, and what no column needs is not made."""
     parsed = F.size("__docs") > 0
     out = df.withColumn("__built", F.when(parsed, built).otherwise(F.col("prompt")))
     report = {
@@ -198,7 +198,8 @@ def _finished(df: DataFrame, built: Column, strategy: str, excluded: Column, pac
     more = {k: F.when(parsed, v) for k, v in more.items()}
     if pack:
         used = F.coalesce(more["extracted_docs"] if "extracted_docs" in more else report["selected_docs"], "used_chunk_count", F.lit(0))
-        out = out.withColumn(f"__r_{strategy}", F.struct(*[v.alias(k) for k, v in report.items()], used.alias("used_chunk_count"), F.col("__built").alias("prompt")))
+        all_of = report | {"used_chunk_count": used, "prompt": F.col("__built")}
+        out = out.withColumn(f"__r_{strategy}", F.struct(*[v.alias(k) for k, v in all_of.items() if pack is True or k in pack]))
         return out.select(*df.columns[: df.columns.index("__pre") + 1], *[c for c in out.columns if c.startswith("__r_")])
     out = out.withColumns(report | more)
     return out.withColumn("prompt", F.col("__built")).drop(*[c for c in out.columns if c.startswith("__")])
@@ -246,13 +247,14 @@ def _filled(out: DataFrame) -> DataFrame:
     return out.withColumns({"split": F.coalesce("split", F.lit("")), "completion": F.coalesce("completion", "response"), "source_chunk_count": F.coalesce("source_chunk_count", F.lit(0))})
 
 
-def prepare_all(records: DataFrame, max_tokens: int = 24_000, timeline: int | None = TIMELINE) -> DataFrame:
-    """One row for each record and strategy, with the columns that all reports have. A prompt is parsed once."""
+def prepare_all(records: DataFrame, max_tokens: int = 24_000, timeline: int | None = TIMELINE, strategies: Sequence[str] = tuple(STRATEGIES), columns: Sequence[str] | None = None) -> DataFrame:
+    """One row for each record and strategy, with the columns that all reports have, or those of them that are named. A prompt is parsed
+    once; a strategy or text that is not asked for is not made."""
     df = _with_docs(_records(records))
-    for name in STRATEGIES:
-        df = STRATEGIES[name](df, max_tokens, pack=True, **({"timeline": timeline} if name == "structured" else {}))
+    for name in strategies:
+        df = STRATEGIES[name](df, max_tokens, pack=columns or True, **({"timeline": timeline} if name == "structured" else {}))
     keep = [c for c in df.columns if not c.startswith("__") and c not in ("prompt", "used_chunk_count")]
-    return _filled(df.select(*keep, F.inline(F.array(*[f"__r_{name}" for name in STRATEGIES]))))
+    return _filled(df.select(*keep, F.inline(F.array(*[f"__r_{name}" for name in strategies]))))
 
 
 def cached(cache: DataFrame, wanted: DataFrame, make: Column) -> DataFrame:

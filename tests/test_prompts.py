@@ -134,3 +134,15 @@ def test_marks_of_indented_lines_stay(spark):
     """Only a mark that begins its line goes, also where white space is cut off around it."""
     d = frame(spark, "Case: A\n[DOCUMENT]\nTitle: T\nDate: 2010-01-01\n  Chunk 1: x\nChunk 2:\nmore\u3000\x1c").select(parse.documents("prompt").alias("d")).first()["d"]
     assert [(x["title"], x["body"]) for x in d] == [("T", "Chunk 1: x\nmore")]
+
+
+def test_only_what_is_asked_for_is_made(spark):
+    """Some strategies and columns alone: the same rows, without the texts that no column needs."""
+    prompt = "Task.\nCase: A\n" + "".join(f"\n[DOCUMENT]\nTitle: Order {i}\nType: Order\nDate: 2010-01-02\n\nbody {i}" for i in range(3))
+    df = spark.createDataFrame([(1, 1, prompt, "r")], "id int, case_id int, prompt string, response string")
+    names = ["strategy", "used_chunk_count", "total_docs"]
+    some = prompts.prepare_all(df, strategies=("structured", "extract_first"), columns=names)
+    rows = lambda d: sorted(map(tuple, d.select(names).collect()))
+    assert rows(some) == rows(prompts.prepare_all(df).where("strategy <> 'priority_filter'"))
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert "prompt_tokens_est" not in some.columns and "prompt" not in some.columns and prompts.EXTRACTS_INTRO[:40] not in plan
