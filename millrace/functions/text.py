@@ -35,6 +35,18 @@ def rstrip(c: Column | str) -> Column:
     return F.rtrim(_col(c), F.lit(SPACES))
 
 
+def strip_long(c: Column | str) -> Column:
+    """strip() of long texts. Trimming more than blanks off the end walks the whole text, so the last byte is looked at before."""
+    last = lambda x: F.substring(x.cast("binary"), F.lit(-1), F.lit(1))
+    return let(F.rtrim(lstrip(c)), lambda x: F.when(last(x).between(F.lit(b"!"), F.lit(b"~")), x).otherwise(rstrip(x)))
+
+
+def at_most(c: Column, n: int | Column) -> Column:
+    """The first n code points; texts of no more bytes are taken as they are, without counting."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.when(F.octet_length(c) <= n, c).otherwise(F.left(c, n))
+
+
 def words(c: Column | str) -> Column:
     """The maximal runs without white space."""
     return F.filter(F.split(_col(c), rf"(?U){WS}+"), lambda w: w != "")

@@ -75,16 +75,26 @@ def source_chunks(prompt: Column | str, max_chars: int = 14_000) -> Column:
     p = _col(prompt)
     parts = F.split(p, r"\nChunk \d+:\n")
 
-    def field(part: Column, name: str, other: Column) -> Column:
-        return F.coalesce(T.strip(F.nullif(F.regexp_extract(part, rf"(?dU){name}:\s*(.+)", 1), F.lit(""))), other)
-
-    def chunk(part: Column, i: Column, kind: Column) -> Column:
+    def field(part: Column, head: Column, name: str, other: Column) -> Column:
+        found = lambda x: F.regexp_extract(x, rf"(?dU){name}:\s*(.+)", 1)
+        # what the part's first paragraph has is what the part has; only without it, or where white space crosses its end, all is read
+        return F.coalesce(F.nullif(T.strip(found(head)), F.lit("")), T.strip(F.nullif(found(part), F.lit(""))), other)
+
+    def body(part: Column, head: Column) -> Column:
+        """Without all that lies between a mark and the next empty line; mostly one mark, in the first paragraph."""
+        after = lambda size: F.substring(part.cast("binary"), size, F.lit(1 << 30)).cast("string")
+        plain = lambda rest: head.contains("[DOCUMENT]") & (F.octet_length(part) > F.octet_length(head)) & ~rest.contains("[DOCUMENT]")
+        cut = lambda rest: F.when(plain(rest), F.concat(F.substring_index(head, "[DOCUMENT]", 1), rest)).otherwise(F.regexp_replace(part, r"(?s)\[DOCUMENT\].*?\n\n", ""))
+        return T.strip_long(T.let(after(F.octet_length(head) + 3), cut))
+
+    def chunk(part: Column, head: Column, i: Column, kind: Column) -> Column:
         return F.struct(
-            (i + 1).alias("index"), field(part, "Title", F.concat(F.lit("Document "), (i + 1).cast("string"))).alias("title"), kind.alias("type"),
-            first_token(field(part, "Date", F.lit(""))).alias("date"), chunk_tier(kind).alias("tier"), T.strip(F.regexp_replace(part, r"(?s)\[DOCUMENT\].*?\n\n", "")).alias("text"),
+            (i + 1).alias("index"), field(part, head, "Title", F.concat(F.lit("Document "), (i + 1).cast("string"))).alias("title"), kind.alias("type"),
+            first_token(field(part, head, "Date", F.lit(""))).alias("date"), chunk_tier(kind).alias("tier"), body(part, head).alias("text"),
         )
 
-    made = lambda parts: F.transform(_rest(parts, F.lit(2)), lambda part, i: T.let(field(part, "Type", F.lit("Document")), lambda kind: chunk(part, i, kind)))
+    one = lambda part, i: T.let(F.substring_index(part, "\n\n", 1), lambda head: T.let(field(part, head, "Type", F.lit("Document")), lambda kind: chunk(part, head, i, kind)))
+    made = lambda parts: F.transform(_rest(parts, F.lit(2)), one)
     ranked = lambda parts: F.array_sort(F.transform(F.filter(made(parts), lambda c: c["tier"] < 4), lambda c: F.struct(c["tier"].alias("t"), c["index"].alias("i"), c.alias("c"))))
     before = lambda lengths, i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, b: a + b)
     rooms = lambda r: T.let(
@@ -92,7 +102,7 @@ def source_chunks(prompt: Column | str, max_chars: int = 14_000) -> Column:
     )
     kept = lambda parts: F.transform(
         F.filter(T.let(ranked(parts), rooms), lambda x: x["room"] > 300),
-        lambda x: F.struct(*[x["c"][k].alias(k) for k in ("index", "title", "type", "date", "tier")], F.left(x["c"]["text"], x["room"]).alias("text")),
+        lambda x: F.struct(*[x["c"][k].alias(k) for k in ("index", "title", "type", "date", "tier")], T.at_most(x["c"]["text"], x["room"]).alias("text")),
     )
     whole = F.array(F.struct(F.lit(1).alias("index"), F.lit("Source").alias("title"), F.lit("Document").alias("type"), F.lit("").alias("date"), F.lit(2).alias("tier"), F.left(p, F.lit(4000)).alias("text")))
     return T.let(parts, lambda parts: F.when(F.size(parts) <= 1, whole).otherwise(kept(parts)))
@@ -100,7 +110,7 @@ def source_chunks(prompt: Column | str, max_chars: int = 14_000) -> Column:
 
 def sources_block(chunks: Column | str) -> Column:
     """Chunks as a judge reads them, each text up to 2800 characters."""
-    one = lambda c: F.concat(F.lit("[CHUNK "), c["index"].cast("string"), F.lit(" — "), c["type"], F.lit(" · "), c["date"], F.lit("]\n"), F.left(c["text"], F.lit(2800)))
+    one = lambda c: F.concat(F.lit("[CHUNK "), c["index"].cast("string"), F.lit(" — "), c["type"], F.lit(" · "), c["date"], F.lit("]\n"), T.at_most(c["text"], 2800))
     block = lambda cs: F.when(F.size(cs) == 0, "(No source documents provided — scoring factual grounding as N/A.)").otherwise(F.array_join(F.transform(cs, one), "\n\n"))
     return T.let(_col(chunks), block)
 

@@ -1,6 +1,7 @@
 import datetime
 import hashlib
 import json
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scalar as C
 from millrace.functions import text as T
+from millrace.operators import parse
 
 
 def one(spark, c, **values):
@@ -62,3 +64,26 @@ def test_scalars(spark):
     assert one(spark, C.usage_cost(F.lit("claude-haiku-4-5"), F.lit(10**6), F.lit(None).cast("int"), F.lit(0), F.lit(10**6))) == pytest.approx(2.25)
     assert one(spark, C.identifier("a", "b", position=F.lit(7)), a="0", b=5) == "5" and one(spark, C.identifier("a", position=F.lit(7)), a=None) == "7"
     assert one(spark, C.backoff_seconds(F.lit(3), 1.0, 5.0, F.lit(0.5))) == 5.0
+
+
+def test_long_texts_are_cut_like_short_ones(spark):
+    odd = ["", " ", "a", " a ", "a  ", "\x1ca\x1f ", "é", " é　", "a \n", "~", "\x7f ", "x\u0085  ", "中文 ", None]
+    got = spark.createDataFrame([(x,) for x in odd], "x string").select(T.strip_long("x"), T.strip("x"), T.at_most(F.col("x"), 1), F.left("x", F.lit(1)), T.at_most(F.col("x"), 2), F.left("x", F.lit(2))).collect()
+    assert all(r[0] == r[1] and r[2] == r[3] and r[4] == r[5] for r in got)
+
+
+def test_chunks_with_odd_heads(spark):
+    """Fields and texts like patterns over the whole part, where its first paragraph does not tell."""
+    parts = [
+        "[DOCUMENT]\nTitle: A\nType: order\nDate: 2010-01-02 10:00\n\nText Title: B ", "[DOCUMENT]\nTitle:\n\nNext", "[DOCUMENT]\nType:  \n\n Type: letter of\n\nx", "no mark\n\nTitle: T\n\nbody [DOCUMENT] gone\n\nleft ",
+        "x [DOCUMENT] a\n\nb [DOCUMENT] c\n\nd　", "[DOCUMENT]\nTitle: open", "pre\n[DOCUMENT]", "[DOCUMENT]\n\n", "\n\n[DOCUMENT] é\n\né ", "[DOCUM\n\nENT]\n\nTitle: x\nDate: d e",
+    ]
+
+    def field(part, name, other):
+        m = re.search(rf"{name}:\s*([^\n]+)", part)
+        return m[1].strip() if m else other
+
+    for part in parts:
+        row = spark.createDataFrame([(f"Task\nChunk 1:\n{part}",)], "p string").select(F.inline(parse.source_chunks("p"))).first()
+        want = (field(part, "Title", "Document 1"), field(part, "Type", "Document"), re.sub(r"(?s)\[DOCUMENT\].*?\n\n", "", part).strip())
+        assert row is None or (row["title"], row["type"], row["text"]) == want, part
