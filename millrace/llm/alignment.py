@@ -17,6 +17,7 @@ zeros and an empty column of groups. Rows without an id are documents like any;
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
 import re
@@ -36,6 +37,8 @@ CHUNK, CACHE = 1 << 19, 150_000
 #: chunks handed to Python at once where they are finished
 HANDED = 4
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: what tasks hold of their input at once: else a worker and its executor each hold up to 64 MB of texts a task
+_SMALL = {_BATCH: "256", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20), "spark.sql.parquet.columnarReaderBatchSize": "256"}
 #: pieces encoded at once, and texts looked through at once
 BLOCK, ROWS = 20_000, 128
 
@@ -248,12 +251,26 @@ def _gather(batches: Iterator[pa.RecordBatch], shared: dict, chunk: int, cache:
         yield now.row(u)
 
 
+@contextlib.contextmanager
+def _set(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Settings that hold for what is written within."""
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def chunks(docs: DataFrame, a_file: str, b_file: str, *, chunk: int = CHUNK, cache: int = CACHE) -> DataFrame:
     """Documents aligned, in chunks of about so many pieces; written."""
     shared = docs.sparkSession.sparkContext.broadcast({"a": a_file, "b": b_file})
     ddl = "chunk string, doc_id array<bigint>, " + "".join(f"{c} array<bigint>, " for c in _COUNTS) + "groups_sha256 array<string>, sizes binary, units binary, widths binary, pairs binary, keys binary, counts binary"
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lambda it: _gather(it, shared.value, chunk, cache), ddl)
-    return common.written(rows, "align-chunks")
+    with _set(docs.sparkSession, _SMALL):
+        return common.written(rows, "align-chunks")
 
 
 _PARTIAL = pa.schema([("key", pa.int64()), ("n", pa.int64())])
@@ -290,7 +307,8 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     order of keys, one range a file."""
     partial = rows.select("keys", "counts").mapInArrow(_unpacked, "key bigint, n bigint")
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = common.written(partial.repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInArrow(_summed, "key bigint, n bigint"), "align-counts")
+    with _set(rows.sparkSession, {k: v for k, v in _SMALL.items() if k != _BATCH}):  # keys are narrow, chunks are not
+        counted = common.written(partial.repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInArrow(_summed, "key bigint, n bigint"), "align-counts")
     top = counted.groupBy(F.shiftright("key", 32).alias("a")).agg(F.max("n").alias("top"))  # a row an id of A's vocabulary: 2^17 at most
     joined = counted.join(F.broadcast(top), F.shiftright("key", 32) == top["a"])
     return joined.select("key", "n", (F.col("n") == F.col("top")).alias("best"))

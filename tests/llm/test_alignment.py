@@ -133,3 +133,22 @@ def test_a_later_run_loads_nothing_again():
     first, second = dict(files), dict(files)
     rows = [[r["groups_sha256"].to_pylist() for r in alignment._gather(iter([batch]), x, 100, 100)] for x in (first, second)]
     assert first["units"] is second["units"] and rows[0] == rows[1]
+
+
+def test_tasks_hold_few_texts_at_once(spark, monkeypatch):
+    """A split's texts come in small batches, whatever the session's batches are; and the session's settings stay."""
+    gather = alignment._gather
+
+    def counted(batches, *rest):
+        def checked():
+            for b in batches:
+                assert b.num_rows <= 256 and b.nbytes <= 4 << 20, (b.num_rows, b.nbytes)
+                yield b
+
+        return gather(checked(), *rest)
+
+    monkeypatch.setattr(alignment, "_gather", counted)
+    before = spark.conf.get(alignment._BATCH)
+    docs = spark.range(600).selectExpr("id as doc_id", "repeat('some words ', 5000) as text").repartition(1)
+    assert alignment.align(docs, A, B).count() == 600
+    assert spark.conf.get(alignment._BATCH) == before
