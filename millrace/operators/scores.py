@@ -9,7 +9,10 @@ from functools import lru_cache
 from itertools import pairwise
 from math import isqrt
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -250,13 +253,23 @@ def paired(left: DataFrame, right: DataFrame, key: str, metrics: Sequence[str])
 SUPPORTED, PRIMARY = 0.15, 0.35
 
 
-def _weighed(sentences: DataFrame, chunks: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+#: words whose weights may be broadcast; products of words of sentences by chunks that are made at once; characters of a case's chunks that may be one row
+WORDS, PRODUCTS, CHARS = 200_000, 2_000_000, 2_000_000
+
+
+def weights(chunks: DataFrame) -> DataFrame:
+    """w, idf of all words of the chunks, of all cases."""
+    n = chunks.agg(F.count(F.lit(1)).alias("n"))
+    df = chunks.select(F.explode(F.array_distinct(rouge_tokens("text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    return df.crossJoin(F.broadcast(n)).select("w", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))  # n is one row
+
+
+def _weighed(sentences: DataFrame, chunks: DataFrame, key: str, idf: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Unit tf-idf vectors as rows (key, sid, w, x) and (key, cid, w, x). Document frequencies count chunks of all cases; a word that no
     chunk has is left out."""
     terms = lambda d, i: d.select(key, i, F.explode(rouge_tokens("text")).alias("w")).groupBy(key, i, "w").agg(F.count(F.lit(1)).alias("tf"))
-    c, s = written(terms(chunks, "cid"), "chunk-terms"), terms(sentences, "sid")
-    n = chunks.agg(F.count(F.lit(1)).alias("n"))
-    idf = c.groupBy("w").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("w", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))  # n is one row
+    c, s = terms(chunks, "cid"), terms(sentences, "sid")
+    idf = weights(chunks) if idf is None else idf
 
     def unit(d: DataFrame, i: str) -> DataFrame:
         x = d.join(idf, "w").withColumn("x", F.col("tf") * F.col("idf"))
@@ -305,13 +318,112 @@ def candidates(ts: DataFrame, c: DataFrame, key: str) -> DataFrame:
     return first.unionByName(_cosines(more, ts, c, key))
 
 
-def attribute(sentences: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+def _vectors(owner: np.ndarray, ids: np.ndarray, idf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors of n texts as (text, word, x), by text and word; of words with a weight."""
+    known = ~np.isnan(idf[ids])
+    places, tf = np.unique(owner[known] * len(idf) + ids[known], return_counts=True)
+    o, w = np.divmod(places, len(idf))
+    x = tf * idf[w]
+    return o, w, x / np.sqrt(np.bincount(o, x * x, minlength=n))[o]
+
+
+def _nearest_of(batch: pa.RecordBatch, key: str) -> pa.RecordBatch:
+    """Each sentence's nearest chunk, of whole cases (key, cids, cts, sids, sts, ws, idfs)."""
+    flat = lambda a: a.to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = lambda a: flat(pc.list_value_length(a))
+    each = lambda n: np.repeat(np.arange(len(n)), n)
+    case_c, case_s = each(sizes(batch.column("cids"))), each(sizes(batch.column("sids")))
+    cid, sid, texts_c, texts_s = (batch.column(c).flatten() for c in ("cids", "sids", "cts", "sts"))
+    words_c, words_s, words = texts_c.flatten(), texts_s.flatten(), batch.column("ws").flatten()
+    full = [x for x in (words_c, words_s, words) if len(x)]  # an empty array from Spark may have no offsets
+    coded = pa.concat_arrays(full or [pa.array([], pa.string())]).dictionary_encode()
+    ids, size = flat(coded.indices), max(1, len(coded.dictionary))
+    idf = np.full(size, np.nan)
+    idf[ids[len(words_c) + len(words_s) :]] = batch.column("idfs").flatten().to_numpy(zero_copy_only=False)
+    co, cw, cx = _vectors(each(sizes(texts_c)), ids[: len(words_c)], idf, len(cid))
+    so, sw, sx = _vectors(each(sizes(texts_s)), ids[len(words_c) : len(words_c) + len(words_s)], idf, len(sid))
+    # chunks of the case that have a sentence's word; the sum of a pair runs over words in one order, so that equal chunks tie
+    at = case_c[co] * size + cw
+    order = np.argsort(at, kind="stable")
+    at, want = at[order], case_s[so] * size + sw
+    low = np.searchsorted(at, want)
+    n = np.searchsorted(at, want, "right") - low
+    met = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    pairs, place = np.unique(np.repeat(so, n) * max(1, len(cid)) + co[met], return_inverse=True)
+    cosine = np.bincount(place, np.repeat(sx, n) * cx[met], minlength=len(pairs))
+    s, c = np.divmod(pairs, max(1, len(cid)))
+    cids = flat(cid)
+    order = np.lexsort((cids[c], -cosine, s))
+    s, first = np.unique(s[order], return_index=True)
+    found, nearest, best = np.ones(len(sid), np.bool_), np.zeros(len(sid), np.int64), np.zeros(len(sid))
+    found[s], nearest[s], best[s] = False, cids[c[order[first]]], cosine[order[first]]
+    return pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(case_s)), sid, pa.array(best), pa.array(nearest, mask=found)], [key, "sid", "cosine", "cid"])
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """So many cases at once as make PRODUCTS together."""
+    for batch in batches:
+        parts = np.cumsum(batch.column("products").to_numpy()) // PRODUCTS
+        starts = np.flatnonzero(np.diff(parts, prepend=-1)).tolist()
+        for i, j in zip(starts, [*starts[1:], batch.num_rows]):
+            yield _nearest_of(batch.slice(i, j - i), key)
+
+
+def _by_case(sentences: DataFrame, chunks: DataFrame, idf: DataFrame, key: str, parts: DataFrame) -> DataFrame:
+    """(key, sid, cosine, cid) of cases that are gathered as one row each; of those in parts (__case, parts) the sentences are dealt over so
+    many rows, each with all chunks of the case."""
+    dealt = lambda d, p: d.join(parts, F.col(key).eqNullSafe(F.col("__case")), "left").withColumn("__p", p).drop("__case", "parts")
+    n = F.coalesce("parts", F.lit(1))
+    sentences, chunks = dealt(sentences, F.pmod(F.xxhash64("sid"), n).cast("int")), dealt(chunks, F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))))
+    texts = lambda d, i: d.groupBy(key, "__p").agg(F.collect_list(F.struct(i, F.coalesce(rouge_tokens("text"), F.array().cast("array<string>")).alias("t"))).alias(i))  # noqa: E731  (of one case)
+    of_row = F.col(key).eqNullSafe(F.col("__k")) & (F.col("__p") == F.col("__q"))
+    c, s = texts(chunks, "cid").withColumnsRenamed({key: "__k", "__p": "__q"}), texts(sentences, "sid")
+    both = s.join(c, of_row, "left")
+    ids = lambda c: F.coalesce(F.col(c)[c].cast("array<bigint>"), F.array().cast("array<bigint>"))
+    words = lambda c: F.coalesce(F.col(c)["t"], F.array().cast("array<array<string>>"))
+    cases = written(both.select(key, "__p", ids("cid").alias("cids"), words("cid").alias("cts"), ids("sid").alias("sids"), words("sid").alias("sts")), "attributed-cases")
+    each = cases.select(key, "__p", F.explode(F.array_distinct(F.concat(F.flatten("cts"), F.flatten("sts")))).alias("w"))
+    known = each.join(idf, "w").groupBy(F.col(key).alias("__k"), F.col("__p").alias("__q")).agg(F.collect_list(F.struct("w", "idf")).alias("i"))  # of one case
+    products = F.aggregate("sts", F.lit(0).cast("bigint"), lambda a, t: a + F.size(t)) * F.greatest(F.size("cids"), F.lit(1))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    rows = cases.join(known, of_row, "left").select(
+        key, "cids", "cts", "sids", "sts", F.coalesce(F.col("i")["w"], none("string")).alias("ws"), F.coalesce(F.col("i")["idf"], none("double")).alias("idfs"), products.alias("products")
+    )
+    kind = lambda d, c: d.schema[c].dataType.simpleString()
+    out = rows.mapInArrow(lambda it: _nearest(it, key), f"`{key}` {kind(sentences, key)}, sid bigint, cosine double, cid bigint")
+    return out.withColumns({"sid": F.col("sid").cast(kind(sentences, "sid")), "cid": F.col("cid").cast(kind(chunks, "cid"))})
+
+
+def attribute(sentences: DataFrame, chunks: DataFrame, key: str, products: int = PRODUCTS, chars: int = CHARS) -> DataFrame:
     """For each sentence (key, sid, text) its nearest chunk (key, cid, text) of the same case by tf-idf cosine, the least cid of equals, and
-    whether that is its PRIMARY or a SUPPORTING source or none."""
-    s, c = _weighed(sentences, chunks, key)
+    whether that is its PRIMARY or a SUPPORTING source or none. A case is gathered as one row; if its sentences' words times its chunks
+    are more than about `products`, in parts of its sentences. Words of cases whose chunks have more than `chars` characters are joined."""
+    sentences, chunks = written(sentences, "sentences"), written(chunks, "chunks")
+    idf = written(weights(chunks), "weights")
+    idf = F.broadcast(idf) if idf.count() <= WORDS else idf
+    length = F.coalesce(F.sum(F.length("text") + 1), F.lit(0))
+    sizes = chunks.groupBy(key).agg(length.alias("c"), F.count(F.lit(1)).alias("n"), F.lit(0).alias("s")).unionByName(sentences.groupBy(key).agg(F.lit(0).alias("c"), F.lit(0).alias("n"), length.alias("s")))
+    sizes = sizes.groupBy(F.col(key).alias("__case")).agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    parts = F.ceil(F.greatest(F.col("s").cast("double") * F.col("n") / (6.0 * products), F.col("s") / 1e6, F.lit(1.0)))  # six characters a word
+    large = written(sizes.select("__case", (F.col("c") > chars).alias("joined"), parts.alias("parts")).where("joined or parts > 1"), "large-cases")
+    parted = large.where("not joined").select("__case", "parts")
+    if large.where("joined").isEmpty():
+        return _supported(_by_case(sentences, chunks, idf, key, parted))
+    joined, of_case = large.where("joined").select("__case"), F.col(key).eqNullSafe(F.col("__case"))
+    few, many = ([d.join(joined, of_case, how) for d in (sentences, chunks)] for how in ("left_anti", "left_semi"))
+    return _supported(_by_case(*few, idf, key, parted).unionByName(_by_words(*many, idf, key)))
+
+
+def _by_words(sentences: DataFrame, chunks: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """(key, sid, cosine, cid) of cases of any size, through joins of words."""
+    s, c = _weighed(sentences, chunks, key, idf)
     near = candidates(written(probes(s, c, key), "probes"), c, key)
     best = near.groupBy(F.col(key).alias("__k"), F.col("sid").alias("__s")).agg(F.max("cosine").alias("cosine"), F.max_by("cid", F.struct("cosine", -F.col("cid"))).alias("cid"))
     out = sentences.select(key, "sid").join(best, F.col(key).eqNullSafe(F.col("__k")) & (F.col("sid") == F.col("__s")), "left").drop("__k", "__s").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
+    return out.select(key, "sid", "cosine", "cid")
+
+
+def _supported(out: DataFrame) -> DataFrame:
     return out.withColumn("support", F.when(F.col("cosine") >= PRIMARY, "PRIMARY").when(F.col("cosine") >= SUPPORTED, "SUPPORTING").otherwise("UNSUPPORTED"))
 
 

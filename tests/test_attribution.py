@@ -58,3 +58,15 @@ def test_common_words_meet_no_chunk(spark, rows):
     every = s.join(c.withColumnRenamed("x", "y"), ["k", "w"]).count()
     pairs = scores.candidates(scores.probes(s, c, "k"), c, "k").count()
     assert pairs < every / 3
+
+
+@pytest.mark.parametrize("options", [{"chars": 0}, {"products": 200, "chars": 3350}, {"products": 200}])
+def test_cases_of_any_size(spark, rows, options):
+    """All cases through joins of words, some, and none: cases that fit are gathered, each as one row or in parts, and give the same."""
+    sentences, chunks = rows
+    s, c = spark.createDataFrame(sentences, "k string, sid bigint, text string"), spark.createDataFrame(chunks, "k string, cid bigint, text string")
+    got = {(r["k"], r["sid"]): r for r in scores.attribute(s, c, "k", **options).collect()}
+    want = plainly(sentences, chunks)
+    assert got.keys() == want.keys()
+    for at, (cos, cid) in want.items():
+        assert got[at]["cosine"] == pytest.approx(cos, abs=1e-9) and got[at]["cid"] == cid, at
