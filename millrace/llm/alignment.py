@@ -270,7 +270,7 @@ def chunks(docs: DataFrame, a_file: str, b_file: str, *, chunk: int = CHUNK, cac
     ddl = "chunk string, doc_id array<bigint>, " + "".join(f"{c} array<bigint>, " for c in _COUNTS) + "groups_sha256 array<string>, sizes binary, units binary, widths binary, pairs binary, keys binary, counts binary"
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lambda it: _gather(it, shared.value, chunk, cache), ddl)
     with _set(docs.sparkSession, _SMALL):
-        return common.written(rows, "align-chunks")
+        return common.written(rows, "align-chunks", common.WIDE)
 
 
 _PARTIAL = pa.schema([("key", pa.int64()), ("n", pa.int64())])

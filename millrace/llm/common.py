@@ -44,11 +44,16 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir[0]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: how rows of megabytes are written: Parquet's writer measures what it holds after the first 100 rows only, which would be all of a
+#: task's, and then by its compressed size; a row group is also what a reader holds
+WIDE = {"parquet.page.size.row.check.min": "1", "parquet.block.size": str(16 << 20), "parquet.block.row.count.limit": "4"}
+
+
+def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write a table in the shared folder and read it again: cuts the lineage, survives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     if _scopes.open:

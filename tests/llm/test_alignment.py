@@ -152,3 +152,19 @@ def test_tasks_hold_few_texts_at_once(spark, monkeypatch):
     docs = spark.range(600).selectExpr("id as doc_id", "repeat('some words ', 5000) as text").repartition(1)
     assert alignment.align(docs, A, B).count() == 600
     assert spark.conf.get(alignment._BATCH) == before
+
+
+def test_chunks_are_written_in_small_row_groups(spark):
+    """A task holds a few chunks where it writes or reads them, however many it makes."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = spark.range(600).selectExpr("id as doc_id", "repeat('some words ', 5000) || id as text").repartition(1)
+    rows = alignment.chunks(docs, A, B, chunk=1)
+    try:
+        found = [pq.ParquetFile(f).metadata for f in glob.glob(rows._written_path.removeprefix("file://") + "/*.parquet")]
+        groups = [(m.row_group(i).num_rows, m.row_group(i).total_byte_size) for m in found for i in range(m.num_row_groups)]
+        assert sum(n for n, _ in groups) > 12 and all(n <= 4 and size < 10 << 20 for n, size in groups), groups
+    finally:
+        alignment.common.forget(rows)
